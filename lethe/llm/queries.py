@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import byte_bpe, language_id, tiff, token_file
 from .cutting import digest
 from .substring_dedup import remove_repeated_words
 from .suffix_dedup import remove_repeated_bytes
@@ -15,6 +18,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(of: int) -> Column:
+    """crc32 of the decimal doc_id, modulo `of`."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(of))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder(5) == 0
+    filters = language_id.fit(docs.where(~held_out))
+    return language_id.predict(docs, filters).withColumn("held_out", held_out).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op2_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = tiff.text_images(table(spark, sf_dir, "documents"))
+    return tiff.page_digests(tiff.tiff_pages(images, "id", "content"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(remove_repeated_words(table(spark, sf_dir, "documents")), "n_words")
 
@@ -23,8 +43,19 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(remove_repeated_bytes(table(spark, sf_dir, "documents")), "n_bytes", "n_spans")
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return byte_bpe.digests(byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+
+
+def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        model = f.read()
+    return token_file.tokenized(table(spark, sf_dir, "documents"), model, 2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_substring_dedup, op8_suffix_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_tiff, op4_substring_dedup, op8_suffix_dedup, op9_byte_bpe, op10_token_file)}
 
 
 def oracle_sql() -> dict[str, str]:
