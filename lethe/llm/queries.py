@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import byte_bpe, language_id, tiff, token_file
 from .cutting import digest
+from .near_dup import near_duplicates
 from .substring_dedup import remove_repeated_words
 from .suffix_dedup import remove_repeated_bytes
 
@@ -39,6 +40,11 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(remove_repeated_words(table(spark, sf_dir, "documents")), "n_words")
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("doc") == F.col("component")).alias("kept"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(remove_repeated_bytes(table(spark, sf_dir, "documents")), "n_bytes", "n_spans")
 
@@ -55,7 +61,7 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_tiff, op4_substring_dedup, op8_suffix_dedup, op9_byte_bpe, op10_token_file)}
+    return {f.__name__: f for f in (op1_language_id, op2_tiff, op4_substring_dedup, op7_minhash_near_dedup, op8_suffix_dedup, op9_byte_bpe, op10_token_file)}
 
 
 def oracle_sql() -> dict[str, str]:
