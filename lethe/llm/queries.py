@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, tiff, token_file
+from . import byte_bpe, language_id, tiff, token_file, toxicity
 from .cutting import digest
 from .near_dup import near_duplicates
 from .substring_dedup import remove_repeated_words
@@ -40,6 +40,15 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(remove_repeated_words(table(spark, sf_dir, "documents")), "n_words")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder(3) == 1
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.fit(docs.where(~held_out).select("doc_id", "text").join(labels.where(~held_out), "doc_id"))
+    scored = toxicity.scores(docs, model).withColumn("held_out", held_out)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("doc") == F.col("component")).alias("kept"))
@@ -61,7 +70,7 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_tiff, op4_substring_dedup, op7_minhash_near_dedup, op8_suffix_dedup, op9_byte_bpe, op10_token_file)}
+    return {f.__name__: f for f in (op1_language_id, op2_tiff, op4_substring_dedup, op5_toxicity, op7_minhash_near_dedup, op8_suffix_dedup, op9_byte_bpe, op10_token_file)}
 
 
 def oracle_sql() -> dict[str, str]:
