@@ -15,7 +15,11 @@ from .substring_dedup import remove_repeated_words
 from .suffix_dedup import remove_repeated_bytes
 
 
+ARROW_ROWS = 2000  # rows of an Arrow batch: whole texts are long, and both sides hold a batch in memory
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
