@@ -12,7 +12,10 @@ keep both documents, in any order; no documents give no file.
 
 from __future__ import annotations
 
+import json
+import os
 import struct
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
@@ -20,6 +23,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -94,37 +98,76 @@ def decode_ids(raw: bytes) -> np.ndarray:
 
 
 class Words(NamedTuple):
-    """A word-level tokenizers file and the ids of the words met so far."""
+    """A word-level tokenizers file and the ids of the words and pieces met so far."""
 
     tokenizer: object
     ids: dict[str, bytes]
+    pieces: dict[str, bytes]
 
 
 _words: dict[str, Words] = {}
 _NOT_SPACES = "\x1c\x1d\x1e\x1f"  # str.split() takes these for spaces, the tokenizer doesn't
+# Fixed value: the split pattern of the tokenizer's file.
+_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+").findall
 
 
-def encode_texts(model: str, texts: list[str]) -> list[bytes]:
-    """32-bit ids of each text by the tokenizers library.
+def _byte_letters() -> list[str]:
+    """Byte-level tokenizers' letter for each byte: printable Latin-1 stands for itself, the rest follow from U+0100 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
-    The tokenizer drops white space and never joins what it parts, so words are encoded once and looked up.
-    """
+
+_LETTERS = _byte_letters()
+
+
+def _load(model: str) -> Words:
     if model not in _words:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
         from tokenizers import Tokenizer
 
+        own = json.loads(model)
+        steps = [x["type"] for x in own["normalizer"]["normalizers"]], [x["type"] for x in own["pre_tokenizer"]["pretokenizers"]]
+        if steps != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]):
+            raise ValueError(f"a tokenizer of other steps: {steps}")
         _words.clear()
-        _words[model] = Words(Tokenizer.from_str(model), {})
-    tokenizer, known = _words[model]
-    whole = [any(c in t for c in _NOT_SPACES) for t in texts]
-    split = [[t] if w else t.split() for t, w in zip(texts, whole, strict=True)]
-    if len(known) > CACHE_WORDS:
-        known.clear()
-    fresh = list({w for s in split for w in s if w not in known})
-    for i in range(0, len(fresh), 4096):
-        part = fresh[i : i + 4096]
-        for w, e in zip(part, tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-    return [b"".join(map(known.__getitem__, s)) for s in split]
+        _words[model] = Words(Tokenizer.from_str(model), {}, {})
+    return _words[model]
+
+
+def _learn(words: Words, fresh: set[str]) -> None:
+    """Ids of words: normalised and split as the tokenizer does it, each distinct piece merged by the library's model."""
+    tokenizer, known, pieces = words
+    if len(pieces) > CACHE_WORDS:
+        pieces.clear()
+    merge = tokenizer.model.tokenize
+    for w in fresh:
+        if "<|" in w or not w.isprintable():
+            known[w] = np.array(tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+            continue
+        low = (w if w.isascii() else unicodedata.normalize("NFC", w).replace("\u03a3", "\u03c3")).lower()
+        own = [low] if low.isalpha() else _SPLIT(low)
+        for p in own:
+            if p not in pieces:
+                spelled = p if p.isascii() and p.isprintable() else "".join([_LETTERS[b] for b in p.encode()])
+                pieces[p] = b"".join([t.id.to_bytes(4, "little") for t in merge(spelled)])
+        known[w] = pieces[own[0]] if len(own) == 1 else b"".join([pieces[p] for p in own])
+
+
+def encode_texts(model: str, texts: list[str]) -> list[bytes]:
+    """32-bit ids of each text by the tokenizers library.
+
+    The tokenizer drops white space and never joins what it parts, so words are encoded once and looked up.
+    """
+    words = _load(model)
+    split = [[t] if any(c in t for c in _NOT_SPACES) else t.split() for t in texts]
+    if len(words.ids) > CACHE_WORDS:
+        words.ids.clear()
+    fresh: set[str] = set()
+    for s in split:
+        fresh.update(s)
+    _learn(words, fresh.difference(words.ids))
+    return [b"".join(map(words.ids.__getitem__, s)) for s in split]
 
 
 _FILES = "shard int, part int, n_docs long, n_ids long, docs binary, sizes binary, file binary"

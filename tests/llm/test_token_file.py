@@ -53,6 +53,24 @@ def test_all_spaces():
     assert got == [plain(t) for t in texts]
 
 
+def test_many_words():
+    texts = [" ".join(f"w{i}x{'é' * (i % 3)}" for i in range(10_000)), "<|endoftext|> <|x|>", "<|startoftext|>a b<|endoftext|>", "a\x01b \x7f ctl\x00", "ΑΣ ΑΣΑ İstanbul ẞ ǅ ﬁ Å ½ ² ٣ ⅷ", "x__y it'S 'tis o'll'd"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in T.encode_texts(MODEL, texts)] == [plain(t) for t in texts]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(max_size=30), max_size=5))
+def test_any_text(texts):
+    assert [np.frombuffer(x, "<u4").tolist() for x in T.encode_texts(MODEL, texts)] == [plain(t) for t in texts]
+
+
+def test_whole_table():
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()
+    assert [np.frombuffer(x, "<u4").tolist() for x in T.encode_texts(MODEL, texts)] == [plain(t) for t in texts]
+
+
 def test_files(spark, docs_of, tmp_path, monkeypatch):
     monkeypatch.setattr(T, "FILE_IDS", 40)
     monkeypatch.setattr(T, "SLICE_BYTES", 10)
