@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, tiff, token_file, toxicity
+from . import byte_bpe, decontaminate, language_id, tiff, token_file, toxicity
 from .cutting import digest
 from .near_dup import near_duplicates
 from .substring_dedup import remove_repeated_words
@@ -40,6 +40,10 @@ def op2_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.page_digests(tiff.tiff_pages(images, "id", "content"))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(remove_repeated_words(table(spark, sf_dir, "documents")), "n_words")
 
@@ -74,7 +78,7 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_tiff, op4_substring_dedup, op5_toxicity, op7_minhash_near_dedup, op8_suffix_dedup, op9_byte_bpe, op10_token_file)}
+    return {f.__name__: f for f in (op1_language_id, op2_tiff, op3_benchmark_decontamination, op4_substring_dedup, op5_toxicity, op7_minhash_near_dedup, op8_suffix_dedup, op9_byte_bpe, op10_token_file)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -117,3 +117,19 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     """Word starts, ends, row offsets and 64-bit word hashes."""
     starts, ends, rows = word_bounds(data, offs)
     return starts, ends, rows, byte_rolling(data).spans(starts, ends)
+
+
+def trimmed_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word starts, ends, row offsets and hashes after lower-casing A-Z and cutting punctuation off words' ends.
+
+    A word of punctuation alone stays as it is.
+    """
+    data = lower_ascii(data)
+    starts, ends, rows = word_bounds(data, offs)
+    solid = ((data >= 97) & (data <= 122)) | (data >= 128) | ((data >= 48) & (data <= 57))
+    upto = np.concatenate([[0], np.cumsum(solid)])
+    at = np.flatnonzero(solid)
+    if len(at):
+        some = upto[ends] > upto[starts]
+        starts, ends = np.where(some, at[np.minimum(upto[starts], len(at) - 1)], starts), np.where(some, at[np.maximum(upto[ends] - 1, 0)] + 1, ends)
+    return starts, ends, rows, byte_rolling(data).spans(starts, ends)
