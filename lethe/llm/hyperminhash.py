@@ -10,14 +10,13 @@ import numpy as np
 
 from .textblocks import mix
 
-BUCKETS_LOG2, MANTISSA = 7, 10
+BUCKETS_LOG2, MANTISSA = 9, 10
 BUCKETS = 1 << BUCKETS_LOG2
-BAND = 4  # registers a band
-BANDS = BUCKETS // BAND
+BAND, BANDS = 4, 32  # registers a band; the bands take the first BAND * BANDS registers
 #: Expected share of equal registers of two disjoint sets of equal size, times 2**MANTISSA (a fixed value of the sketch's paper).
 COLLISION = 0.169919487159739
 
-_TRIES = np.random.default_rng(977).integers(0, BUCKETS, (24, BUCKETS))
+_TRIES = np.random.default_rng(977).integers(0, BUCKETS, (48, BAND * BANDS))
 
 
 def registers(row: np.ndarray, hashes: np.ndarray, rows: int) -> np.ndarray:
@@ -36,17 +35,17 @@ def registers(row: np.ndarray, hashes: np.ndarray, rows: int) -> np.ndarray:
 
 
 def filled(regs: np.ndarray) -> np.ndarray:
-    """Empty buckets borrow from others, tried in an order that is the same for all sets."""
-    out, empty = regs.copy(), regs == 0
+    """The bands' registers; empty ones borrow from all others, tried in an order that is the same for all sets."""
+    out = regs[:, : BAND * BANDS].copy()
     for tries in _TRIES:
         row, col = np.nonzero(out == 0)
         if not len(row):
             return out
         out[row, col] = regs[row, tries[col]]
-    for row in np.flatnonzero((out == 0).any(1) & ~empty.all(1)):
+    for row in np.flatnonzero((out == 0).any(1) & regs.any(1)):
         have = np.flatnonzero(regs[row])
         col = np.flatnonzero(out[row] == 0)
-        out[row, col] = regs[row, have[np.searchsorted(have, col) % len(have)]]
+        out[row, col] = regs[row, have[np.searchsorted(have, col * (BUCKETS // (BAND * BANDS))) % len(have)]]
     return out
 
 

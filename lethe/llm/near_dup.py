@@ -5,7 +5,7 @@
 2. Each representative is first confirmed against the smallest document of its band buckets, one pair a
    document.  Links make components.
 3. In buckets that still hold several components, documents of different components are compared by the
-   collision-corrected estimate; pairs that may reach the threshold (5 standard deviations of the estimate
+   collision-corrected estimate; pairs that may reach the threshold (4 standard deviations of the estimate
    below it) are confirmed, the best few of each document a round, until no untested pair is left.  Pairs inside
    one component need no test, as they can't change it.
 
@@ -33,8 +33,8 @@ from .textblocks import Rolling, blocks, lower_ascii, mix, words
 
 SIZE = 5
 SIMILAR, OF = 75, 100  # a link: OF * intersection >= SIMILAR * union
-BEST = 8  # pairs of a document that a round tests
-DEVIATIONS = 5
+BEST, MORE = 8, 4  # pairs of a document that the first round tests; each later round tests MORE times as many
+DEVIATIONS = 4
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +107,7 @@ def _confirm(similar: int, of_: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
     return of
 
 
-def _propose(similar: int, of_: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _propose(similar: int, of_: int, best: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows (key, doc, label, n, regs, failed) of one task -> untested pairs of different labels within a key."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +139,7 @@ def _propose(similar: int, of_: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
                 gone = failed[own[i]]
                 if gone and len(at):
                     at = at[~np.isin(docs[at], gone)]
-                for k in at[np.argsort(-near[at], kind="stable")[:BEST]]:
+                for k in at[np.argsort(-near[at], kind="stable")[:best]]:
                     a, z = int(docs[i]), int(docs[k])
                     out[min(a, z), max(a, z)] = float(near[k])
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([z for _, z in out], pa.int64()), pa.array(list(out.values()), pa.float64())], names=["a", "b", "near"])
@@ -165,18 +165,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return written(with_b.select("a", "b", "x", "y").mapInArrow(_confirm(similar, of), "a long, b long, linked boolean"), "tested")
 
     tested = confirmed(members.where("doc > least").groupBy("doc").agg(F.min("least").alias("a")).select("a", F.col("doc").alias("b")))
+    misses, fresh, labels, best = tested.where("not linked"), tested.where("linked").select("a", "b"), None, BEST
     while True:
-        labels = components(tested.where("linked"))
-        named = members.select("key", "doc").join(labels, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("label", "doc").alias("label"))
+        if labels is not None:  # what is known is a star around each component's least node
+            fresh = fresh.unionByName(labels.select(F.col("label").alias("a"), F.col("node").alias("b")).where("a <> b"))
+        labels = components(fresh)
+        named = written(members.select("key", "doc").join(labels, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("label", "doc").alias("label")), "named")
         several = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        misses = tested.where("not linked")
         failed = misses.select("a", "b").unionByName(misses.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.collect_set("b").alias("failed")).withColumnRenamed("a", "doc")
         rows = named.join(several, "key").join(items.select("doc", "n", "regs"), "doc").join(failed, "doc", "left").select("key", "doc", "label", "n", "regs", "failed")
-        pairs = rows.repartition("key").mapInArrow(_propose(similar, of), "a long, b long, near double").groupBy("a", "b").agg(F.max("near").alias("near"))
+        pairs = rows.repartition("key").mapInArrow(_propose(similar, of, best), "a long, b long, near double").groupBy("a", "b").agg(F.max("near").alias("near"))
         ranked = pairs.withColumn("place", F.row_number().over(W.partitionBy("b").orderBy(F.desc("near"), "a")))
-        more = written(ranked.where(F.col("place") <= BEST).select("a", "b"), "pairs")
+        more = written(ranked.where(F.col("place") <= best).select("a", "b"), "pairs")
         if not more.limit(1).count():
             break
-        tested = tested.unionByName(confirmed(more))
+        tested = confirmed(more)
+        misses, fresh, best = misses.unionByName(tested.where("not linked")), tested.where("linked").select("a", "b"), best * MORE
     by_set = sketches.select("doc", "n", "p1", "p2").join(firsts, ["p1", "p2", "n"], "left")
     return by_set.join(labels.withColumnRenamed("node", "first"), "first", "left").select("doc", "n", F.when(F.col("n") > 0, F.coalesce("label", "first")).otherwise(F.col("doc")).alias("component"))
