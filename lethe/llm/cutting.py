@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .repeats import Unit
 
@@ -53,15 +54,17 @@ def _cut(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
                 stay = np.cumsum(change[:-1]) == 0
                 kept.append(b" ".join(compress(own, stay.tolist())) if unit.words else np.frombuffer(raw, np.uint8)[stay].tobytes())
                 spans.append([{"start": x, "end": y} for x, y in zip(lo.tolist(), hi.tolist(), strict=True)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int64()), pa.array(spans, pa.list_(_SPAN)), pa.array(kept, pa.binary())], names=["doc", "n", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int64()), pa.array(spans, pa.list_(_SPAN)), pa.array(kept, pa.binary()), *b.columns[3:]], names=["doc", "n", "spans", "kept", *b.schema.names[3:]])
 
     return of
 
 
 def cut(docs: DataFrame, repeats: DataFrame, unit: Unit) -> DataFrame:
-    """docs (doc, text) without the symbols that the windows of repeats (doc, start, count) cover."""
+    """docs (doc, text, and `rest` if it is there) without the symbols that the windows of repeats (doc, start, count) cover."""
     per_doc = repeats.groupBy("doc").agg(F.collect_list(F.struct("start", "count")).alias("windows"))
-    return docs.join(per_doc, "doc", "left").select("doc", "text", "windows").mapInArrow(_cut(unit), _CUT)
+    rest = [f for f in docs.schema if f.name == "rest"]
+    schema = T._parse_datatype_string(_CUT)
+    return docs.join(per_doc, "doc", "left").select("doc", "text", "windows", *[f.name for f in rest]).mapInArrow(_cut(unit), T.StructType([*schema, *rest]))
 
 
 def digest(result: DataFrame, n: str, spans: str | None = None) -> DataFrame:

@@ -183,3 +183,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         misses, fresh, best = misses.unionByName(tested.where("not linked")), tested.where("linked").select("a", "b"), best * MORE
     by_set = sketches.select("doc", "n", "p1", "p2").join(firsts, ["p1", "p2", "n"], "left")
     return by_set.join(labels.withColumnRenamed("node", "first"), "first", "left").select("doc", "n", F.when(F.col("n") > 0, F.coalesce("label", "first")).otherwise(F.col("doc")).alias("component"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents that are the smallest of their component; rows without doc_id stay."""
+    gone = near_duplicates(docs).where("doc <> component").select(F.col("doc").alias("doc_id")).distinct()
+    return docs.join(gone, "doc_id", "left_anti")

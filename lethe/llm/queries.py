@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, language_id, tiff, token_file, toxicity
+from . import byte_bpe, decontaminate, language_id, tiff, token_file, toxicity, warc_revisits
 from .cutting import digest
 from .near_dup import near_duplicates
 from .substring_dedup import remove_repeated_words
@@ -57,6 +57,51 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc_revisits.resolve_revisits(warc_revisits.records_of(table(spark, sf_dir, "pages")))
+    return found.select("revisit_id", "canonical", "response_id", "status", warc_revisits.header_lines(F.col("headers")).alias("headers"))
+
+
+OP6_SQL = r"""
+WITH page AS (
+  SELECT page_id, url, coalesce(html, '') AS html, regexp_replace(trim(url), '#.*$', '') AS bare,
+         TIMESTAMP '2024-01-01 00:00:00' + to_minutes(page_id) AS first,
+         TIMESTAMP '2024-01-01 00:00:00' + to_minutes(page_id + 1 + page_id % 9973) AS later
+  FROM pages
+), keyed AS (
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)), '(^[^@]*@)|(:(80|443)$)', '', 'g'), '^(www|m)\.', '')
+    || regexp_replace(regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1), '/+$', '') AS place,
+    array_to_string(list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref|fbclid|gclid)(=.*)?$'))), '&') AS query
+  FROM page
+), full_page AS (
+  SELECT *, place || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS canonical, '"' || md5(html) || '"' AS etag FROM keyed
+), captures AS (
+  SELECT page_id * 2 AS record_id, 1 AS is_full, canonical, first AS captured FROM full_page
+  UNION ALL SELECT page_id * 2 + 1, 0, canonical, later FROM full_page
+), latest AS (
+  SELECT *, last_value(CASE WHEN is_full = 1 THEN record_id END IGNORE NULLS) OVER (
+    PARTITION BY canonical ORDER BY captured, is_full, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS response_id
+  FROM captures
+), found AS (
+  SELECT a.record_id AS revisit_id, a.canonical, a.response_id, r.page_id % 5 AS turn, r.etag AS own_etag, r.first AS own_first, r.later,
+         s.etag, s.first, s.html,
+         CASE WHEN a.response_id IS NULL THEN 'unresolved'
+              WHEN r.page_id % 5 = 0 THEN 'mismatch'
+              WHEN r.page_id % 5 = 1 THEN CASE WHEN r.first = s.first THEN 'resolved' ELSE 'mismatch' END
+              WHEN r.page_id % 5 = 2 THEN 'unchecked'
+              WHEN r.etag = s.etag THEN 'resolved' ELSE 'mismatch' END AS status
+  FROM latest a JOIN full_page r ON a.record_id = r.page_id * 2 + 1 LEFT JOIN full_page s ON a.response_id = s.page_id * 2
+  WHERE a.is_full = 0
+)
+SELECT revisit_id, canonical, response_id, status,
+  CASE WHEN status IN ('resolved', 'unchecked') THEN
+    'cache-control: max-age=60' || chr(10) || 'content-length: ' || strlen(html) || chr(10) || 'content-type: text/html' || chr(10)
+    || 'date: ' || strftime(later, '%Y-%m-%d %H:%M:%S') || chr(10) || 'etag: ' || CASE WHEN turn IN (3, 4) THEN 'W/' || own_etag ELSE etag END || chr(10)
+    || 'last-modified: ' || strftime(CASE WHEN turn = 1 THEN own_first ELSE first END, '%Y-%m-%d %H:%M:%S') END AS headers
+FROM found
+"""
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("doc") == F.col("component")).alias("kept"))
@@ -78,8 +123,8 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_tiff, op3_benchmark_decontamination, op4_substring_dedup, op5_toxicity, op7_minhash_near_dedup, op8_suffix_dedup, op9_byte_bpe, op10_token_file)}
+    return {f.__name__: f for f in (op1_language_id, op2_tiff, op3_benchmark_decontamination, op4_substring_dedup, op5_toxicity, op6_warc_revisits, op7_minhash_near_dedup, op8_suffix_dedup, op9_byte_bpe, op10_token_file)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_warc_revisits": OP6_SQL}

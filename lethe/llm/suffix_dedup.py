@@ -53,3 +53,14 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     own = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     unit = Unit(False, length, gram, True)
     return cut(own, repeated_windows(own, unit, suffix_resolver), unit)
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The documents (doc_id, text, n_chars, others) with repeated bytes cut out of their texts; broken characters at the cuts go too."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    own = docs.select(F.col("doc_id").cast("long").alias("doc"), "text", F.struct(F.lit(0).alias("_"), *others).alias("rest"))
+    unit = Unit(False, LENGTH, GRAM, True)
+    found = cut(own, repeated_windows(own.select("doc", "text"), unit, suffix_resolver), unit)
+    whole = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", "")
+    text = found.select(F.col("doc").alias("doc_id"), whole.alias("text"), *[F.col(f"rest.{c}").alias(c) for c in others])
+    return text.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)

@@ -332,3 +332,20 @@ def scores(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_co
     """(doc_id, score) of each whole text; the model's size is fixed, so it is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_score(shared), "doc_id long, score double")
+
+
+def _keep(shared, text: int, threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for b in batches:
+            found = [score(model, data, offs) if model else np.zeros(len(offs) - 1) for _, _, data, offs in blocks(b.column(text))]
+            if found:
+                yield b.filter(pa.array(np.concatenate(found) < threshold))
+
+    return of
+
+
+def below(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text scores below the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(_keep(shared, docs.columns.index(text_col), threshold), docs.schema)
