@@ -29,9 +29,9 @@ from .textblocks import blocks, byte_rolling, lower_ascii, mix, text_buffers, wo
 WINDOW, STRIDE = 32, 24  # words
 GRAMS = 4, 5, 6  # bytes, with a mark on each side of the word
 WORDS_KEPT, GRAMS_KEPT = 2048, 4096
-LEAST_G, LEAST_ODDS = 28.0, 20.0  # what makes a word or gram go with label 1 beyond chance
+LEAST_G, LEAST_ODDS = 36.0, 25.0  # what makes a word or gram go with label 1 beyond chance
 DIM, HIDDEN = 16, 8
-FIT_ROWS = 800, 1600  # of labels 1 and 0: the documented bound of the fit
+FIT_ROWS = 600, 1200  # of labels 1 and 0: the documented bound of the fit
 FIT_WINDOWS = 40_000  # windows of the sample that training sees
 STEPS, BATCH, RATE = 180, 96, 0.02
 THRESHOLD = 0.7
@@ -233,23 +233,14 @@ def _gradients(p: dict, batch, label: np.ndarray, word: np.ndarray, gram: np.nda
     return g
 
 
-def _chosen(hashes: np.ndarray, context: np.ndarray, label: np.ndarray, keep: int) -> np.ndarray:
-    """The hashes most associated with label 1, sorted.
-
-    An occurrence counts once for the word before it, so copies of a text count as one text.
-    """
-    both = mix(hashes ^ mix(context)) ^ label.astype(np.uint64)
-    _, first = np.unique(both, return_index=True)
-    hashes, label = hashes[first], label[first]
-    distinct, inverse, total = np.unique(hashes, return_inverse=True, return_counts=True)
-    positive = np.bincount(inverse, weights=label, minlength=len(distinct))
-    share = min(max(label.mean(), 1e-6), 1 - 1e-6) if len(label) else 0.5
+def _chosen(hashes: np.ndarray, positive: np.ndarray, total: np.ndarray, share: float, keep: int) -> np.ndarray:
+    """The hashes most associated with label 1, sorted; share: of all counted occurrences that have it."""
     negative = total - positive
-    g = 2 * (positive * np.log(np.maximum(positive, 1e-9) / (total * share)) + negative * np.log(np.maximum(negative, 1e-9) / (total * (1 - share))))
+    g = 2 * (positive * np.log(np.maximum(positive, 1e-9) / np.maximum(total * share, 1e-9)) + negative * np.log(np.maximum(negative, 1e-9) / np.maximum(total * (1 - share), 1e-9)))
     odds = (positive + 0.5) / (negative + 0.5) * (1 - share) / share
     g[odds < LEAST_ODDS] = 0
-    best = np.lexsort((distinct, -g))[:keep]
-    return np.sort(distinct[best[g[best] >= LEAST_G]])
+    best = np.lexsort((hashes, -g))[:keep]
+    return np.sort(hashes[best[g[best] >= LEAST_G]])
 
 
 def train(texts: list[str], labels: np.ndarray, seed: int = 17) -> Model | None:
@@ -259,14 +250,18 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 17) -> Model | None:
         return None
     rng = np.random.default_rng(seed)
     number, rows, v = tokens(*text_buffers(pa.array(texts, pa.large_string())))
+    # An occurrence counts once for the word before it, under each label, so copies of a text count as one text.
     label_of = np.repeat(labels, np.diff(rows))
     before = np.concatenate([np.zeros(1, np.uint64), v.hashes[number][:-1]])[: len(number)]
-    words_kept = _chosen(v.hashes[number], before, label_of, WORDS_KEPT)
-    # Grams of words that occur once for the word before them, under each label.
     _, once = np.unique(mix(v.hashes[number] ^ mix(before)) ^ label_of.astype(np.uint64), return_index=True)
-    sizes = np.diff(v.offs)[number[once]]
-    at = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(v.offs[:-1][number[once]], sizes)
-    grams_kept = _chosen(v.grams[at], np.repeat(before[once], sizes), np.repeat(label_of[once], sizes), GRAMS_KEPT)
+    share = min(max(float(label_of[once].mean()) if len(once) else 0.5, 1e-6), 1 - 1e-6)
+    positive = np.bincount(number[once], weights=label_of[once], minlength=len(v.hashes))
+    total = np.bincount(number[once], minlength=len(v.hashes))
+    words_kept = _chosen(v.hashes, positive, total, share, WORDS_KEPT)
+    distinct, which = np.unique(v.grams, return_inverse=True)
+    owner = np.repeat(np.arange(len(v.hashes)), np.diff(v.offs))
+    grams_kept = _chosen(distinct, np.bincount(which, weights=positive[owner], minlength=len(distinct)), np.bincount(which, weights=total[owner], minlength=len(distinct)), share, GRAMS_KEPT)
+    del label_of, before, once, which, owner
 
     def weights(*shape: int, scale: float) -> np.ndarray:
         return rng.normal(0, scale, shape).astype(np.float32)
