@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textblocks import blocks, byte_rolling, lower_ascii, mix, text_buffers, word_bounds
+from .textblocks import blocks, byte_rolling, lower_ascii, mix, word_bounds
 
 WINDOW, STRIDE = 32, 24  # words
 GRAMS = 4, 5, 6  # bytes, with a mark on each side of the word
@@ -114,18 +114,19 @@ def _inputs(model: Model, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     return _find(model.words, v.hashes), _find(model.grams, v.grams)
 
 
-def _vectors(p: dict, word: np.ndarray, gram: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Word vector plus mean vector of the known grams, or the shared vector where none is known."""
-    share, _ = _shares(gram, offs)
-    return p["words"][word] + np.add.reduceat(p["grams"][gram] * share[:, None], offs[:-1], 0)
+def _known(gram: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and words of the known grams, and how many each word has."""
+    at = np.flatnonzero(gram)
+    owner = np.searchsorted(offs, at, "right") - 1
+    return at, owner, np.bincount(owner, minlength=len(offs) - 1)
 
 
-def _shares(gram: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each gram's weight in its word's mean, and how many of a word's grams are known; a word has a gram at least."""
-    known = np.add.reduceat((gram > 0).astype(np.int64), offs[:-1])
-    sizes = np.diff(offs)
-    mine = np.repeat(known, sizes)
-    return np.where(mine > 0, (gram > 0) / np.maximum(mine, 1), 1 / np.repeat(sizes, sizes)).astype(np.float32), known
+def _vectors(p: dict, word: np.ndarray, gram: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Word vector plus mean vector of the known grams, or the shared vector where none is known."""
+    at, owner, count = _known(gram, offs)
+    total = np.zeros((len(word), DIM), p["grams"].dtype)
+    np.add.at(total, owner, p["grams"][gram[at]])
+    return p["words"][word] + np.where(count[:, None] > 0, total / np.maximum(count, 1).astype(total.dtype)[:, None], p["grams"][0])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -229,7 +230,9 @@ def _gradients(p: dict, batch, label: np.ndarray, word: np.ndarray, gram: np.nda
         g["u" + side], g["w" + side], g["c" + side] = du, dw, dc
     g["words"], g["grams"] = np.zeros_like(p["words"]), np.zeros_like(p["grams"])
     np.add.at(g["words"], word[used], dvec)
-    np.add.at(g["grams"], gram[own], np.repeat(dvec, counts, 0) * _shares(gram[own], local_offs)[0][:, None])
+    at, owner, count = _known(gram[own], local_offs)
+    np.add.at(g["grams"], gram[own][at], dvec[owner] / count[owner].astype(dvec.dtype)[:, None])
+    g["grams"][0] += dvec[count == 0].sum(0)
     return g
 
 
@@ -243,13 +246,30 @@ def _chosen(hashes: np.ndarray, positive: np.ndarray, total: np.ndarray, share:
     return np.sort(hashes[best[g[best] >= LEAST_G]])
 
 
+def _all_tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, Vocabulary]:
+    """tokens() of many texts, block by block, with one list of distinct words."""
+    numbers, rows, parts, base, words = [], [np.zeros(1, np.int64)], [], 0, 0
+    for _, _, data, offs in blocks(pa.array(texts, pa.large_string())):
+        number, r, v = tokens(data, offs)
+        numbers.append(number + base)
+        rows.append(r[1:] + words)
+        parts.append(v)
+        base, words = base + len(v.hashes), words + len(number)
+    distinct, first, which = np.unique(np.concatenate([v.hashes for v in parts]), return_index=True, return_inverse=True)
+    sizes = np.concatenate([np.diff(v.offs) for v in parts])
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    own = np.arange(int(sizes[first].sum())) - np.repeat(np.cumsum(sizes[first]) - sizes[first], sizes[first]) + np.repeat(at[first], sizes[first])
+    grams = np.concatenate([v.grams for v in parts])[own]
+    return which[np.concatenate(numbers)], np.concatenate(rows), Vocabulary(distinct, grams, np.concatenate([[0], np.cumsum(sizes[first])]))
+
+
 def train(texts: list[str], labels: np.ndarray, seed: int = 17) -> Model | None:
     """A model from labelled texts; None unless both labels occur."""
     labels = np.asarray(labels, np.float64)
     if not len(labels) or labels.min() == labels.max():
         return None
     rng = np.random.default_rng(seed)
-    number, rows, v = tokens(*text_buffers(pa.array(texts, pa.large_string())))
+    number, rows, v = _all_tokens(texts)
     # An occurrence counts once for the word before it, under each label, so copies of a text count as one text.
     label_of = np.repeat(labels, np.diff(rows))
     before = np.concatenate([np.zeros(1, np.uint64), v.hashes[number][:-1]])[: len(number)]
@@ -273,7 +293,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 17) -> Model | None:
     word, gram = _inputs(model, v)
     row, start, size = windows(rows)
     target = labels[row].astype(np.float32)
-    seen = np.concatenate([[0], np.cumsum(((word > 0) | (_shares(gram, v.offs)[1] > 0))[number])])
+    seen = np.concatenate([[0], np.cumsum(((word > 0) | (_known(gram, v.offs)[2] > 0))[number])])
     telling = seen[start + size] > seen[start]
     sampled = rng.permutation(len(row))[:FIT_WINDOWS]
     ones, zeros = sampled[(target[sampled] == 1) & telling[sampled]], sampled[target[sampled] == 0]
