@@ -52,7 +52,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = remainder(3) == 1
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
-    model = toxicity.fit(docs.where(~held_out).select("doc_id", "text").join(labels.where(~held_out), "doc_id"))
+    model = toxicity.fit(docs, labels.where(~held_out))
     scored = toxicity.scores(docs, model).withColumn("held_out", held_out)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 

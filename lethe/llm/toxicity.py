@@ -321,14 +321,18 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 17) -> Model | None:
     return model
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", rows: tuple[int, int] = FIT_ROWS) -> Model | None:
-    """Model from rows with text and label 0 or 1, on a sample of about `rows` of labels 1 and 0."""
-    known = labelled.where(F.col(text_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"))
+def fit(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = FIT_ROWS) -> Model | None:
+    """Model from docs (doc_id, text) with labels (doc_id, label 0 or 1), on a sample of about `rows` of labels 1 and 0.
+
+    The sample is drawn from the labels by the hash of doc_id, so only its few rows are joined to the texts.
+    """
+    known = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("label").alias("label"))
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return None
     share = F.when(F.col("label") == 1, F.lit(int(1e6 * min(1.0, rows[0] / counts[1])))).otherwise(F.lit(int(1e6 * min(1.0, rows[1] / counts[0]))))
-    sample = known.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share).toPandas().sort_values(["text", "label"], kind="stable")
+    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
+    sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("text", "label").toPandas().sort_values(["text", "label"], kind="stable")
     return train(sample["text"].tolist(), sample["label"].to_numpy())
 
 
