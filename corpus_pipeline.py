@@ -20,7 +20,7 @@ from lethe.llm.scratch import written
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold, by a model of the labelled rows that op5 learns from."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")).where(remainder(3) != 1)
-    return toxicity.below(docs, toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id")))
+    return toxicity.below(docs, toxicity.fit(docs, labels))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
