@@ -29,10 +29,10 @@ def language(path: Column) -> Column:
 
 def line_counts(text: Column, lang: Column) -> Column:
     """struct<total,blank,comment,code>."""
-    own = F.transform(lines(text), F.trim)
-    filled = F.filter(own, lambda x: ~x.rlike(r"(?U)^\s*$"))
+    own = F.transform(lines(text), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+    filled = F.filter(own, lambda x: x != "")
     starts = F.coalesce(F.try_element_at(F.create_map(*[x for k, v in COMMENTS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]), lang), F.array().cast("array<string>"))
-    comments = F.size(F.filter(filled, lambda x: F.exists(starts, lambda p: F.startswith(F.trim(x), p))))
+    comments = F.size(F.filter(filled, lambda x: F.exists(starts, lambda p: F.startswith(x, p))))
     total = F.size(own)
     return F.struct(total.alias("total"), (total - F.size(filled)).alias("blank"), comments.alias("comment"), (F.size(filled) - comments).alias("code"))
 

@@ -76,7 +76,7 @@ def chained(known: DataFrame) -> DataFrame:
         nested = table.where(F.size(tokens_in(F.col("value"))) > 0)
         if not nested.limit(1).count():
             break
-        inner = restore(nested.withColumnRenamed("value", "text"), known, "token").select("token", F.col("text").alias("value"))
+        inner = restore(nested.select(F.col("token").alias("_id"), F.col("value").alias("text")), known, "_id").select(F.col("_id").alias("token"), F.col("text").alias("value"))
         table = materialized(table.join(nested, "token", "left_anti").unionByName(inner), "chained")
     return table
 

@@ -89,7 +89,7 @@ class _Pages(DataSourceReader):
             yield from self.fetch(page)
 
 
-def paged_source(name: str, schema: StructType | str, fetch: Callable[[int], list[tuple]]) -> type[DataSource]:
+def paged_source(name: str, columns: StructType | str, fetch: Callable[[int], list[tuple]]) -> type[DataSource]:
     """A data source of pages; fetch(page) gives its rows on an executor and reads secrets from its environment.
 
     Options: pages (how many), each (pages a partition).
@@ -101,9 +101,9 @@ def paged_source(name: str, schema: StructType | str, fetch: Callable[[int], lis
             return name
 
         def schema(self):
-            return schema
+            return columns
 
-        def reader(self, _schema):
+        def reader(self, schema):
             return _Pages(fetch, int(self.options.get("pages", "1")), int(self.options.get("each", "10")))
 
     return Paged

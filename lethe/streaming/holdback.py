@@ -51,6 +51,10 @@ def release(pieces: list[tuple[int, str, bool]], held: str, ready: int, waiting:
     return out, held, ready, waiting
 
 
+def _rows(key: str, out: list[tuple[int, str]]) -> pd.DataFrame:
+    return pd.DataFrame({"stream_key": pd.Series([key] * len(out), dtype=object), "seq": pd.Series([q for q, _ in out], dtype="int64"), "text": pd.Series([t for _, t in out], dtype=object)})
+
+
 class HoldBack(StatefulProcessor):
     """Rows (stream_key, seq, delta, is_end), seq from 0 without gaps, to safe text in order."""
 
@@ -66,7 +70,7 @@ class HoldBack(StatefulProcessor):
         out, held, ready, waiting = release(sorted(pieces, key=lambda p: p[0]), held, ready, waiting)
         packed = pd.DataFrame([{"seq": q, "delta": d, "end": e} for q, (d, e) in waiting.items()]).to_json(orient="records") if waiting else ""
         self.state.update((held, ready, packed))
-        yield pd.DataFrame({"stream_key": [key[0]] * len(out), "seq": [q for q, _ in out], "text": [t for _, t in out]})
+        yield _rows(str(key[0]), out)
 
     def close(self) -> None:
         pass
@@ -81,7 +85,7 @@ def hold_back(chunks: DataFrame) -> DataFrame:
     def whole(pdf: pd.DataFrame) -> pd.DataFrame:
         out, held, _, _ = release(sorted(zip(pdf["seq"], pdf["delta"], pdf["is_end"], strict=True), key=lambda p: p[0]), "", 0, {})
         out += [(int(pdf["seq"].max()) + 1, held)] if held else []
-        return pd.DataFrame({"stream_key": [pdf["stream_key"].iloc[0]] * len(out), "seq": [q for q, _ in out], "text": [t for _, t in out]})
+        return _rows(pdf["stream_key"].iloc[0], out)
 
     return own.groupBy("stream_key").applyInPandas(whole, OUTPUT)
 
@@ -92,6 +96,17 @@ def restored(chunks: DataFrame, known: DataFrame) -> DataFrame:
     return restore(held, known, "_row", "text").drop("_row")
 
 
+def restore_batch(known: DataFrame, sink):
+    """A foreachBatch function over hold_back()'s stream: each micro-batch is kept, since the state step can't run twice, then restored."""
+
+    def of(batch: DataFrame, batch_id: int) -> None:
+        kept = batch.persist()
+        sink(restore(kept.withColumn("_row", F.concat_ws(":", "stream_key", "seq")), known, "_row", "text").drop("_row"), batch_id)
+        kept.unpersist()
+
+    return of
+
+
 def sanitize_batch(store: Snapshots, known_schema: str = "token string, value string, label string", **stages):
     """A foreachBatch function: each micro-batch reads the newest known values before it and writes the next version.
 

@@ -10,7 +10,8 @@ from lethe.functions.storage import Snapshots
 from lethe.operators import audit, catalog, dictionary, loc, payloads, quality, sanitize, tokens
 from lethe.sources import readers
 
-NOW = F.lit("2024-06-01 12:00:00").cast("timestamp")
+def now():
+    return F.lit("2024-06-01 12:00:00").cast("timestamp")
 
 
 def frame(spark, rows, schema):
@@ -110,12 +111,12 @@ def test_mint_scopes_and_retention(spark):
     old, new = dt.datetime(2024, 1, 1), dt.datetime(2024, 5, 31)
     kv = frame(spark, [("t1", "x", old), ("t2", "y", new)], "token string, value string, created_at timestamp")
     al = frame(spark, [("x", old, old), ("y", new, dt.datetime(2024, 7, 1))], "value string, granted_at timestamp, expires_at timestamp")
-    k, a = tokens.sweep(kv, al, NOW, "days:30")
-    assert [r.token for r in k.collect()] == ["t2"] and [r.value for r in a.collect()] == ["y"] and tokens.sweep(kv, al, NOW, "permanent")[0].count() == 2
+    k, a = tokens.sweep(kv, al, now(), "days:30")
+    assert [r.token for r in k.collect()] == ["t2"] and [r.value for r in a.collect()] == ["y"] and tokens.sweep(kv, al, now(), "permanent")[0].count() == 2
     k, a = tokens.erase(kv, al, "x")
     assert k.count() == 1 and a.count() == 1
     with pytest.raises(ValueError):
-        tokens.grant_allowance(al, NOW, 2000)
+        tokens.grant_allowance(al, now(), 2000)
 
 
 CUSTOMERS = "id int, first_name string, last_name string, email string, phone string, account_id string, notes string"
@@ -130,11 +131,11 @@ def test_catalog_cycle(spark):
     two = (2, "Bietje", "Bakker", "b@example.test", None, "CUST-002", "")
     found = scan(spark, [one, two])
     assert {(r.column, r.category) for r in found.collect()} >= {("email", "EMAIL_ADDRESS"), ("phone", "PHONE_NUMBER"), ("first_name", "PERSON"), ("account_id", "IDENTIFIER")}
-    entries, refs = catalog.refresh(None, None, found, "crm", "r1", NOW)
+    entries, refs = catalog.refresh(None, None, found, "crm", "r1", now())
     changed = (1, "Jan", "Jansen", "new@example.test", "+31612345678", "CUST-001", "VIP contact")
-    e2, r2 = catalog.refresh(entries, refs, scan(spark, [changed, two]), "crm", "r2", NOW)
+    e2, r2 = catalog.refresh(entries, refs, scan(spark, [changed, two]), "crm", "r2", now())
     assert {r.value for r in e2.where("status = 'stale'").collect()} == {"jan@example.test"}
-    e3, _ = catalog.refresh(e2, r2, scan(spark, [one, two]), "crm", "r3", NOW)
+    e3, _ = catalog.refresh(e2, r2, scan(spark, [one, two]), "crm", "r3", now())
     assert {r.value for r in e3.where("status = 'stale'").collect()} == {"new@example.test"}
     audit_rows = frame(spark, [("saw Jan@example.test",), ("other",), (None,)], "detail string")
     e4, r4, f4, a4 = catalog.forget(e3, r2, found, audit_rows, "jan@example.test")
@@ -159,7 +160,7 @@ def test_policy(spark, mode, text, grant, want):
     entries = frame(spark, [("e", "PERSON", "Bietje Bakker", "[CATALOG_PERSON_abcdef0123]")], "entry_id string, category string, value string, token string")
     grants = frame(spark, [("e", "active", dt.datetime(2030, 1, 1) if grant else dt.datetime(2020, 1, 1))], "entry_id string, status string, expires_at timestamp")
     d = docs(spark, [text])
-    decided = catalog.decisions(d, entries, grants, NOW, mode)
+    decided = catalog.decisions(d, entries, grants, now(), mode)
     assert catalog.enforce(d, decided).first().sanitized.replace("[CATALOG_PERSON_abcdef0123]", "[T]") == want
     assert catalog.enforcement_audit(decided).first().matches == 1
 
@@ -167,7 +168,7 @@ def test_policy(spark, mode, text, grant, want):
 def test_review(spark):
     found = scan(spark, [(1, "Jan", "J", None, None, None, None)])
     key = found.where("column = 'first_name'").select("source", "dataset", "column", "row_ref").withColumn("decision", F.lit("reject"))
-    after, log = catalog.review(found, key, "me", NOW)
+    after, log = catalog.review(found, key, "me", now())
     assert after.where("status = 'rejected'").count() == 1 and log.count() == 1
 
 

@@ -36,7 +36,7 @@ def test_stream_restores_tokens(spark, tmp_path):
         pd.DataFrame(rows, columns=["stream_key", "seq", "delta", "is_end"]).to_json(source / f"{i}.json", orient="records", lines=True)
     out = []
     stream = H.hold_back(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(source)))
-    q = stream.writeStream.foreachBatch(lambda b, _: out.extend(H.restore(b.withColumn("_row", b.seq), known, "_row", "text").collect())).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q = stream.writeStream.foreachBatch(H.restore_batch(known, lambda df, _: out.extend(df.collect()))).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.processAllAvailable()
     q.stop()
     whole = {k: "".join(r.text for r in sorted(out, key=lambda r: r.seq) if r.stream_key == k) for k in "ab"}
