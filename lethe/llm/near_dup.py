@@ -4,9 +4,10 @@
    representative, the smallest document.
 2. Each representative is first confirmed against the smallest document of its band buckets, one pair a
    document.  Links make components.
-3. In buckets that still hold several components, documents of different components are compared by the
-   collision-corrected estimate; pairs that may reach the threshold (4 standard deviations of the estimate
-   below it) are confirmed, the best few of each document a round, until no untested pair is left.  Pairs inside
+3. In buckets that still hold several components, the collision-corrected estimate picks the documents that may
+   reach the threshold with one of another component (4 standard deviations of the estimate below it).
+4. For those, a task counts the exact intersections of a bucket's full sets by products of 0/1 matrices, and gives
+   the links that join components: fewer than the bucket has members, however many pairs are alike.  Pairs inside
    one component need no test, as they can't change it.
 
 A link of similarity s is missed when no band of 4 registers agrees, at s = 0.75 about once in 2e5 links.
@@ -23,7 +24,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import hyperminhash as hmh
@@ -33,7 +33,6 @@ from .textblocks import Rolling, blocks, lower_ascii, mix, words
 
 SIZE = 5
 SIMILAR, OF = 75, 100  # a link: OF * intersection >= SIMILAR * union
-BEST, MORE = 8, 4  # pairs of a document that the first round tests; each later round tests MORE times as many
 DEVIATIONS = 4
 
 
@@ -107,42 +106,100 @@ def _confirm(similar: int, of_: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
     return of
 
 
-def _propose(similar: int, of_: int, best: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (key, doc, label, n, regs, failed) of one task -> untested pairs of different labels within a key."""
+def _groups(key: np.ndarray, doc: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows of each key, in order of doc."""
+    order = np.lexsort((doc, key))
+    edge = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1], [True]]))
+    for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+        yield order[lo:hi]
+
+
+def _flag(similar: int, of_: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (key, doc, label, n, regs) of one task -> (key, doc, label) of those that an estimate leaves a partner of another label."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = similar / of_
-        cols, regs, failed = [], [], []
+        cols, regs = [], []
         for b in batches:
             cols.append([b.column(i).to_numpy(zero_copy_only=False) for i in range(4)])
             regs.append(np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint16).reshape(-1, hmh.BUCKETS))
-            failed += b.column(5).to_pylist()
-        if not failed:
+        if not regs:
             return
         key, doc, label, n = (np.concatenate(x) for x in zip(*cols, strict=True))
         regs = np.concatenate(regs)
-        order = np.lexsort((doc, key))
-        edge = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1], [True]]))
-        out: dict[tuple[int, int], float] = {}
-        for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-            own = order[lo:hi]
+        flagged = np.zeros(len(key), bool)
+        for own in _groups(key, doc):
             names, number = np.unique(label[own], return_inverse=True)
             if len(names) < 2:
                 continue
-            r, sizes, docs = regs[own], n[own], doc[own]
+            r, sizes, found = regs[own], n[own], np.zeros(len(own), bool)
             largest = np.bincount(number).argmax()
             for i in np.flatnonzero(number != largest):
-                near, used = hmh.estimate(r[i], sizes[i], r, sizes)
-                may = (number != number[i]) & (near >= least - DEVIATIONS * np.sqrt(least * (1 - least) / np.maximum(used, 1)))
-                may &= of_ * np.minimum(sizes, sizes[i]) >= similar * np.maximum(sizes, sizes[i])
-                at = np.flatnonzero(may)
-                gone = failed[own[i]]
-                if gone and len(at):
-                    at = at[~np.isin(docs[at], gone)]
-                for k in at[np.argsort(-near[at], kind="stable")[:best]]:
-                    a, z = int(docs[i]), int(docs[k])
-                    out[min(a, z), max(a, z)] = float(near[k])
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([z for _, z in out], pa.int64()), pa.array(list(out.values()), pa.float64())], names=["a", "b", "near"])
+                other = np.flatnonzero((number != number[i]) & ~(found & found[i]) & (of_ * np.minimum(sizes, sizes[i]) >= similar * np.maximum(sizes, sizes[i])))
+                near, used = hmh.estimate(r[i], sizes[i], r[other], sizes[other])
+                hit = other[near >= least - DEVIATIONS * np.sqrt(least * (1 - least) / np.maximum(used, 1))]
+                found[hit] = True
+                found[i] |= len(hit) > 0
+                if found.all():
+                    break
+            flagged[own[found]] = True
+        yield pa.RecordBatch.from_arrays([pa.array(key[flagged]), pa.array(doc[flagged]), pa.array(label[flagged])], names=["key", "doc", "label"])
+
+    return of
+
+
+CELLS = 1 << 22  # of the dense matrices that count intersections
+
+
+def intersections(sets: list[np.ndarray], rows: slice) -> np.ndarray:
+    """Exact sizes of the intersections of some of the sets with all of them, by products of dense 0/1 matrices."""
+    m = len(sets)
+    owner = np.repeat(np.arange(m), [len(x) for x in sets])
+    _, item, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[item] > 1
+    owner, item = owner[shared], (np.cumsum(count > 1) - 1)[item[shared]]
+    order = np.argsort(item, kind="stable")
+    owner, item = owner[order], item[order]
+    out = np.zeros((len(range(*rows.indices(m))), m), np.float32)
+    width, top = max(1, CELLS // m), int(item[-1]) + 1 if len(item) else 0
+    for lo in range(0, top, width):
+        part = slice(*np.searchsorted(item, [lo, lo + width]))
+        dense = np.zeros((m, width), np.float32)
+        dense[owner[part], item[part] - lo] = 1
+        out += dense[rows] @ dense.T
+    return out
+
+
+def _link(similar: int, of_: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (key, doc, label, items) of one task -> links (a, b) that join different labels, one a join at most."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols, items = [], []
+        for b in batches:
+            cols.append([b.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
+            items += [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(3)]
+        if not items:
+            return
+        key, doc, label = (np.concatenate(x) for x in zip(*cols, strict=True))
+        out: set[tuple[int, int]] = set()
+        for own in _groups(key, doc):
+            names, number = np.unique(label[own], return_inverse=True)
+            sets = [items[i] for i in own]
+            sizes = np.array([len(x) for x in sets])
+            root = np.arange(len(names))
+            step = max(1, CELLS // len(own))
+            for lo in range(0, len(own), step):
+                if (root == root[0]).all():
+                    break
+                both = intersections(sets, slice(lo, lo + step))
+                linked = of_ * both >= similar * (sizes[lo : lo + step, None] + sizes[None, :] - both)
+                for i, row in enumerate(linked, lo):
+                    near = np.flatnonzero(row & (root[number] != root[number[i]]))
+                    for r, k in zip(*np.unique(root[number[near]], return_index=True), strict=True):
+                        a, z = int(doc[own[i]]), int(doc[own[near[k]]])
+                        out.add((min(a, z), max(a, z)))
+                        root[root == r] = root[number[i]]
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([z for _, z in out], pa.int64())], names=["a", "b"])
 
     return of
 
@@ -165,22 +222,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return written(with_b.select("a", "b", "x", "y").mapInArrow(_confirm(similar, of), "a long, b long, linked boolean"), "tested")
 
     tested = confirmed(members.where("doc > least").groupBy("doc").agg(F.min("least").alias("a")).select("a", F.col("doc").alias("b")))
-    misses, fresh, labels, best = tested.where("not linked"), tested.where("linked").select("a", "b"), None, BEST
-    while True:
-        if labels is not None:  # what is known is a star around each component's least node
-            fresh = fresh.unionByName(labels.select(F.col("label").alias("a"), F.col("node").alias("b")).where("a <> b"))
-        labels = components(fresh)
-        named = written(members.select("key", "doc").join(labels, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("label", "doc").alias("label")), "named")
-        several = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        failed = misses.select("a", "b").unionByName(misses.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.collect_set("b").alias("failed")).withColumnRenamed("a", "doc")
-        rows = named.join(several, "key").join(items.select("doc", "n", "regs"), "doc").join(failed, "doc", "left").select("key", "doc", "label", "n", "regs", "failed")
-        pairs = rows.repartition("key").mapInArrow(_propose(similar, of, best), "a long, b long, near double").groupBy("a", "b").agg(F.max("near").alias("near"))
-        ranked = pairs.withColumn("place", F.row_number().over(W.partitionBy("b").orderBy(F.desc("near"), "a")))
-        more = written(ranked.where(F.col("place") <= best).select("a", "b"), "pairs")
-        if not more.limit(1).count():
-            break
-        tested = confirmed(more)
-        misses, fresh, best = misses.unionByName(tested.where("not linked")), tested.where("linked").select("a", "b"), best * MORE
+    labels = components(tested.where("linked"))
+    named = members.select("key", "doc").join(labels, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("label", "doc").alias("label"))
+    several = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    rows = named.join(several, "key").join(items.select("doc", "n", "regs"), "doc").select("key", "doc", "label", "n", "regs")
+    flagged = written(rows.repartition("key").mapInArrow(_flag(similar, of), "key long, doc long, label long"), "flagged")
+    links = flagged.join(items.select("doc", "items"), "doc").select("key", "doc", "label", "items").repartition("key").mapInArrow(_link(similar, of), "a long, b long").distinct()
+    star = labels.select(F.col("label").alias("a"), F.col("node").alias("b")).where("a <> b")
+    labels = components(star.unionByName(links))
     by_set = sketches.select("doc", "n", "p1", "p2").join(firsts, ["p1", "p2", "n"], "left")
     return by_set.join(labels.withColumnRenamed("node", "first"), "first", "left").select("doc", "n", F.when(F.col("n") > 0, F.coalesce("label", "first")).otherwise(F.col("doc")).alias("component"))
 
