@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import spans
 from ..functions.spans import STAGE_BLACKLIST, STAGE_CUSTOM, STAGE_ENTITY, STAGE_SECRET, resolve
 from ..functions.text import balanced_name, escapes, tokens_in, without_escape_marks
 from . import detect, dictionary
@@ -42,8 +43,8 @@ def candidates(docs: DataFrame, mode: str = "balanced", names: list[str] | None
 def chosen(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Of each text's candidate spans those that stay, earlier stages first; with the text they cover as value."""
     per_doc = found.groupBy(id_col).agg(F.collect_list(F.struct("start", "end", "label", "stage")).alias("_s"))
-    spans = docs.select(id_col, "text").join(per_doc, id_col).select(id_col, "text", F.explode(resolve(F.col("_s"))).alias("s"))
-    return spans.select(id_col, "s.start", "s.end", "s.label", F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("value"))
+    kept = docs.select(id_col, "text").join(per_doc, id_col).select(id_col, "text", F.explode(resolve(F.col("_s"))).alias("s"))
+    return kept.select(id_col, "s.start", "s.end", "s.label", F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("value"))
 
 
 def tokenize(docs: DataFrame, known: DataFrame | None = None, salt: str = SALT, id_col: str = "doc_id", **stages) -> tuple[DataFrame, DataFrame]:
@@ -92,9 +93,39 @@ def residual_tokens(docs: DataFrame, known: DataFrame, id_col: str = "doc_id") -
     return docs.select(id_col, F.sha2("text", 256).alias("content_hash")).join(live, id_col).join(raw, id_col, "left").withColumn("raw_values", F.coalesce("raw_values", F.lit(0)))
 
 
+def span_patches(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, patch) from rows (id, before, after, tokens): where in the text before each token of the text after belongs.
+
+    patch is an array of (start, end, token, value); null where the map doesn't lead from one text to the other.
+    """
+    found = spans.token_spans(F.col("after"))
+    zero = F.struct(F.lit(0).alias("shift"), F.array().cast("array<struct<start:int,end:int,token:string,value:string>>").alias("out"))
+
+    def step(acc, s):
+        token = F.substring("after", s["start"] + 1, s["end"] - s["start"])
+        value = F.try_element_at(F.col("tokens"), token)
+        size = F.char_length(value)
+        start = s["start"] - acc["shift"]
+        span = F.struct(start.alias("start"), (start + size).alias("end"), token.alias("token"), value.alias("value"))
+        moved = F.struct((acc["shift"] + s["end"] - s["start"] - size).alias("shift"), F.concat(acc["out"], F.array(span)).alias("out"))
+        return F.when(value.isNull(), acc).otherwise(moved)
+
+    patch = F.aggregate(found, zero, step, lambda a: a["out"])
+    own = rows.withColumn("patch", patch)
+    same = spans.apply_spans(F.col("before"), F.col("patch")) == F.col("after")
+    right = F.forall("patch", lambda x: F.substring("before", x["start"] + 1, x["end"] - x["start"]) == x["value"])
+    return own.select(id_col, F.when(same & right, F.col("patch")).alias("patch"))
+
+
+def mapped_labels(entities: DataFrame, labels: dict[str, str]) -> DataFrame:
+    """a verifier's labels in the engine's names; spans of other labels are left out."""
+    table = F.create_map(*[F.lit(x) for k, v in labels.items() for x in (k.lower(), v)])
+    return entities.withColumn("label", F.try_element_at(table, F.lower("label"))).where("label is not null")
+
+
 def request_metrics(sanitized: DataFrame) -> DataFrame:
     """Of a batch: texts, characters, texts with tokens and tokens."""
     return sanitized.agg(F.count("*").alias("texts"), F.sum(F.char_length("sanitized")).alias("chars"), F.count_if(F.size("tokens") > 0).alias("pii_found"), F.sum(F.greatest(F.size("tokens"), F.lit(0))).alias("token_count"))
 
 
-__all__ = ["candidates", "chosen", "distinct_texts", "request_metrics", "residual_tokens", "retokenize_known", "reused", "sanitize", "tokenize", "unresolved"]
+__all__ = ["candidates", "chosen", "distinct_texts", "mapped_labels", "request_metrics", "residual_tokens", "retokenize_known", "reused", "sanitize", "span_patches", "tokenize", "unresolved"]

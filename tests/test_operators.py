@@ -257,3 +257,11 @@ def test_reuse(spark):
     done, todo = sanitize.reused(d, results, "cfg")
     assert done.count() == 2 and [r.text for r in todo.collect()] == ["b"]
     assert sanitize.reused(d, results.withColumn("degraded", F.lit(True)), "cfg")[1].count() == 2
+
+
+def test_span_patches(spark):
+    rows = frame(spark, [(1, "é Jan and Jan!", "é [P_1_abcdef] and [P_1_abcdef]!", {"[P_1_abcdef]": "Jan"}), (2, "x Jan", "y [P_1_abcdef]", {"[P_1_abcdef]": "Jan"}), (3, "same", "same", {})], "doc_id int, before string, after string, tokens map<string,string>")
+    got = {r.doc_id: r.patch for r in sanitize.span_patches(rows).collect()}
+    assert [(s.start, s.end, s.value) for s in got[1]] == [(2, 5, "Jan"), (10, 13, "Jan")] and got[2] is None and got[3] == []
+    ents = frame(spark, [(0, "GivenName"), (0, "other")], "doc_id int, label string")
+    assert [r.label for r in sanitize.mapped_labels(ents, {"givenname": "PERSON"}).collect()] == ["PERSON"]
