@@ -161,7 +161,8 @@ def intersections(sets: list[np.ndarray], rows: slice) -> np.ndarray:
     order = np.argsort(item, kind="stable")
     owner, item = owner[order], item[order]
     out = np.zeros((len(range(*rows.indices(m))), m), np.float32)
-    width, top = max(1, CELLS // m), int(item[-1]) + 1 if len(item) else 0
+    top = int(item[-1]) + 1 if len(item) else 0
+    width = max(1, min(CELLS // m, top))
     for lo in range(0, top, width):
         part = slice(*np.searchsorted(item, [lo, lo + width]))
         dense = np.zeros((m, width), np.float32)

@@ -85,3 +85,16 @@ def test_edges(docs_of):
     assert near_dup.near_duplicates(docs_of([])).count() == 0
     got = near_dup.near_duplicates(docs_of(["x y z w v", "x y z w v", "x y z w v", None, "p q"], [4, 4, 9, 2, None])).collect()
     assert sorted(map(tuple, got), key=str) == sorted([(4, 1, 4), (4, 1, 4), (9, 1, 4), (2, 0, 2), (None, 1, None)], key=str)
+
+
+@pytest.mark.parametrize("cells", [64, 1 << 22])
+def test_intersections(monkeypatch, cells):
+    monkeypatch.setattr(near_dup, "CELLS", cells)
+    r = np.random.default_rng(8)
+    sets = [np.unique(r.integers(0, 60, r.integers(1, 40)).astype(np.uint64)) for _ in range(13)]
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets[3:9]]
+    got = near_dup.intersections(sets, slice(3, 9))
+    # An item of one set alone isn't counted in the set's intersection with itself, which no link needs.
+    same = np.eye(13, dtype=bool)[3:9]
+    assert (got[~same] == np.array(want)[~same]).all()
+    assert near_dup.intersections([np.array([1], np.uint64), np.array([2], np.uint64)], slice(0, 2)).sum() == 0
