@@ -3,8 +3,8 @@
 1. Document frequencies of hashed words over all half passages (HALF words) of the corpus.
 2. Each document's TF-IDF entries on the benchmark's words, and the full norms of its half passages, are
    written once.  Words in more than MOST_SHARE of the half passages are stop words.
-3. Randomised SVD of the passages (two neighbouring halves) of a sample of about FIT_DOCS documents and of the
-   benchmark's own, distributed: each task multiplies its rows into a sketch of fixed size, Spark sums the sketches.
+3. Randomised SVD of the passages (two neighbouring halves) of all documents and of the benchmark's own,
+   distributed: each task multiplies its rows into a sketch of fixed size, Spark sums the sketches.
 4. Passages whose cosine to an item, in the latent space, reaches LEAST_COSINE are candidates.
 5. Candidates' words are fetched; an item is found where a longest common subsequence around the passage
    covers enough of it, less where also the item's last words (its answer) stand there.
@@ -33,7 +33,7 @@ HALF = 16  # words; a passage is two halves
 DF_BITS = 16
 MOST_SHARE = 0.02
 RANK, EXTRA = 192, 16
-FIT_DOCS = 4000  # expected documents whose passages the decomposition is fitted on: a documented bound; all are searched
+MOST_SQUARE = 5000  # known words up to which a task sums products of word pairs before it multiplies them by the basis
 ITEM_WEIGHT = 8.0  # of the benchmark's own passages in the decomposition
 ITEM_BLOCK = 4096
 LEAST_COSINE = 0.2
@@ -197,13 +197,65 @@ def _gram_product(p: _Passages, matrix: np.ndarray, out: np.ndarray) -> None:
         out[t[at]] += np.add.reduceat(y[owner[o[part]]] * (p.weights[o[part]] / np.maximum(p.norm, 1e-9)[owner[o[part]]])[:, None].astype(y.dtype), at, 0)
 
 
+class _Pairs(NamedTuple):
+    """Half passages of some rows that hold a benchmark word, in order, and the norms of the passages they are in."""
+
+    offs: np.ndarray
+    terms: np.ndarray
+    weights: np.ndarray
+    follows: np.ndarray  # place of the next half of the same row, or the number of halves (an empty one)
+    begun: np.ndarray  # 1 / squared norm of the passage that the half begins, 0 if it begins none
+    ended: np.ndarray  # the same of the passage before, which it ends
+
+
+def _pairs(b: pa.RecordBatch) -> _Pairs:
+    norms, halves, terms, weights = (b.column(i) for i in range(1, 5))
+    first = norms.offsets.to_numpy().astype(np.int64)
+    first = first - first[0]
+    row = np.repeat(np.arange(len(b)), np.diff(halves.offsets.to_numpy()))
+    sq = norms.flatten().to_numpy().astype(np.float64)
+    entry = first[:-1][row] + halves.flatten().to_numpy()
+    last = np.zeros(len(sq) + 1, bool)
+    last[first[1:][np.diff(first) > 0] - 1] = True
+    both = sq + np.append(sq[1:], 0) * ~last[:-1]
+    alone = np.zeros(len(sq), bool)
+    alone[first[:-1][np.diff(first) == 1]] = True
+    begun = np.where(last[:-1] & ~alone, 0, 1 / np.maximum(both, 1e-18))
+    ended = np.concatenate([[0], begun[:-1] * ~last[:-2]]) if len(sq) else begun
+    half, start = np.unique(entry, return_index=True)
+    at = np.minimum(np.searchsorted(half, half + 1), max(len(half) - 1, 0))
+    follows = np.where((half[at] == half + 1) & ~last[half], at, len(half))
+    return _Pairs(np.append(start, len(entry)), terms.flatten().to_numpy().astype(np.int64), weights.flatten().to_numpy(), follows, begun[half], ended[half])
+
+
+def _square(p: _Pairs, out: np.ndarray) -> None:
+    """out + out' += A'A over these passages: products of the words of each half and of neighbouring halves."""
+    count = np.append(np.diff(p.offs), 0)
+    owner = np.repeat(np.arange(len(p.follows)), count[:-1])
+    for other, scale in ((np.arange(len(p.follows)), (p.begun + p.ended) / 2), (p.follows, p.begun)):
+        n = count[other][owner]
+        for lo in range(0, len(owner), 1 << 16):
+            part = slice(lo, lo + (1 << 16))
+            m = n[part]
+            left = np.repeat(np.arange(lo, lo + len(m)), m)
+            right = np.arange(len(left)) + np.repeat(p.offs[other[owner[part]]] - (np.cumsum(m) - m), m)
+            product = p.weights[left] * p.weights[right] * scale[owner[left]].astype(np.float32)
+            np.add.at(out.reshape(-1), p.terms[left] * len(out) + p.terms[right], product)
+
+
 def _sketch(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix = shared.value
         out = np.zeros_like(matrix)
+        square = np.zeros((len(matrix),) * 2, np.float32) if len(matrix) <= MOST_SQUARE else None
         for b in batches:
             for i in range(0, len(b), 200):
-                _gram_product(_passages(b.slice(i, 200)), matrix, out)
+                if square is None:
+                    _gram_product(_passages(b.slice(i, 200)), matrix, out)
+                else:
+                    _square(_pairs(b.slice(i, 200)), square)
+        if square is not None:
+            out = square @ matrix + square.T @ matrix
         at = np.flatnonzero(out.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([out[i].tobytes() for i in at], pa.binary())], names=["term", "part"])
 
@@ -363,8 +415,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         if not len(passages.row):
             continue
         terms = written(own.mapInArrow(_terms(spark.sparkContext.broadcast((items, idf))), _TERMS), "terms")
-        share = int(1_000_000 * min(1.0, FIT_DOCS / max(1, terms.count())))
-        space = latent_space(terms.where(F.pmod(F.xxhash64("doc"), F.lit(1_000_000)) < share), items, passages)
+        space = latent_space(terms, items, passages)
         latent = _product(passages, space)
         latent /= np.maximum(np.linalg.norm(latent, axis=1), 1e-9)[:, None]
         near = terms.mapInArrow(_candidates(spark.sparkContext.broadcast((space, latent, passages.row))), "doc long, half int, item int, cosine double")

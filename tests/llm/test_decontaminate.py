@@ -76,3 +76,38 @@ def test_distinct_counts(n):
     h, v, c = D._distinct(half, values, -(-n // D.HALF))
     want = [(k, x, int((values[half == k] == x).sum())) for k in range(-(-n // D.HALF)) for x in sorted(set(values[half == k]))]
     assert list(zip(h.tolist(), v.tolist(), c.tolist(), strict=True)) == want
+
+
+def terms_of(spark, docs_of, texts, items):
+    table = docs_of(texts).selectExpr("doc_id", "text")
+    idf = D.inverse_frequencies(table)
+    own = D.items_of(list(enumerate(items)), idf)
+    shared = spark.sparkContext.broadcast((own, idf))
+    return own, table.mapInArrow(D._terms(shared), D._TERMS)
+
+
+def test_decomposition_of_all_rows(spark, docs_of, monkeypatch):
+    r, text, items = bench(11)
+    words = [w for i in items for w in i]
+    texts = [" ".join(r.choice(words) if r.random() < 0.5 else r.choice(text(1)) for _ in range(r.randint(1, 90))) for _ in range(6000)]
+    own, terms = terms_of(spark, docs_of, texts, [" ".join(i) for i in items])
+    parts = terms.toArrow().combine_chunks().to_batches()
+    whole = np.zeros((len(own.known),) * 2)
+    for b in parts:
+        for i in range(0, len(b), 200):
+            p = D._passages(b.slice(i, 200))
+            dense = np.zeros((len(p.row), len(own.known)))
+            np.add.at(dense, (np.repeat(np.arange(len(p.row)), np.diff(p.offs)), p.terms), p.weights)
+            dense /= np.maximum(p.norm, 1e-9)[:, None]
+            whole += dense.T @ dense
+    fit, fitted = D.latent_space, []
+    monkeypatch.setattr(D, "latent_space", lambda terms, *rest: (fitted.append(terms.count()), fit(terms, *rest))[1])
+    D.leaks(docs_of(texts), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")).count()
+    assert fitted == [terms.count()] and fitted[0] > 4000
+    monkeypatch.undo()
+    seen = []
+    monkeypatch.setattr(D, "_gram_product", lambda p, m, out: None)  # of the items alone
+    monkeypatch.setattr(np.linalg, "qr", lambda x, qr=np.linalg.qr: (seen.append(x.copy()), qr(x))[1])
+    D.latent_space(terms, own, D.item_passages(own))
+    basis = np.random.default_rng(5).normal(size=seen[0].shape).astype(np.float32)
+    assert np.allclose(seen[0], whole @ basis, rtol=1e-3, atol=1e-3 * np.abs(whole).max())
