@@ -5,7 +5,9 @@
    written once.  Words in more than MOST_SHARE of the half passages are stop words.
 3. Randomised SVD of the passages (two neighbouring halves) of all documents and of the benchmark's own,
    distributed: each task multiplies its rows into a sketch of fixed size, Spark sums the sketches.
-4. Passages whose cosine to an item, in the latent space, reaches LEAST_COSINE are candidates.
+4. Passages whose cosine to an item, in the latent space, reaches LEAST_COSINE are candidates.  So that no item
+   depends on the rank, those are too whose exact product with it, over the words they share, reaches LEAST_SHARED
+   of the smaller one's squared norm; any copy of an item has a passage that reaches half of it.
 5. Candidates' words are fetched; an item is found where a longest common subsequence around the passage
    covers enough of it, less where also the item's last words (its answer) stand there.
 
@@ -37,6 +39,7 @@ MOST_SQUARE = 5000  # known words up to which a task sums products of word pairs
 ITEM_WEIGHT = 8.0  # of the benchmark's own passages in the decomposition
 ITEM_BLOCK = 4096
 LEAST_COSINE = 0.2
+LEAST_SHARED = 0.25
 LEAST_WORDS = 8
 ANSWER = 4  # last words of an item
 LEAST_COMMON, LEAST_COMMON_WITH_ANSWER = 0.6, 0.5  # shares of the item's words
@@ -315,9 +318,60 @@ def latent_space(terms: DataFrame, items: Items, own: _Passages, rank: int = RAN
     raise AssertionError
 
 
+def _part(p: _Passages, part: np.ndarray) -> _Passages:
+    """Some of the passages."""
+    counts = np.diff(p.offs)[part]
+    at = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(p.offs[:-1][part], counts)
+    return _Passages(p.row[part], p.half[part], p.norm[part], np.concatenate([[0], np.cumsum(counts)]), p.terms[at], p.weights[at])
+
+
+class _Postings(NamedTuple):
+    """The items' passages by word."""
+
+    offs: np.ndarray
+    item: np.ndarray  # place among the items' passages
+    weights: np.ndarray
+    most: np.ndarray  # highest weight of each word
+    squares: np.ndarray  # squared norm of each item
+    norm: np.ndarray
+
+
+def postings(own: _Passages, size: int) -> _Postings:
+    order = np.argsort(own.terms, kind="stable")
+    most = np.zeros(size)
+    np.maximum.at(most, own.terms, own.weights)
+    return _Postings(np.searchsorted(own.terms[order], np.arange(size + 1)), np.repeat(np.arange(len(own.row)), np.diff(own.offs))[order], own.weights[order].astype(np.float64), most, own.norm**2, own.norm)
+
+
+def shared_words(p: _Passages, by: _Postings) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(passage, item, cosine) of the pairs whose product reaches LEAST_SHARED of the smaller squared norm."""
+    if not len(p.row):
+        return
+    square = p.norm**2
+    bound = np.add.reduceat(p.weights * by.most[p.terms], p.offs[:-1])
+    near = np.flatnonzero(bound >= 0.999 * LEAST_SHARED * np.minimum(square, by.squares.min()))
+    for k in range(0, len(near), 1024):
+        part = near[k : k + 1024]
+        sub = _part(p, part)
+        n = (by.offs[1:] - by.offs[:-1])[sub.terms]
+        entry = np.repeat(np.arange(len(n)), n)
+        at = np.arange(len(entry)) + np.repeat(by.offs[:-1][sub.terms] - (np.cumsum(n) - n), n)
+        owner = np.repeat(np.arange(len(part)), np.diff(sub.offs))[entry]
+        pair, number = np.unique(owner * len(by.squares) + by.item[at], return_inverse=True)
+        product = np.bincount(number, weights=sub.weights[entry] * by.weights[at], minlength=len(pair))
+        x, y = pair // len(by.squares), pair % len(by.squares)
+        ok = product >= 0.999 * LEAST_SHARED * np.minimum(square[part][x], by.squares[y])
+        x, y = x[ok], y[ok]
+        yield part[x], y, np.minimum(product[ok] / np.maximum(p.norm[part][x] * by.norm[y], 1e-9), 1.0)
+
+
 def _candidates(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space, latent, item_rows = shared.value
+        space, latent, item_rows, by = shared.value
+
+        def rows(doc: np.ndarray, half: np.ndarray, item: np.ndarray, cosine: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(half.astype(np.int32)), pa.array(item.astype(np.int32)), pa.array(cosine.astype(np.float64))], names=["doc", "half", "item", "cosine"])
+
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for i in range(0, len(b), 200):
@@ -326,14 +380,14 @@ def _candidates(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                 mass = np.sqrt(np.add.reduceat(p.weights.astype(np.float64) ** 2, p.offs[:-1])) if len(p.row) else np.zeros(0)
                 near = np.flatnonzero(2 * mass >= LEAST_COSINE * p.norm)
                 for k in range(0, len(near), 4096):
-                    part = near[k : k + 4096]
-                    counts = np.diff(p.offs)[part]
-                    at = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(p.offs[:-1][part], counts)
-                    sub = _Passages(p.row[part], p.half[part], p.norm[part], np.concatenate([[0], np.cumsum(counts)]), p.terms[at], p.weights[at])
+                    sub = _part(p, near[k : k + 4096])
                     cosine = _product(sub, space) @ latent.T
                     x, y = np.nonzero(cosine >= LEAST_COSINE)
                     if len(x):
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[i + sub.row[x]]), pa.array(sub.half[x].astype(np.int32)), pa.array(item_rows[y].astype(np.int32)), pa.array(cosine[x, y].astype(np.float64))], names=["doc", "half", "item", "cosine"])
+                        yield rows(ids[i + sub.row[x]], sub.half[x], item_rows[y], cosine[x, y])
+                for x, y, cosine in shared_words(p, by):
+                    if len(x):
+                        yield rows(ids[i + p.row[x]], p.half[x], item_rows[y], cosine)
 
     return of
 
@@ -418,7 +472,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         space = latent_space(terms, items, passages)
         latent = _product(passages, space)
         latent /= np.maximum(np.linalg.norm(latent, axis=1), 1e-9)[:, None]
-        near = terms.mapInArrow(_candidates(spark.sparkContext.broadcast((space, latent, passages.row))), "doc long, half int, item int, cosine double")
+        near = terms.mapInArrow(_candidates(spark.sparkContext.broadcast((space, latent, passages.row, postings(passages, len(items.known))))), "doc long, half int, item int, cosine double")
         per_doc = near.groupBy("doc").agg(F.collect_list(F.struct("half", "item", "cosine")).alias("found"))
         shared = spark.sparkContext.broadcast(items)
         found = found.unionByName(own.join(per_doc, "doc").select("doc", "text", "found").mapInArrow(_check(shared), _LEAKS))

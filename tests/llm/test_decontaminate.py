@@ -111,3 +111,23 @@ def test_decomposition_of_all_rows(spark, docs_of, monkeypatch):
     D.latent_space(terms, own, D.item_passages(own))
     basis = np.random.default_rng(5).normal(size=seen[0].shape).astype(np.float32)
     assert np.allclose(seen[0], whole @ basis, rtol=1e-3, atol=1e-3 * np.abs(whole).max())
+
+
+def test_many_more_items_than_the_rank(spark, docs_of, monkeypatch):
+    fit = D.latent_space
+    monkeypatch.setattr(D, "latent_space", lambda *args: fit(*args, rank=8))
+    r = random.Random(21)
+    vocab = [f"v{i}" for i in range(9000)]
+    text = lambda k: [r.choice(vocab) for _ in range(k)]
+    items = [text(r.randint(15, 58)) for _ in range(900)]
+    texts, want = [], set()
+    for i, item in enumerate(items[::3]):
+        w = list(item)
+        for k in r.sample(range(len(w)), len(w) // 5) if i % 2 else []:
+            w[k] = "swapped"
+        texts.append(" ".join([*text(r.randint(0, 40)), *w, *text(r.randint(0, 40))]))
+        want.add((i, 3 * i))
+    texts += [" ".join(text(r.randint(20, 200))) for _ in range(300)]
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in D.leaks(docs_of(texts), table).collect()}
+    assert got == want
