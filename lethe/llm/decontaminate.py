@@ -13,8 +13,10 @@
 
 Items are taken in blocks of ITEM_BLOCK, so what is broadcast has a fixed bound; every block meets every row.
 
-Defined results: null or empty texts and items match nothing; items of fewer than LEAST_WORDS words are left out,
-as they can't be told from chance; rows with null doc_id take no part in `leaks` and are kept by `clean`;
+Every exact word sequence of an item, of any length, is a candidate of cosine 1 whatever its words weigh.
+
+Defined results: null or empty texts and items match nothing; items of fewer than LEAST_WORDS words are found only as
+exact word sequences, as other matches can't be told from chance; rows with null doc_id take no part in `leaks` and are kept by `clean`;
 repeated rows count once; ties go to the smaller item; other columns are ignored.
 """
 
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import written
-from .textblocks import blocks, text_buffers, trimmed_words
+from .textblocks import Rolling, blocks, text_buffers, trimmed_words
 
 HALF = 16  # words; a passage is two halves
 DF_BITS = 16
@@ -43,7 +45,7 @@ LEAST_SHARED = 0.25
 LEAST_WORDS = 8
 ANSWER = 4  # last words of an item
 LEAST_COMMON, LEAST_COMMON_WITH_ANSWER = 0.6, 0.5  # shares of the item's words
-_SIDE = 64  # words looked at on both sides of a passage
+ANCHOR = 8  # words by which an exact sequence is looked up
 
 
 class Items(NamedTuple):
@@ -114,7 +116,63 @@ def items_of(rows: list[tuple[int, str]], idf: np.ndarray) -> Items:
     return Items([i for i, _ in rows], words, known, idf[_bucket(known)])
 
 
-_TERMS = "doc long, norms array<float>, halves array<int>, terms array<int>, weights array<float>"
+class _Sequences(NamedTuple):
+    """The items' word sequences, by the hash of an anchor of at most ANCHOR of their words."""
+
+    tables: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]  # words of the anchors, their sorted hashes, items, filter of 16 bits
+    at: np.ndarray  # first word of each item's anchor
+    size: np.ndarray
+    whole: np.ndarray
+
+
+def sequences(items: Items) -> _Sequences:
+    size = np.array([len(w) for w in items.words], np.int64)
+    offs = np.concatenate([[0], np.cumsum(size)])
+    rolling = Rolling(items.known[np.concatenate([np.array(w, np.int64) for w in items.words]) - 1] if offs[-1] else np.zeros(0, np.uint64))
+    at, tables = np.zeros(len(size), np.int64), []
+    for k in range(1, ANCHOR + 1):
+        own = np.flatnonzero(np.minimum(size, ANCHOR) == k)
+        if not len(own):
+            continue
+        # The anchor is the stretch that the fewest items hold, so a common phrase doesn't bring up all of them.
+        count = size[own] - k + 1
+        row = np.repeat(np.arange(len(own)), count)
+        start = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        _, number, n = np.unique(rolling.spans(offs[own][row] + start, offs[own][row] + start + k), return_inverse=True, return_counts=True)
+        best = np.lexsort((start, n[number], row))[np.cumsum(count) - count]
+        at[own] = start[best]
+        key = rolling.spans(offs[own] + at[own], offs[own] + at[own] + k)
+        order = np.argsort(key, kind="stable")
+        some = np.zeros(1 << 16, bool)
+        some[(key >> np.uint64(48)).astype(np.int64)] = True
+        tables.append((k, key[order], own[order], some))
+    return _Sequences(tables, at, size, rolling.spans(offs[:-1], offs[1:]))
+
+
+def exact(seq: _Sequences, hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, item, word) of the first exact sequence of each item in each row, in order of row."""
+    rolling, found = Rolling(hashes), [np.zeros((3, 0), np.int64)]
+    for k, keys, items, some in seq.tables:
+        grams = rolling.grams(k)
+        near = np.flatnonzero(some[(grams >> np.uint64(48)).astype(np.int64)])
+        lo = np.searchsorted(keys, grams[near], "left")
+        n = np.searchsorted(keys, grams[near], "right") - lo
+        item = items[np.arange(int(n.sum())) + np.repeat(lo - (np.cumsum(n) - n), n)]
+        start = np.repeat(near, n) - seq.at[item]
+        row = np.searchsorted(rows, np.repeat(near, n), "right") - 1
+        ok = (start >= rows[row]) & (start + seq.size[item] <= rows[row + 1])
+        item, start, row = item[ok], start[ok], row[ok]
+        ok = rolling.spans(start, start + seq.size[item]) == seq.whole[item]
+        found.append(np.stack([row[ok], item[ok], (start - rows[row])[ok]]))
+    row, item, word = np.concatenate(found, 1)
+    order = np.lexsort((word, item, row))
+    row, item, word = row[order], item[order], word[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1])
+    return row[new], item[new], word[new]
+
+
+_TERMS = "doc long, norms array<float>, halves array<int>, terms array<int>, weights array<float>, items array<int>, places array<int>"
 
 
 def _terms(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -123,6 +181,7 @@ def _terms(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, idf = shared.value
+        seq = sequences(items)
         for b in batches:
             for i, j, data, offs in blocks(b.column(1)):
                 _, _, rows, hashes = trimmed_words(data, offs)
@@ -136,11 +195,13 @@ def _terms(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
                 h, term, n = _distinct(half[own], at[own], int(ends[-1])) if len(own) else (np.zeros(0, np.int64),) * 3
                 row = np.searchsorted(ends, h, "right") - 1
                 entries = np.searchsorted(row, np.arange(j - i + 1))
+                same, item, word = exact(seq, hashes, rows)
+                hits = np.searchsorted(same, np.arange(j - i + 1))
                 out = pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), lists(ends, norms.astype(np.float32)), lists(entries, (h - ends[row]).astype(np.int32)), lists(entries, term.astype(np.int32)), lists(entries, (n * items.weight[term]).astype(np.float32))],
-                    names=["doc", "norms", "halves", "terms", "weights"],
+                    [b.column(0).slice(i, j - i), lists(ends, norms.astype(np.float32)), lists(entries, (h - ends[row]).astype(np.int32)), lists(entries, term.astype(np.int32)), lists(entries, (n * items.weight[term]).astype(np.float32)), lists(hits, item.astype(np.int32)), lists(hits, word.astype(np.int32))],
+                    names=["doc", "norms", "halves", "terms", "weights", "items", "places"],
                 )
-                yield out.filter(pa.array(np.diff(entries) > 0))
+                yield out.filter(pa.array((np.diff(entries) > 0) | (np.diff(hits) > 0)))
 
     return of
 
@@ -345,7 +406,7 @@ def postings(own: _Passages, size: int) -> _Postings:
 
 def shared_words(p: _Passages, by: _Postings) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(passage, item, cosine) of the pairs whose product reaches LEAST_SHARED of the smaller squared norm."""
-    if not len(p.row):
+    if not len(p.row) or not len(by.squares):
         return
     square = p.norm**2
     bound = np.add.reduceat(p.weights * by.most[p.terms], p.offs[:-1])
@@ -374,6 +435,9 @@ def _candidates(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
+            item = b.column(5).flatten().to_numpy()
+            if len(item):
+                yield rows(np.repeat(ids, np.diff(b.column(5).offsets.to_numpy())), b.column(6).flatten().to_numpy() // HALF, item, np.ones(len(item)))
             for i in range(0, len(b), 200):
                 p = _passages(b.slice(i, 200))
                 # The latent vector is a projection of the part on benchmark words, so this bound leaves none out.
@@ -425,11 +489,14 @@ def _check(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
                 done: set[tuple[int, int]] = set()
                 for f in b.column(2)[i].as_py():
                     item = items.words[f["item"]]
-                    lo = max(0, f["half"] * HALF - min(len(item), _SIDE))
-                    if len(item) < LEAST_WORDS or (f["item"], lo) in done:
+                    place = f["half"] * HALF
+                    lo = max(0, place - len(item))
+                    if (f["item"], place) in done:
+                        continue
+                    done.add((f["item"], place))
+                    part = words[lo : place + 2 * HALF + len(item)]
+                    if len(item) < LEAST_WORDS and not _holds(part, item):
                         continue
-                    done.add((f["item"], lo))
-                    part = words[lo : f["half"] * HALF + 2 * HALF + min(len(item), _SIDE)]
                     share = common_subsequence(item, part) / len(item)
                     answer = _holds(part, item[-ANSWER:])
                     if share >= LEAST_COMMON or (answer and share >= LEAST_COMMON_WITH_ANSWER):
@@ -466,10 +533,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         idf = inverse_frequencies(own) if idf is None else idf
         items = items_of(rows, idf)
         passages = item_passages(items)
-        if not len(passages.row):
+        if not any(items.words):
             continue
         terms = written(own.mapInArrow(_terms(spark.sparkContext.broadcast((items, idf))), _TERMS), "terms")
-        space = latent_space(terms, items, passages)
+        space = latent_space(terms, items, passages) if len(passages.row) else np.zeros((len(items.known), 1), np.float32)
         latent = _product(passages, space)
         latent /= np.maximum(np.linalg.norm(latent, axis=1), 1e-9)[:, None]
         near = terms.mapInArrow(_candidates(spark.sparkContext.broadcast((space, latent, passages.row, postings(passages, len(items.known))))), "doc long, half int, item int, cosine double")

@@ -131,3 +131,19 @@ def test_many_more_items_than_the_rank(spark, docs_of, monkeypatch):
     table = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
     got = {(x.doc_id, x.item_id) for x in D.leaks(docs_of(texts), table).collect()}
     assert got == want
+
+
+def test_long_and_short_items(spark, docs_of):
+    r, text, _ = bench(31, 0)
+    items = [text(n) for n in (161, 300, 900, 3000)] + [["alpha"], ["beta", "gamma"], [f"s{i}" for i in range(7)], ["the", "of", "and", "of"]]
+    texts = [" ".join([*text(r.randint(0, 60)), *i, *text(r.randint(0, 60))]) for i in items]
+    changed = [w if r.random() < 0.8 else "swapped" for w in items[2]]
+    texts += [" ".join([*text(30), *changed, *text(30)]), "s0 s1 s2 s3 s4 s5 x s6", "gamma beta", "alphas", None]
+    texts += ["Beta,\n(GAMMA)"]
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in D.leaks(docs_of(texts), table).collect()}
+    n = len(items)
+    want = {(i, i) for i in range(n)} | {(n, 2), (n + 5, 5)}
+    assert {x for x in got if x[1] != 7} == {x for x in want if x[1] != 7} and (7, 7) in got
+    only = spark.createDataFrame([(1, "beta gamma")], "item_id long, text string")
+    assert {x.doc_id for x in D.leaks(docs_of(["beta gamma"] * 20), only).collect()} == set(range(20))
