@@ -1,8 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Document frequencies of hashed words over all half passages (HALF words) of the corpus.
+1. Document frequencies of hashed words over the distinct half passages (HALF words) of the corpus, so that copies
+   count once, estimated by mergeable counts of fixed size (about 13% off).
 2. Each document's TF-IDF entries on the benchmark's words, and the full norms of its half passages, are
-   written once.  Words in more than MOST_SHARE of the half passages are stop words.
+   written once.  Words in more than MOST_SHARE of the half passages are stop words, with
+   weight 0 but in items with fewer than LEAST_WEIGHTED others, where they keep FLOOR.
 3. Randomised SVD of the passages (two neighbouring halves) of all documents and of the benchmark's own,
    distributed: each task multiplies its rows into a sketch of fixed size, Spark sums the sketches.
 4. Passages whose cosine to an item, in the latent space, reaches LEAST_COSINE are candidates.  So that no item
@@ -35,7 +37,9 @@ from .textblocks import Rolling, blocks, text_buffers, trimmed_words
 
 HALF = 16  # words; a passage is two halves
 DF_BITS = 16
+REGISTERS, CHUNK = 64, 1024  # of each bucket's count, and buckets a row of them
 MOST_SHARE = 0.02
+LEAST_WEIGHTED, FLOOR = 4, 0.5  # an item's distinct words that aren't stop words, weight of its stop words if there are fewer
 RANK, EXTRA = 192, 16
 MOST_SQUARE = 5000  # known words up to which a task sums products of word pairs before it multiplies them by the basis
 ITEM_WEIGHT = 8.0  # of the benchmark's own passages in the decomposition
@@ -85,30 +89,69 @@ def _distinct(half: np.ndarray, value: np.ndarray, halves: int) -> tuple[np.ndar
     return at[ok] // HALF, value[ok], count[ok]
 
 
+def _counts(regs: np.ndarray) -> np.ndarray:
+    """Estimated number of distinct hashes of each row of registers (HyperLogLog, linear counting of few)."""
+    raw = 0.709 * REGISTERS**2 / np.exp2(-regs.astype(np.float64)).sum(1)
+    empty = (regs == 0).sum(1)
+    return np.where((raw <= 2.5 * REGISTERS) & (empty > 0), REGISTERS * np.log(REGISTERS / np.maximum(empty, 1)), raw)
+
+
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    df, total = np.zeros(1 << DF_BITS, np.int64), 0
+    """Registers of each bucket, and of all half passages behind the last one, CHUNK buckets a row."""
+    regs = np.zeros((1 << DF_BITS) + CHUNK, dtype=(np.uint8, REGISTERS))
     for b in batches:
         for _, _, data, offs in blocks(b.column(0)):
             _, _, rows, hashes = trimmed_words(data, offs)
             count, half = _halves(rows)
-            _, value, _ = _distinct(half, _bucket(hashes), int(count.sum()))
-            df += np.bincount(value, minlength=len(df))
-            total += int(count.sum())
-    at = np.flatnonzero(df)
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], total))], names=["bucket", "n"])
+            halves = int(count.sum())
+            if not halves:
+                continue
+            first = np.searchsorted(half, np.arange(halves + 1))
+            own = Rolling(hashes).spans(first[:-1], first[1:])
+            slot = (own & np.uint64(REGISTERS - 1)).astype(np.int64)
+            _, bits = np.frexp((own >> np.uint64(12)).astype(np.float64))
+            rank = np.minimum(53 - bits, 53).astype(np.uint8)
+            h, value, _ = _distinct(half, _bucket(hashes), halves)
+            flat = regs.reshape(-1)
+            np.maximum.at(flat, value * REGISTERS + slot[h], rank[h])
+            np.maximum.at(flat, (1 << DF_BITS) * REGISTERS + slot, rank)
+    chunks = regs.reshape(-1, CHUNK * REGISTERS)
+    at = np.flatnonzero(chunks.any(1))
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([chunks[i].tobytes() for i in at], pa.binary())], names=["chunk", "regs"])
+
+
+def _highest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    most: dict[int, np.ndarray] = {}
+    for b in batches:
+        for k, part in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            x = np.frombuffer(part.as_buffer(), np.uint8)
+            most[k] = np.maximum(most[k], x) if k in most else x
+    yield pa.RecordBatch.from_arrays([pa.array(list(most), pa.int64()), pa.array([x.tobytes() for x in most.values()], pa.binary())], names=["chunk", "regs"])
 
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """idf by bucket over all half passages of docs (text), 0 for stop words; a table of fixed size."""
-    rows = docs.select("text").mapInArrow(_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    df = np.zeros((1 << DF_BITS) + 1)
-    df[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
-    total = df[-1]
-    idf = np.log((total + 1) / (df[:-1] + 0.5))
-    idf[df[:-1] > max(MOST_SHARE * total, 4)] = 0
+    """idf by bucket over all distinct half passages of docs (text), 0 for stop words; a table of fixed size."""
+    of = "chunk long, regs binary"
+    df = np.zeros((1 << DF_BITS) + CHUNK)
+    for r in docs.select("text").mapInArrow(_frequencies, of).repartition("chunk").mapInArrow(_highest, of).toLocalIterator():
+        df[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = _counts(np.frombuffer(bytes(r["regs"]), np.uint8).reshape(CHUNK, REGISTERS))
+    df, total = df[: 1 << DF_BITS], df[1 << DF_BITS]
+    idf = np.log((total + 1) / (df + 0.5))
+    idf[df > max(MOST_SHARE * total, 4)] = 0
     return np.maximum(idf, 0)
 
 
+def floored(rows: list[tuple[int, str]], idf: np.ndarray) -> np.ndarray:
+    """idf in which the stop words of items with fewer than LEAST_WEIGHTED other words weigh FLOOR."""
+    items, out = items_of(rows, idf), idf.copy()
+    for words in items.words:
+        own = np.unique(np.array(words, np.int64)) - 1
+        if LEAST_WORDS <= len(words) and (items.weight[own] > 0).sum() < min(LEAST_WEIGHTED, len(own)):
+            bucket = _bucket(items.known[own])
+            out[bucket] = np.maximum(out[bucket], FLOOR)
+    return out
+
+
 def items_of(rows: list[tuple[int, str]], idf: np.ndarray) -> Items:
     _, _, offs, hashes = trimmed_words(*text_buffers(pa.array([t for _, t in rows], pa.large_string())))
     known, number = np.unique(hashes, return_inverse=True)
@@ -531,11 +574,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     idf, found = None, spark.createDataFrame([], _LEAKS)
     for rows in _item_blocks(bench):
         idf = inverse_frequencies(own) if idf is None else idf
-        items = items_of(rows, idf)
+        weights = floored(rows, idf)
+        items = items_of(rows, weights)
         passages = item_passages(items)
         if not any(items.words):
             continue
-        terms = written(own.mapInArrow(_terms(spark.sparkContext.broadcast((items, idf))), _TERMS), "terms")
+        terms = written(own.mapInArrow(_terms(spark.sparkContext.broadcast((items, weights))), _TERMS), "terms")
         space = latent_space(terms, items, passages) if len(passages.row) else np.zeros((len(items.known), 1), np.float32)
         latent = _product(passages, space)
         latent /= np.maximum(np.linalg.norm(latent, axis=1), 1e-9)[:, None]

@@ -147,3 +147,37 @@ def test_long_and_short_items(spark, docs_of):
     assert {x for x in got if x[1] != 7} == {x for x in want if x[1] != 7} and (7, 7) in got
     only = spark.createDataFrame([(1, "beta gamma")], "item_id long, text string")
     assert {x.doc_id for x in D.leaks(docs_of(["beta gamma"] * 20), only).collect()} == set(range(20))
+
+
+def test_item_in_a_third_of_all_rows(spark, docs_of):
+    r = random.Random(41)
+    vocab = [f"v{i}" for i in range(6000)]
+    text = lambda k: [r.choice(vocab) for _ in range(k)]
+    item, texts, want = text(40), [], set()
+    for i in range(600):
+        if i % 3 == 0:
+            want.add(i)
+            w = ["swapped" if i % 2 and r.random() < 0.15 else x for x in item]
+            texts.append(" ".join([*text(r.randint(20, 60)), *w, *text(r.randint(20, 60))]))
+        else:
+            texts.append(" ".join(text(100)))
+    table = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert {x.doc_id for x in D.leaks(docs_of(texts).repartition(4), table).collect()} == want
+
+
+def test_copies_count_once_and_stop_words_keep_a_weight(spark, docs_of):
+    r = random.Random(43)
+    vocab = [f"v{i}" for i in range(3000)]
+    texts = ["p q r s"] * 300 + [" ".join(["aa", "bb", "cc", "dd", "ee", *[r.choice(vocab) for _ in range(11)]]) for _ in range(600)]
+    docs = docs_of(texts).select("text")
+    idf = D.inverse_frequencies(docs)
+    rows = [(1, "aa bb cc dd ee dd cc bb aa ee"), (2, "p q r s")]
+    items = D.items_of(rows, idf)
+    weight = lambda items, i: [items.weight[x - 1] for x in items.words[i]]
+    assert not any(weight(items, 0)) and min(weight(items, 1)) > 3
+    assert min(weight(D.items_of(rows, D.floored(rows, idf)), 0)) == D.FLOOR
+    n = 5000
+    regs = np.zeros((1, D.REGISTERS), np.uint8)
+    h = np.random.default_rng(1).integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2)
+    np.maximum.at(regs[0], ((h >> np.uint64(2)) & np.uint64(63)).astype(int), (53 - np.frexp((h >> np.uint64(12)).astype(float))[1]).astype(np.uint8))
+    assert abs(D._counts(regs)[0] - n) < 0.4 * n
