@@ -35,7 +35,7 @@ FIT_ROWS = 600, 1200  # of labels 1 and 0: the documented bound of the fit
 FIT_WINDOWS = 40_000  # windows of the sample that training sees
 STEPS, BATCH, RATE = 180, 96, 0.02
 THRESHOLD = 0.7
-_LONGEST = 40  # bytes of a word that its grams cover at each end together
+_LONGEST, _STEP = 40, 20  # bytes of a word; a longer one is cut into pieces of so many bytes, one each _STEP bytes
 
 
 class Model(NamedTuple):
@@ -55,7 +55,8 @@ class Vocabulary(NamedTuple):
 def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, Vocabulary]:
     """Each word's number among the distinct words, word offsets of the rows, and the distinct words.
 
-    Punctuation at a word's ends is cut off; a word of punctuation alone stays as it is.
+    Punctuation at a word's ends is cut off; a word of punctuation alone stays as it is.  A word over _LONGEST bytes
+    gives overlapping pieces that are words of their own and cover all of it.
     """
     data = lower_ascii(data)
     starts, ends, rows = word_bounds(data, offs)
@@ -66,20 +67,22 @@ def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     if len(at):
         first, last = at[np.minimum(upto[starts], len(at) - 1)], at[np.maximum(upto[ends] - 1, 0)] + 1
         starts, ends = np.where(some, first, starts), np.where(some, last, ends)
+    pieces = 1 + np.maximum(0, -(-(ends - starts - _LONGEST) // _STEP))
+    upto = np.concatenate([[0], np.cumsum(pieces)])
+    word = np.repeat(np.arange(len(pieces)), pieces)
+    starts = starts[word] + (np.arange(len(word)) - upto[word]) * _STEP
+    ends, rows = np.minimum(ends[word], starts + _LONGEST), upto[rows]
     rolling = byte_rolling(data)
     hashes = rolling.spans(starts, ends)
     distinct, first, number = np.unique(hashes, return_index=True, return_inverse=True)
     s, e = starts[first], ends[first]
-    marked = np.empty(int((np.minimum(e - s, _LONGEST) + 2).sum()), np.uint8)
-    size = np.minimum(e - s, _LONGEST)
+    size = e - s
+    marked = np.empty(int((size + 2).sum()), np.uint8)
     bounds = np.concatenate([[0], np.cumsum(size + 2)])
     row = np.repeat(np.arange(len(size)), size + 2)
     col = np.arange(len(marked)) - bounds[:-1][row]
     inner = (col > 0) & (col <= size[row])
-    half = _LONGEST // 2
     source = s[row] + col - 1
-    long = ((e - s) > _LONGEST)[row] & (col > half)
-    source = np.where(long, e[row] - size[row] + col - 1, source)
     marked[:] = 1
     marked[inner] = data[source[inner]]
     marks = byte_rolling(marked)

@@ -94,3 +94,21 @@ def test_edges(docs_of, model):
     assert T.scores(docs_of([]), model).count() == 0
     assert {r.score for r in T.scores(docs_of(["a", None]), None).collect()} == {0.0}
     assert T.train([], np.array([])) is None and T.train(["a"], np.array([1])) is None
+
+
+def test_words_inside_text_without_spaces(model):
+    clean = "belmodustfirn" * 40
+    inside = [clean[:at] + "xorbi" + clean[at:] for at in (0, 19, 100, 255, 400, len(clean))]
+    s = all_scores(model, [clean, *inside])
+    assert s[0] < T.THRESHOLD and (s[1:] >= T.THRESHOLD).all()
+
+
+@pytest.mark.parametrize("n", [1, 40, 41, 60, 61, 1000])
+def test_pieces_cover_long_words(n):
+    text = bytes(np.random.default_rng(n).integers(97, 123, n, dtype=np.uint8)).decode()
+    number, rows, v = T.tokens(*text_buffers(pa.array([text, "a b"])))
+    assert rows.tolist() == [0, len(number) - 2, len(number)]
+    every = {text[i : i + 6] for i in range(n - 5)}
+    seen = set(v.grams.tolist())
+    for g in every:
+        assert T.mix(T.byte_rolling(np.frombuffer(g.encode(), np.uint8)).grams(6) + np.uint64(6))[0] in seen
