@@ -1,7 +1,7 @@
 """Language ID by bit-sliced Bloom filters of byte n-grams.
 
 Row r of the filter table is a bit mask: bit l says that slot r is set in language l's Bloom
-filter.  The rows of an n-gram's slots, ANDed, are all languages that contain it.  A text's
+filter; more than WORD languages take further columns of masks.  The rows of an n-gram's slots, ANDed, are all languages that contain it.  A text's
 language is the one with the most n-grams, each language's count corrected for the false
 positives that its filter's fill predicts.
 
@@ -28,7 +28,7 @@ SLOTS_LOG2, HASHES = 18, 3
 GRAMS_PER_LANGUAGE = 20_000  # most frequent ones; at least LEAST_COUNT training texts hold each
 LEAST_COUNT = 2
 FIT_ROWS = 4_000  # expected training rows a language: the documented bound of the fit
-MOST_LANGUAGES = 64  # bits of a mask; the most frequent training languages
+WORD = 64  # bits of a mask
 
 UNDETERMINED = "und"
 
@@ -40,7 +40,7 @@ _FOLD[128:] = np.arange(128, 256)
 
 class Filters(NamedTuple):
     languages: list[str]
-    table: np.ndarray  # slot -> mask
+    table: np.ndarray  # slot -> mask, or masks of WORD languages each
     false_rate: np.ndarray  # by language
     default: int
 
@@ -84,27 +84,34 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram.astype(np.int64)), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (lang, gram) -> the grams of each language of a batch in one row."""
+    for b in batches:
+        own, grams = np.array(b.column(0).to_pylist(), object), b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+        names = sorted(set(own))
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([grams[own == lang].tobytes() for lang in names], pa.binary())], names=["lang", "grams"])
+
+
 def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", rows: int = FIT_ROWS) -> Filters:
     """Filters from the rows of `labelled` with a language, on a sample of about `rows` of each language."""
     known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = [(r["lang"], r["n"]) for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()]
+    counts = [(r["lang"], r["n"]) for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()]
     if not counts:
         return Filters([], np.zeros(1 << SLOTS_LOG2, np.uint8), np.zeros(0), 0)
-    share = F.lit(0)
-    for lang, n in counts:
-        share = F.when(F.col("lang") == lang, F.lit(int(1_000_000 * min(1.0, rows / n)))).otherwise(share)
-    sample = known.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share)
+    shares = labelled.sparkSession.createDataFrame([(lang, int(1_000_000 * min(1.0, rows / n))) for lang, n in counts], "lang string, share long")
+    sample = known.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.col("share")).select("lang", "text")
     grams = sample.mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
     best = grams.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("place") <= GRAMS_PER_LANGUAGE)
-    found = best.select("lang", "gram").toPandas()
     languages = sorted(lang for lang, _ in counts)
-    width = next(t for t, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(languages) <= n)
-    table = np.zeros(1 << SLOTS_LOG2, width)
-    for bit, lang in enumerate(languages):
-        codes = found["gram"][found["lang"] == lang].to_numpy()
-        for slot in _slots(codes):
-            table[slot] |= width(1 << bit)
-    fill = np.array([((table >> width(bit)) & width(1)).mean() for bit in range(len(languages))])
+    number = {lang: i for i, lang in enumerate(languages)}
+    width = next((t for t, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32)) if len(languages) <= n), np.uint64)
+    table = np.zeros((1 << SLOTS_LOG2, -(-len(languages) // WORD)), width)
+    for r in best.select("lang", "gram").mapInArrow(_packed, "lang string, grams binary").toLocalIterator():
+        column, bit = divmod(number[r["lang"]], WORD)
+        for slot in _slots(np.frombuffer(bytes(r["grams"]), np.int64)):
+            table[slot, column] |= width(1 << bit)
+    fill = np.array([((table[:, i // WORD] >> width(i % WORD)) & width(1)).mean() for i in range(len(languages))])
+    table = table[:, 0].copy() if table.shape[1] == 1 else table
     return Filters(languages, table, np.minimum(fill**HASHES, 0.999), languages.index(counts[0][0]))
 
 
@@ -115,11 +122,14 @@ def decide(filters: Filters, data: np.ndarray, offs: np.ndarray) -> tuple[np.nda
     if not len(codes):
         return np.full(len(n), filters.default), np.zeros(len(n))
     a, b, c = _slots(codes)
-    mask = filters.table[a] & filters.table[b] & filters.table[c]
+    table = filters.table.reshape(len(filters.table), -1)
     hits = np.zeros((len(filters.languages), len(n)))
-    for bit in range(len(filters.languages)):
+    for lang in range(len(filters.languages)):
+        column, bit = divmod(lang, WORD)
+        if not bit:
+            mask = table[a, column] & table[b, column] & table[c, column]
         upto = np.concatenate([[0], np.cumsum((mask >> mask.dtype.type(bit)) & mask.dtype.type(1), dtype=np.int64)])
-        hits[bit] = upto[rows[1:]] - upto[rows[:-1]]
+        hits[lang] = upto[rows[1:]] - upto[rows[:-1]]
     true = np.maximum(0, (hits - n * filters.false_rate[:, None]) / (1 - filters.false_rate[:, None]))
     total = true.sum(0)
     best = np.where(total > 0, true.argmax(0), filters.default)

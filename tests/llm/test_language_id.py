@@ -44,3 +44,12 @@ def test_held_out(spark):
     d = "/root/testdata/sf0.001"
     got = op1_language_id(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").collect()
     assert got and np.mean([r.lang == r.lang_pred for r in got]) > 0.95
+
+
+def test_more_languages_than_bits(spark, docs_of):
+    r = np.random.default_rng(6)
+    words = {f"l{i:03d}": ["".join(map(chr, r.integers(97, 123, 9))) for _ in range(8)] for i in range(150)}
+    f = L.fit(spark.createDataFrame([(" ".join(w), lang) for lang, w in words.items() for _ in range(3)], "text string, lang string"))
+    assert f.languages == sorted(words) and f.table.shape == (1 << L.SLOTS_LOG2, 3)
+    got = L.predict(docs_of([" ".join(reversed(w)) for w in words.values()]), f).orderBy("doc_id").collect()
+    assert [x.lang_pred for x in got] == list(words)
