@@ -30,47 +30,73 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .scratch import new_path
+from .textblocks import text_buffers
 
 MAGIC = b"PFR1"
 BLOCK = 1024
 SHARE = 0.95  # of a block's differences that the packed width must hold
 FILE_IDS = 1 << 20  # ids after which a file is closed
-SLICE_BYTES = 1 << 21  # of text, encoded together
-CACHE_WORDS = 300_000
-
-
-def encode_block(ids: np.ndarray) -> bytes:
-    least = int(ids.min())
-    diff = (ids - least).astype(np.uint32)
-    width = int(np.partition(diff, int(SHARE * (len(diff) - 1)))[int(SHARE * (len(diff) - 1))]).bit_length()
-    over = np.flatnonzero(diff >> np.uint32(width)) if width < 32 else np.zeros(0, np.int64)
-    low = diff & np.uint32((1 << width) - 1)
-    bits = ((low[:, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8)
-    packed = np.packbits(bits.ravel(), bitorder="little").tobytes()
-    return struct.pack("<IHBH", least, len(diff), width, len(over)) + packed + over.astype("<u2").tobytes() + (diff[over] >> np.uint32(width)).astype("<u4").tobytes()
-
-
-def decode_block(raw: memoryview, at: int) -> np.ndarray:
-    least, n, width, over = struct.unpack_from("<IHBH", raw, at)
-    at += 9
-    size = -(-n * width // 8)
-    if width:
-        bits = np.unpackbits(np.frombuffer(raw, np.uint8, size, at), bitorder="little")[: n * width].reshape(n, width)
-        diff = np.zeros(n, np.uint32)
-        for k in range(width):
-            diff |= bits[:, k].astype(np.uint32) << np.uint32(k)
-    else:
-        diff = np.zeros(n, np.uint32)
-    at += size
-    place = np.frombuffer(raw, "<u2", over, at)
-    high = np.frombuffer(raw, "<u4", over, at + 2 * over)
-    diff[place] |= (high << np.uint32(width)).astype(np.uint32)
-    return diff + np.uint32(least)
+SLICE_BYTES = 1 << 22  # of text, encoded together
+CACHE_WORDS = 500_000
+DECODED = 128  # blocks read together
+
+
+def encode_blocks(ids: np.ndarray) -> list[bytes]:
+    """The blocks of some ids; those of one length and width are packed together."""
+    full = len(ids) // BLOCK
+    parts = [ids[: full * BLOCK].reshape(full, BLOCK)] + ([ids[None, full * BLOCK :]] if len(ids) % BLOCK else [])
+    out: list[bytes] = []
+    for rows in parts:
+        if not len(rows):
+            continue
+        n = rows.shape[1]
+        least = rows.min(1)
+        diff = (rows - least[:, None]).astype(np.uint32)
+        _, width = np.frexp(np.partition(diff, int(SHARE * (n - 1)), 1)[:, int(SHARE * (n - 1))].astype(np.float64))
+        made: list[bytes] = [b""] * len(rows)
+        for w in np.unique(width).tolist():
+            own = np.flatnonzero(width == w)
+            d = diff[own]
+            high = (d.astype(np.uint64) >> np.uint64(w)).astype(np.uint32)
+            octets = np.ascontiguousarray(d.astype("<u4")).view(np.uint8).reshape(len(own), n, 4)[:, :, : -(-w // 8)]
+            bits = np.unpackbits(octets, axis=2, bitorder="little")[:, :, :w] if w else np.zeros((len(own), n, 0), np.uint8)
+            packed = np.packbits(bits.reshape(len(own), n * w), axis=1, bitorder="little")
+            row, place = np.nonzero(high)
+            ends = np.searchsorted(row, np.arange(len(own) + 1))
+            place, over = place.astype("<u2"), high[row, place].astype("<u4")
+            for k, i in enumerate(own.tolist()):
+                a, z = int(ends[k]), int(ends[k + 1])
+                made[i] = struct.pack("<IHBH", int(least[i]), n, w, z - a) + packed[k].tobytes() + place[a:z].tobytes() + over[a:z].tobytes()
+        out += made
+    return out
+
+
+def decode_blocks(raw: bytes, at: list[int]) -> np.ndarray:
+    """The ids of the blocks that start at the places `at`, one after another; blocks of one length and width are read together."""
+    heads = [struct.unpack_from("<IHBH", raw, x) for x in at]
+    made: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(at)
+    kinds: dict[tuple[int, int], list[int]] = {}
+    for i, (_, n, w, _) in enumerate(heads):
+        kinds.setdefault((n, w), []).append(i)
+    for (n, w), own in kinds.items():
+        size = -(-n * w // 8)
+        wide = np.zeros((len(own), n, 32), np.uint8)
+        if w:
+            packed = np.stack([np.frombuffer(raw, np.uint8, size, at[i] + 9) for i in own])
+            wide[:, :, :w] = np.unpackbits(packed, axis=1, bitorder="little")[:, : n * w].reshape(len(own), n, w)
+        diff = np.packbits(wide.reshape(len(own), n * 32), axis=1, bitorder="little").view("<u4").astype(np.uint32)
+        for k, i in enumerate(own):
+            least, _, _, over = heads[i]
+            place = np.frombuffer(raw, "<u2", over, at[i] + 9 + size)
+            high = np.frombuffer(raw, "<u4", over, at[i] + 9 + size + 2 * over)
+            diff[k, place] |= (high.astype(np.uint64) << np.uint64(w)).astype(np.uint32)
+            made[i] = diff[k] + np.uint32(least)
+    return np.concatenate(made) if made else np.zeros(0, np.uint32)
 
 
 def encode_ids(ids: np.ndarray) -> bytes:
     """A file: magic, number of ids and blocks, block offsets, blocks."""
-    blocks = [encode_block(ids[i : i + BLOCK]) for i in range(0, len(ids), BLOCK)]
+    blocks = encode_blocks(ids)
     index = np.concatenate([[0], np.cumsum([len(b) for b in blocks])]).astype("<u8")
     return MAGIC + struct.pack("<QI", len(ids), len(blocks)) + index.tobytes() + b"".join(blocks)
 
@@ -79,34 +105,45 @@ def block_count(raw: bytes) -> int:
     return struct.unpack_from("<QI", raw, 4)[1]
 
 
-def read_block(raw: bytes, k: int) -> np.ndarray:
-    """Block k alone, by the index."""
+def _starts(raw: bytes) -> list[int]:
     if raw[:4] != MAGIC:
         raise ValueError("not a token file")
     n = block_count(raw)
-    if not 0 <= k < n:
+    return (np.frombuffer(raw, "<u8", n, 16) + np.uint64(16 + 8 * (n + 1))).tolist()
+
+
+def read_block(raw: bytes, k: int) -> np.ndarray:
+    """Block k alone, by the index."""
+    starts = _starts(raw)
+    if not 0 <= k < len(starts):
         raise IndexError(k)
-    (at,) = struct.unpack_from("<Q", raw, 16 + 8 * k)
-    return decode_block(memoryview(raw), 16 + 8 * (n + 1) + at)
+    return decode_blocks(raw, starts[k : k + 1])
 
 
 def decode_ids(raw: bytes) -> np.ndarray:
-    if raw[:4] != MAGIC:
-        raise ValueError("not a token file")
-    n = block_count(raw)
-    return np.concatenate([read_block(raw, k) for k in range(n)]) if n else np.zeros(0, np.uint32)
+    starts = _starts(raw)
+    parts = [decode_blocks(raw, starts[i : i + DECODED]) for i in range(0, len(starts), DECODED)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+
 
+class Words:
+    """A word-level tokenizers file and the ids of the words met so far: a word's ids are a stretch of `pool`."""
 
-class Words(NamedTuple):
-    """A word-level tokenizers file and the ids of the words and pieces met so far."""
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        self.forget()
 
-    tokenizer: object
-    ids: dict[str, bytes]
-    pieces: dict[str, bytes]
+    def forget(self) -> None:
+        self.known = pa.array([], pa.large_string())
+        self.offs, self.pool = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def add(self, fresh: pa.Array, ids: list[list[int]]) -> None:
+        self.known = pa.concat_arrays([self.known, fresh])
+        self.offs = np.append(self.offs, self.offs[-1] + np.cumsum([len(x) for x in ids]))
+        self.pool = np.append(self.pool, np.array([i for x in ids for i in x], np.uint32))
 
 
 _words: dict[str, Words] = {}
-_NOT_SPACES = "\x1c\x1d\x1e\x1f"  # str.split() takes these for spaces, the tokenizer doesn't
 # Fixed value: the split pattern of the tokenizer's file.
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+").findall
 
@@ -131,43 +168,120 @@ def _load(model: str) -> Words:
         if steps != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]):
             raise ValueError(f"a tokenizer of other steps: {steps}")
         _words.clear()
-        _words[model] = Words(Tokenizer.from_str(model), {}, {})
+        _words[model] = Words(Tokenizer.from_str(model))
     return _words[model]
 
 
-def _learn(words: Words, fresh: set[str]) -> None:
+def _learn(words: Words, fresh: pa.Array) -> None:
     """Ids of words: normalised and split as the tokenizer does it, each distinct piece merged by the library's model."""
-    tokenizer, known, pieces = words
-    if len(pieces) > CACHE_WORDS:
-        pieces.clear()
-    merge = tokenizer.model.tokenize
-    for w in fresh:
+    out, merge = [], words.tokenizer.model.tokenize
+    pieces: dict[str, list[int]] = {}
+    for w in fresh.to_pylist():
+        if w.isascii():
+            if w.isalpha():
+                out.append([t.id for t in merge(w.lower())])
+                continue
+            low = w.lower()
+        else:
+            low = unicodedata.normalize("NFC", w).replace("\u03a3", "\u03c3").lower()
         if "<|" in w or not w.isprintable():
-            known[w] = np.array(tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+            out.append(words.tokenizer.encode(w, add_special_tokens=False).ids)
             continue
-        low = (w if w.isascii() else unicodedata.normalize("NFC", w).replace("\u03a3", "\u03c3")).lower()
         own = [low] if low.isalpha() else _SPLIT(low)
         for p in own:
             if p not in pieces:
-                spelled = p if p.isascii() and p.isprintable() else "".join([_LETTERS[b] for b in p.encode()])
-                pieces[p] = b"".join([t.id.to_bytes(4, "little") for t in merge(spelled)])
-        known[w] = pieces[own[0]] if len(own) == 1 else b"".join([pieces[p] for p in own])
+                spelled = p if p.isascii() else "".join([_LETTERS[b] for b in p.encode()])
+                pieces[p] = [t.id for t in merge(spelled)]
+        out.append(pieces[own[0]] if len(own) == 1 else [i for p in own for i in pieces[p]])
+    words.add(fresh, out)
+
 
+# Kinds of bytes: white space, letters, digits, other ASCII, parts of other characters.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[[0x20, *range(0x09, 0x0E)]] = 0
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_KIND[48:58] = 2
+_KIND[128:] = 4
 
-def encode_texts(model: str, texts: list[str]) -> list[bytes]:
-    """32-bit ids of each text by the tokenizers library.
 
-    The tokenizer drops white space and never joins what it parts, so words are encoded once and looked up.
+def _is(data: np.ndarray, at: np.ndarray, letters: bytes) -> np.ndarray:
+    """Whether `letters` follow each place, in either case."""
+    out = np.ones(len(at), bool)
+    for k, c in enumerate(letters):
+        i = np.minimum(at + k, len(data) - 1)
+        out &= (at + k < len(data)) & (data[i] | np.uint8(32) == c)
+    return out
+
+
+def pieces_of(data: np.ndarray, offs: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Stretches of the texts that the tokenizer never joins, and the row offsets into them.
+
+    Cut at ASCII white space and, as the split pattern does, between ASCII letters, digits and others, short forms like
+    's together.  Next to other characters nothing is cut, nor in words with a mark of special tokens.
+    """
+    kind = _KIND[data]
+    solid = kind > 0
+    edge = np.zeros(len(data), bool)
+    edge[offs[:-1][offs[:-1] < len(data)]] = True
+    first = solid.copy()
+    before, own = kind[:-1], kind[1:]
+    first[1:] &= (before == 0) | edge[1:] | ((before < 4) & (own < 4) & ((before != own) | (own == 2)))
+    # An apostrophe that begins a piece takes a short form's letters; behind another character that is left open.
+    marks = np.flatnonzero((data == 39) & solid)
+    if len(marks):
+        joined = (marks > 0) & (kind[marks - 1] == 4) & ~edge[marks]
+        after = np.minimum(marks + 1, len(data) - 1)
+        first[after[joined & (marks + 1 < len(data)) & ~edge[after] & solid[after]]] = False
+        begins = marks[first[marks]]
+        row = np.searchsorted(offs, begins, "right")
+        for form in (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d"):  # fixed values: the short forms of the split pattern
+            last = begins + len(form)
+            hit = last[_is(data, begins + 1, form) & (np.searchsorted(offs, last, "right") == row)]
+            nxt = np.minimum(hit + 1, len(data) - 1)
+            # An accent behind the short form's last letter would change it, so then nothing is cut.
+            first[hit - len(form) + 1] = False
+            first[nxt[(nxt > hit) & (kind[nxt] == 1)]] = True
+    special = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))
+    for i in special.tolist():
+        lo = i
+        while lo and solid[lo - 1] and not edge[lo]:
+            lo -= 1
+        hi = i + 1
+        while hi < len(data) and solid[hi] and not edge[hi]:
+            hi += 1
+        first[lo + 1 : hi] = False
+    starts = np.flatnonzero(first)
+    place = np.concatenate([[0], np.cumsum(solid)])
+    bounds = np.append(place[starts], place[-1]).astype(np.int64)
+    letters = data[solid]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(letters)]), np.searchsorted(starts, offs)
+
+
+def encode_texts(model: str, texts: pa.Array | list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts one after another and their offsets, as the tokenizers library gives them, `end` after each.
+
+    Only the distinct pieces of a call meet Python; the texts are places in their list.
     """
     words = _load(model)
-    split = [[t] if any(c in t for c in _NOT_SPACES) else t.split() for t in texts]
-    if len(words.ids) > CACHE_WORDS:
-        words.ids.clear()
-    fresh: set[str] = set()
-    for s in split:
-        fresh.update(s)
-    _learn(words, fresh.difference(words.ids))
-    return [b"".join(map(words.ids.__getitem__, s)) for s in split]
+    data, offs = text_buffers(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts)
+    pieces, rows = pieces_of(data, offs)
+    coded = pieces.dictionary_encode()
+    distinct = coded.dictionary.cast(pa.large_string())
+    if len(words.known) > CACHE_WORDS:
+        words.forget()
+    at = pc.fill_null(pc.index_in(distinct, words.known), -1).to_numpy().astype(np.int64)
+    fresh = np.flatnonzero(at < 0)
+    if len(fresh):
+        at[fresh] = len(words.known) + np.arange(len(fresh))
+        _learn(words, distinct.take(pa.array(fresh)))
+    own = at[coded.indices.to_numpy()]
+    size = words.offs[own + 1] - words.offs[own]
+    upto = np.concatenate([[0], np.cumsum(size)])
+    ids = words.pool[np.repeat(words.offs[own] - upto[:-1], size) + np.arange(upto[-1])]
+    offs = upto[rows]
+    if end is None:
+        return ids, offs
+    return np.insert(ids, offs[1:], np.uint32(end)), offs + np.arange(len(offs))
 
 
 _FILES = "shard int, part int, n_docs long, n_ids long, docs binary, sizes binary, file binary"
@@ -177,29 +291,29 @@ _NO_ID = np.iinfo(np.int64).min
 def _write(shared, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, part = TaskContext.get().partitionId(), 0
-        end = int(end_id).to_bytes(4, "little")
-        docs: list[int] = []
-        ids: list[bytes] = []
+        docs: list[np.ndarray] = []
+        ids: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
         held = 0
 
         def closed() -> pa.RecordBatch:
-            nonlocal part, docs, ids, held
-            all_ids = np.frombuffer(b"".join(ids), "<u4")
-            sizes = np.array([len(x) // 4 for x in ids], "<u4")
-            row = {"shard": shard, "part": part, "n_docs": len(docs), "n_ids": len(all_ids), "docs": np.array(docs, "<i8").tobytes(), "sizes": encode_ids(sizes), "file": encode_ids(all_ids)}
-            part, docs, ids, held = part + 1, [], [], 0
+            nonlocal part, docs, ids, sizes, held
+            own, all_ids = np.concatenate(docs).astype("<i8"), np.concatenate(ids)
+            row = {"shard": shard, "part": part, "n_docs": len(own), "n_ids": len(all_ids), "docs": own.tobytes(), "sizes": encode_ids(np.concatenate(sizes).astype(np.uint32)), "file": encode_ids(all_ids)}
+            part, docs, ids, sizes, held = part + 1, [], [], [], 0
             return pa.RecordBatch.from_pylist([row], pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("docs", pa.binary()), ("sizes", pa.binary()), ("file", pa.binary())]))
 
         for b in batches:
-            sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False))
+            upto = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False))
             i = 0
             while i < b.num_rows:
-                j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + SLICE_BYTES)))
+                j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + SLICE_BYTES)))
                 own = b.slice(i, j - i)
-                docs += [_NO_ID if d is None else d for d in own.column(0).to_pylist()]
-                made = [x + end for x in encode_texts(shared.value, [t or "" for t in own.column(1).to_pylist()])]
-                ids += made
-                held += sum(map(len, made)) // 4
+                made, offs = encode_texts(shared.value, pc.fill_null(own.column(1), ""), end_id)
+                docs.append(pc.fill_null(own.column(0), _NO_ID).to_numpy(zero_copy_only=False))
+                ids.append(made)
+                sizes.append(np.diff(offs))
+                held += len(made)
                 i = j
                 if held >= FILE_IDS:
                     yield closed()
@@ -218,7 +332,8 @@ def write_tokens(docs: DataFrame, model: str, end_id: int, path: str, id_col: st
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for row in b.to_pylist():
+        for i in range(b.num_rows):
+            (row,) = b.slice(i, 1).to_pylist()
             docs, sizes, ids = np.frombuffer(row["docs"], "<i8"), decode_ids(row["sizes"]).astype(np.int64), decode_ids(row["file"])
             offs = np.concatenate([[0], np.cumsum(sizes)])
             raw = ids.astype("<u4").tobytes()
