@@ -7,7 +7,7 @@
    weight 0 but in items with fewer than LEAST_WEIGHTED others, where they keep FLOOR.
 3. Randomised SVD of the passages (two neighbouring halves) of all documents and of the benchmark's own,
    distributed: each task multiplies its rows into a sketch of fixed size, Spark sums the sketches.
-4. Passages whose cosine to an item, in the latent space, reaches LEAST_COSINE are candidates.  So that no item
+4. Passages whose cosine to an item's projection on the latent space reaches LEAST_COSINE are candidates.  So that no item
    depends on the rank, those are too whose exact product with it, over the words they share, reaches LEAST_SHARED
    of the smaller one's squared norm; any copy of an item has a passage that reaches half of it.
 5. Candidates' words are fetched; an item is found where a longest common subsequence around the passage
@@ -286,9 +286,19 @@ def _passages(b: pa.RecordBatch) -> _Passages:
 
 
 def _product(p: _Passages, matrix: np.ndarray) -> np.ndarray:
-    """Rows of the unit passage vectors times the matrix."""
-    out = np.add.reduceat(matrix[p.terms] * p.weights[:, None], p.offs[:-1], 0) if len(p.row) else np.zeros((0, matrix.shape[1]), matrix.dtype)
-    return out / np.maximum(p.norm, 1e-9)[:, None].astype(matrix.dtype)
+    """Rows of the unit passage vectors times the matrix, added up word by word, the longest passages first."""
+    size = np.diff(p.offs)
+    order = np.argsort(-size, kind="stable")
+    size, start = size[order], p.offs[:-1][order]
+    out = np.zeros((len(order), matrix.shape[1]), matrix.dtype)
+    for k in range(int(size[0]) if len(size) else 0):
+        live = int(np.searchsorted(-size, -k, "left"))
+        at = start[:live] + k
+        out[:live] += matrix[p.terms[at]] * p.weights[at, None]
+    out /= np.maximum(p.norm[order], 1e-9)[:, None].astype(matrix.dtype)
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    return out[back]
 
 
 def _gram_product(p: _Passages, matrix: np.ndarray, out: np.ndarray) -> None:
@@ -485,7 +495,7 @@ def _candidates(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                 p = _passages(b.slice(i, 200))
                 # The latent vector is a projection of the part on benchmark words, so this bound leaves none out.
                 mass = np.sqrt(np.add.reduceat(p.weights.astype(np.float64) ** 2, p.offs[:-1])) if len(p.row) else np.zeros(0)
-                near = np.flatnonzero(2 * mass >= LEAST_COSINE * p.norm)
+                near = np.flatnonzero(1.001 * mass >= LEAST_COSINE * p.norm)
                 for k in range(0, len(near), 4096):
                     sub = _part(p, near[k : k + 4096])
                     cosine = _product(sub, space) @ latent.T
