@@ -96,77 +96,80 @@ def unpackbits(data: bytes, size: int) -> bytes:
     return b"".join(out)
 
 
+def _widths(codes: int) -> np.ndarray:
+    """Bits of the codes after a clear code: 9 to 12, one early change of width."""
+    made = 258 + np.arange(codes)
+    return 9 + (made >= 512) + (made >= 1024) + (made >= 2048)
+
+
 def lzw(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, most significant bit first, one early change of width."""
-    codes, widths = [256], [9]
-    fresh: dict[bytes, int] = {bytes([i]): i for i in range(256)}
-    table, nxt, width, word = dict(fresh), 258, 9, b""
-    for i in range(len(data)):
-        longer = word + data[i : i + 1]
-        if longer in table:
-            word = longer
+    """Codes of 9 to 12 bits, most significant bit first; a clear code before the table is full."""
+    codes, table, word, nxt = [256], {}, -1, 258
+    for c in data:
+        if word < 0:
+            word = c
+            continue
+        longer = word << 8 | c
+        known = table.get(longer)
+        if known is not None:
+            word = known
             continue
-        codes.append(table[word])
-        widths.append(width)
+        codes.append(word)
         table[longer] = nxt
         nxt += 1
-        if nxt == 512 or nxt == 1024 or nxt == 2048:
-            width += 1
-        elif nxt == 4095:
+        if nxt == 4095:
             codes.append(256)
-            widths.append(width)
-            table, nxt, width = dict(fresh), 258, 9
-        word = data[i : i + 1]
-    if word:
-        codes.append(table[word])
-        widths.append(width)
-        nxt += 1
-        if nxt in (512, 1024, 2048):
-            width += 1
-    codes.append(257)
-    widths.append(width)
-    c, w = np.array(codes, np.uint32), np.array(widths)
+            table.clear()
+            nxt = 258
+        word = c
+    codes += [word, 257] if word >= 0 else [257]
+    c = np.array(codes, np.uint32)
+    clears = np.flatnonzero(c == 256)
+    w = np.concatenate([[9], *[_widths(n) for n in np.diff(np.append(clears, len(c) - 1))]])
     bits = (c[:, None] >> np.arange(11, -1, -1, dtype=np.uint32)) & 1
     return np.packbits(bits[np.arange(12) >= (12 - w)[:, None]].astype(np.uint8)).tobytes()
 
 
 _SINGLE = [bytes([i]) for i in range(256)] + [b"", b""]
+_AT_ONCE = 4096  # codes read together
 
 
 def unlzw(data: bytes) -> bytes:
+    bits = np.unpackbits(np.frombuffer(data, np.uint8))
     out: list[bytes] = []
-    table, width, held, bits, before = _SINGLE.copy(), 9, 0, 0, b""
-    limit = 511
-    for byte in data:
-        held = (held << 8) | byte
-        bits += 8
-        if bits < width:
-            continue
-        bits -= width
-        code = held >> bits
-        held &= (1 << bits) - 1
-        if code == 256:
-            table, width, limit, before = _SINGLE.copy(), 9, 511, b""
-            continue
-        if code == 257:
+    table, before, since, at = _SINGLE.copy(), b"", 0, 0
+    while at + 9 <= len(bits):
+        ends = at + np.cumsum(_widths(since + _AT_ONCE)[since:])
+        ends = ends[ends <= len(bits)]
+        if not len(ends):
+            break
+        starts = np.concatenate([[at], ends[:-1]])
+        places = starts[:, None] + np.arange(12)
+        taken = np.where(places < ends[:, None], bits[np.minimum(places, len(bits) - 1)], 0).astype(np.int64) @ (1 << np.arange(11, -1, -1))
+        codes = taken >> (12 - (ends - starts))
+        stops = np.flatnonzero((codes == 256) | (codes == 257))
+        n = int(stops[0]) if len(stops) else len(codes)
+        for code in codes[:n].tolist():
+            if not before:
+                if code > 255:
+                    raise ValueError("LZW code beyond the table")
+                word = table[code]
+            elif code < len(table):
+                word = table[code]
+                table.append(before + word[:1])
+            elif code == len(table):
+                word = before + before[:1]
+                table.append(word)
+            else:
+                raise ValueError("LZW code beyond the table")
+            out.append(word)
+            before = word
+        if not len(stops):
+            since, at = since + n, int(ends[-1])
+        elif codes[n] == 257:
             break
-        if not before:
-            before = table[code]
-            out.append(before)
-            continue
-        if code < len(table):
-            word = table[code]
-            table.append(before + word[:1])
-        elif code == len(table):
-            word = before + before[:1]
-            table.append(word)
         else:
-            raise ValueError("LZW code beyond the table")
-        out.append(word)
-        before = word
-        if len(table) >= limit and width < 12:
-            width += 1
-            limit = (1 << width) - 1
+            table, before, since, at = _SINGLE.copy(), b"", 0, int(ends[n])
     return b"".join(out)
 
 
@@ -323,11 +326,8 @@ def tiff_pages(df: DataFrame, id_col: str, content_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(content_col).alias("content")).mapInArrow(_read, _PAGES)
 
 
-def layout(number: int) -> tuple[int, int, bool]:
-    """Compression, predictor and tiling by turns; LZW, whose coder is the slowest, for one page in 32."""
-    if number % 32 == 0:
-        return LZW, 1, number % 64 == 0
-    return [(DEFLATE, 2, True), (PACKBITS, 1, False), (DEFLATE, 2, False)][number % 3]
+#: Compression, predictor and tiling of the pages by turns: each decoder reads a third of them.
+LAYOUTS = [(DEFLATE, 2, True), (PACKBITS, 1, False), (LZW, 2, False), (DEFLATE, 2, False), (PACKBITS, 1, True), (LZW, 1, False)]
 
 
 def text_image(text: str | None) -> bytes:
@@ -337,7 +337,7 @@ def text_image(text: str | None) -> bytes:
     image = np.frombuffer(raw.ljust(rows * SAMPLES_A_ROW, b"\xff"), np.uint8).reshape(rows, SAMPLES_A_ROW)
     turn = zlib.crc32(raw)
     pages = [image[y : y + PAGE_ROWS] for y in range(0, rows, PAGE_ROWS)]
-    return write(pages, [layout(turn + k) for k in range(len(pages))], str(len(raw)))
+    return write(pages, [LAYOUTS[(turn + k) % len(LAYOUTS)] for k in range(len(pages))], str(len(raw)))
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,15 +368,24 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append(page)
             if not page["last"]:
                 continue
+            first = {"doc_id": page["id"], "media_bytes": page["media_bytes"], "media_sha256": page["media_sha256"], "n_pages": len(held)}
+            if page["error"]:
+                out.append(first | {"feature": f"unreadable: {page['error']}"})
+                held = []
+                continue
             payload = b"".join(p["pixels"] for p in held)
             a = np.frombuffer(payload, np.uint8)
             seen = np.bincount(a, minlength=256)
-            p = seen[seen > 0] / len(a)
-            out.append({"doc_id": page["id"], "n_bytes": int(held[0]["note"]), "payload_bytes": len(a), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-32:]), "media_bytes": page["media_bytes"], "media_sha256": page["media_sha256"], "feature": f"{len(held)} pages;{len(a) // SAMPLES_A_ROW} rows;mean {a.mean():.3f};entropy {-(p * np.log2(p)).sum():.3f}", "n_pages": len(held)})
+            p = seen[seen > 0] / max(len(a), 1)
+            note, samples = held[0]["note"], max(held[0]["width"] * held[0]["samples"], 1)
+            out.append(first | {"n_bytes": int(note) if note.isascii() and note.isdigit() else len(a), "payload_bytes": len(a), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-32:]), "feature": f"{len(held)} pages;{len(a) // samples} rows;mean {a.mean() if len(a) else 0:.3f};entropy {-(p * np.log2(p)).sum():.3f}"})
             held = []
         yield pa.RecordBatch.from_pylist(out, types)
 
 
 def page_digests(pages: DataFrame) -> DataFrame:
-    """One row per file: hashes and features of the samples read back."""
+    """One row per file: hashes and features of the samples read back; of a file with a page that can't be read, the reason.
+
+    n_bytes is the number that the first page's description gives, else the number of samples.
+    """
     return pages.mapInArrow(_features, _DIGEST)

@@ -59,6 +59,26 @@ def test_broken(spark):
     assert tiff.tiff_pages(df.limit(0), "k", "c").count() == 0
 
 
+def test_digests_of_broken_files(spark):
+    good = tiff.write([np.zeros((4, 4), np.uint8)] * 2, [(tiff.DEFLATE, 1, False)] * 2, "about")
+    df = spark.createDataFrame([(3, b"junk"), (4, good[:20]), (6, good)], "k long, c binary")
+    rows = {r.doc_id: r for r in tiff.page_digests(tiff.tiff_pages(df, "k", "c")).collect()}
+    assert rows[3].feature.startswith("unreadable: ") and rows[3].payload_sha256 is None and rows[4].n_bytes is None
+    assert (rows[6].n_bytes, rows[6].payload_bytes, rows[6].n_pages) == (32, 32, 2)
+
+
+@pytest.mark.parametrize("n", [0, 1, 253, 254, 3838, 9000, 70000])
+def test_lzw_lengths(n):
+    for raw in (np.random.default_rng(n).integers(0, 256, n).astype(np.uint8).tobytes(), b"ab" * (n // 2), bytes(n)):
+        assert tiff.unlzw(tiff.lzw(raw)) == raw
+
+
+def test_turns_reach_every_decoder():
+    raw = "some words of text " * 40_000
+    seen = {(p["compression"], p["predictor"]) for p in tiff.read_pages(tiff.text_image(raw))}
+    assert seen == {(tiff.DEFLATE, 2), (tiff.PACKBITS, 1), (tiff.LZW, 2), (tiff.LZW, 1)}
+
+
 def test_query(docs_of):
     texts = [None, "", "a", "é" * 288, "x" * 577, "word " * 60000, "***" * 500, "a"]
     rows = {r.doc_id: r for r in tiff.page_digests(tiff.tiff_pages(tiff.text_images(docs_of(texts)), "id", "content")).collect()}
