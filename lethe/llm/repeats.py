@@ -2,13 +2,13 @@
 
 1. Each task turns its texts into super-windows (see superwindows.py).  Equal runs of one batch
    are reduced to the earliest; the others are repeats already.  Runs are dealt by minimizer.
-2. Each task then settles equal runs, and passes on the distinct runs of a minimizer that has
-   several, because parts of those may be equal.
-3. Those runs' symbols are fetched and dealt by minimizer; a resolver (a suffix sort or an
-   FM-index) finds which of their windows are equal.
+2. Each task drops the minimizers met once.  Of equal runs the earliest is passed on with its text, the others
+   as copies of it without text.
+3. The runs' symbols are fetched and dealt by minimizer.  A resolver (a suffix sort or an FM-index) over them
+   finds the earliest equal of every window; by it the windows of runs and of their copies are judged.
 
 A minimizer with more than HOT distinct runs is never gathered: its windows are dealt one by
-one by their whole content, again reduced to the earliest of each batch.
+one by their whole content, again reduced to the earliest of each batch, and its copies are repeats already.
 """
 
 from __future__ import annotations
@@ -29,10 +29,11 @@ HOT = 4096  # distinct runs of one minimizer in one task's input
 HOT_IN_BATCH = 256  # the same in one batch
 
 _RUNS = "kind byte, key long, print long, doc long, start int, count int, place int"
-_SETTLED = "kind byte, key long, doc long, start int, count int, place int"
-_PIECES = "key long, doc long, start int, count int, place int, seg binary"
+_SETTLED = "kind byte, key long, alike int, doc long, start int, count int, place int"
+_PIECES = "key long, alike int, doc long, start int, count int, place int, seg binary"
 _REPEATS = "doc long, start int, count int"
-REPEAT, RUN, HOT_RUN, MARK = 0, 1, 2, 3
+REPEAT, RUN, HOT_RUN, MARK, COPY = range(5)
+LONE, DONE = -1, -2  # in place of a run's number: a window of its own, a repeat
 
 
 class Unit(NamedTuple):
@@ -45,7 +46,7 @@ class Unit(NamedTuple):
 
 
 class Pieces(NamedTuple):
-    """Runs of one task, sorted by (doc, start)."""
+    """Runs of one task with their symbols, sorted by (doc, start)."""
 
     key: np.ndarray
     doc: np.ndarray
@@ -60,8 +61,8 @@ def _batch(schema_of: list[tuple[str, pa.DataType]], **cols) -> pa.RecordBatch:
 
 
 _T_RUNS = [("kind", pa.int8()), ("key", pa.int64()), ("print", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()), ("count", pa.int32()), ("place", pa.int32())]
-_T_SETTLED = [x for x in _T_RUNS if x[0] != "print"]
-_T_PIECES = [("key", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()), ("count", pa.int32()), ("place", pa.int32()), ("seg", pa.binary())]
+_T_SETTLED = [("alike", pa.int32()) if x[0] == "print" else x for x in _T_RUNS]
+_T_PIECES = [("key", pa.int64()), ("alike", pa.int32()), ("doc", pa.int64()), ("start", pa.int32()), ("count", pa.int32()), ("place", pa.int32()), ("seg", pa.binary())]
 _T_REPEATS = [("doc", pa.int64()), ("start", pa.int32()), ("count", pa.int32())]
 
 
@@ -122,7 +123,7 @@ def _settle(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
             own = cols[0] >= 0
             away = (cols[0] == REPEAT) | (cols[0] == HOT_RUN)
             if away.any():
-                yield _batch(_T_SETTLED, **{n: cols[i][away] for n, i in (("kind", 0), ("key", 1), ("doc", 3), ("start", 4), ("count", 5), ("place", 6))})
+                yield _batch(_T_SETTLED, alike=np.zeros(int(away.sum()), np.int32), **{n: cols[i][away] for n, i in (("kind", 0), ("key", 1), ("doc", 3), ("start", 4), ("count", 5), ("place", 6))})
             own &= ~away
             parts.append([c[own] for c in cols])
         if not parts:
@@ -139,14 +140,19 @@ def _settle(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
         group = np.cumsum(new_key) - 1
         distinct = np.bincount(group, weights=new, minlength=1)
         marked = np.bincount(group, weights=kind == MARK, minlength=1) > 0
+        hot = marked | (distinct > HOT)
+        several = (distinct > 1) | marked | (np.bincount(group, weights=later, minlength=1) > 0)
         out = np.full(len(o), -1, np.int8)
+        number = np.cumsum(new)
         if len(o):
-            rep = ~later & ((distinct > 1) | marked)[group]
-            out[rep] = np.where((marked | (distinct > HOT))[group[rep]], HOT_RUN, RUN)
-            out[later] = REPEAT
+            out[several[group]] = RUN
+            out[later] = COPY
+            out[hot[group] & (out == RUN)] = HOT_RUN
+            out[hot[group] & (out == COPY)] = REPEAT
             out[kind == MARK] = -1
+            number -= number[_starts(new_key)]
         keep = out >= 0
-        yield _batch(_T_SETTLED, kind=out[keep], key=key[keep], doc=doc[keep], start=start[keep], count=count[keep], place=place[keep])
+        yield _batch(_T_SETTLED, kind=out[keep], key=key[keep], alike=number[keep].astype(np.int32), doc=doc[keep], start=start[keep], count=count[keep], place=place[keep])
 
     return of
 
@@ -167,7 +173,7 @@ def _fetch(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
             ids, lists = b.column(0).to_pylist(), b.column(2)
             flat = lists.flatten()
             sizes = np.diff(lists.offsets.to_numpy())
-            key, start, count, place, hot = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("key", "start", "count", "place", "hot"))
+            key, alike, start, count, place, hot = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("key", "alike", "start", "count", "place", "hot"))
             out: list[tuple] = []
             least: dict[bytes, tuple[int, int]] = {}
             at = 0
@@ -176,7 +182,7 @@ def _fetch(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
                 for x in range(at, at + n):
                     s, c = int(start[x]), int(count[x])
                     if not hot[x]:
-                        out.append((int(key[x]), doc, s, c, int(place[x]), cut(s, s + c + unit.length - 1)))
+                        out.append((int(key[x]), doc, s, c, int(place[x]), cut(s, s + c + unit.length - 1), int(alike[x])))
                         continue
                     for w in range(s, s + c):
                         seg = cut(w, w + unit.length)
@@ -199,36 +205,74 @@ def _fetch(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
                 hashes = byte_rolling(np.frombuffer(joined.buffers()[2], np.uint8)[: offs[-1]]).spans(offs[:-1], offs[1:]).view(np.int64)
                 for i, h in zip(lone, hashes.tolist(), strict=True):
                     keys[i] = h
-            yield _batch(_T_PIECES, key=keys, doc=[o[1] for o in out], start=[o[2] for o in out], count=[o[3] for o in out], place=[o[4] for o in out], seg=segs)
+            numbers = [o[6] if len(o) > 6 else LONE if o[5] is not None else DONE for o in out]
+            yield _batch(_T_PIECES, key=keys, alike=numbers, doc=[o[1] for o in out], start=[o[2] for o in out], count=[o[3] for o in out], place=[o[4] for o in out], seg=segs)
 
     return of
 
 
+def _spans(doc: np.ndarray, start: np.ndarray, count: np.ndarray, late: np.ndarray) -> pa.RecordBatch:
+    """Runs of late windows; late holds a flag of each window of each row."""
+    row = np.repeat(np.arange(len(count)), count)
+    window = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    at = np.flatnonzero(late)
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1] + 1) | (row[at[1:]] != row[at[:-1]])
+    first = at[new]
+    return _batch(_T_REPEATS, doc=doc[row[first]], start=(start[row[first]] + window[first]).astype(np.int32), count=np.diff(np.append(np.flatnonzero(new), len(at))).astype(np.int32))
+
+
+def _behind(unit: Unit, doc: np.ndarray, start: np.ndarray, count: np.ndarray, first_doc: np.ndarray, first_start: np.ndarray) -> np.ndarray:
+    """Of each window of the rows whether its earliest equal comes before it."""
+    own = np.repeat(doc, count)
+    late = own > first_doc
+    if unit.within:
+        window = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+        late |= (own == first_doc) & (np.repeat(start, count) + window > first_start)
+    return late
+
+
 def _resolve(unit: Unit, resolver: Callable[[Pieces, Unit], tuple[np.ndarray, np.ndarray]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """resolver: (piece, window) index pairs of the windows that come later than an equal one."""
+    """resolver: document and start of the earliest equal of each window of each piece."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, segs = [], []
+        parts, copies, segs = [], [], []
         for b in batches:
-            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-            away = b.column(5).is_null().to_numpy(zero_copy_only=False)
-            if away.any():
-                yield _batch(_T_REPEATS, doc=cols[1][away], start=cols[2][away], count=cols[3][away])
-            parts.append([c[~away] for c in cols])
-            segs += [s for s in b.column(5).to_pylist() if s is not None]
+            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+            bare = b.column(6).is_null().to_numpy(zero_copy_only=False)
+            done = bare & (cols[1] == DONE)
+            if done.any():
+                yield _batch(_T_REPEATS, doc=cols[2][done], start=cols[3][done], count=cols[4][done])
+            parts.append([c[~bare] for c in cols])
+            copies.append([c[bare & ~done] for c in cols[:5]])
+            segs += b.column(6).drop_null().to_pylist()
         if not segs:
             return
-        key, doc, start, count, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        key, alike, doc, start, count, place = (np.concatenate(x) for x in zip(*parts, strict=True))
         o = np.lexsort((start, doc))
         pieces = Pieces(key[o], doc[o], start[o].astype(np.int64), count[o].astype(np.int64), place[o].astype(np.int64), [segs[i] for i in o])
-        piece, window = resolver(pieces, unit)
-        if len(piece):
-            o = np.lexsort((window, piece))
-            piece, window = piece[o], window[o]
-            new = np.ones(len(piece), bool)
-            new[1:] = (piece[1:] != piece[:-1]) | (window[1:] != window[:-1] + 1)
-            first = np.flatnonzero(new)
-            yield _batch(_T_REPEATS, doc=pieces.doc[piece[first]], start=(pieces.start[piece[first]] + window[first]).astype(np.int32), count=np.diff(np.append(first, len(piece))).astype(np.int32))
+        alike = alike[o]
+        first_doc, first_start = resolver(pieces, unit)
+        yield _spans(pieces.doc, pieces.start, pieces.count, _behind(unit, pieces.doc, pieces.start, pieces.count, first_doc, first_start))
+        key, number, doc, start, count = (np.concatenate(x) for x in zip(*copies, strict=True))
+        if not len(key):
+            return
+        # Copies find the piece of their minimizer and number; its windows' earliest equals are theirs too.
+        n = len(alike)
+        both, numbers = np.concatenate([pieces.key, key]), np.concatenate([alike, number])
+        o = np.lexsort((np.arange(len(both)), numbers, both))
+        new = np.ones(len(o), bool)
+        new[1:] = (both[o][1:] != both[o][:-1]) | (numbers[o][1:] != numbers[o][:-1])
+        piece = np.empty(len(o), np.int64)
+        piece[o] = o[_starts(new)]
+        piece = piece[n:]
+        before = np.cumsum(pieces.count) - pieces.count
+        count = count.astype(np.int64)
+        for lo in range(0, len(piece), 1 << 16):
+            p, c = piece[lo : lo + (1 << 16)], count[lo : lo + (1 << 16)]
+            at = np.repeat(before[p] - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))
+            d, s = doc[lo : lo + (1 << 16)], start[lo : lo + (1 << 16)].astype(np.int64)
+            yield _spans(d, s, c, _behind(unit, d, s, c, first_doc[at], first_start[at]))
 
     return of
 
@@ -241,7 +285,8 @@ def repeated_windows(docs: DataFrame, unit: Unit, resolver: Callable) -> DataFra
     docs = docs.where("doc is not null")
     found = docs.mapInArrow(_find_runs(unit), _RUNS).repartition("key").mapInArrow(_settle(unit), _SETTLED)
     settled = written(found, "runs")
-    wanted = settled.where(F.col("kind").isin(RUN, HOT_RUN)).groupBy("doc").agg(F.collect_list(F.struct("key", "start", "count", "place", (F.col("kind") == HOT_RUN).alias("hot"))).alias("runs"))
+    wanted = settled.where(F.col("kind").isin(RUN, HOT_RUN)).groupBy("doc").agg(F.collect_list(F.struct("key", "alike", "start", "count", "place", (F.col("kind") == HOT_RUN).alias("hot"))).alias("runs"))
     pieces = docs.join(wanted, "doc").select("doc", "text", "runs").mapInArrow(_fetch(unit), _PIECES)
-    resolved = pieces.repartition("key").mapInArrow(_resolve(unit, resolver), _REPEATS)
+    copies = settled.where(F.col("kind") == COPY).select("key", "alike", "doc", "start", "count", "place", F.lit(None).cast("binary").alias("seg"))
+    resolved = pieces.unionByName(copies).repartition("key").mapInArrow(_resolve(unit, resolver), _REPEATS)
     return settled.where(F.col("kind") == REPEAT).select("doc", "start", "count").unionByName(resolved)

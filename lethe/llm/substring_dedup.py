@@ -25,7 +25,7 @@ LENGTH, GRAM = 13, 5
 
 
 def fm_resolver(pieces: Pieces, unit: Unit) -> tuple[np.ndarray, np.ndarray]:
-    """(piece, window) pairs whose words also start in a piece of a smaller document."""
+    """Of each window of each piece the smallest document that holds its words, by backward search; the start is not looked at."""
     joined = pa.array(pieces.seg, pa.large_binary())
     _, offs, data = joined.buffers()
     offs = np.frombuffer(offs, np.int64)[: len(joined) + 1]
@@ -35,16 +35,15 @@ def fm_resolver(pieces: Pieces, unit: Unit) -> tuple[np.ndarray, np.ndarray]:
     piece = np.repeat(np.arange(len(pieces.count)), pieces.count)
     window = np.arange(len(piece)) - np.repeat(np.cumsum(pieces.count) - pieces.count, pieces.count)
     found, lo, hi = index.matching(index.at[piece] + window, unit.length)
+    least_doc = pieces.doc[piece]
     full = np.flatnonzero(found >= unit.length)
-    if not len(full):
-        return piece[:0], window[:0]
-    doc_at = np.append(pieces.doc[index.row_of[index.suffixes]], np.iinfo(np.int64).max)
-    lows, which = np.unique(lo[full], return_inverse=True)
-    highs = np.zeros(len(lows), np.int64)
-    highs[which] = hi[full]
-    least = np.minimum.reduceat(doc_at, np.stack([lows, highs], 1).ravel())[::2]
-    late = full[pieces.doc[piece[full]] > least[which]]
-    return piece[late], window[late]
+    if len(full):
+        doc_at = np.append(pieces.doc[index.row_of[index.suffixes]], np.iinfo(np.int64).max)
+        lows, which = np.unique(lo[full], return_inverse=True)
+        highs = np.zeros(len(lows), np.int64)
+        highs[which] = hi[full]
+        least_doc[full] = np.minimum.reduceat(doc_at, np.stack([lows, highs], 1).ravel())[::2][which]
+    return least_doc, np.zeros(len(piece), np.int64)
 
 
 def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:

@@ -24,13 +24,14 @@ LENGTH, GRAM = 100, 48
 
 
 def suffix_resolver(pieces: Pieces, unit: Unit) -> tuple[np.ndarray, np.ndarray]:
-    """(piece, window) pairs whose string also starts earlier."""
+    """Document and start of the earliest equal of each window of each piece."""
     n, length = len(pieces.key), unit.length
     right = [s[p:] for s, p in zip(pieces.seg, pieces.place.tolist(), strict=True)]
     left = [s[:p][::-1] for s, p in zip(pieces.seg, pieces.place.tolist(), strict=True)]
     by_right, common_right = sort(pieces.key, right, max(map(len, right)))
     by_left, common_left = sort(pieces.key, left, max(map(len, left)))
-    out = []
+    before = np.cumsum(pieces.count) - pieces.count
+    first_doc, first_start = np.empty(int(pieces.count.sum()), np.int64), np.empty(int(pieces.count.sum()), np.int64)
     first_at = pieces.start + pieces.place
     for reach in range(int(pieces.place.max()) + 1):
         own = np.flatnonzero((pieces.place >= reach) & (reach > pieces.place - pieces.count))
@@ -41,11 +42,9 @@ def suffix_resolver(pieces: Pieces, unit: Unit) -> tuple[np.ndarray, np.ndarray]
         same_right[by_right] = np.cumsum(common_right < length - reach)
         _, first, which = np.unique(same_left[own] * (n + 1) + same_right[own], return_index=True, return_inverse=True)
         earliest = own[first][which]  # pieces stand in order of (doc, start)
-        late = (pieces.doc[own] > pieces.doc[earliest]) | (first_at[own] > first_at[earliest])
-        out.append((own[late], (pieces.place - reach)[own[late]]))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+        at = before[own] + pieces.place[own] - reach
+        first_doc[at], first_start[at] = pieces.doc[earliest], first_at[earliest] - reach
+    return first_doc, first_start
 
 
 def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
