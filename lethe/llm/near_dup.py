@@ -6,10 +6,13 @@
    document.  Links make components.
 3. In buckets that still hold several components, the collision-corrected estimate picks the documents that may
    reach the threshold with one of another component (4 standard deviations of the estimate below it).
-4. For those, a task counts the exact intersections of a bucket's full sets by products of 0/1 matrices, and gives
+4. For those, the exact intersections of a bucket's full sets are counted by products of 0/1 matrices, which gives
    the links that join components: fewer than the bucket has members, however many pairs are alike.  Pairs inside
    one component need no test, as they can't change it.
 
+In steps 3 and 4 a bucket of more than BLOCK members is cut into blocks by a hash of the document; each two blocks are
+a group of their own, dealt like a bucket.  A task holds one group at a time, so its memory is bounded by two blocks.
+
 A link of similarity s is missed when no band of 4 registers agrees, at s = 0.75 about once in 2e5 links.
 
 Defined results: a null or empty text, or one without words, has an empty set, is linked with nothing and is
@@ -34,6 +37,7 @@ from .textblocks import Rolling, blocks, lower_ascii, mix, words
 SIZE = 5
 SIMILAR, OF = 75, 100  # a link: OF * intersection >= SIMILAR * union
 DEVIATIONS = 4
+BLOCK = 512  # members of a bucket that are compared as one
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,44 +110,48 @@ def _confirm(similar: int, of_: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
     return of
 
 
-def _groups(key: np.ndarray, doc: np.ndarray) -> Iterator[np.ndarray]:
-    """Rows of each key, in order of doc."""
-    order = np.lexsort((doc, key))
-    edge = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1], [True]]))
-    for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-        yield order[lo:hi]
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each key, one after another, of a task's rows in order of key."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        while b.num_rows:
+            key = b.column(0).to_numpy(zero_copy_only=False)
+            if held and held[0].column(0)[0].as_py() != key[0]:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            end = int(np.searchsorted(key, key[0], "right"))
+            held.append(b.slice(0, end))
+            b = b.slice(end)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def _flag(similar: int, of_: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (key, doc, label, n, regs) of one task -> (key, doc, label) of those that an estimate leaves a partner of another label."""
+    """Rows (key, doc, label, side, n, regs) in order of key -> (key, doc, label) of those that an estimate leaves a partner of another label.
+
+    Where both sides occur, partners are of the other side.
+    """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = similar / of_
-        cols, regs = [], []
-        for b in batches:
-            cols.append([b.column(i).to_numpy(zero_copy_only=False) for i in range(4)])
-            regs.append(np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint16).reshape(-1, hmh.BUCKETS))
-        if not regs:
-            return
-        key, doc, label, n = (np.concatenate(x) for x in zip(*cols, strict=True))
-        regs = np.concatenate(regs)
-        flagged = np.zeros(len(key), bool)
-        for own in _groups(key, doc):
-            names, number = np.unique(label[own], return_inverse=True)
+        for t in _groups(batches):
+            names, number = np.unique(t["label"].to_numpy(), return_inverse=True)
             if len(names) < 2:
                 continue
-            r, sizes, found = regs[own], n[own], np.zeros(len(own), bool)
+            r = np.frombuffer(b"".join(t["regs"].to_pylist()), np.uint16).reshape(-1, hmh.BUCKETS)
+            side, sizes, found = t["side"].to_numpy(), t["n"].to_numpy(), np.zeros(t.num_rows, bool)
             largest = np.bincount(number).argmax()
             for i in np.flatnonzero(number != largest):
-                other = np.flatnonzero((number != number[i]) & ~(found & found[i]) & (of_ * np.minimum(sizes, sizes[i]) >= similar * np.maximum(sizes, sizes[i])))
+                fit = (number != number[i]) & ~(found & found[i]) & (of_ * np.minimum(sizes, sizes[i]) >= similar * np.maximum(sizes, sizes[i]))
+                other = np.flatnonzero(fit & (side != side[i]) if side.any() else fit)
                 near, used = hmh.estimate(r[i], sizes[i], r[other], sizes[other])
                 hit = other[near >= least - DEVIATIONS * np.sqrt(least * (1 - least) / np.maximum(used, 1))]
                 found[hit] = True
                 found[i] |= len(hit) > 0
                 if found.all():
                     break
-            flagged[own[found]] = True
-        yield pa.RecordBatch.from_arrays([pa.array(key[flagged]), pa.array(doc[flagged]), pa.array(label[flagged])], names=["key", "doc", "label"])
+            if found.any():
+                yield from t.select(["key", "doc", "label"]).filter(pa.array(found)).combine_chunks().to_batches()
 
     return of
 
@@ -172,24 +180,17 @@ def intersections(sets: list[np.ndarray], rows: slice) -> np.ndarray:
 
 
 def _link(similar: int, of_: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (key, doc, label, items) of one task -> links (a, b) that join different labels, one a join at most."""
+    """Rows (key, doc, label, items) in order of key -> links (a, b) that join different labels of a group, one a join at most."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols, items = [], []
-        for b in batches:
-            cols.append([b.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
-            items += [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(3)]
-        if not items:
-            return
-        key, doc, label = (np.concatenate(x) for x in zip(*cols, strict=True))
-        out: set[tuple[int, int]] = set()
-        for own in _groups(key, doc):
-            names, number = np.unique(label[own], return_inverse=True)
-            sets = [items[i] for i in own]
+        for t in _groups(batches):
+            t = t.sort_by("doc")
+            doc, (names, number) = t["doc"].to_numpy(), np.unique(t["label"].to_numpy(), return_inverse=True)
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["items"].combine_chunks()]
             sizes = np.array([len(x) for x in sets])
-            root = np.arange(len(names))
-            step = max(1, CELLS // len(own))
-            for lo in range(0, len(own), step):
+            root, out = np.arange(len(names)), []
+            step = max(1, CELLS // len(sets))
+            for lo in range(0, len(sets), step):
                 if (root == root[0]).all():
                     break
                 both = intersections(sets, slice(lo, lo + step))
@@ -197,10 +198,11 @@ def _link(similar: int, of_: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
                 for i, row in enumerate(linked, lo):
                     near = np.flatnonzero(row & (root[number] != root[number[i]]))
                     for r, k in zip(*np.unique(root[number[near]], return_index=True), strict=True):
-                        a, z = int(doc[own[i]]), int(doc[own[near[k]]])
-                        out.add((min(a, z), max(a, z)))
+                        a, z = int(doc[i]), int(doc[near[k]])
+                        out.append((min(a, z), max(a, z)))
                         root[root == r] = root[number[i]]
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([z for _, z in out], pa.int64())], names=["a", "b"])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([z for _, z in out], pa.int64())], names=["a", "b"])
 
     return of
 
@@ -225,10 +227,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tested = confirmed(members.where("doc > least").groupBy("doc").agg(F.min("least").alias("a")).select("a", F.col("doc").alias("b")))
     labels = components(tested.where("linked"))
     named = members.select("key", "doc").join(labels, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("label", "doc").alias("label"))
-    several = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    rows = named.join(several, "key").join(items.select("doc", "n", "regs"), "doc").select("key", "doc", "label", "n", "regs")
-    flagged = written(rows.repartition("key").mapInArrow(_flag(similar, of), "key long, doc long, label long"), "flagged")
-    links = flagged.join(items.select("doc", "items"), "doc").select("key", "doc", "label", "items").repartition("key").mapInArrow(_link(similar, of), "a long, b long").distinct()
+    several = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")).where("lo < hi").select("key", "blocks")
+    own_block, other = F.pmod(F.xxhash64("doc"), "blocks").cast("int"), F.col("other")
+    dealt = named.join(several, "key").withColumn("block", own_block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    group = F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("block", other), F.greatest("block", other)))
+    dealt = dealt.select(group.alias("key"), "doc", "label", (F.col("block") > other).cast("int").alias("side"))
+    rows = dealt.join(items.select("doc", "n", "regs"), "doc").select("key", "doc", "label", "side", "n", "regs")
+    flagged = written(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_flag(similar, of), "key long, doc long, label long"), "flagged")
+    found = flagged.join(items.select("doc", "items"), "doc").select("key", "doc", "label", "items").repartition("key").sortWithinPartitions("key")
+    links = found.mapInArrow(_link(similar, of), "a long, b long").distinct()
     star = labels.select(F.col("label").alias("a"), F.col("node").alias("b")).where("a <> b")
     labels = components(star.unionByName(links))
     by_set = sketches.select("doc", "n", "p1", "p2").join(firsts, ["p1", "p2", "n"], "left")

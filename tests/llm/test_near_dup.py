@@ -72,8 +72,9 @@ def test_estimate():
         assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.06
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_against_brute_force(docs_of, seed):
+@pytest.mark.parametrize(("seed", "block"), [(1, near_dup.BLOCK), (2, near_dup.BLOCK), (1, 3)])
+def test_against_brute_force(docs_of, monkeypatch, seed, block):
+    monkeypatch.setattr(near_dup, "BLOCK", block)
     texts = corpus(seed)
     r = random.Random(seed)
     ids = r.sample(range(-50, 5000), len(texts))
@@ -81,6 +82,22 @@ def test_against_brute_force(docs_of, seed):
     assert sorted(map(tuple, got)) == sorted(brute(texts, ids))
 
 
+def test_hot_bucket(docs_of, monkeypatch):
+    # Many documents share a template and stay apart, some of them are near: the buckets of the template's bands are cut into blocks.
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    r = random.Random(4)
+    template = [f"t{i}" for i in range(120)]
+    texts = []
+    for i in range(60):
+        own = [f"d{i}x{k}" for k in range(70)]
+        texts.append(" ".join(template + own))
+        if i % 5 == 0:
+            texts.append(" ".join(template + own[: r.randint(60, 69)]))
+    ids = list(range(len(texts)))
+    got = near_dup.near_duplicates(docs_of(texts, ids).repartition(3)).collect()
+    assert sorted(map(tuple, got)) == sorted(brute(texts, ids))
+
+
 def test_edges(docs_of):
     assert near_dup.near_duplicates(docs_of([])).count() == 0
     got = near_dup.near_duplicates(docs_of(["x y z w v", "x y z w v", "x y z w v", None, "p q"], [4, 4, 9, 2, None])).collect()
