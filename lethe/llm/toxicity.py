@@ -1,7 +1,8 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A word's input is the sum of a word vector and the mean of its known character-gram vectors; what is outside
-the model's lists, those words and grams that go with label 1 beyond chance, shares one vector.  Two gated recurrent passes run over each window of WINDOW words,
+A word's input is the sum of a word vector and the mean of its known character-gram vectors.  Words and grams that go
+with label 1 beyond chance have vectors of their own; all other words share HASHED context vectors by their hash, so
+the recurrence sees the words around too.  Two gated recurrent passes run over each window of WINDOW words,
 attention pools their states and a logistic unit scores the window.  Windows overlap and cover every text;
 a text's score is its highest window's.
 
@@ -30,6 +31,7 @@ WINDOW, STRIDE = 32, 24  # words
 GRAMS = 4, 5, 6  # bytes, with a mark on each side of the word
 WORDS_KEPT, GRAMS_KEPT = 2048, 4096
 LEAST_G, LEAST_ODDS = 36.0, 25.0  # what makes a word or gram go with label 1 beyond chance
+HASHED, CONTEXT_DECAY = 1024, 1e-3  # context vectors and what holds them small, so that ordinary words alone don't decide
 DIM, HIDDEN = 16, 8
 FIT_ROWS = 600, 1200  # of labels 1 and 0: the documented bound of the fit
 FIT_WINDOWS = 40_000  # windows of the sample that training sees
@@ -114,7 +116,10 @@ def _find(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def _inputs(model: Model, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    return _find(model.words, v.hashes), _find(model.grams, v.grams)
+    """Rows of the word vectors, the HASHED context vectors first, and of the gram vectors."""
+    listed = _find(model.words, v.hashes)
+    context = (mix(v.hashes) % np.uint64(HASHED)).astype(np.int64)
+    return np.where(listed > 0, HASHED - 1 + listed, context), _find(model.grams, v.grams)
 
 
 def _known(gram: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -289,14 +294,14 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 17) -> Model | None:
     def weights(*shape: int, scale: float) -> np.ndarray:
         return rng.normal(0, scale, shape).astype(np.float32)
 
-    p = {"words": weights(len(words_kept) + 1, DIM, scale=0.1), "grams": weights(len(grams_kept) + 1, DIM, scale=0.1), "att": weights(2 * HIDDEN, scale=0.3), "out": weights(2 * HIDDEN, scale=0.3), "bias": np.zeros((), np.float32)}
+    p = {"words": weights(HASHED + len(words_kept), DIM, scale=0.1), "grams": weights(len(grams_kept) + 1, DIM, scale=0.1), "att": weights(2 * HIDDEN, scale=0.3), "out": weights(2 * HIDDEN, scale=0.3), "bias": np.zeros((), np.float32)}
     for side in "fb":
         p |= {"w" + side: weights(DIM, 3 * HIDDEN, scale=0.4), "u" + side: weights(HIDDEN, 3 * HIDDEN, scale=0.3), "c" + side: np.zeros(3 * HIDDEN, np.float32)}
     model = Model(words_kept, grams_kept, p)
     word, gram = _inputs(model, v)
     row, start, size = windows(rows)
     target = labels[row].astype(np.float32)
-    seen = np.concatenate([[0], np.cumsum(((word > 0) | (_known(gram, v.offs)[2] > 0))[number])])
+    seen = np.concatenate([[0], np.cumsum(((word >= HASHED) | (_known(gram, v.offs)[2] > 0))[number])])
     telling = seen[start + size] > seen[start]
     sampled = rng.permutation(len(row))[:FIT_WINDOWS]
     ones, zeros = sampled[(target[sampled] == 1) & telling[sampled]], sampled[target[sampled] == 0]
@@ -318,6 +323,8 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 17) -> Model | None:
         rate = RATE * min(1.0, 2 * (1 - step / (STEPS + 1)))
         for k, x in p.items():
             grad = g[k] + np.float32(1e-5) * x
+            if k == "words":
+                grad[:HASHED] += np.float32(CONTEXT_DECAY) * x[:HASHED]
             first[k] = 0.9 * first[k] + 0.1 * grad
             second[k] = 0.99 * second[k] + 0.01 * grad * grad
             p[k] = (x - rate * first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
