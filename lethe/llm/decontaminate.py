@@ -2,16 +2,17 @@
 
 1. Document frequencies of hashed words over the distinct half passages (HALF words) of the corpus, so that copies
    count once, estimated by mergeable counts of fixed size (about 13% off).
-2. Each document's TF-IDF entries on the benchmark's words, and the full norms of its half passages, are
-   written once.  Words in more than MOST_SHARE of the half passages are stop words, with
+2. Each document's TF-IDF entries on the benchmark's words, the full norms of its half passages, and the sequence
+   of the benchmark's words in it with their places are written once.  Words in more than MOST_SHARE of the half passages are stop words, with
    weight 0 but in items with fewer than LEAST_WEIGHTED others, where they keep FLOOR.
 3. Randomised SVD of the passages (two neighbouring halves) of all documents and of the benchmark's own,
    distributed: each task multiplies its rows into a sketch of fixed size, Spark sums the sketches.
 4. Passages whose cosine to an item's projection on the latent space reaches LEAST_COSINE are candidates.  So that no item
    depends on the rank, those are too whose exact product with it, over the words they share, reaches LEAST_SHARED
    of the smaller one's squared norm; any copy of an item has a passage that reaches half of it.
-5. Candidates' words are fetched; an item is found where a longest common subsequence around the passage
-   covers enough of it, less where also the item's last words (its answer) stand there.
+5. The same task checks its candidates on the written sequences, so no candidate leaves it: an item is found where a
+   longest common subsequence around the passage covers enough of it, less where also the item's last words (its
+   answer) stand there.
 
 Items are taken in blocks of ITEM_BLOCK, so what is broadcast has a fixed bound; every block meets every row.
 
@@ -215,13 +216,26 @@ def exact(seq: _Sequences, hashes: np.ndarray, rows: np.ndarray) -> tuple[np.nda
     return row[new], item[new], word[new]
 
 
-_TERMS = "doc long, norms array<float>, halves array<int>, terms array<int>, weights array<float>, items array<int>, places array<int>"
+# Ragged rows as packed 4-byte numbers: norms and weights are floats, the others integers.  `gaps` are the words from one
+# benchmark word to the next, `words` their numbers, 1-based.
+_RAGGED = ("norms", "halves", "terms", "weights", "items", "places", "gaps", "words")
+_TERMS = "doc long, " + ", ".join(f"{c} binary" for c in _RAGGED)
 
 
-def _terms(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def lists(offs: np.ndarray, values: np.ndarray) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(values))
+def _packed(offs: np.ndarray, values: np.ndarray, kind: str) -> pa.Array:
+    return pa.BinaryArray.from_buffers(pa.binary(), len(offs) - 1, [None, pa.py_buffer((4 * offs).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values, kind))])
+
+
+def _unpacked(b: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Row offsets and values of a packed column."""
+    c = b.column(b.schema.names.index(name))
+    _, offs, data = c.buffers()
+    offs = np.frombuffer(offs, np.int32)[c.offset : c.offset + len(c) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[offs[0] : offs[-1]] if data is not None else np.zeros(0, np.uint8)
+    return (offs - offs[0]) // 4, np.frombuffer(raw.tobytes(), "<f4" if name in ("norms", "weights") else "<i4")
 
+
+def _terms(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, idf = shared.value
         seq = sequences(items)
@@ -234,15 +248,20 @@ def _terms(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
                 h, value, n = _distinct(half, bucket, int(ends[-1]))
                 norms = np.bincount(h, weights=(n * idf[value]) ** 2, minlength=int(ends[-1]))
                 at = np.minimum(np.searchsorted(items.known, hashes), len(items.known) - 1)
-                own = np.flatnonzero((items.known[at] == hashes) & (items.weight[at] > 0))
+                known = np.flatnonzero(items.known[at] == hashes)
+                own = known[items.weight[at[known]] > 0]
                 h, term, n = _distinct(half[own], at[own], int(ends[-1])) if len(own) else (np.zeros(0, np.int64),) * 3
                 row = np.searchsorted(ends, h, "right") - 1
                 entries = np.searchsorted(row, np.arange(j - i + 1))
                 same, item, word = exact(seq, hashes, rows)
                 hits = np.searchsorted(same, np.arange(j - i + 1))
+                of_row = np.searchsorted(known, rows)
+                gaps = np.diff(known, prepend=0)
+                begins = of_row[:-1][np.diff(of_row) > 0]
+                gaps[begins] = known[begins] - rows[:-1][np.diff(of_row) > 0]
                 out = pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), lists(ends, norms.astype(np.float32)), lists(entries, (h - ends[row]).astype(np.int32)), lists(entries, term.astype(np.int32)), lists(entries, (n * items.weight[term]).astype(np.float32)), lists(hits, item.astype(np.int32)), lists(hits, word.astype(np.int32))],
-                    names=["doc", "norms", "halves", "terms", "weights", "items", "places"],
+                    [b.column(0).slice(i, j - i), _packed(ends, norms, "<f4"), _packed(entries, h - ends[row], "<i4"), _packed(entries, term, "<i4"), _packed(entries, n * items.weight[term], "<f4"), _packed(hits, item, "<i4"), _packed(hits, word, "<i4"), _packed(of_row, gaps, "<i4"), _packed(of_row, at[known] + 1, "<i4")],
+                    names=["doc", *_RAGGED],
                 )
                 yield out.filter(pa.array((np.diff(entries) > 0) | (np.diff(hits) > 0)))
 
@@ -261,14 +280,11 @@ class _Passages(NamedTuple):
 
 
 def _passages(b: pa.RecordBatch) -> _Passages:
-    norms, halves, terms, weights = (b.column(i) for i in range(1, 5))
-    first = norms.offsets.to_numpy().astype(np.int64)
-    size = np.diff(first)
-    row = np.repeat(np.arange(len(b)), np.diff(halves.offsets.to_numpy()))
-    own = halves.flatten().to_numpy().astype(np.int64)
-    t, w = terms.flatten().to_numpy(), weights.flatten().to_numpy()
-    sq = norms.flatten().to_numpy().astype(np.float64)
-    first = first - first[0]
+    first, sq = _unpacked(b, "norms")
+    size, sq = np.diff(first), sq.astype(np.float64)
+    offs, own = _unpacked(b, "halves")
+    row, own = np.repeat(np.arange(len(b)), np.diff(offs)), own.astype(np.int64)
+    t, w = _unpacked(b, "terms")[1], _unpacked(b, "weights")[1]
     start = first[:-1][row]
     # A half is in the passage that it begins and in the one before; the last half begins one only if it is alone.
     begins = (own < size[row] - 1) | (size[row] == 1)
@@ -326,12 +342,11 @@ class _Pairs(NamedTuple):
 
 
 def _pairs(b: pa.RecordBatch) -> _Pairs:
-    norms, halves, terms, weights = (b.column(i) for i in range(1, 5))
-    first = norms.offsets.to_numpy().astype(np.int64)
-    first = first - first[0]
-    row = np.repeat(np.arange(len(b)), np.diff(halves.offsets.to_numpy()))
-    sq = norms.flatten().to_numpy().astype(np.float64)
-    entry = first[:-1][row] + halves.flatten().to_numpy()
+    first, sq = _unpacked(b, "norms")
+    sq = sq.astype(np.float64)
+    offs, halves = _unpacked(b, "halves")
+    row = np.repeat(np.arange(len(b)), np.diff(offs))
+    entry = first[:-1][row] + halves
     last = np.zeros(len(sq) + 1, bool)
     last[first[1:][np.diff(first) > 0] - 1] = True
     both = sq + np.append(sq[1:], 0) * ~last[:-1]
@@ -342,7 +357,7 @@ def _pairs(b: pa.RecordBatch) -> _Pairs:
     half, start = np.unique(entry, return_index=True)
     at = np.minimum(np.searchsorted(half, half + 1), max(len(half) - 1, 0))
     follows = np.where((half[at] == half + 1) & ~last[half], at, len(half))
-    return _Pairs(np.append(start, len(entry)), terms.flatten().to_numpy().astype(np.int64), weights.flatten().to_numpy(), follows, begun[half], ended[half])
+    return _Pairs(np.append(start, len(entry)), _unpacked(b, "terms")[1].astype(np.int64), _unpacked(b, "weights")[1], follows, begun[half], ended[half])
 
 
 def _square(p: _Pairs, out: np.ndarray) -> None:
@@ -479,34 +494,21 @@ def shared_words(p: _Passages, by: _Postings) -> Iterator[tuple[np.ndarray, np.n
         yield part[x], y, np.minimum(product[ok] / np.maximum(p.norm[part][x] * by.norm[y], 1e-9), 1.0)
 
 
-def _candidates(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space, latent, item_rows, by = shared.value
-
-        def rows(doc: np.ndarray, half: np.ndarray, item: np.ndarray, cosine: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(half.astype(np.int32)), pa.array(item.astype(np.int32)), pa.array(cosine.astype(np.float64))], names=["doc", "half", "item", "cosine"])
-
-        for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            item = b.column(5).flatten().to_numpy()
-            if len(item):
-                yield rows(np.repeat(ids, np.diff(b.column(5).offsets.to_numpy())), b.column(6).flatten().to_numpy() // HALF, item, np.ones(len(item)))
-            for i in range(0, len(b), 200):
-                p = _passages(b.slice(i, 200))
-                # The latent vector is a projection of the part on benchmark words, so this bound leaves none out.
-                mass = np.sqrt(np.add.reduceat(p.weights.astype(np.float64) ** 2, p.offs[:-1])) if len(p.row) else np.zeros(0)
-                near = np.flatnonzero(1.001 * mass >= LEAST_COSINE * p.norm)
-                for k in range(0, len(near), 4096):
-                    sub = _part(p, near[k : k + 4096])
-                    cosine = _product(sub, space) @ latent.T
-                    x, y = np.nonzero(cosine >= LEAST_COSINE)
-                    if len(x):
-                        yield rows(ids[i + sub.row[x]], sub.half[x], item_rows[y], cosine[x, y])
-                for x, y, cosine in shared_words(p, by):
-                    if len(x):
-                        yield rows(ids[i + p.row[x]], p.half[x], item_rows[y], cosine)
-
-    return of
+def _near(b: pa.RecordBatch, space: np.ndarray, latent: np.ndarray, item_rows: np.ndarray, by: _Postings) -> Iterator[tuple]:
+    """(row, half, item, cosine) of the candidates of some rows."""
+    offs, item = _unpacked(b, "items")
+    yield np.repeat(np.arange(len(b)), np.diff(offs)), _unpacked(b, "places")[1] // HALF, item, np.ones(len(item))
+    p = _passages(b)
+    # The latent vector is a projection of the part on benchmark words, so this bound leaves none out.
+    mass = np.sqrt(np.add.reduceat(p.weights.astype(np.float64) ** 2, p.offs[:-1])) if len(p.row) else np.zeros(0)
+    near = np.flatnonzero(1.001 * mass >= LEAST_COSINE * p.norm)
+    for k in range(0, len(near), 4096):
+        sub = _part(p, near[k : k + 4096])
+        cosine = _product(sub, space) @ latent.T
+        x, y = np.nonzero(cosine >= LEAST_COSINE)
+        yield sub.row[x], sub.half[x], item_rows[y], cosine[x, y]
+    for x, y, cosine in shared_words(p, by):
+        yield p.row[x], p.half[x], item_rows[y], cosine
 
 
 def common_subsequence(a: list[int], b: list[int]) -> int:
@@ -527,35 +529,56 @@ def _holds(words: list[int], part: list[int]) -> bool:
     return any(words[i : i + n] == part for i in range(len(words) - n + 1))
 
 
+KEPT_CHECKS = 20_000  # comparisons that a task remembers, as copies of a passage give the same ones
+
+
 def _check(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (doc, text, found: half, item, cosine) -> confirmed (doc, item), with the best evidence."""
+    """Rows of the written terms -> confirmed (doc, item), with the best evidence."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items: Items = shared.value
+        items, *nearness = shared.value
+        kept: dict[tuple[int, bytes], tuple[float, bool]] = {}
+
+        def compare(number: int, part: np.ndarray) -> tuple[float, bool]:
+            """Share of the item's words in the longest common subsequence, and whether its answer stands there."""
+            key = number, part.tobytes()
+            if key not in kept:
+                if len(kept) >= KEPT_CHECKS:
+                    kept.clear()
+                item, words = items.words[number], part.tolist()
+                if len(item) < LEAST_WORDS and not _holds(words, item):
+                    kept[key] = 0.0, False
+                else:
+                    kept[key] = common_subsequence(item, [w for w in words if w]) / len(item), _holds(words, item[-ANSWER:])
+            return kept[key]
+
         for b in batches:
             out = []
-            for i in range(len(b)):
-                _, _, _, hashes = trimmed_words(*text_buffers(b.column(1).slice(i, 1)))
-                at = np.minimum(np.searchsorted(items.known, hashes), len(items.known) - 1)
-                words = np.where(items.known[at] == hashes, at + 1, 0).tolist()
-                best: dict[int, dict] = {}
-                done: set[tuple[int, int]] = set()
-                for f in b.column(2)[i].as_py():
-                    item = items.words[f["item"]]
-                    place = f["half"] * HALF
-                    lo = max(0, place - len(item))
-                    if (f["item"], place) in done:
-                        continue
-                    done.add((f["item"], place))
-                    part = words[lo : place + 2 * HALF + len(item)]
-                    if len(item) < LEAST_WORDS and not _holds(part, item):
-                        continue
-                    share = common_subsequence(item, part) / len(item)
-                    answer = _holds(part, item[-ANSWER:])
+            for i in range(0, len(b), 200):
+                rows = b.slice(i, 200)
+                row, half, item, cosine = (np.concatenate(x) for x in zip(*_near(rows, *nearness), strict=True))
+                o = np.lexsort((-cosine, item, half, row))
+                row, half, item, cosine = row[o], half[o], item[o], cosine[o]
+                new = np.ones(len(o), bool)
+                new[1:] = (row[1:] != row[:-1]) | (half[1:] != half[:-1]) | (item[1:] != item[:-1])
+                at = np.flatnonzero(new)
+                offs, gaps = _unpacked(rows, "gaps")
+                words = _unpacked(rows, "words")[1]
+                own, dense = -1, np.zeros(0, np.int32)
+                best: dict[tuple[int, int], dict] = {}
+                for r, h, k, c in zip(row[at].tolist(), half[at].tolist(), item[at].tolist(), cosine[at].tolist(), strict=True):
+                    if r != own:
+                        own, place = r, np.cumsum(gaps[offs[r] : offs[r + 1]])
+                        dense = np.zeros(int(place[-1]) + 1 if len(place) else 0, np.int32)
+                        dense[place] = words[offs[r] : offs[r + 1]]
+                    size = len(items.words[k])
+                    lo = max(0, h * HALF - size)
+                    share, answer = compare(k, dense[lo : (h + 2) * HALF + size])
                     if share >= LEAST_COMMON or (answer and share >= LEAST_COMMON_WITH_ANSWER):
-                        row = {"doc_id": b.column(0)[i].as_py(), "item_id": items.ids[f["item"]], "cosine": f["cosine"], "common": share, "answer": answer, "word": lo}
-                        if f["item"] not in best or (share, f["cosine"], -lo) > (best[f["item"]]["common"], best[f["item"]]["cosine"], -best[f["item"]]["word"]):
-                            best[f["item"]] = row
+                        found = {"doc_id": rows.column(0)[r].as_py(), "item_id": items.ids[k], "cosine": c, "common": share, "answer": answer, "word": lo}
+                        last = best.get((r, k))
+                        if last is None or (share, c, -lo) > (last["common"], last["cosine"], -last["word"]):
+                            best[r, k] = found
                 out += best.values()
             yield pa.RecordBatch.from_pylist(out, pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("common", pa.float64()), ("answer", pa.bool_()), ("word", pa.int32())]))
 
@@ -593,10 +616,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         space = latent_space(terms, items, passages) if len(passages.row) else np.zeros((len(items.known), 1), np.float32)
         latent = _product(passages, space)
         latent /= np.maximum(np.linalg.norm(latent, axis=1), 1e-9)[:, None]
-        near = terms.mapInArrow(_candidates(spark.sparkContext.broadcast((space, latent, passages.row, postings(passages, len(items.known))))), "doc long, half int, item int, cosine double")
-        per_doc = near.groupBy("doc").agg(F.collect_list(F.struct("half", "item", "cosine")).alias("found"))
-        shared = spark.sparkContext.broadcast(items)
-        found = found.unionByName(own.join(per_doc, "doc").select("doc", "text", "found").mapInArrow(_check(shared), _LEAKS))
+        shared = spark.sparkContext.broadcast((items, space, latent, passages.row, postings(passages, len(items.known))))
+        found = found.unionByName(terms.mapInArrow(_check(shared), _LEAKS))
     return found.groupBy("doc_id", "item_id").agg(F.max(F.struct("common", "cosine", "answer", "word")).alias("best")).select("doc_id", "item_id", "best.cosine", "best.common", "best.answer", "best.word")
 
 
