@@ -4,8 +4,9 @@
    are reduced to the earliest; the others are repeats already.  Runs are dealt by minimizer.
 2. Each task drops the minimizers met once.  Of equal runs the earliest is passed on with its text, the others
    as copies of it without text.
-3. The runs' symbols are fetched and dealt by minimizer.  A resolver (a suffix sort or an FM-index) over them
-   finds the earliest equal of every window; by it the windows of runs and of their copies are judged.
+3. The runs' symbols are fetched, dealt and sorted by minimizer, and cut into shards of about SHARD_BYTES between
+   minimizers.  A resolver (a suffix sort or an FM-index) over a shard finds the earliest equal of every window; by it
+   the windows of runs and of their copies are judged.
 
 A minimizer with more than HOT distinct runs is never gathered: its windows are dealt one by
 one by their whole content, again reduced to the earliest of each batch, and its copies are repeats already.
@@ -27,6 +28,7 @@ from .textblocks import Rolling, blocks, byte_rolling, mix, words
 
 HOT = 4096  # distinct runs of one minimizer in one task's input
 HOT_IN_BATCH = 256  # the same in one batch
+SHARD_BYTES = 1 << 22
 
 _RUNS = "kind byte, key long, print long, doc long, start int, count int, place int"
 _SETTLED = "kind byte, key long, alike int, doc long, start int, count int, place int"
@@ -232,10 +234,29 @@ def _behind(unit: Unit, doc: np.ndarray, start: np.ndarray, count: np.ndarray, f
     return late
 
 
+def _shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
+    """A task's rows in order of key, cut between keys."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size < most or not b.num_rows:
+            continue
+        key = b.column(0).to_numpy(zero_copy_only=False)
+        cut = int(np.searchsorted(key, key[-1], "left"))
+        if cut or (len(held) > 1 and held[-2].num_rows and held[-2].column(0)[-1].as_py() != key[0]):
+            yield [*held[:-1], b.slice(0, cut)]
+            held = [b.slice(cut)]
+            size = held[0].nbytes
+    if held:
+        yield held
+
+
 def _resolve(unit: Unit, resolver: Callable[[Pieces, Unit], tuple[np.ndarray, np.ndarray]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """resolver: document and start of the earliest equal of each window of each piece."""
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judged(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, copies, segs = [], [], []
         for b in batches:
             cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
@@ -274,6 +295,10 @@ def _resolve(unit: Unit, resolver: Callable[[Pieces, Unit], tuple[np.ndarray, np
             d, s = doc[lo : lo + (1 << 16)], start[lo : lo + (1 << 16)].astype(np.int64)
             yield _spans(d, s, c, _behind(unit, d, s, c, first_doc[at], first_start[at]))
 
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in _shards(batches, SHARD_BYTES):
+            yield from judged(shard)
+
     return of
 
 
@@ -288,5 +313,5 @@ def repeated_windows(docs: DataFrame, unit: Unit, resolver: Callable) -> DataFra
     wanted = settled.where(F.col("kind").isin(RUN, HOT_RUN)).groupBy("doc").agg(F.collect_list(F.struct("key", "alike", "start", "count", "place", (F.col("kind") == HOT_RUN).alias("hot"))).alias("runs"))
     pieces = docs.join(wanted, "doc").select("doc", "text", "runs").mapInArrow(_fetch(unit), _PIECES)
     copies = settled.where(F.col("kind") == COPY).select("key", "alike", "doc", "start", "count", "place", F.lit(None).cast("binary").alias("seg"))
-    resolved = pieces.unionByName(copies).repartition("key").mapInArrow(_resolve(unit, resolver), _REPEATS)
+    resolved = pieces.unionByName(copies).repartition("key").sortWithinPartitions("key").mapInArrow(_resolve(unit, resolver), _REPEATS)
     return settled.where(F.col("kind") == REPEAT).select("doc", "start", "count").unionByName(resolved)

@@ -63,6 +63,18 @@ def corpus(seed):
     return texts
 
 
+@pytest.mark.parametrize("shard", [1, 2000])
+@pytest.mark.parametrize("remove", [remove_repeated_words, remove_repeated_bytes])
+def test_small_shards(spark, docs_of, remove, shard, monkeypatch):
+    monkeypatch.setattr(repeats, "SHARD_BYTES", shard)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    texts = corpus(3)
+    words = remove is remove_repeated_words
+    got = digest(remove(docs_of(texts).repartition(3)), "n", None if words else "n_spans").collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, got)) == (brute_words(texts, 13) if words else brute_bytes(texts, 100))
+
+
 @pytest.mark.parametrize("hot", [False, True])
 def test_words(spark, docs_of, hot, monkeypatch):
     if hot:
