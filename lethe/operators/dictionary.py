@@ -1,20 +1,138 @@
-"""Dictionary matching as a gram join: known values, catalog values, blacklists and custom phrases in text.
+"""Dictionary matching: known values, catalog values, blacklists and custom phrases in text.
 
-A substring join has no equi key, so each value is looked up by one of its grams, the one fewest values
-share; texts give their grams window by window.  Catalyst joins the two by gram, broadcast or shuffled by the
-dictionary's size, and a comparison of the whole value confirms.
+A substring join has no equi key.  A dictionary whose size is checked to be small enough is broadcast as one
+multi-pattern automaton, which each task runs over its texts once and resolves overlaps there: no shuffle, no join.
+A larger one is cut into a few such parts, a pass each.  Beyond MOST_PASSES parts each value is looked up by one of its
+grams, the one fewest values share; texts give their grams chunk by chunk, Catalyst joins by gram, and a
+comparison of the whole value confirms.
+
+Lower case, where it is asked for, is taken character by character where that keeps the length, so places hold for the text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+
+import ahocorasick
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.fixed import TOKEN_SHAPE
 from ..functions.spans import resolve, token_spans
+from ..functions.storage import materialized
 
+MOST_CHARACTERS = 1_000_000  # of the values in one automaton, which takes up to 100 bytes for each
+MOST_PASSES = 8
 GRAM = 4
 CHUNK = 1000  # characters whose grams one row gives
+_HITS = 50_000  # rows of an output batch
+_WORD, _TOKEN = re.compile(r"\w"), re.compile(TOKEN_SHAPE)
+_WORD_JVM = r"^[\p{L}\p{N}_]"
+
+
+def folded(text: str) -> str:
+    """Lower case of the same length."""
+    low = text.lower()
+    if len(low) != len(text):
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    return low.replace("\u03c2", "\u03c3")
+
+
+def folded_column(text: Column) -> Column:
+    """folded() inside the JVM."""
+    each = F.array_join(F.transform(F.split(text, ""), lambda c: F.when(F.char_length(F.lower(c)) == F.char_length(c), F.lower(c)).otherwise(c)), "")
+    return F.translate(F.when(F.char_length(F.lower(text)) == F.char_length(text), F.lower(text)).otherwise(each), "\u03c2", "\u03c3")
+
+
+def _longest_first(hits: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Hits (start, end, value) that don't meet, the longest first, then the earliest, then the least value."""
+    kept: list[tuple[int, int, str]] = []
+    for hit in sorted(hits, key=lambda h: (h[0] - h[1], h[0], h[2])):
+        at = bisect_left(kept, hit)
+        if (at == 0 or kept[at - 1][1] <= hit[0]) and (at == len(kept) or kept[at][0] >= hit[1]):
+            kept.insert(at, hit)
+    return kept
+
+
+def _scan(shared, any_case: bool, resolved: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (id, text, values to skip in lower case) to hits (id, start, end, value, spelled); resolved: those that stay, outside tokens."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        needles: dict[str, list[tuple[str, bool]]] = {}
+        for value, whole in shared.value:
+            needles.setdefault(folded(value) if any_case else value, []).append((value, whole))
+        automaton = ahocorasick.Automaton()
+        for needle, own in needles.items():
+            automaton.add_word(needle, (len(needle), own))
+        if not needles:
+            return
+        automaton.make_automaton()
+
+        def hits_of(text: str, skip: frozenset[str]) -> list[tuple[int, int, str]]:
+            hits = []
+            for last, (size, own) in automaton.iter(folded(text) if any_case else text):
+                end = last + 1
+                start, inner = end - size, None
+                for value, whole in own:
+                    if whole:
+                        if inner is None:
+                            inner = (start > 0 and _WORD.match(text[start - 1])) or (end < len(text) and _WORD.match(text[end]))
+                        if inner:
+                            continue
+                    if not skip or value.lower() not in skip:
+                        hits.append((start, end, value))
+            if resolved and hits:
+                tokens = [m.span() for m in _TOKEN.finditer(text)] if "[" in text else []
+                hits = _longest_first([h for h in hits if not any(a < h[1] and z > h[0] for a, z in tokens)] if tokens else hits)
+            return hits
+
+        for b in batches:
+            kind, rows = b.schema.field(0).type, []
+
+            def batch() -> pa.RecordBatch:
+                cols = list(zip(*rows, strict=True)) or [[]] * 5
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (kind, pa.int32(), pa.int32(), pa.string(), pa.string()), strict=True)], names=["id", "start", "end", "value", "spelled"])
+
+            for i, text, skip in zip(b.column(0), b.column(1), b.column(2), strict=True):
+                text = text.as_py()
+                if text:
+                    key = i.as_py()
+                    rows += [(key, s, e, v, text[s:e]) for s, e, v in hits_of(text, frozenset(skip.as_py() or ()))]
+                if len(rows) >= _HITS:
+                    yield batch()
+                    rows = []
+            if rows:
+                yield batch()
+
+    return of
+
+
+def _found(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str, any_case: bool = False, resolved: bool = False, skip_col: str | None = None) -> DataFrame:
+    """(id, start, end, value, spelled) of terms (value, whole) in texts; resolved: longest first, outside tokens, without overlaps."""
+    own = materialized(terms.where(F.char_length("value") >= 2).groupBy("value").agg(F.bool_and("whole").alias("whole")), "terms")
+    size = own.agg(F.coalesce(F.sum(F.char_length("value")), F.lit(0))).first()[0]
+    passes = max(1, -(-size // MOST_CHARACTERS))
+    if passes > MOST_PASSES:
+        found = _by_grams(docs, own, id_col, text_col, any_case)
+        if skip_col:
+            skipped = docs.select(id_col, F.col(skip_col).alias("_skip")).where(F.size("_skip") > 0)
+            found = found.join(skipped, id_col, "left").where(F.col("_skip").isNull() | ~F.array_contains("_skip", F.lower("value"))).drop("_skip")
+        return _resolved(docs, found, id_col, text_col) if resolved else found
+    skip = (F.col(skip_col) if skip_col else F.lit(None)).cast("array<string>").alias("skip")
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), skip)
+    of = f"id {docs.schema[id_col].dataType.simpleString()}, start int, end int, value string, spelled string"
+    out = None
+    for k in range(passes):
+        part = own if passes == 1 else own.where(F.pmod(F.xxhash64("value"), F.lit(passes)) == k)
+        shared = docs.sparkSession.sparkContext.broadcast([(r["value"], r["whole"]) for r in part.collect()])
+        one = texts.mapInArrow(_scan(shared, any_case, resolved and passes == 1), of)
+        out = one if out is None else out.unionByName(one)
+    out = out.withColumnRenamed("id", id_col)
+    return _resolved(docs, out, id_col, text_col) if resolved and passes > 1 else out
 
 
 def anchors(values: DataFrame, gram: int) -> DataFrame:
@@ -25,19 +143,13 @@ def anchors(values: DataFrame, gram: int) -> DataFrame:
     return best.select("value", "b.gram", "b.offset")
 
 
-def occurrences(docs: DataFrame, values: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_words: bool = False, any_case: bool = False) -> DataFrame:
-    """(id, start, end, value): every place of every distinct value of two characters or more.
-
-    whole_words: no word character next to the value.  any_case: by lower case; value is then the dictionary's.
-    """
-    text = F.lower(text_col) if any_case else F.col(text_col)
-    own = values.where(F.char_length("value") >= 2).select("value", (F.lower("value") if any_case else F.col("value")).alias("needle")).distinct()
+def _by_grams(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str, any_case: bool) -> DataFrame:
+    text = folded_column(F.col(text_col)) if any_case else F.col(text_col)
+    own = terms.select("value", "whole", (folded_column(F.col("value")) if any_case else F.col("value")).alias("needle"))
     step = F.lit(CHUNK)
     pieces = docs.select(F.col(id_col).alias("_id"), F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.char_length(text) / step).cast("int")), lambda k: F.struct((k * step).alias("at"), F.substring(text, F.greatest(k * step, F.lit(1)), step + 2 * GRAM).alias("part")))).alias("w"))
     out = None
     for gram, fit in ((GRAM, F.char_length("needle") >= GRAM), (2, F.char_length("needle") < GRAM)):
-        if out is not None and not own.where(fit).limit(1).count():
-            continue  # no short value, so texts needn't give their pairs of characters
         keys = anchors(own.where(fit).select(F.col("needle").alias("value")).distinct(), gram).withColumnRenamed("value", "needle")
         # `part` starts one character before `at` where there is one, so that each gram's place is counted once.
         shift = F.when(F.col("w.at") > 0, 1).otherwise(0)
@@ -45,35 +157,49 @@ def occurrences(docs: DataFrame, values: DataFrame, id_col: str = "doc_id", text
         hits = grams.join(keys, "gram").select("_id", "needle", (F.col("at") + F.col("i") - F.col("offset")).alias("start")).where("start >= 0")
         out = hits if out is None else out.unionByName(hits)
     per_doc = out.groupBy("_id").agg(F.collect_list(F.struct("start", "needle")).alias("hits"))
-    joined = docs.select(F.col(id_col).alias("_id"), text.alias("_text")).join(per_doc, "_id")
-    word = r"(?U)^\w"
+    joined = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_spelled"), text.alias("_text")).join(per_doc, "_id")
     same = F.filter("hits", lambda h: F.substring(F.col("_text"), h["start"] + 1, F.char_length(h["needle"])) == h["needle"])
-    if whole_words:
-        same = F.filter(same, lambda h: ~F.substring(F.col("_text"), h["start"] + 1 + F.char_length(h["needle"]), F.lit(1)).rlike(word) & ~F.when(h["start"] > 0, F.substring(F.col("_text"), h["start"], F.lit(1))).otherwise(F.lit("")).rlike(word))
-    flat = joined.select("_id", F.explode(same).alias("h")).select(F.col("_id").alias(id_col), F.col("h.start").cast("int").alias("start"), (F.col("h.start") + F.char_length("h.needle")).cast("int").alias("end"), F.col("h.needle").alias("needle"))
-    return flat.join(own, "needle").select(id_col, "start", "end", "value").distinct()
+
+    def marked(h: Column) -> Column:
+        end = h["start"] + F.char_length(h["needle"])
+        before = F.when(h["start"] > 0, F.substring(F.col("_text"), h["start"], F.lit(1))).otherwise(F.lit(""))
+        inner = F.substring(F.col("_text"), end + 1, F.lit(1)).rlike(_WORD_JVM) | before.rlike(_WORD_JVM)
+        return F.struct(h["start"].cast("int").alias("start"), end.cast("int").alias("end"), h["needle"].alias("needle"), inner.alias("inner"), F.substring(F.col("_spelled"), h["start"] + 1, F.char_length(h["needle"])).alias("spelled"))
+
+    flat = joined.select(F.col("_id").alias(id_col), F.explode(F.transform(same, marked)).alias("h")).select(id_col, "h.*")
+    return flat.join(own, "needle").where(~(F.col("whole") & F.col("inner"))).select(id_col, "start", "end", "value", "spelled").distinct()
+
+
+def occurrences(docs: DataFrame, values: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_words: bool = False, any_case: bool = False) -> DataFrame:
+    """(id, start, end, value): every place of every distinct value of two characters or more.
+
+    whole_words: no word character next to the value.  any_case: by lower case; value is then the dictionary's.
+    """
+    return _found(docs, values.select("value", F.lit(whole_words).alias("whole")), id_col, text_col, any_case).drop("spelled")
 
 
 def matches(docs: DataFrame, values: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_words: bool = False, any_case: bool = False) -> DataFrame:
     """Occurrences that don't meet, longest first and never inside tokens."""
-    return _resolved(docs, occurrences(docs, values, id_col, text_col, whole_words, any_case), id_col, text_col)
+    return _found(docs, values.select("value", F.lit(whole_words).alias("whole")), id_col, text_col, any_case, resolved=True).drop("spelled")
 
 
-def known_values(docs: DataFrame, values: DataFrame, excluded: DataFrame | None = None, short: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Places of known values (value): durable ones, those shorter than `short` as whole words only, none of `excluded` (value, any case)."""
+def known_values(docs: DataFrame, values: DataFrame, excluded: DataFrame | None = None, short: int = 5, id_col: str = "doc_id", text_col: str = "text", skip_col: str | None = None) -> DataFrame:
+    """Places of known values (value): durable ones, those shorter than `short` as whole words only.
+
+    P12: none of `excluded` (value, any case), and none of those in a text's own array skip_col (lower case).
+    """
     own = values.where(F.char_length(F.trim("value")) >= 2).select("value").distinct()
-    if excluded is not None:  # P12
+    if excluded is not None:
         own = own.join(excluded.select(F.lower("value").alias("_x")).distinct(), F.lower("value") == F.col("_x"), "left_anti")
-    long, brief = F.char_length("value") >= short, F.char_length("value") < short
-    found = occurrences(docs, own.where(long), id_col, text_col).unionByName(occurrences(docs, own.where(brief), id_col, text_col, whole_words=True))
-    return _resolved(docs, found, id_col, text_col)
+    terms = own.select("value", (F.char_length("value") < short).alias("whole"))
+    return _found(docs, terms, id_col, text_col, resolved=True, skip_col=skip_col).drop("spelled")
 
 
 def _resolved(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
     tokens = docs.where(F.contains(F.col(text_col), F.lit("["))).select(id_col, token_spans(F.col(text_col)).alias("_tokens"))
-    spans = found.groupBy(id_col).agg(F.collect_list(F.struct("start", "end", F.col("value").alias("label"), F.lit(9).alias("stage"))).alias("_spans")).join(tokens, id_col, "left")
+    spans = found.groupBy(id_col).agg(F.collect_list(F.struct("start", "end", F.col("value").alias("label"), F.lit(9).alias("stage"), "spelled")).alias("_spans")).join(tokens, id_col, "left")
     free = F.filter("_spans", lambda s: ~F.exists(F.coalesce("_tokens", F.array().cast("array<struct<start:int,end:int,label:string,stage:int>>")), lambda t: (t["start"] < s["end"]) & (t["end"] > s["start"])))
-    return spans.select(id_col, F.explode(resolve(free, "length")).alias("s")).select(id_col, "s.start", "s.end", F.col("s.label").alias("value"))
+    return spans.select(id_col, F.explode(resolve(free, "length")).alias("s")).select(id_col, "s.start", "s.end", F.col("s.label").alias("value"), "s.spelled")
 
 
 def custom_values(docs: DataFrame, values: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -83,8 +209,8 @@ def custom_values(docs: DataFrame, values: DataFrame, id_col: str = "doc_id", te
 
 def blacklist_hits(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start, end, term, value): whole words in any case, with the text's own spelling."""
-    found = matches(docs, terms.select(F.col("term").alias("value")), id_col, text_col, whole_words=True, any_case=True)
-    return found.join(docs.select(id_col, text_col), id_col).select(id_col, "start", "end", F.col("value").alias("term"), F.substring(text_col, F.col("start") + 1, F.col("end") - F.col("start")).alias("value"))
+    found = _found(docs, terms.select(F.col("term").alias("value"), F.lit(True).alias("whole")), id_col, text_col, any_case=True, resolved=True)
+    return found.select(id_col, "start", "end", F.col("value").alias("term"), F.col("spelled").alias("value"))
 
 
 def value_counts(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -35,7 +35,10 @@ def naive(text, values):
     return sorted(out)
 
 
-def test_gram_join_is_substring_scan(spark):
+@pytest.mark.parametrize(("characters", "passes"), [(1_000_000, 8), (30, 100), (1, 0)])
+def test_occurrences_are_a_substring_scan(spark, monkeypatch, characters, passes):
+    monkeypatch.setattr(dictionary, "MOST_CHARACTERS", characters)
+    monkeypatch.setattr(dictionary, "MOST_PASSES", passes)
     r = random.Random(3)
     texts = ["".join(r.choice("ab cé") for _ in range(r.choice([0, 3, 50, 1003, 2500]))) for _ in range(25)]
     values = {"".join(r.choice("ab cé") for _ in range(r.randint(2, 7))) for _ in range(25)}
@@ -44,6 +47,34 @@ def test_gram_join_is_substring_scan(spark):
     assert {(x.doc_id, x.start, x.end, x.value) for x in got} == want and len(got) == len(want)
 
 
+WAYS = [(1_000_000, 8), (3, 100), (1, 0)]
+
+
+@pytest.mark.parametrize(("characters", "passes"), WAYS)
+def test_lower_case_keeps_places(spark, monkeypatch, characters, passes):
+    monkeypatch.setattr(dictionary, "MOST_CHARACTERS", characters)
+    monkeypatch.setattr(dictionary, "MOST_PASSES", passes)
+    texts = ["\u0130\u0130\u0130 Acme corp", "\u0130acme", "ΟΔΟΣ x", "a\u0130b"]
+    got = dictionary.blacklist_hits(docs(spark, texts), frame(spark, [("acme",), ("οδος",), ("a\u0130b",)], "term string")).collect()
+    assert sorted((r.doc_id, r.start, r.end, r.value) for r in got) == [(0, 4, 8, "Acme"), (2, 0, 4, "ΟΔΟΣ"), (3, 0, 3, "a\u0130b")]
+
+
+@pytest.mark.parametrize(("characters", "passes"), WAYS)
+def test_values_skipped_in_one_text(spark, monkeypatch, characters, passes):
+    monkeypatch.setattr(dictionary, "MOST_CHARACTERS", characters)
+    monkeypatch.setattr(dictionary, "MOST_PASSES", passes)
+    own = frame(spark, [(0, "Jan Jansen, Jan", ["jan jansen"]), (1, "Jan Jansen, Jan", None), (2, None, ["x"]), (3, "", [])], "doc_id long, text string, skip array<string>")
+    got = dictionary.known_values(own, frame(spark, [("Jan Jansen",), ("Jan",), (None,)], "value string"), skip_col="skip").collect()
+    assert sorted((r.doc_id, r.start, r.value) for r in got) == [(0, 0, "Jan"), (0, 12, "Jan"), (1, 0, "Jan Jansen"), (1, 12, "Jan")]
+
+
+def test_no_values_and_ids_of_text(spark):
+    own = frame(spark, [("a", "Jan"), (None, "Jan")], "doc_id string, text string")
+    none = frame(spark, [], "value string")
+    assert dictionary.matches(own, none).count() == 0
+    assert {r.doc_id for r in dictionary.matches(own, frame(spark, [("Jan",)], "value string")).collect()} == {"a", None}
+
+
 def test_longest_first(spark):
     texts = ["Jan Jansen and Jan", "[PERSON_1_abcdef] Jan", "none"]
     got = dictionary.matches(docs(spark, texts), frame(spark, [("Jan Jansen",), ("Jan",), ("PERSON",)], "value string")).collect()
