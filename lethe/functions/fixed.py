@@ -15,6 +15,9 @@ SECRET_PATTERNS = [
     (r"(?iU)token\s*[:=]\s*['\"]?\S{8,}", "TOKEN"),
 ]
 
+# What stands in every match of the pattern at the same place, in lower case where the pattern has no case.
+SECRET_LITERALS = dict(zip([p for p, _ in SECRET_PATTERNS], ["@", "sk-", "ghp_", "glpat-", "xox", "AKIA", "-----BEGIN ", "password", "secret", "api", "token"], strict=True))
+
 TOKEN_SHAPE = r"\[(?:[A-Z_]+_\d+_[0-9a-f]{6,}|CATALOG_[A-Z0-9_]+_[0-9a-f]{6,})\]"
 
 # Labels replaced in every mode.

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -125,6 +128,21 @@ def first_name_parts(value: Column) -> Column:
     return F.struct(F.when(several, parts[0]).otherwise(value).alias("first"), F.when(several, parts[1]).otherwise("").alias("hidden"))
 
 
+def canonical_json(value: object) -> str:
+    """JSON with sorted keys and no spaces, so equal settings give equal text."""
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, default=str)
+
+
+def config_signature(config: dict) -> str:
+    """hash of the settings that a result depends on."""
+    return hashlib.sha256(canonical_json(config).encode()).hexdigest()
+
+
+def text_identity(text: Column) -> Column:
+    """hash of a text's content."""
+    return F.sha2(text, 256)
+
+
 def lines(text: Column) -> Column:
     """Lines as by Python's splitlines: all line ends, no empty last line."""
     parts = F.split(text, _LINE_ENDS, -1)

@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 USAGE = ["input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens"]
-EXACT_LIST = 100_000  # values of a group that one row may hold
 
 
 def recent(events: DataFrame, now: Column, days: int | None = None, session: str | None = None, time_col: str = "ts") -> DataFrame:

@@ -187,10 +187,23 @@ def review(found: DataFrame, decided: DataFrame, reviewer: str, now: Column) ->
     key = ["source", "dataset", "column", "row_ref"]
     joined = found.join(decided.select(*key, "decision"), key, "left")
     status = F.when(F.col("decision") == "accept", "accepted").when(F.col("decision") == "reject", "rejected").otherwise(F.col("status"))
-    log = joined.where("decision is not null").select(*key, "decision", F.lit(reviewer).alias("reviewer"), now.alias("decided_at"))
+    log = joined.where("decision is not null").select(*key, "decision", F.col("status").alias("old_status"), status.alias("new_status"), F.lit(reviewer).alias("reviewer"), now.alias("decided_at"))
     return joined.withColumn("status", status).drop("decision"), log
 
 
+def review_audit(log: DataFrame) -> DataFrame:
+    """Audit rows (event_type, summary, metadata, ts) of review decisions; values stay out of them."""
+    summary = F.when(F.col("decision") == "accept", "Accepted catalog finding").otherwise("Rejected catalog finding")
+    metadata = F.to_json(F.struct("source", "dataset", "column", "row_ref", "reviewer"))
+    return log.select(F.lit("catalog_review").alias("event_type"), summary.alias("summary"), metadata.alias("metadata"), F.col("decided_at").alias("ts"))
+
+
+def reveal_audit(found: DataFrame, viewer: str, now: Column) -> DataFrame:
+    """The audit row of a report whose values were revealed: how many findings, of how many sources."""
+    n = found.agg(F.count("*").alias("findings"), F.count_distinct("source").alias("sources"))
+    return n.select(F.lit("catalog_reveal").alias("event_type"), F.lit("Revealed catalog findings").alias("summary"), F.to_json(F.struct("findings", "sources", F.lit(viewer).alias("viewer"))).alias("metadata"), now.alias("ts"))
+
+
 def report(found: DataFrame, reveal: bool = False, status: str | None = None, source: str | None = None, category: str | None = None) -> DataFrame:
     """Findings of a status, source and category; values masked unless revealed."""
     for name, want in (("status", status), ("source", source), ("category", category)):

@@ -14,7 +14,11 @@ LANGUAGES = {".bash": "Shell", ".c": "C", ".cfg": "Config", ".conf": "Config", "
 FILE_NAMES = {".dockerignore": "Docker", ".env.example": "Config", ".gitignore": "Config", "Dockerfile": "Docker", "Makefile": "Make"}
 SLASHES = ["//", "/*", "*"]
 COMMENTS = {"C": SLASHES, "C#": SLASHES, "C++": SLASHES, "C/C++ Header": SLASHES, "CSS": ["/*", "*"], "Config": ["#", ";"], "Docker": ["#"], "Go": SLASHES, "HTML": ["<!--"], "Java": SLASHES, "JavaScript": SLASHES, "Kotlin": SLASHES, "Lua": ["--"], "Make": ["#"], "Markdown": ["<!--"], "PHP": ["//", "#", "/*", "*"], "PowerShell": ["#"], "Python": ["#"], "Ruby": ["#"], "Rust": SLASHES, "Scala": SLASHES, "Shell": ["#"], "SQL": ["--"], "Swift": SLASHES, "TOML": ["#"], "TypeScript": SLASHES, "Vue": ["<!--", *SLASHES], "YAML": ["#"]}
-SKIPPED = [".git", ".hg", ".svn", ".venv", "venv", "node_modules", "__pycache__", "dist", "build", "target", ".tox", ".mypy_cache", ".pytest_cache"]
+# Folders and endings of files that don't count.
+SKIPPED = [".eggs", ".git", ".hg", ".mypy_cache", ".nox", ".pytest_cache", ".ruff_cache", ".svn", ".tox", ".venv", "__pycache__", "build", "dist", "env", "node_modules", "site-packages", "venv"]
+SKIPPED_ENDINGS = [".lock", ".map", ".min.css", ".min.js", ".pyc", ".pyo"]
+# What str.strip() takes off, as one set of characters.
+_BLANKS = "\t\n\u000b\u000c\r\u001c\u001d\u001e\u001f \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def _table(values: dict) -> Column:
@@ -29,7 +33,7 @@ def language(path: Column) -> Column:
 
 def line_counts(text: Column, lang: Column) -> Column:
     """struct<total,blank,comment,code>."""
-    own = F.transform(lines(text), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+    own = F.transform(lines(text), lambda x: F.btrim(x, F.lit(_BLANKS)))
     filled = F.filter(own, lambda x: x != "")
     starts = F.coalesce(F.try_element_at(F.create_map(*[x for k, v in COMMENTS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]), lang), F.array().cast("array<string>"))
     comments = F.size(F.filter(filled, lambda x: F.exists(starts, lambda p: F.startswith(x, p))))

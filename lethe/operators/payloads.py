@@ -1,34 +1,77 @@
-"""Model-bound text in JSON payloads: found by path, sanitized, put back."""
+"""Model-bound text in JSON payloads: found by path, sanitized, put back at its place."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+import re
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import PAYLOAD_TEXT_KEYS
+from ..functions.spans import apply_spans
 
-DEPTH = 12  # levels of nesting that are walked
+_MARKS = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\],:]', re.DOTALL)
 
 
-def text_paths(payloads: DataFrame, id_col: str = "id", payload_col: str = "payload", depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
-    """(id, path, text) of each string whose parent key is a text key, at any place; and the ids that are nested deeper.
+def strings(payload: str) -> list[tuple[str, str | None, int, int, str]]:
+    """(path, parent key, start, end, text) of each string value of a JSON text, at any depth; none where it isn't JSON.
 
-    A list's items have the key of the list.  One level is opened at a time, by parse_json and variant_explode.
+    A list's items have the key of the list.  start and end are the literal's places, quotes included.
     """
-    level = payloads.select(F.col(id_col).alias("id"), F.try_parse_json(payload_col).alias("v"), F.lit("$").alias("path"), F.lit(None).cast("string").alias("parent")).where("v is not null")
-    found = None
-    for _ in range(depth):
-        level.createOrReplaceTempView("_lethe_level")
-        opened = level.sparkSession.sql(
-            "SELECT id, e.value AS v, CASE WHEN e.key IS NULL THEN concat(path, '[', e.pos, ']') ELSE concat(path, '.', e.key) END AS path, coalesce(e.key, parent) AS parent"
-            " FROM _lethe_level, LATERAL variant_explode(v) AS e"
-        )
-        texts = opened.where(F.expr("schema_of_variant(v) = 'STRING'")).where(F.col("parent").isin(PAYLOAD_TEXT_KEYS)).select("id", "path", F.expr("variant_get(v, '$', 'string')").alias("text")).where("text <> ''")
-        found = texts if found is None else found.unionByName(texts)
-        level = opened.where(F.expr("schema_of_variant(v) LIKE 'OBJECT%' OR schema_of_variant(v) LIKE 'ARRAY%'"))
-    return found.withColumnRenamed("id", id_col), level.select(F.col("id").alias(id_col)).distinct()
+    try:
+        json.loads(payload)
+    except RecursionError:
+        pass  # deeper than the parser goes, the walk below has no such limit
+    except ValueError:
+        return []
+    out, stack = [], []  # open objects [path, key, expects a key] and lists [path, key, place]
+    for m in _MARKS.finditer(payload):
+        mark = m.group()
+        top = stack[-1] if stack else None
+        if mark in "{[":
+            path, key = _at(top)
+            stack.append([path, key, mark == "{" or 0])
+        elif mark in "}]":
+            stack.pop()
+        elif mark == ",":
+            if top[2] is False:
+                top[2], top[3:] = True, []
+            else:
+                top[2] += 1
+        elif mark == ":":
+            top[2] = False
+        elif top is not None and top[2] is True:
+            top[3:] = [json.loads(mark)]
+        else:
+            path, key = _at(top)
+            out.append((path, key, m.start(), m.end(), json.loads(mark)))
+    return out
+
+
+def _at(top: list | None) -> tuple[str, str | None]:
+    """Path and parent key of a value whose container is `top`."""
+    if top is None:
+        return "$", None
+    return (f"{top[0]}.{top[3]}", top[3]) if top[2] is False else (f"{top[0]}[{top[2]}]", top[1])
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = []
+        for i, payload in zip(b.column(0), b.column(1), strict=True):
+            rows += [(i.as_py(), path, start, end, text) for path, key, start, end, text in strings(payload.as_py() or "") if key in PAYLOAD_TEXT_KEYS and text]
+        cols = list(zip(*rows, strict=True)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (b.schema.field(0).type, pa.string(), pa.int32(), pa.int32(), pa.string()), strict=True)], names=["id", "path", "start", "end", "text"])
+
+
+def text_paths(payloads: DataFrame, id_col: str = "id", payload_col: str = "payload") -> DataFrame:
+    """(id, path, start, end, text) of each string whose parent key is a text key, at any place and depth."""
+    kind = payloads.schema[id_col].dataType.simpleString()
+    found = payloads.select(F.col(id_col).alias("id"), F.col(payload_col).alias("payload")).mapInArrow(_walk, f"id {kind}, path string, start int, end int, text string")
+    return found.withColumnRenamed("id", id_col)
 
 
 MESSAGE = "struct<role:string,content:string,tool_calls:string,tool_call_id:string,name:string>"
@@ -57,25 +100,36 @@ def response_texts(requests: DataFrame, id_col: str = "id", payload_col: str = "
     return own.unionByName(text).unionByName(more).where("text is not null")
 
 
-def put_back(payload: Column, pairs: Column) -> Column:
-    """a payload's JSON text with each (text, sanitized) pair's string literal replaced, longest first."""
-    lit = lambda c: F.to_json(F.struct(c.alias("s"))).substr(F.lit(6), F.char_length(F.to_json(F.struct(c.alias("s")))) - 6)
-    ranked = F.array_sort(F.transform(pairs, lambda x: F.struct((-F.char_length(x["text"])).alias("n"), x["text"].alias("a"), x["sanitized"].alias("b"))))
-    return F.aggregate(ranked, payload, lambda acc, x: F.replace(acc, lit(x["a"]), lit(x["b"])))
+def put_back(payload: Column, spans: Column) -> Column:
+    """a payload with the literals at spans (start, end, text) replaced by those texts; all else stays as it was written."""
+    literal = lambda c: F.substring(F.to_json(F.struct(c.alias("s"))), F.lit(6), F.char_length(F.to_json(F.struct(c.alias("s")))) - 6)
+    ranked = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), literal(x["text"]).alias("token"))))
+    return apply_spans(payload, ranked)
 
 
 def sanitize_payloads(payloads: DataFrame, sanitize: Callable[[DataFrame], DataFrame], id_col: str = "id", payload_col: str = "payload") -> DataFrame:
     """Payloads with their model-bound texts run through sanitize: (doc_id, text) -> (doc_id, sanitized).
 
-    Each text is a row, so long conversations spread; `deep` marks payloads nested beyond DEPTH, which stay as they are.
+    Each distinct text is a row, so long conversations spread.
     """
-    texts, deep = text_paths(payloads, id_col, payload_col)
-    keyed = texts.withColumn("doc_id", F.sha2("text", 256))
+    keyed = text_paths(payloads, id_col, payload_col).withColumn("doc_id", F.sha2("text", 256))
     done = sanitize(keyed.groupBy("doc_id").agg(F.any_value("text").alias("text"))).select("doc_id", "sanitized")
-    pairs = keyed.join(done, "doc_id").where("text <> sanitized").groupBy(id_col).agg(F.collect_set(F.struct("text", "sanitized")).alias("_pairs"))
-    out = payloads.join(pairs, id_col, "left").join(deep.withColumn("deep", F.lit(True)), id_col, "left").withColumn("deep", F.coalesce("deep", F.lit(False)))
-    changed = F.when(F.col("_pairs").isNull() | F.col("deep"), F.col(payload_col)).otherwise(put_back(F.to_json(F.try_parse_json(payload_col)), F.col("_pairs")))
-    return out.withColumn(payload_col, changed).drop("_pairs")
+    spans = keyed.join(done, "doc_id").where("text <> sanitized").groupBy(id_col).agg(F.collect_list(F.struct("start", "end", F.col("sanitized").alias("text"))).alias("_spans"))
+    out = payloads.join(spans, id_col, "left")
+    return out.withColumn(payload_col, F.when(F.col("_spans").isNull(), F.col(payload_col)).otherwise(put_back(F.col(payload_col), F.col("_spans")))).drop("_spans")
+
+
+def restore_payloads(payloads: DataFrame, restore: Callable[[DataFrame], DataFrame], id_col: str = "id", payload_col: str = "payload") -> DataFrame:
+    """Payloads with the tokens in their model-bound texts restored by restore: (doc_id, text) -> (doc_id, text)."""
+    return sanitize_payloads(payloads, lambda texts: restore(texts).select("doc_id", F.col("text").alias("sanitized")), id_col, payload_col)
+
+
+def block_events(blocks: DataFrame) -> DataFrame:
+    """Audit events (session_id, event_type, raw, sanitized, token_count, retokenized_only) of the blocks (session_id,
+    text, sanitized, minted) that changed; minted: the tokens that are new."""
+    changed = blocks.where(~F.col("text").eqNullSafe(F.col("sanitized")))
+    n = F.coalesce(F.size("minted"), F.lit(0))
+    return changed.select("session_id", F.lit("pii_detected").alias("event_type"), F.left("text", F.lit(500)).alias("raw"), F.left("sanitized", F.lit(500)).alias("sanitized"), n.alias("token_count"), (n <= 0).alias("retokenized_only"))
 
 
 def stream_pieces(chunks: DataFrame) -> DataFrame:

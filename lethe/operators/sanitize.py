@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import spans
-from ..functions.spans import STAGE_BLACKLIST, STAGE_CUSTOM, STAGE_ENTITY, STAGE_SECRET, resolve
-from ..functions.text import balanced_name, escapes, tokens_in, without_escape_marks
-from . import detect, dictionary
-from .tokens import SALT, mint, replaced, unresolved
+from ..functions.spans import STAGE_BLACKLIST, STAGE_CUSTOM, STAGE_ENTITY, STAGE_SECRET, STAGE_VERIFIER, no_spans, resolve
+from ..functions.storage import materialized
+from ..functions.text import balanced_name, escapes, normalize_label, tokens_in, without_escape_marks
+from . import catalog, detect, dictionary
+from .tokens import SALT, grant_allowance, mint, replaced
 
 _SPAN = ["start", "end", "label", "value", "stage"]
 
@@ -47,28 +50,67 @@ def chosen(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFra
     return kept.select(id_col, "s.start", "s.end", "s.label", F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("value"))
 
 
-def tokenize(docs: DataFrame, known: DataFrame | None = None, salt: str = SALT, id_col: str = "doc_id", **stages) -> tuple[DataFrame, DataFrame]:
-    """(documents with sanitized text and their tokens, token table).  Marks of escapes are taken out of the text."""
+def tokenize(docs: DataFrame, known: DataFrame | None = None, salt: str = SALT, id_col: str = "doc_id", verifiers: list[Callable[[DataFrame], DataFrame]] | None = None, **stages) -> tuple[DataFrame, DataFrame]:
+    """(documents with sanitized text and their tokens, token table).  Marks of escapes are taken out of the text.
+
+    verifiers: second passes over the sanitized text, each from (id, text) to spans (id, start, end, label).
+    """
     own = docs.withColumn("escaped", escapes(F.col("text"))).withColumn("text", without_escape_marks(F.col("text")))
-    found = chosen(own, candidates(own, id_col=id_col, **stages), id_col)
+    found = materialized(chosen(own, candidates(own, id_col=id_col, **stages), id_col), "spans")
     table = mint(found, known, salt)
-    out = replaced(own, found, table, id_col).withColumnRenamed("text", "sanitized").drop("escaped")
-    return out, table
+    out = replaced(own, found, table, id_col)
+    if verifiers:
+        out, table = verified(out, verifiers, table, stages.get("names") or [], salt, id_col)
+    return out.withColumnRenamed("text", "sanitized").drop("escaped"), table
+
+
+def verified(docs: DataFrame, verifiers: list[Callable[[DataFrame], DataFrame]], known: DataFrame, names: list[str], salt: str = SALT, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """T1's last stage, U2, P16: what verifiers still find in sanitized texts becomes VERIFIED_<label> tokens."""
+    texts = docs.select(id_col, "text")
+    spans_of = detect.all_spans(texts, verifiers, id_col).groupBy(id_col).agg(F.collect_list(F.struct("start", "end", "label", F.lit(STAGE_VERIFIER).alias("stage"))).alias("_s"))
+    own = texts.join(spans_of, id_col)
+    kept = own.select(id_col, "text", F.explode(detect.verifier_spans(F.col("_s"), no_spans(), F.col("text"), names)).alias("s"))
+    label = F.concat(F.lit("VERIFIED_"), normalize_label(F.coalesce(F.nullif("s.label", F.lit("")), F.lit("SENSITIVE"))))
+    found = materialized(kept.select(id_col, "s.start", "s.end", label.alias("label"), F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("value")), "spans")
+    table = mint(found, known, salt)
+    out = replaced(docs.withColumnRenamed("tokens", "_first"), found, table, id_col)
+    return _merged(out, "_first"), table
+
+
+def _merged(docs: DataFrame, *maps: str) -> DataFrame:
+    """docs whose map `tokens` also holds the entries of other maps, which are dropped."""
+    entries = F.array_distinct(F.concat(*[F.coalesce(F.map_entries(m), F.array().cast("array<struct<key:string,value:string>>")) for m in (*maps, "tokens")]))
+    return docs.withColumn("tokens", F.map_from_entries(entries)).drop(*maps)
 
 
-def retokenize_known(docs: DataFrame, known: DataFrame, excluded: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
+def retokenize_known(docs: DataFrame, known: DataFrame, excluded: DataFrame | None = None, id_col: str = "doc_id", skip_col: str | None = None) -> DataFrame:
     """T5: values that are known (token, value, label) replaced by their tokens; `inserted`: the tokens put in."""
     first = known.groupBy("value").agg(F.min(F.struct("token", "label")).alias("k")).select("value", "k.token", "k.label")
-    found = dictionary.known_values(docs, first.select("value"), excluded, id_col=id_col).join(first.select("value", "label"), "value")
+    found = dictionary.known_values(docs, first.select("value"), excluded, id_col=id_col, skip_col=skip_col).join(first.select("value", "label"), "value")
     out = replaced(docs, found, first, id_col)
     return out.withColumn("inserted", F.map_keys("tokens"))
 
 
-def sanitize(docs: DataFrame, known: DataFrame, excluded: DataFrame | None = None, salt: str = SALT, id_col: str = "doc_id", **stages) -> tuple[DataFrame, DataFrame]:
-    """Known values first, then detection; gives (documents, next snapshot of known values)."""
-    pre = retokenize_known(docs, known, excluded, id_col).drop("inserted").withColumnRenamed("tokens", "_pre")
+def escape_grants(docs: DataFrame, now: Column, minutes: int) -> DataFrame:
+    """The allowances that texts' ~ marks grant from now on."""
+    values = docs.select(F.explode(escapes(F.col("text"))).alias("value")).distinct()
+    return grant_allowance(values, now, minutes)
+
+
+def sanitize(docs: DataFrame, known: DataFrame, excluded: DataFrame | None = None, salt: str = SALT, id_col: str = "doc_id", entries: DataFrame | None = None, grants: DataFrame | None = None, now: Column | None = None, policy: dict | None = None, **stages) -> tuple[DataFrame, DataFrame]:
+    """Catalog entries, then known values, then detection; gives (documents, next snapshot of known values).
+
+    What a text marks by ~ is left out of the known values' step in that text, and of detection as tokenize does.
+    excluded: values that no text replaces (allowed names, active allowances).  entries: active catalog entries,
+    enforced under `policy` (the options of catalog.decisions) and the grants that hold now.
+    """
+    pre = docs.withColumn("_marked", escapes(F.col("text")))
+    if entries is not None:
+        decided = materialized(catalog.decisions(pre, entries, grants, now, id_col=id_col, **(policy or {})), "decided")
+        pre = catalog.enforce(pre, decided, id_col).withColumnRenamed("sanitized", "text").withColumnRenamed("tokens", "_catalog")
+    pre = retokenize_known(pre, known, excluded, id_col, "_marked").drop("inserted", "_marked").withColumnRenamed("tokens", "_pre")
     out, table = tokenize(pre, known, salt, id_col, **stages)
-    return out.withColumn("tokens", F.map_from_entries(F.array_distinct(F.concat(F.map_entries("_pre"), F.map_entries("tokens"))))).drop("_pre"), table
+    return _merged(out, *(["_catalog"] if entries is not None else []), "_pre"), table
 
 
 def distinct_texts(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -127,5 +169,3 @@ def request_metrics(sanitized: DataFrame) -> DataFrame:
     """Of a batch: texts, characters, texts with tokens and tokens."""
     return sanitized.agg(F.count("*").alias("texts"), F.sum(F.char_length("sanitized")).alias("chars"), F.count_if(F.size("tokens") > 0).alias("pii_found"), F.sum(F.greatest(F.size("tokens"), F.lit(0))).alias("token_count"))
 
-
-__all__ = ["candidates", "chosen", "distinct_texts", "mapped_labels", "request_metrics", "residual_tokens", "retokenize_known", "reused", "sanitize", "span_patches", "tokenize", "unresolved"]

@@ -53,6 +53,16 @@ def last_ordinals(known: DataFrame) -> DataFrame:
     return known.select(F.coalesce(F.nullif(token_label(F.col("token")), F.lit("")), F.col("label")).alias("label"), token_ordinal(F.col("token")).alias("n")).groupBy("label").agg(F.max("n").alias("last"))
 
 
+def numbered_in_text(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Found spans with their number among the spans of their label in the same text, left to right."""
+    return found.withColumn("ordinal", F.row_number().over(W.partitionBy(id_col, "label").orderBy("start", "end")))
+
+
+def active_counts(known: DataFrame) -> DataFrame:
+    """How many tokens there are by kind, with a row of null kind for all."""
+    return known.select("token", F.coalesce(F.nullif(token_label(F.col("token")), F.lit("")), F.col("label")).alias("kind")).distinct().rollup("kind").agg(F.count("*").alias("n"))
+
+
 def ingest(known: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs (token, value, label) whose token isn't there yet are added; of several with one token the least value."""
     fresh = pairs.where(durable(F.col("value"))).groupBy("token").agg(F.min(F.struct("value", "label")).alias("p")).select("token", "p.value", "p.label")
@@ -90,8 +100,6 @@ def restore(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col:
     return docs.join(found, id_col, "left").withColumn(text_col, text).drop("_values")
 
 
-
-
 def block_unresolved(docs: DataFrame, known: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """J8 under the policy `block`: documents whose tokens are all known, and those kept back."""
     missing = unresolved(docs, known, id_col).select(id_col).distinct()

@@ -285,8 +285,7 @@ def event_tail(spark, sf):
 @query("SELECT event_type, count(*) AS n FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY GROUP BY event_type")
 def prune_events(spark, sf):
     events = table(spark, sf, "events")
-    last = events.agg(F.max("ts").alias("_now"))
-    return audit.prune(events.crossJoin(F.broadcast(last)), F.col("_now"), 7).groupBy("event_type").agg(F.count("*").alias("n"))
+    return audit.prune(events, events.agg(F.max("ts")).scalar(), 7).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 @query("SELECT event_type, count(*) AS n FROM events WHERE NOT contains(lower(coalesce(event_type, '')), 'click') AND NOT contains(lower(coalesce(props, '')), 'click') GROUP BY event_type")

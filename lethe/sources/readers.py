@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from ..operators.loc import SKIPPED
+from ..operators.loc import SKIPPED, SKIPPED_ENDINGS
 
 
 def fields(tables: dict[str, DataFrame]) -> DataFrame:
@@ -52,9 +52,15 @@ def labelled_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 def source_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of files outside build and dependency folders, without NUL bytes, as UTF-8."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return counted_files(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
+
+
+def counted_files(files: DataFrame) -> DataFrame:
+    """S12 over rows (path, content)."""
     inside = F.exists(F.split("path", "/"), lambda p: p.isin(SKIPPED))
-    return files.where(~inside).where(~F.contains(F.col("content"), F.lit(b"\0"))).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+    name = F.lower(F.element_at(F.split("path", "/"), -1))
+    ending = F.exists(F.array(*map(F.lit, SKIPPED_ENDINGS)), lambda e: F.endswith(name, e))
+    return files.where(~inside & ~ending).where(~F.contains(F.col("content"), F.lit(b"\0"))).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def response_chunks(lines: DataFrame) -> DataFrame:

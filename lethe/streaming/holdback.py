@@ -107,13 +107,14 @@ def restore_batch(known: DataFrame, sink):
     return of
 
 
-def sanitize_batch(store: Snapshots, known_schema: str = "token string, value string, label string", **stages):
+def sanitize_batch(store: Snapshots, sink, known_schema: str = "token string, value string, label string", **stages):
     """A foreachBatch function: each micro-batch reads the newest known values before it and writes the next version.
 
-    The version is the batch's id plus one, so a batch that runs again writes the same version anew.
+    sink(documents, batch id) gets the sanitized batch.  The version is the batch's id plus one, so a batch that runs
+    again writes the same version anew.
     """
 
-    def of(batch: DataFrame, batch_id: int, sink) -> None:
+    def of(batch: DataFrame, batch_id: int) -> None:
         older = [v for v in store.versions() if v <= batch_id]
         known = store.read(older[-1]) if older else batch.sparkSession.createDataFrame([], known_schema)
         out, table = s.sanitize(batch, known, **stages)

@@ -238,8 +238,8 @@ def test_loc(spark):
 
 def test_payloads(spark):
     p = '{"model":"m","system":"be a@b.com","messages":[{"role":"user","content":[{"type":"text","text":"hi c@d.org"}]},{"role":"tool","content":"x","id":"content"}],"n":1}'
-    texts, deep = payloads.text_paths(frame(spark, [(1, p), (2, "no json")], "id int, payload string"))
-    assert sorted((r.path, r.text) for r in texts.collect()) == [("$.messages[0].content[0].text", "hi c@d.org"), ("$.messages[0].content[0].type", "text")][:1] + [("$.messages[1].content", "x")] and deep.count() == 0
+    texts = payloads.text_paths(frame(spark, [(1, p), (2, "no json")], "id int, payload string"))
+    assert sorted((r.path, r.text) for r in texts.collect()) == [("$.messages[0].content[0].text", "hi c@d.org"), ("$.messages[0].content[0].type", "text")][:1] + [("$.messages[1].content", "x")]
     assert sorted((r.part, r.text) for r in payloads.chat_texts(frame(spark, [(1, p)], "id int, payload string")).collect()) == [("block", "hi c@d.org"), ("content", "x"), ("system", "be a@b.com")]
     out = payloads.sanitize_payloads(frame(spark, [(1, p)], "id int, payload string"), lambda d: sanitize.tokenize(d)[0]).first().payload
     assert "c@d.org" not in out and "[EMAIL_ADDRESS_1_" in out
@@ -247,6 +247,31 @@ def test_payloads(spark):
     assert tuple(payloads.stream_pieces(frame(spark, [("s", 3, chunk)], "stream_id string, seq long, data string")).first()) == ("s", "call:0:1", 3, "[A", False)
 
 
+def test_payloads_by_place(spark):
+    upper = lambda d: d.withColumn("sanitized", F.upper("text"))
+    one = lambda p: payloads.sanitize_payloads(frame(spark, [(1, p)], "id int, payload string"), upper).first().payload
+    assert one('{"bob":1.50,"id":"bob","content":"bob"}') == '{"bob":1.50,"id":"bob","content":"BOB"}'
+    deep = '{"content":' + "[" * 40 + '"bob", {"x": "bob", "text" : "a\\n\\"b\\u00e9"}' + "]" * 40 + "}"
+    assert one(deep) == deep.replace('["bob"', '["BOB"').replace('"a\\n\\"b\\u00e9"', '"A\\n\\"BÉ"')
+    very = '{"content":' + "[" * 3000 + '"bob"' + "]" * 3000 + "}"
+    assert one(very) == very.replace("bob", "BOB")
+    assert one("no json") == "no json" and one('{"content":""}') == '{"content":""}'
+    assert [x[:2] for x in payloads.strings('{"a":[{"text":"x"},"y"],"text":{"z":"w"},"e":[],"f":{}, "g":"v"}')] == [("$.a[0].text", "text"), ("$.a[1]", "a"), ("$.text.z", "z"), ("$.g", "g")]
+
+
+def test_whole_composition(spark):
+    known = frame(spark, [("[PERSON_1_abcdef]", "Jan Jansen", "PERSON"), ("[PERSON_2_abcdef]", "Piet", "PERSON")], "token string, value string, label string")
+    entries = frame(spark, [("e1", "ACC-77", "IDENTIFIER", "[CATALOG_IDENTIFIER_0123456789]")], "entry_id string, value string, category string, token string")
+    ips = lambda d: d.select("doc_id", F.expr("instr(text, '10.0.0.1') - 1").alias("start"), F.expr("instr(text, '10.0.0.1') + 7").alias("end"), F.lit("ip address").alias("label")).where("start >= 0")
+    own = docs(spark, ["Jan Jansen~ has ACC-77 and a@b.com", "Jan Jansen has ACC-77 at 10.0.0.1", "Piet"])
+    out, table = sanitize.sanitize(own, known, frame(spark, [("PIET",)], "value string"), entries=entries, verifiers=[ips])
+    got = {r.doc_id: r for r in out.collect()}
+    assert got[0].sanitized.startswith("Jan Jansen has [CATALOG_IDENTIFIER_0123456789] and [EMAIL_ADDRESS_1_")
+    assert got[1].sanitized.startswith("[PERSON_1_abcdef] has [CATALOG_IDENTIFIER_0123456789] at [VERIFIED_IP_ADDRESS_1_") and got[2].sanitized == "Piet"
+    assert set(got[1].tokens.values()) == {"Jan Jansen", "ACC-77", "10.0.0.1"} and table.count() == 4
+    assert {r.value for r in sanitize.escape_grants(own, now(), 5).collect()} == {"jansen", "jan", "jan jansen"}
+
+
 def test_quality(spark):
     rows = frame(spark, [("c", ["A@b.c", "x"], ["a@B.c", "y"]), ("c", [], []), ("d", ["z"], [])], "config string, expected array<string>, detected array<string>")
     got = {r.config: (r.tp, r.fp, r.fn, r.f1) for r in quality.summary(quality.scored(rows)).collect()}

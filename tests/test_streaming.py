@@ -45,7 +45,7 @@ def test_stream_restores_tokens(spark, tmp_path):
 
 def test_batches_learn_values(spark, tmp_path):
     store, got = Snapshots(spark, str(tmp_path / "known")), []
-    run = H.sanitize_batch(store)
+    run = H.sanitize_batch(store, lambda df, _: got.append(df.first().sanitized))
     for i, text in enumerate(["mail a@b.com", "again a@b.com and c@d.org", "a@b.com"]):
-        run(spark.createDataFrame([(0, text)], "doc_id long, text string"), i, lambda df, _: got.append(df.first().sanitized))
+        run(spark.createDataFrame([(0, text)], "doc_id long, text string"), i)
     assert store.read().count() == 2 and got[0].split()[1] == got[1].split()[1] == got[2]

@@ -93,3 +93,6 @@ def test_verifier_spans(spark):
     made = F.expr("array(named_struct('start',0,'end',3,'label','A','stage',6), named_struct('start',0,'end',8,'label','B','stage',6), named_struct('start',9,'end',9,'label','C','stage',6), named_struct('start',20,'end',30,'label','D','stage',6))")
     got = one(spark, "Jan Jansen and also [PERSON_1_abcdef]", detect.verifier_spans(made, spans.no_spans(), F.col("v"), []))
     assert [(s.start, s.end) for s in got] == [(0, 8)]
+    made = F.expr("array(named_struct('start',0,'end',10,'label','A','stage',6), named_struct('start',5,'end',15,'label','B','stage',6))")
+    got = one(spark, "some words that are long", detect.verifier_spans(made, spans.no_spans(), F.col("v"), []))
+    assert [(s.start, s.end) for s in got] == [(5, 15)]  # the later one stays
