@@ -25,9 +25,9 @@ def secret_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return docs.where(hit).select(F.col(id_col), text.alias("_t"), spans).select(id_col, "s.start", "s.end", "s.label", covered_text(F.col("_t"), F.col("s")).alias("value"))
 
 
-def detector_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ceiling: int = fixed.CEILING) -> DataFrame:
-    """(id, window, start, text) of texts up to the ceiling, in overlapping windows."""
-    own = docs.where(F.char_length(text_col) <= ceiling)
+def detector_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ceiling: int | None = fixed.CEILING) -> DataFrame:
+    """(id, window, start, text) of texts up to the ceiling, all texts without one, in overlapping windows."""
+    own = docs if ceiling is None else docs.where(F.char_length(text_col) <= ceiling)
     return own.select(id_col, F.posexplode(windows(F.col(text_col))).alias("window", "w")).select(id_col, "window", "w.start", "w.text")
 
 
@@ -36,9 +36,9 @@ def rule_entities(text: Column) -> Column:
     return reduce(F.concat, [spans_of(text, p, label, STAGE_ENTITY) for p, label in fixed.RULE_PATTERNS])
 
 
-def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ceiling: int | None = fixed.CEILING) -> DataFrame:
     """(id, start, end, label) of the rule detector over windows, in document offsets, each once."""
-    found = detector_windows(docs, id_col, text_col).select(id_col, F.col("start").alias("_at"), F.explode(rule_entities(F.col("text"))).alias("s"))
+    found = detector_windows(docs, id_col, text_col, ceiling).select(id_col, F.col("start").alias("_at"), F.explode(rule_entities(F.col("text"))).alias("s"))
     return remap(found.select(id_col, "_at", "s.start", "s.end", "s.label"), id_col)
 
 

@@ -104,22 +104,22 @@ def unresolved_tokens(spark, sf):
     return tokens.unresolved(out.select("doc_id", F.col("sanitized").alias("text")), half)
 
 
-PHRASES_SQL = "phrases AS (SELECT DISTINCT substr(text, 1, 40) AS value FROM benchmark)"
+PHRASES_SQL = "phrases AS (SELECT DISTINCT text AS value FROM benchmark)"
 
 
 @query(f"WITH {PHRASES_SQL} SELECT d.doc_id, p.value, CAST((length(d.text) - length(replace(d.text, p.value, ''))) / length(p.value) AS BIGINT) AS n FROM documents d JOIN phrases p ON contains(d.text, p.value)")
 def dictionary_match(spark, sf):
-    phrases = table(spark, sf, "benchmark").select(F.substring("text", 1, 40).alias("value"))
+    phrases = table(spark, sf, "benchmark").select(F.col("text").alias("value"))
     return dictionary.value_counts(dictionary.matches(docs(spark, sf), phrases))
 
 
 @query(
-    """WITH vals AS (SELECT DISTINCT n_name AS value FROM nation UNION SELECT DISTINCT substr(text, 5, 24) FROM benchmark)
+    """WITH vals AS (SELECT DISTINCT n_name AS value FROM nation UNION SELECT DISTINCT text FROM benchmark)
 SELECT d.doc_id, v.value, CAST((length(d.text) - length(replace(d.text, v.value, ''))) / length(v.value) AS BIGINT) AS n
 FROM documents d JOIN vals v ON contains(d.text, v.value) WHERE length(trim(v.value)) >= 2"""
 )
 def known_value_prescan(spark, sf):
-    values = table(spark, sf, "nation").select(F.col("n_name").alias("value")).unionByName(table(spark, sf, "benchmark").select(F.substring("text", 5, 24).alias("value")))
+    values = table(spark, sf, "nation").select(F.col("n_name").alias("value")).unionByName(table(spark, sf, "benchmark").select(F.col("text").alias("value")))
     return dictionary.value_counts(dictionary.known_values(docs(spark, sf), values))
 
 
@@ -139,16 +139,16 @@ def blacklist_hits(spark, sf):
 
 @query(
     """SELECT doc_id, CAST(k AS INTEGER) AS "window", CAST(k * 1350 AS INTEGER) AS start, sha256(substr(text, CAST(k * 1350 + 1 AS BIGINT), 1500)) AS text_hash
-FROM (SELECT doc_id, text, unnest(range(0, CASE WHEN length(text) <= 1500 THEN 1 ELSE CAST(ceil((length(text) - 1500) / 1350.0) AS BIGINT) + 1 END)) AS k FROM documents WHERE length(text) BETWEEN 1 AND 32768)"""
+FROM (SELECT doc_id, text, unnest(range(0, CASE WHEN length(text) <= 1500 THEN 1 ELSE CAST(ceil((length(text) - 1500) / 1350.0) AS BIGINT) + 1 END)) AS k FROM documents WHERE length(text) > 0)"""
 )
 def ner_windows(spark, sf):
-    return detect.detector_windows(docs(spark, sf)).select("doc_id", "window", "start", F.sha2("text", 256).alias("text_hash"))
+    return detect.detector_windows(docs(spark, sf), ceiling=None).select("doc_id", "window", "start", F.sha2("text", 256).alias("text_hash"))
 
 
-@query(r"""WITH m AS (SELECT doc_id, text, unnest(regexp_extract_all(text, '(?:\d{1,3}\.){3}\d{1,3}')) AS value FROM documents WHERE length(text) <= 32768)
+@query(r"""WITH m AS (SELECT doc_id, text, unnest(regexp_extract_all(text, '(?:\d{1,3}\.){3}\d{1,3}')) AS value FROM documents)
 SELECT doc_id, count(DISTINCT value) AS n FROM m GROUP BY doc_id""")
 def rule_entities(spark, sf):
-    found = detect.entities(docs(spark, sf)).where("label = 'IP_ADDRESS'").join(docs(spark, sf), "doc_id")
+    found = detect.entities(docs(spark, sf), ceiling=None).where("label = 'IP_ADDRESS'").join(docs(spark, sf), "doc_id")
     return found.groupBy("doc_id").agg(F.count_distinct(F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))).alias("n"))
 
 
@@ -207,17 +207,17 @@ def catalog_stale(spark, sf):
 
 
 @query(
-    r"""WITH phrases AS (SELECT DISTINCT substr(text, 1, 40) AS value FROM benchmark), hits AS (
-  SELECT d.doc_id, d.text, p.value, unnest(range(0, CAST((length(d.text) - length(replace(d.text, p.value, ''))) / length(p.value) AS BIGINT))) AS k FROM documents d JOIN phrases p ON contains(d.text, p.value)
+    r"""WITH hits AS (
+  SELECT d.doc_id, d.text, p.text AS value, p.item_id, unnest(range(0, CAST((length(d.text) - length(replace(d.text, p.text, ''))) / length(p.text) AS BIGINT))) AS k FROM documents d JOIN benchmark p ON contains(d.text, p.text)
 ), placed AS (
   SELECT *, list_sum(list_transform(string_split(text, value)[1:CAST(k + 1 AS INTEGER)], lambda x: length(x))) + k * length(value) AS start FROM hits
-) SELECT CASE WHEN regexp_matches(substr(text, CAST(greatest(0, start - 80) + 1 AS BIGINT), CAST(start - greatest(0, start - 80) AS BIGINT)) || ' ' || substr(text, CAST(start + length(value) + 1 AS BIGINT), 80),
+) SELECT CASE WHEN item_id % 3 = 0 THEN 'tokenized' WHEN regexp_matches(substr(text, CAST(greatest(0, start - 80) + 1 AS BIGINT), CAST(start - greatest(0, start - 80) AS BIGINT)) || ' ' || substr(text, CAST(start + length(value) + 1 AS BIGINT), 80),
   '(?i)([a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}|\+?[\d\s().-]{7,}|\b(account|customer|iban|vat|bsn|ssn|dob|date of birth|passport|phone|email)\b)') THEN 'strict_override' ELSE 'first_name_visible' END AS decision,
   count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM placed GROUP BY 1"""
 )
 def catalog_enforce_policy(spark, sf):
-    values = table(spark, sf, "benchmark").select(F.substring("text", 1, 40).alias("value")).distinct()
-    entries = values.select(F.sha2("value", 256).alias("entry_id"), "value", F.lit("PERSON").alias("category"), catalog.catalog_token(F.lit("PERSON"), F.col("value"), "lethe").alias("token"))
+    category = F.when(F.col("item_id") % 3 == 0, "IDENTIFIER").otherwise("PERSON")
+    entries = table(spark, sf, "benchmark").select(F.sha2("text", 256).alias("entry_id"), F.col("text").alias("value"), category.alias("category"), catalog.catalog_token(category, F.col("text"), "lethe").alias("token"))
     return catalog.decisions(docs(spark, sf), entries, None, None).groupBy("decision").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
 
 
@@ -305,38 +305,65 @@ def turn_type_and_timing(spark, sf):
 
 
 @query(
-    r"""WITH e AS (SELECT d.doc_id, d.lang AS config, list_distinct(list_transform(regexp_extract_all(text, '(?i)[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}'), lambda x: lower(x))) AS expected,
-  list_distinct(list_transform(regexp_extract_all(text, '[a-z0-9._%+\-]+@[a-z0-9.\-]+\.com'), lambda x: lower(x))) AS detected FROM documents d),
-c AS (SELECT config, sum(len(list_filter(detected, lambda x: list_contains(expected, x)))) AS tp, sum(len(list_filter(detected, lambda x: NOT list_contains(expected, x)))) AS fp, sum(len(list_filter(expected, lambda x: NOT list_contains(detected, x)))) AS fn FROM e GROUP BY config)
+    f"""WITH {FOUND_SQL}, x AS (SELECT doc_id, list(DISTINCT lower(value)) AS detected FROM labelled WHERE label = 'EMAIL_ADDRESS' GROUP BY doc_id), e AS (
+  SELECT d.lang AS config, list_distinct(list_transform(regexp_extract_all(text, '(?i)[a-z0-9._%+\\-]+@[a-z0-9.\\-]+\\.com'), lambda v: lower(v))) AS expected, coalesce(detected, []) AS detected FROM documents d LEFT JOIN x ON x.doc_id = d.doc_id),
+c AS (SELECT config, sum(len(list_filter(detected, lambda v: list_contains(expected, v)))) AS tp, sum(len(list_filter(detected, lambda v: NOT list_contains(expected, v)))) AS fp, sum(len(list_filter(expected, lambda v: NOT list_contains(detected, v)))) AS fn FROM e GROUP BY config)
 SELECT config, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1 FROM c"""
 )
 def detection_quality(spark, sf):
-    email = r"(?i)[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}"
-    rows = table(spark, sf, "documents").select(F.col("lang").alias("config"), F.regexp_extract_all("text", F.lit(email), F.lit(0)).alias("expected"), F.regexp_extract_all("text", F.lit(r"[a-z0-9._%+\-]+@[a-z0-9.\-]+\.com"), F.lit(0)).alias("detected"))
+    own = table(spark, sf, "documents")
+    detected = detect.secret_matches(docs(spark, sf)).where("label = 'EMAIL_ADDRESS'").groupBy("doc_id").agg(F.collect_set("value").alias("detected"))
+    rows = own.join(detected, "doc_id", "left").select(F.col("lang").alias("config"), F.regexp_extract_all("text", F.lit(r"(?i)[a-z0-9._%+\-]+@[a-z0-9.\-]+\.com"), F.lit(0)).alias("expected"), "detected")
     return quality.summary(quality.scored(rows))
 
 
 @query(
     r"""WITH l AS (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents), f AS (SELECT lang, count(*) AS files FROM documents GROUP BY lang)
-SELECT coalesce(lang, 'TOTAL') AS language, CAST(sum(n) AS BIGINT) AS total, CAST(sum(blank) AS BIGINT) AS blank FROM (SELECT lang, count(*) AS n, count(*) FILTER (trim(line) = '') AS blank FROM l GROUP BY lang) GROUP BY ROLLUP (lang)"""
+SELECT coalesce(lang, 'TOTAL') AS language, CAST(sum(n) AS BIGINT) AS total, CAST(sum(blank) AS BIGINT) AS blank, CAST(sum(comment) AS BIGINT) AS comment, CAST(sum(n - blank - comment) AS BIGINT) AS code
+FROM (SELECT lang, count(*) AS n, count(*) FILTER (trim(line) = '') AS blank, count(*) FILTER (starts_with(trim(line), '//') OR starts_with(trim(line), '*') OR starts_with(trim(line), '/*')) AS comment FROM l GROUP BY lang) GROUP BY ROLLUP (lang)"""
 )
 def line_counts(spark, sf):
-    own = table(spark, sf, "documents").withColumn("c", loc.line_counts(F.col("text"), F.lit("Markdown")))
-    return own.rollup("lang").agg(F.sum("c.total").alias("total"), F.sum("c.blank").alias("blank")).select(F.coalesce("lang", F.lit("TOTAL")).alias("language"), "total", "blank")
+    own = table(spark, sf, "documents").withColumn("c", loc.line_counts(F.col("text"), F.lit("JavaScript")))
+    return own.rollup("lang").agg(*[F.sum(f"c.{k}").alias(k) for k in ("total", "blank", "comment", "code")]).select(F.coalesce("lang", F.lit("TOTAL")).alias("language"), "total", "blank", "comment", "code")
 
 
 @query("SELECT CAST(conv_id AS VARCHAR) AS stream_key, sha256(string_agg(text, '' ORDER BY turn)) AS text_hash FROM conversations GROUP BY conv_id")
 def stream_holdback(spark, sf):
-    c = table(spark, sf, "conversations")
-    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
-    chunks = c.select(F.col("conv_id").cast("string").alias("stream_key"), n.cast("long").alias("seq"), F.col("text").alias("delta"), F.lit(False).alias("is_end"))
-    out = holdback.hold_back(chunks)
+    """Conversations tokenized, cut into pieces of seven characters, so through tokens, and restored."""
+    c = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    safe, known = sanitize.tokenize(c)
+    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.char_length("sanitized") / 7).cast("int") - 1)), lambda k: F.substring("sanitized", k * 7 + 1, F.lit(7)))
+    cut = safe.select(F.floor(F.col("doc_id") / 1000).cast("string").alias("stream_key"), F.col("doc_id").alias("turn"), F.posexplode(pieces).alias("place", "delta"))
+    n = F.row_number().over(Window.partitionBy("stream_key").orderBy("turn", "place")) - 1
+    out = holdback.restored(cut.select("stream_key", n.cast("long").alias("seq"), "delta", F.lit(False).alias("is_end")), known)
     return out.groupBy("stream_key").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), ""), 256).alias("text_hash"))
 
 
-@query(f"WITH {TABLE_SQL} SELECT d.doc_id, sha256(d.text) AS content_hash, 0 AS live, 0 AS unknown, coalesce(r.n, 0) AS raw_values FROM documents d LEFT JOIN (SELECT doc_id, count(DISTINCT k.value) AS n FROM documents d JOIN known k ON contains(d.text, k.value) GROUP BY doc_id) r ON d.doc_id = r.doc_id")
+SAFE_SQL = TABLE_SQL + f""", pieces AS (
+  SELECT doc_id, unnest(regexp_split_to_array(text, '{ALL_RE}')) AS piece, unnest(range(1, len(regexp_split_to_array(text, '{ALL_RE}')) + 1)) AS place FROM documents
+), safe AS (
+  SELECT p.doc_id, string_agg(CASE WHEN p.doc_id % 2 = 0 THEN p.piece || coalesce(k.token, '') ELSE p.piece || coalesce(l.value, '') END, '' ORDER BY p.place) AS text
+  FROM pieces p LEFT JOIN labelled l ON l.doc_id = p.doc_id AND l.place = p.place LEFT JOIN known k ON k.label = l.label AND k.value = l.value GROUP BY p.doc_id
+)"""
+_SHAPE = r"\[(?:[A-Z_]+_\d+_[0-9a-f]{6,}|CATALOG_[A-Z0-9_]+_[0-9a-f]{6,})\]"
+
+
+def half_safe(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Documents of which every other one is tokenized, and the token table."""
+    own = docs(spark, sf)
+    out, known = sanitize.tokenize(own)
+    safe = out.select("doc_id", F.col("sanitized").alias("safe"))
+    return own.join(safe, "doc_id").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("safe")).otherwise(F.col("text")).alias("text")), known
+
+
+@query(
+    f"""WITH {SAFE_SQL}, half AS (SELECT * FROM known WHERE substr(sha256(value), 1, 1) < '8'), t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '{_SHAPE}'))) AS token FROM safe),
+u AS (SELECT doc_id, count(h.token) AS live, count(*) - count(h.token) AS unknown FROM t LEFT JOIN half h ON h.token = t.token GROUP BY doc_id), r AS (SELECT doc_id, count(DISTINCT h.value) AS n FROM safe s JOIN half h ON contains(s.text, h.value) GROUP BY doc_id)
+SELECT s.doc_id, sha256(s.text) AS content_hash, coalesce(live, 0) AS live, coalesce(unknown, 0) AS unknown, coalesce(r.n, 0) AS raw_values FROM safe s LEFT JOIN u ON u.doc_id = s.doc_id LEFT JOIN r ON r.doc_id = s.doc_id"""
+)
 def residual_tokens(spark, sf):
-    return sanitize.residual_tokens(docs(spark, sf), tokens.mint(detect.secret_matches(docs(spark, sf))))
+    safe, known = half_safe(spark, sf)
+    return sanitize.residual_tokens(safe, known.where(F.substring(F.sha2("value", 256), 1, 1) < "8"))
 
 
 @query(f"WITH {TABLE_SQL} SELECT label, max(n) AS last FROM numbered GROUP BY label")
@@ -350,8 +377,7 @@ def blocked_paths(spark, sf):
     return table(spark, sf, "pages").select("url", F.when(why.isNull(), "open").when(F.startswith(why, F.lit("matches")), "glob").otherwise("sensitive").alias("decision"))
 
 
-@query(
-    r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '\[(?:[A-Z_]+_\d+_[0-9a-f]{6,}|CATALOG_[A-Z0-9_]+_[0-9a-f]{6,})\]')) AS INTEGER) AS n_tokens, contains(text, '~') AS marked FROM documents"""
-)
+@query(f"WITH {SAFE_SQL} SELECT doc_id, CAST(len(regexp_extract_all(text, '{_SHAPE}')) AS INTEGER) AS n_tokens, contains(text, '~') AS marked FROM safe")
 def token_shapes(spark, sf):
-    return docs(spark, sf).select("doc_id", F.size(sp.token_spans(F.col("text"))).alias("n_tokens"), (F.size(tx.escapes(F.col("text"))) > 0).alias("marked"))
+    safe, _ = half_safe(spark, sf)
+    return safe.select("doc_id", F.size(sp.token_spans(F.col("text"))).alias("n_tokens"), (F.size(tx.escapes(F.col("text"))) > 0).alias("marked"))

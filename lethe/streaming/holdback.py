@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -82,12 +83,32 @@ def hold_back(chunks: DataFrame) -> DataFrame:
     if chunks.isStreaming:
         return own.groupBy("stream_key").transformWithStateInPandas(statefulProcessor=HoldBack(), outputStructType=OUTPUT, outputMode="Append", timeMode="None")
 
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, held, _, _ = release(sorted(zip(pdf["seq"], pdf["delta"], pdf["is_end"], strict=True), key=lambda p: p[0]), "", 0, {})
-        out += [(int(pdf["seq"].max()) + 1, held)] if held else []
-        return _rows(pdf["stream_key"].iloc[0], out)
-
-    return own.groupBy("stream_key").applyInPandas(whole, OUTPUT)
+    return _held_back(own)
+
+
+def _held_back(chunks: DataFrame) -> DataFrame:
+    """R1 over a table, by windows: what a chunk holds back is the open bracket at its end, or the one before it if the
+    chunk only goes on with it.  No more than LONGEST chunks are looked at for one row."""
+    keys = ["stream_key"]
+    ends = chunks.groupBy("stream_key").agg(F.max("seq").alias("top"))
+    single = chunks.groupBy("stream_key", "seq").agg(F.max(F.coalesce("delta", F.lit(""))).alias("delta"), F.bool_or(F.coalesce("is_end", F.lit(False))).alias("is_end"))
+    in_order = W.partitionBy(*keys).orderBy("seq")
+    ready = single.withColumn("n", F.row_number().over(in_order) - 1).where("n = seq").where("delta <> '' or is_end")
+    ready = ready.withColumn("part", F.coalesce(F.sum(F.col("is_end").cast("int")).over(in_order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    goes_on = F.col("delta").rlike(r"^[A-Z0-9_a-f]*$")
+    within = W.partitionBy(*keys, "part").orderBy("seq")
+    opened = F.when(goes_on, F.col("delta")).otherwise(F.regexp_extract("delta", r"\[[A-Z0-9_a-f]*$", 0))
+    runs = ready.withColumn("opened", opened).withColumn("run", F.sum((~goes_on).cast("int")).over(within))
+    run = W.partitionBy(*keys, "part", "run").orderBy("seq")
+    tail = F.array_join(F.collect_list("opened").over(run.rowsBetween(-LONGEST, 0)), "")
+    open_at = F.first("opened").over(run)
+    held = F.when(~F.col("is_end") & F.startswith(open_at, F.lit("[")) & (F.char_length(tail) <= LONGEST), tail).otherwise("")
+    kept = runs.withColumn("held", held)
+    before = F.coalesce(F.lag("held").over(within), F.lit(""))
+    whole = F.concat(before, F.col("delta"))
+    out = kept.withColumn("text", F.substring(whole, F.lit(1), F.char_length(whole) - F.char_length("held")))
+    last = out.groupBy("stream_key").agg(F.max_by("held", "seq").alias("text")).join(ends, "stream_key").select("stream_key", (F.col("top") + 1).alias("seq"), "text")
+    return out.select("stream_key", "seq", "text").unionByName(last).where("text <> ''")
 
 
 def restored(chunks: DataFrame, known: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -49,3 +51,18 @@ def test_batches_learn_values(spark, tmp_path):
     for i, text in enumerate(["mail a@b.com", "again a@b.com and c@d.org", "a@b.com"]):
         run(spark.createDataFrame([(0, text)], "doc_id long, text string"), i)
     assert store.read().count() == 2 and got[0].split()[1] == got[1].split()[1] == got[2]
+
+
+def test_tables_are_held_back_as_streams_are(spark):
+    r = random.Random(6)
+    rows, want = [], {}
+    for key in range(40):
+        pieces = [r.choice(["[", "AB", "PERSON_1_abcdef]", "x [", "]", "", "[A_1_ab", "y z", "A" * 90, "[[", "0f"]) for _ in range(r.randint(0, 25))]
+        seqs = [q for q in range(len(pieces)) if key % 5 or q != 7]  # some streams have a gap
+        chunks = [(q, pieces[q], r.random() < 0.08) for q in seqs]
+        rows += [(str(key), *c) for c in chunks]
+        out, held, _, _ = H.release(chunks, "", 0, {})
+        out += [(max(seqs) + 1, held)] if held else []
+        want |= {(str(key), q): t for q, t in out}
+    got = H.hold_back(spark.createDataFrame(rows, "stream_key string, seq long, delta string, is_end boolean").repartition(3)).collect()
+    assert {(x.stream_key, x.seq): x.text for x in got} == want and len(got) == len(want)
