@@ -9,8 +9,8 @@ update replace the response's own.
 
 Defined results: a revisit without URL or date, or with no response of an earlier date, is `unresolved`; of
 responses of one date the larger id counts; validators that differ give `mismatch` with the response's id but
-no headers; a revisit without validators is `unchecked`; repeated revisits are each resolved, repeated responses
-(same id) count once; header names are compared in lower case; other columns are ignored.
+no headers; a revisit without validators is `unchecked`; repeated revisits (same id) are each resolved, to the
+largest id of a response that one of them leads to; of repeated responses (same id) the headers count that sort first; header names are compared in lower case; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -67,8 +67,9 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     carried = lasts.select("canonical", "bucket", F.last("last", ignorenulls=True).over(across).alias("far"))
     asof = near.join(carried, ["canonical", "bucket"], "left").select("revisit_id", "canonical", F.coalesce("near.record_id", "far.record_id").alias("response_id"))
     revisits = own.where("full = 0").select(F.col("record_id").alias("revisit_id"), "canonical", _lower_names(F.col("headers")).alias("sent"))
-    responses = own.where("full = 1").dropDuplicates(["record_id"]).select(F.col("record_id").alias("response_id"), _lower_names(F.col("headers")).alias("stored"))
-    known = asof.select("revisit_id", "response_id").dropDuplicates(["revisit_id"])
+    stored = own.where("full = 1").select(F.col("record_id").alias("response_id"), _lower_names(F.col("headers")).alias("stored"))
+    responses = stored.groupBy("response_id").agg(F.min_by("stored", header_lines(F.col("stored"))).alias("stored"))
+    known = asof.groupBy("revisit_id").agg(F.max("response_id").alias("response_id"))
     joined = revisits.join(known, "revisit_id", "left").join(responses, "response_id", "left")
     etag, changed = F.col("sent")["etag"], F.col("sent")["last-modified"]
     status = (
@@ -95,7 +96,7 @@ def records_of(pages: DataFrame) -> DataFrame:
 
     By page_id, a fifth of the revisits carry a foreign ETag, a fifth only Last-Modified, a fifth no validator.
     """
-    at = lambda minutes: F.to_timestamp(F.lit(EPOCH)) + F.make_interval(mins=minutes.cast("int"))
+    at = lambda minutes: F.timestamp_seconds(F.unix_timestamp(F.lit(EPOCH)) + minutes * 60)
     stamp = lambda t: F.date_format(t, "yyyy-MM-dd HH:mm:ss")
     page = F.col("page_id")
     first, later = at(page), at(page + 1 + page % 9973)

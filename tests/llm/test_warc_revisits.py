@@ -80,3 +80,11 @@ def test_edges(spark):
     two = (2, "revisit", "http://a", at(2), None, None)
     rows = R.resolve_revisits(spark.createDataFrame([one, one, two, two], SCHEMA)).collect()
     assert [(r.revisit_id, r.response_id, r.status, r.headers) for r in rows] == [(2, 1, "unchecked", {"a": "2"})] * 2
+
+
+def test_large_page_ids_and_repeated_ids(spark):
+    pages = spark.createDataFrame([(3_000_000_000, "http://a.example/x", "<p>"), (7, "http://a.example/y", None)], "page_id long, url string, html string")
+    assert {r.status for r in R.resolve_revisits(R.records_of(pages)).collect()} == {"mismatch", "unchecked"}
+    rows = [(1, "response", "http://e.com/a", at(1), {"etag": "b"}), (1, "response", "http://e.com/a", at(1), {"etag": "a"}), (2, "revisit", "http://e.com/a", at(2), {"etag": "a"}), (2, "revisit", "http://e.com/a", at(3), {"etag": "a"})]
+    got = R.resolve_revisits(spark.createDataFrame(rows, "record_id long, kind string, url string, date timestamp, headers map<string,string>")).collect()
+    assert [(r.revisit_id, r.response_id, r.status, r.headers) for r in got] == [(2, 1, "resolved", {"etag": "a"})] * 2
