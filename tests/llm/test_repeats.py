@@ -103,3 +103,15 @@ def test_edges(spark, docs_of, remove):
     assert len(got) == 3 and all(not r.spans for r in got)
     got = {r.doc: bytes(r.kept) for r in remove(docs_of([long, long], [-3, 2])).collect()}
     assert got == {-3: long.encode(), 2: b""}
+
+
+def test_documents_without_repeats(spark):
+    from lethe.llm.suffix_dedup import without_repeats
+
+    long = "".join(f"{i:03d}é" for i in range(60))
+    rows = [(1, long, 5, "a", "b"), (2, "x" + long, 6, None, "c"), (3, None, None, "d", None), (4, "", 0, "e", "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, _ string, none string")
+    got = {r.doc_id: r for r in without_repeats(df).collect()}
+    assert without_repeats(df).columns == df.columns
+    assert got[1].text == long and got[2].text == "x" and got[2].n_chars == 1 and got[3].text is None and got[4].text == ""
+    assert [got[i]["_"] for i in (1, 2, 3, 4)] == ["a", None, "d", "e"] and got[2]["none"] == "c"
