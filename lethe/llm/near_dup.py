@@ -13,7 +13,9 @@
 In steps 3 and 4 a bucket of more than BLOCK members is cut into blocks by a hash of the document; each two blocks are
 a group of their own, dealt like a bucket.  A task holds one group at a time, so its memory is bounded by two blocks.
 
-A link of similarity s is missed when no band of 4 registers agrees, at s = 0.75 about once in 2e5 links.
+A link of similarity s is missed when no band of 4 registers agrees, at s = 0.75 about once in 2e5 links of large
+sets.  Sets of up to FEW shingles, whose bands borrow registers, also have keys for the set itself and for the set less
+each shingle, by which all links whose union has up to 7 shingles are found.
 
 Defined results: a null or empty text, or one without words, has an empty set, is linked with nothing and is
 its own component; fewer words than `size` make one shingle; rows with null doc_id are their own component (null);
@@ -37,6 +39,7 @@ from .textblocks import Rolling, blocks, lower_ascii, mix, words
 SIZE = 5
 SIMILAR, OF = 75, 100  # a link: OF * intersection >= SIMILAR * union
 DEVIATIONS = 4
+FEW = 8
 BLOCK = 512  # members of a bucket that are compared as one
 
 
@@ -63,6 +66,15 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return (upto[bounds[1:]] - upto[bounds[:-1]]).view(np.int64)
 
 
+def few_keys(row: np.ndarray, value: np.ndarray, bounds: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and key of each set of 3 to FEW shingles, and of those of 4 or more without one of them; sums of mixed shingles."""
+    n = np.diff(bounds)
+    whole = np.flatnonzero((n >= 3) & (n <= FEW))
+    less = np.flatnonzero((n[row] >= 4) & (n[row] <= FEW)) if len(row) else np.zeros(0, np.int64)
+    own = np.concatenate([sums[whole], sums[row[less]] - mix(value[less])])
+    return np.concatenate([whole, row[less]]), mix(own ^ np.uint64(0x2545F4914F6CDD1D))
+
+
 def _sketch(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -70,9 +82,14 @@ def _sketch(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
                 row, value = shingle_sets(data, offs, size)
                 bounds = np.searchsorted(row, np.arange(j - i + 1))
                 keys = hmh.band_keys(hmh.registers(row, value, j - i)).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, hmh.BANDS, dtype=np.int32)), pa.array(keys.ravel()))
+                sums = _sums(mix(value), bounds)
+                few, more = few_keys(row, value, bounds, sums.view(np.uint64))
+                owner = np.concatenate([np.repeat(np.arange(j - i), hmh.BANDS), few])
+                order = np.argsort(owner, kind="stable")
+                keys = np.concatenate([keys.ravel(), more.view(np.int64)])[order]
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[order], np.arange(j - i + 1)).astype(np.int32)), pa.array(keys))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), pa.array(np.diff(bounds)), pa.array(_sums(mix(value), bounds)), pa.array(_sums(mix(value ^ np.uint64(0x5851F42D4C957F2D)), bounds)), lists],
+                    [b.column(0).slice(i, j - i), pa.array(np.diff(bounds)), pa.array(sums), pa.array(_sums(mix(value ^ np.uint64(0x5851F42D4C957F2D)), bounds)), lists],
                     names=["doc", "n", "p1", "p2", "keys"],
                 )
 

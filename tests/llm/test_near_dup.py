@@ -82,6 +82,16 @@ def test_against_brute_force(docs_of, monkeypatch, seed, block):
     assert sorted(map(tuple, got)) == sorted(brute(texts, ids))
 
 
+def test_few_shingles(docs_of):
+    r = random.Random(9)
+    texts = []
+    for i in range(400):  # sets of 3 and 4, and of 6 and 7, that differ by one shingle
+        w = [f"w{i}x{k}" for k in range(r.choice([8, 11]))]
+        texts += [" ".join(w), " ".join(w[:-1])]
+    got = near_dup.near_duplicates(docs_of(texts, list(range(len(texts))))).collect()
+    assert {r.doc: r.component for r in got} == {i: i - i % 2 for i in range(len(texts))}
+
+
 def test_hot_bucket(docs_of, monkeypatch):
     # Many documents share a template and stay apart, some of them are near: the buckets of the template's bands are cut into blocks.
     monkeypatch.setattr(near_dup, "BLOCK", 8)
