@@ -53,3 +53,27 @@ def test_more_languages_than_bits(spark, docs_of):
     assert f.languages == sorted(words) and f.table.shape == (1 << L.SLOTS_LOG2, 3)
     got = L.predict(docs_of([" ".join(reversed(w)) for w in words.values()]), f).orderBy("doc_id").collect()
     assert [x.lang_pred for x in got] == list(words)
+
+
+def test_against_exact_sets(spark):
+    """The corrected counts against exact sets of grams, on a whole table: the same language but for near ties."""
+    import pyarrow.parquet as pq
+
+    t = pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pylist()
+    rows = [(r["text"], r["lang"]) for r in t if r["text"] and r["lang"]]
+    f = L.fit(spark.createDataFrame(rows, "text string, lang string"))
+
+    def grams(text):
+        folded = bytes(c if c >= 128 else ord(chr(c).lower()) if chr(c).isalpha() else 32 for c in text.encode())
+        return [folded[k : k + 4] for k in range(len(folded) - 3) if b"  " not in folded[k : k + 4]]
+
+    counts = {lang: {} for lang in f.languages}
+    for text, lang in rows:
+        for g in set(grams(text)):
+            counts[lang][g] = counts[lang].get(g, 0) + 1
+    exact = {lang: {g for g, n in sorted(c.items(), key=lambda x: (-x[1], x[0]))[: L.GRAMS_PER_LANGUAGE] if n >= L.LEAST_COUNT} for lang, c in counts.items()}
+    for text, _ in rows:
+        own = grams(text)
+        want = [sum(g in exact[lang] for g in own) for lang in f.languages]
+        best, _ = L.decide(f, *text_buffers(__import__("pyarrow").array([text])))
+        assert want[best[0]] >= 0.98 * max(want) - 1

@@ -112,3 +112,40 @@ def test_pieces_cover_long_words(n):
     seen = set(v.grams.tolist())
     for g in every:
         assert T.mix(T.byte_rolling(np.frombuffer(g.encode(), np.uint8)).grams(6) + np.uint64(6))[0] in seen
+
+
+def test_against_a_plain_loop(model):
+    """Scores against a word-by-word forward pass in plain Python loops."""
+    texts, _ = corpus(12, 5)
+    texts += ["", "one", None, "gronk " * 100]
+    p = model.p
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def run(vectors, side):
+        h, out, hid = np.zeros(T.HIDDEN), [], T.HIDDEN
+        for v in vectors:
+            x, g = v @ p["w" + side] + p["c" + side], h @ p["u" + side]
+            z, r = sigmoid(x[:hid] + g[:hid]), sigmoid(x[hid : 2 * hid] + g[hid : 2 * hid])
+            h = (1 - z) * np.tanh(x[2 * hid :] + r * g[2 * hid :]) + z * h
+            out.append(h)
+        return out
+
+    got = all_scores(model, texts)
+    for text, score in zip(texts, got, strict=True):
+        number, _, v = T.tokens(*text_buffers(pa.array([text], pa.string())))
+        word, gram = T._inputs(model, v)
+        vectors = []
+        for i in number:
+            known = [p["grams"][g] for g in gram[v.offs[i] : v.offs[i + 1]] if g]
+            vectors.append(p["words"][word[i]] + (np.mean(known, 0) if known else p["grams"][0]))
+        best = 0.0
+        for s in range(0, max(1, len(vectors)), T.STRIDE):
+            part = vectors[s : s + T.WINDOW]
+            if s and s - T.STRIDE + T.WINDOW >= len(vectors):
+                break
+            h = [np.concatenate(x) for x in zip(run(part, "f"), run(part[::-1], "b")[::-1], strict=True)]
+            if h:
+                a = np.exp([x @ p["att"] for x in h])
+                best = max(best, sigmoid(sum(w * x for w, x in zip(a / a.sum(), h, strict=True)) @ p["out"] + p["bias"]))
+        if len(vectors):
+            assert abs(best - score) < 1e-4
