@@ -60,11 +60,14 @@ def _cut(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
 
 
 def cut(docs: DataFrame, repeats: DataFrame, unit: Unit) -> DataFrame:
-    """docs (doc, text, and `rest` if it is there) without the symbols that the windows of repeats (doc, start, count) cover."""
+    """docs (doc, body, and `rest` if it is there) without the symbols that the windows of repeats (doc, start, count) cover."""
     per_doc = repeats.groupBy("doc").agg(F.collect_list(F.struct("start", "count")).alias("windows"))
     rest = [f for f in docs.schema if f.name == "rest"]
     schema = T._parse_datatype_string(_CUT)
-    return docs.join(per_doc, "doc", "left").select("doc", "text", "windows", *[f.name for f in rest]).mapInArrow(_cut(unit), T.StructType([*schema, *rest]))
+    # Rows without doc are no side of the join, so its exchange of texts is the one that repeated_windows reads too.
+    joined = docs.where("doc is not null").join(per_doc, "doc", "left").select("doc", "body", "windows", *[f.name for f in rest])
+    others = docs.where("doc is null").select("doc", "body", F.lit(None).cast(per_doc.schema["windows"].dataType).alias("windows"), *[f.name for f in rest])
+    return joined.unionByName(others).mapInArrow(_cut(unit), T.StructType([*schema, *rest]))
 
 
 def digest(result: DataFrame, n: str, spans: str | None = None) -> DataFrame:

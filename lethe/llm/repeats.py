@@ -303,15 +303,15 @@ def _resolve(unit: Unit, resolver: Callable[[Pieces, Unit], tuple[np.ndarray, np
 
 
 def repeated_windows(docs: DataFrame, unit: Unit, resolver: Callable) -> DataFrame:
-    """docs (doc, text) -> runs of window starts (doc, start, count) that repeat an earlier window.
+    """docs (doc, body) -> runs of window starts (doc, start, count) that repeat an earlier window.
 
     Rows whose doc is null take no part.  Repeated input rows are one occurrence.
     """
-    docs = docs.where("doc is not null")
+    docs = docs.where("doc is not null").select("doc", "body")
     found = docs.mapInArrow(_find_runs(unit), _RUNS).repartition("key").mapInArrow(_settle(unit), _SETTLED)
     settled = written(found, "runs")
     wanted = settled.where(F.col("kind").isin(RUN, HOT_RUN)).groupBy("doc").agg(F.collect_list(F.struct("key", "alike", "start", "count", "place", (F.col("kind") == HOT_RUN).alias("hot"))).alias("runs"))
-    pieces = docs.join(wanted, "doc").select("doc", "text", "runs").mapInArrow(_fetch(unit), _PIECES)
+    pieces = docs.join(wanted, "doc").select("doc", "body", "runs").mapInArrow(_fetch(unit), _PIECES)
     copies = settled.where(F.col("kind") == COPY).select("key", "alike", "doc", "start", "count", "place", F.lit(None).cast("binary").alias("seg"))
     resolved = pieces.unionByName(copies).repartition("key").sortWithinPartitions("key").mapInArrow(_resolve(unit, resolver), _REPEATS)
     return settled.where(F.col("kind") == REPEAT).select("doc", "start", "count").unionByName(resolved)

@@ -48,6 +48,6 @@ def fm_resolver(pieces: Pieces, unit: Unit) -> tuple[np.ndarray, np.ndarray]:
 
 def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc, n, spans, kept): words of each text, removed word spans [start, end), and the words kept, joined by one space."""
-    own = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    own = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("body"))
     unit = Unit(True, length, gram, False)
     return cut(own, repeated_windows(own, unit, fm_resolver), unit)

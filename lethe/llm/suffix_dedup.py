@@ -49,7 +49,7 @@ def suffix_resolver(pieces: Pieces, unit: Unit) -> tuple[np.ndarray, np.ndarray]
 
 def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc, n, spans, kept): bytes of each text, removed byte spans [start, end), and the bytes kept."""
-    own = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    own = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("body"))
     unit = Unit(False, length, gram, True)
     return cut(own, repeated_windows(own, unit, suffix_resolver), unit)
 
@@ -57,9 +57,9 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents (doc_id, text, n_chars, others) with repeated bytes cut out of their texts; broken characters at the cuts go too, null texts stay null."""
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    own = docs.select(F.col("doc_id").cast("long").alias("doc"), "text", F.struct(F.col("text").isNull().alias("none"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(others)]).alias("rest"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").alias("body"), F.struct(F.col("text").isNull().alias("none"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(others)]).alias("rest"))
     unit = Unit(False, LENGTH, GRAM, True)
-    found = cut(own, repeated_windows(own.select("doc", "text"), unit, suffix_resolver), unit)
+    found = cut(own, repeated_windows(own, unit, suffix_resolver), unit)
     whole = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", "")
     text = found.select(F.col("doc").alias("doc_id"), F.when(~F.col("rest.none"), whole).alias("text"), *[F.col(f"rest.c{i}").alias(c) for i, c in enumerate(others)])
     return text.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
