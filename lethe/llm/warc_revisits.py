@@ -1,8 +1,9 @@
 """WARC not-modified revisits: an as-of join by canonical URL to the latest earlier full response.
 
-The join runs in two levels, so that a URL with a large share of all captures isn't sorted by one task: inside
-a time bucket by a window over (URL, bucket), and from bucket to bucket over one row each.  Only ids and dates go
-through it; headers are joined afterwards by id.
+The join runs over distinct (URL, date) pairs in two levels, so that a URL with a large share of all captures isn't
+sorted by one task: inside a time bucket by a window over (URL, bucket), and from bucket to bucket over one row each.
+Dates of whole seconds bound a window by BUCKET_SECONDS rows.  Revisits then find their pair by an equi-join, which
+AQE splits where one is hot; only ids and dates go through it, headers are joined afterwards by id.
 
 A revisit's validators are checked (ETag by weak comparison, else Last-Modified), then the headers that a 304 may
 update replace the response's own.
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BUCKET_SECONDS = 86_400
+BUCKET_SECONDS = 21_600
 # Headers that a 304 response sends to update the stored ones (RFC 9110, 15.4.5).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary", "last-modified")
 # Query parameters that don't pick a document.
@@ -58,18 +59,20 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     """
     own = records.where(F.col("kind").isin("response", "revisit")).select("record_id", (F.col("kind") == "response").cast("int").alias("full"), canonical_url(F.col("url")).alias("canonical"), F.col("date").cast("timestamp").alias("date"), "headers")
     keyed = own.where("canonical is not null and date is not null").withColumn("bucket", F.floor(F.unix_timestamp("date") / BUCKET_SECONDS))
-    times = keyed.select("record_id", "full", "canonical", "date", "bucket")
-    response = F.when(F.col("full") == 1, F.struct("date", "record_id"))
-    inside = W.partitionBy("canonical", "bucket").orderBy("date", "full", "record_id").rowsBetween(W.unboundedPreceding, -1)
-    near = times.withColumn("near", F.last(response, ignorenulls=True).over(inside)).where("full = 0").select(F.col("record_id").alias("revisit_id"), "canonical", "bucket", "near")
-    lasts = times.groupBy("canonical", "bucket").agg(F.max(response).alias("last"))
+    # A row a URL and date: captures of one moment, however many, are one row in both windows.
+    moments = keyed.groupBy("canonical", "bucket", "date").agg(F.max(F.when(F.col("full") == 1, F.col("record_id"))).alias("response_id"))
+    response = F.when(F.col("response_id").isNotNull(), F.struct("date", "response_id"))
+    inside = W.partitionBy("canonical", "bucket").orderBy("date").rowsBetween(W.unboundedPreceding, -1)
+    near = moments.select("canonical", "bucket", "date", F.last(response, ignorenulls=True).over(inside).alias("near"))
+    lasts = moments.groupBy("canonical", "bucket").agg(F.max(response).alias("last"))
     across = W.partitionBy("canonical").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     carried = lasts.select("canonical", "bucket", F.last("last", ignorenulls=True).over(across).alias("far"))
-    asof = near.join(carried, ["canonical", "bucket"], "left").select("revisit_id", "canonical", F.coalesce("near.record_id", "far.record_id").alias("response_id"))
+    asof = near.join(carried, ["canonical", "bucket"], "left").select("canonical", "date", F.coalesce("near.response_id", "far.response_id").alias("response_id"))
     revisits = own.where("full = 0").select(F.col("record_id").alias("revisit_id"), "canonical", _lower_names(F.col("headers")).alias("sent"))
     stored = own.where("full = 1").select(F.col("record_id").alias("response_id"), _lower_names(F.col("headers")).alias("stored"))
     responses = stored.groupBy("response_id").agg(F.min_by("stored", header_lines(F.col("stored"))).alias("stored"))
-    known = asof.groupBy("revisit_id").agg(F.max("response_id").alias("response_id"))
+    asked = keyed.where("full = 0").select(F.col("record_id").alias("revisit_id"), "canonical", "date")
+    known = asked.join(asof, ["canonical", "date"]).groupBy("revisit_id").agg(F.max("response_id").alias("response_id"))
     joined = revisits.join(known, "revisit_id", "left").join(responses, "response_id", "left")
     etag, changed = F.col("sent")["etag"], F.col("sent")["last-modified"]
     status = (

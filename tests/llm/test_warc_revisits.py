@@ -88,3 +88,16 @@ def test_large_page_ids_and_repeated_ids(spark):
     rows = [(1, "response", "http://e.com/a", at(1), {"etag": "b"}), (1, "response", "http://e.com/a", at(1), {"etag": "a"}), (2, "revisit", "http://e.com/a", at(2), {"etag": "a"}), (2, "revisit", "http://e.com/a", at(3), {"etag": "a"})]
     got = R.resolve_revisits(spark.createDataFrame(rows, "record_id long, kind string, url string, date timestamp, headers map<string,string>")).collect()
     assert [(r.revisit_id, r.response_id, r.status, r.headers) for r in got] == [(2, 1, "resolved", {"etag": "a"})] * 2
+
+
+def test_one_url_and_moment_with_a_third_of_all_captures(spark):
+    import random
+
+    r = random.Random(6)
+    records = []
+    for i in range(600):
+        hot = i % 3 == 0
+        url, date = ("http://a.x/hot", at(5, 1)) if hot else (r.choice(["http://a.x/hot", "http://a.x/b"]), at(r.randint(4, 6), r.randint(0, 23)))
+        records.append((i, r.choice(["response", "revisit", "revisit"]), url, date, {"etag": r.choice("12")}, None))
+    got = {x.revisit_id: (x.response_id, x.status, x.headers) for x in R.resolve_revisits(spark.createDataFrame(records, SCHEMA)).collect()}
+    assert got == brute(records)
