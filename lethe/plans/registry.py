@@ -123,6 +123,28 @@ def known_value_prescan(spark, sf):
     return dictionary.value_counts(dictionary.known_values(docs(spark, sf), values))
 
 
+NOTES_SQL = """notes AS (SELECT doc_id AS id, text FROM documents
+  UNION ALL SELECT -1 - o_orderkey, 'Order ' || o_orderkey || ' of ' || c_name || ', ' || o_orderpriority FROM orders JOIN customer ON c_custkey = o_custkey)"""
+
+
+def notes(spark, sf):
+    """Documents and a line of text for each order, which names its customer."""
+    orders = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.expr("c_custkey = o_custkey"))
+    line = F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"), F.lit(" of "), F.col("c_name"), F.lit(", "), F.col("o_orderpriority"))
+    return docs(spark, sf).select(F.col("doc_id").alias("id"), "text").unionByName(orders.select((-1 - F.col("o_orderkey")).alias("id"), line.alias("text")))
+
+
+@query(
+    f"""WITH {NOTES_SQL}, hits AS (SELECT id, unnest(regexp_extract_all(text, 'Customer#[0-9]+')) AS value FROM notes)
+SELECT value, count(*) AS n, count(DISTINCT id) AS texts FROM hits WHERE value IN (SELECT c_name FROM customer) GROUP BY ALL"""
+)
+def known_customers(spark, sf):
+    """J3 with a large dictionary: every customer is a known value (15000 at scale factor 0.1)."""
+    values = table(spark, sf, "customer").select(F.col("c_name").alias("value"))
+    found = dictionary.known_values(notes(spark, sf), values, id_col="id")
+    return found.groupBy("value").agg(F.count("*").alias("n"), F.count_distinct("id").alias("texts"))
+
+
 TERMS = ["the", "idiot", "10.0.0.1", "secret", "token", "una"]
 
 
