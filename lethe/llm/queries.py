@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, language_id, tiff, token_file, toxicity, warc_revisits
+from . import byte_bpe, decontaminate, fill_middle, language_id, tiff, token_file, toxicity, warc_revisits
 from .cutting import digest
 from .near_dup import near_duplicates
 from .substring_dedup import remove_repeated_words
@@ -122,9 +122,31 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.tokenized(table(spark, sf_dir, "documents"), model, 2)
 
 
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fill_middle(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH own AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS lines, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS drawn FROM documents
+), numbers AS (
+  SELECT *, len(lines) AS n, [CAST('0x' || substr(drawn, 1 + 8 * k, 8) AS BIGINT) FOR k IN range(4)] AS h FROM own
+), planned AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 100 THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM numbers
+), parts AS (
+  SELECT *, coalesce(array_to_string(lines[1:a], ''), '') AS p, coalesce(array_to_string(lines[a + 1:b], ''), '') AS m, coalesce(array_to_string(lines[b + 1:], ''), '') AS s FROM planned
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_tiff, op3_benchmark_decontamination, op4_substring_dedup, op5_toxicity, op6_warc_revisits, op7_minhash_near_dedup, op8_suffix_dedup, op9_byte_bpe, op10_token_file)}
+    return {f.__name__: f for f in (op1_language_id, op2_tiff, op3_benchmark_decontamination, op4_substring_dedup, op5_toxicity, op6_warc_revisits, op7_minhash_near_dedup, op8_suffix_dedup, op9_byte_bpe, op10_token_file, op13_fill_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc_revisits": OP6_SQL}
+    return {"op6_warc_revisits": OP6_SQL, "op13_fill_middle": OP13_SQL}
