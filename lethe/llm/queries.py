@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, fill_middle, language_id, tiff, token_file, toxicity, warc_revisits
+from . import byte_bpe, decontaminate, fill_middle, importance, language_id, tiff, token_file, toxicity, warc_revisits
 from .cutting import digest
 from .near_dup import near_duplicates
 from .substring_dedup import remove_repeated_words
@@ -122,6 +122,45 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.tokenized(table(spark, sf_dir, "documents"), model, 2)
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("doc").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+OP12_SQL = r"""
+WITH step AS (
+  SELECT list(v ORDER BY i) AS steps FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v FROM range(256) AS t(i))
+), own AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), used AS (
+  SELECT r, unnest(words) AS word FROM own
+), aim AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark
+), hexed AS (
+  SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM used UNION SELECT word FROM aim)
+), bytes AS (
+  SELECT word, [CAST('0x' || substr(h, 2 * k + 1, 2) AS BIGINT) FOR k IN range(length(h) // 2)] AS b FROM hexed
+), hashed AS (
+  SELECT word, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c // 256, steps[1 + (xor(c, x) & 255)])), 4294967295) % 10000 AS bucket FROM bytes, step
+), corpus AS (SELECT bucket, count(*) AS s FROM used JOIN hashed USING (word) GROUP BY bucket),
+target AS (SELECT bucket, count(*) AS t FROM aim JOIN hashed USING (word) GROUP BY bucket),
+total AS (SELECT CAST((SELECT coalesce(sum(s), 0) FROM corpus) AS DOUBLE) + 10000 AS all_s, CAST((SELECT coalesce(sum(t), 0) FROM target) AS DOUBLE) + 10000 AS all_t),
+gain AS (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1) * all_s / ((s + 1) * all_t))) AS BIGINT) AS g FROM corpus LEFT JOIN target USING (bucket), total
+), weighed AS (
+  SELECT r, count(*) AS n, CAST(sum(g) AS BIGINT) AS w FROM used JOIN hashed USING (word) JOIN gain USING (bucket) GROUP BY r
+), scored AS (
+  SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(w, 0) AS weight,
+    coalesce(w, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM own LEFT JOIN weighed USING (r)
+), ranked AS (
+  SELECT *, n_features >= 20 AND score IS NOT NULL AS fit, row_number() OVER (PARTITION BY n_features >= 20 AND score IS NOT NULL ORDER BY score DESC, doc_id) AS place FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= (SELECT count(*) FROM ranked WHERE fit) * 10 // 100 THEN place END AS rank FROM ranked
+"""
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.fill_middle(table(spark, sf_dir, "documents"))
 
@@ -145,8 +184,8 @@ FROM parts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_tiff, op3_benchmark_decontamination, op4_substring_dedup, op5_toxicity, op6_warc_revisits, op7_minhash_near_dedup, op8_suffix_dedup, op9_byte_bpe, op10_token_file, op13_fill_middle)}
+    return {f.__name__: f for f in (op1_language_id, op2_tiff, op3_benchmark_decontamination, op4_substring_dedup, op5_toxicity, op6_warc_revisits, op7_minhash_near_dedup, op8_suffix_dedup, op9_byte_bpe, op10_token_file, op12_importance_resampling, op13_fill_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc_revisits": OP6_SQL, "op13_fill_middle": OP13_SQL}
+    return {"op6_warc_revisits": OP6_SQL, "op12_importance_resampling": OP12_SQL, "op13_fill_middle": OP13_SQL}
