@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, fill_middle, importance, language_id, tiff, token_file, toxicity, warc_revisits
+from . import byte_bpe, decontaminate, fill_middle, importance, language_id, simhash, tiff, token_file, toxicity, warc_revisits
 from .cutting import digest
 from .near_dup import near_duplicates
 from .substring_dedup import remove_repeated_words
@@ -122,6 +122,11 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.tokenized(table(spark, sf_dir, "documents"), model, 2)
 
 
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("doc").alias("doc_id"), simhash.hex_digits(F.col("print")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(F.col("doc").alias("doc_id"), "n_features", "weight", "score", "rank")
@@ -184,7 +189,7 @@ FROM parts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_tiff, op3_benchmark_decontamination, op4_substring_dedup, op5_toxicity, op6_warc_revisits, op7_minhash_near_dedup, op8_suffix_dedup, op9_byte_bpe, op10_token_file, op12_importance_resampling, op13_fill_middle)}
+    return {f.__name__: f for f in (op1_language_id, op2_tiff, op3_benchmark_decontamination, op4_substring_dedup, op5_toxicity, op6_warc_revisits, op7_minhash_near_dedup, op8_suffix_dedup, op9_byte_bpe, op10_token_file, op11_simhash_near_dedup, op12_importance_resampling, op13_fill_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
