@@ -1,10 +1,10 @@
 """Fill-in-middle transformation by secondary sort.
 
 A text is cut into lines.  Its prefix, middle and suffix leave the mapper as pieces of whole lines, keyed by the
-document and the piece's place in the output; markers are pieces of their own.  repartitionAndSortWithinPartitions
-brings a document's pieces together in order of output, so a task feeds them one by one to a digest and never holds a
-document.  To restore, the pieces of the output are keyed by the place that the markers before them give, and sorted
-again: the partitioner is the same, so this second sort moves no data between tasks.
+document and the piece's place in the output; markers are pieces of their own.  A repartition by document with a sort
+within partitions brings a document's pieces together in order of output, so a task feeds them one by one to a digest and
+never holds a document.  To restore, the pieces of the output are keyed by the place that the markers before them give,
+and sorted again; a document's pieces stay in their partition, so this second sort has no exchange.
 
 A document's key is the hash of its id and text with the number of the mapper's partition; copies within that partition
 share the key, and their pieces are told apart by counting, as equal keys have equal pieces.
@@ -17,9 +17,14 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 PLAIN, PSM, SPM = "plain", "psm", "spm"
@@ -33,7 +38,18 @@ _PART = {PREFIX: 0, MIDDLE: 1, SUFFIX: 2}
 _ORDER = {PSM: (PREFIX, SUFFIX, MIDDLE), SPM: (SUFFIX, PREFIX, MIDDLE)}
 _LINE_END = re.compile("\n")
 
-SCHEMA = "doc_id long, n long, form string, prefix_chars long, middle_chars long, output_sha256 string, restored_sha256 string"
+BATCH_CHARACTERS, BATCH_ROWS = 1 << 20, 2000  # of the batches between Spark and Python
+
+_FACTS = [("doc_id", pa.int64()), ("n", pa.int64()), ("form", pa.string()), ("prefix_chars", pa.int64()), ("middle_chars", pa.int64())]
+#: Pieces: document (key, part), part of the text where it counts, place; the row of place 0 has the facts of the document.
+_PIECES = pa.schema([("key", pa.binary()), ("part", pa.int32()), ("section", pa.int32()), ("place", pa.int32()), ("piece", pa.string()), *_FACTS, ("copies", pa.int64())])
+_PIECES_SQL = "key binary, part int, section int, place int, piece string, doc_id long, n long, form string, prefix_chars long, middle_chars long, copies long"
+_ROWS = pa.schema([*_FACTS, ("output_sha256", pa.string()), ("restored_sha256", pa.string())])
+_ROWS_SQL = "doc_id long, n long, form string, prefix_chars long, middle_chars long, output_sha256 string, restored_sha256 string"
+_OUTPUT = pa.schema([("doc_id", pa.int64()), ("form", pa.string()), ("place", pa.int32()), ("copies", pa.int64()), ("piece", pa.string())])
+_OUTPUT_SQL = "doc_id long, form string, place int, copies long, piece string"
+_NO_FACTS = (None,) * len(_FACTS)
+_HEAD = -1  # section of a document's row before the second sort
 
 
 def line_ends(text: str) -> list[int]:
@@ -74,106 +90,100 @@ def output_pieces(text: str, form: str, prefix: int, middle: int) -> Iterator[st
         yield from pieces(text, *bounds[marker])
 
 
-def _emit(seed: int, rate: int, spm_rate: int):
-    """Rows (doc_id, text) of a partition to ((document, place in the output), piece); the first piece holds what is known of the document."""
+def _batched(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows as record batches of bounded size."""
+    held, characters, at = [], 0, schema.get_field_index("piece")
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+    for row in rows:
+        held.append(row)
+        characters += len(row[at] or "") if at >= 0 else 0
+        if len(held) >= BATCH_ROWS or characters >= BATCH_CHARACTERS:
+            yield batch()
+            held, characters = [], 0
+    if held:
+        yield batch()
+
+
+def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for b in batches:
+        yield from zip(*[c.to_pylist() for c in b.columns], strict=True)
+
+
+def _mapped(of: Callable[[Iterator[tuple]], Iterator[tuple]], schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    return lambda batches: _batched(of(_rows_of(batches)), schema)
+
+
+def _emit(seed: int, rate: int, spm_rate: int) -> Callable[[Iterator[tuple]], Iterator[tuple]]:
+    """Rows (doc_id, text) to pieces in order of output."""
 
-    def of(part: int, rows: Iterator) -> Iterator[tuple]:
+    def of(rows: Iterator[tuple]) -> Iterator[tuple]:
+        part = TaskContext.get().partitionId()
         for doc_id, text in rows:
             text = text or ""
             n, form, prefix, middle = plan(doc_id, text, seed, rate, spm_rate)
-            own = (hashlib.md5(f"{doc_id}:{text}".encode()).digest(), part)
-            yield (own, 0), (doc_id, n, form, None if form == PLAIN else prefix, None if form == PLAIN else middle - prefix)
-            for k, piece in enumerate(output_pieces(text, form, prefix, middle), 1):
-                yield (own, k), piece
+            key = hashlib.md5(f"{doc_id}:{text}".encode()).digest()
+            chars = (None, None) if form == PLAIN else (prefix, middle - prefix)
+            yield key, part, 0, 0, None, doc_id, n, form, *chars, 1
+            for place, piece in enumerate(output_pieces(text, form, prefix, middle), 1):
+                yield key, part, 0, place, piece, *_NO_FACTS, 1
 
     return of
 
 
-def _task(key: tuple) -> int:
-    (own, part), _ = key
-    return int.from_bytes(own[:6], "big") + part
+def _in_order(rows: Iterator[tuple]) -> Iterator[tuple[tuple, Iterator[tuple]]]:
+    """Of each document its row, with the number of its copies, and its pieces once each; rows sorted by document and place."""
+    for _, own in groupby(rows, itemgetter(0, 1)):
+        places = ((next(same), 1 + sum(1 for _ in same)) for _, same in groupby(own, itemgetter(3)))
+        (*head, _), copies = next(places)
+        yield (*head, copies), (row for row, _ in places)
 
 
-def distinct_in_order(pairs: Iterator[tuple]) -> Iterator[tuple]:
-    """(document, place, value, copies) of sorted pairs; equal keys hold equal values."""
-    key = value = None
-    copies = 0
-    for k, v in pairs:
-        if k == key:
-            copies += 1
-            continue
-        if copies:
-            yield *key, value, copies
-        key, value, copies = k, v, 1
-    if copies:
-        yield *key, value, copies
-
-
-def _assemble(pairs: Iterator[tuple]) -> Iterator[tuple]:
+def _assemble(rows: Iterator[tuple]) -> Iterator[tuple]:
     """Pieces in order of output to the same pieces keyed by their place in the text, and each document's row with its output's digest."""
-    head = None
-    for own, place, value, copies in distinct_in_order(pairs):
-        if place == 0:
-            if head:
-                yield head[0], (*head[1], digest.hexdigest())
-            head, digest, part = ((own, (-1, 0)), (copies, *value)), hashlib.sha256(), 0
-            continue
-        digest.update(value.encode())
-        if head[1][3] != PLAIN and value in _PART:
-            part = _PART[value]
-        else:
-            yield (own, (part, place)), value
-    if head:
-        yield head[0], (*head[1], digest.hexdigest())
-
-
-def _restore(pairs: Iterator[tuple]) -> Iterator[tuple]:
-    """Pieces in order of the text to the documents' rows."""
-    head = None
-    for (_, (part, _)), value in pairs:
-        if part < 0:
-            if head:
-                yield from _rows(head, digest)
-            head, digest = value, hashlib.sha256()
-        else:
-            digest.update(value.encode())
-    if head:
-        yield from _rows(head, digest)
-
-
-def _rows(head: tuple, digest) -> Iterator[tuple]:
-    copies, *row, output = head
-    for _ in range(copies):
-        yield *row, output, digest.hexdigest()
+    for head, own in _in_order(rows):
+        digest, section = hashlib.sha256(), 0
+        for key, part, _, place, piece, *_ in own:
+            digest.update(piece.encode())
+            if head[7] != PLAIN and piece in _PART:
+                section = _PART[piece]
+            else:
+                yield key, part, section, place, piece, *_NO_FACTS, 1
+        yield *head[:2], _HEAD, 0, digest.hexdigest(), *head[5:]
 
 
-def _partitions(docs: DataFrame) -> int:
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+def _restore(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """Pieces in order of the text to the documents' rows."""
+    for _, own in groupby(rows, itemgetter(0, 1)):
+        *_, output, doc_id, n, form, prefix, middle, copies = next(own)
+        digest = hashlib.sha256()
+        for row in own:
+            digest.update(row[4].encode())
+        for _ in range(copies):
+            yield doc_id, n, form, prefix, middle, output, digest.hexdigest()
 
 
-def _sorted_pieces(docs: DataFrame, seed: int, rate: int, spm_rate: int, tasks: int):
-    return docs.rdd.mapPartitionsWithIndex(_emit(seed, rate, spm_rate)).repartitionAndSortWithinPartitions(tasks, _task)
+def _outputs(rows: Iterator[tuple]) -> Iterator[tuple]:
+    for head, own in _in_order(rows):
+        for row in own:
+            yield head[5], head[7], row[3], head[-1], row[4]
 
 
-def fill_middle(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, rate: int = RATE, spm_rate: int = SPM_RATE) -> DataFrame:
-    """A row (doc_id, n, form, prefix_chars, middle_chars, output_sha256, restored_sha256) of each document."""
-    own = docs.select(id_col, text_col)
-    tasks = _partitions(own)
-    ordered = _sorted_pieces(own, seed, rate, spm_rate, tasks)
-    again = ordered.mapPartitions(_assemble, preservesPartitioning=True).repartitionAndSortWithinPartitions(tasks, _task)
-    return docs.sparkSession.createDataFrame(again.mapPartitions(_restore), SCHEMA, verifySchema=False)
+def sorted_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, rate: int = RATE, spm_rate: int = SPM_RATE) -> DataFrame:
+    """Pieces of the outputs, a document's together and in order."""
+    own = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    emitted = own.mapInArrow(_mapped(_emit(seed, rate, spm_rate), _PIECES), _PIECES_SQL)
+    return emitted.repartition("key", "part").sortWithinPartitions("key", "part", "place")
 
 
-def outputs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, rate: int = RATE, spm_rate: int = SPM_RATE) -> DataFrame:
-    """The transformed texts as pieces: (doc_id, form, place, copies, piece), places from 1 in order of the output."""
+def fill_middle(docs: DataFrame, **options) -> DataFrame:
+    """A row (doc_id, n, form, prefix_chars, middle_chars, output_sha256, restored_sha256) of each document; options as of sorted_pieces."""
+    assembled = sorted_pieces(docs, **options).mapInArrow(_mapped(_assemble, _PIECES), _PIECES_SQL)
+    return assembled.sortWithinPartitions("key", "part", "section", "place").mapInArrow(_mapped(_restore, _ROWS), _ROWS_SQL)
 
-    def of(pairs: Iterator[tuple]) -> Iterator[tuple]:
-        for _, place, value, copies in distinct_in_order(pairs):
-            if place == 0:
-                doc_id, _, form, *_ = value
-            else:
-                yield doc_id, form, place, copies, value
 
-    own = docs.select(id_col, text_col)
-    ordered = _sorted_pieces(own, seed, rate, spm_rate, _partitions(own))
-    return docs.sparkSession.createDataFrame(ordered.mapPartitions(of), "doc_id long, form string, place long, copies long, piece string", verifySchema=False)
+def outputs(docs: DataFrame, **options) -> DataFrame:
+    """The transformed texts as pieces: (doc_id, form, place, copies, piece), places from 1 in order of the output; options as of sorted_pieces."""
+    return sorted_pieces(docs, **options).mapInArrow(_mapped(_outputs, _OUTPUT), _OUTPUT_SQL)

@@ -60,10 +60,8 @@ def test_outputs(docs_of):
 
 
 def test_second_sort_moves_nothing(docs_of):
-    own = docs_of(["a\nb"]).select("doc_id", "text")
-    ordered = fm._sorted_pieces(own, 7, 100, 50, 5)
-    again = ordered.mapPartitions(fm._assemble, preservesPartitioning=True)
-    assert again.partitioner == ordered.partitioner and again.partitionBy(5, fm._task) is again
+    plan = fm.fill_middle(docs_of(["a\nb"]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 2
 
 
 def test_edges(docs_of):
