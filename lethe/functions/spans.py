@@ -1,6 +1,7 @@
-"""Spans in text as arrays of structs, inside the JVM: find, resolve, replace.
+"""Spans in text as arrays of structs: find, resolve, replace.
 
-A span is struct<start:int,end:int,label:string,stage:int>, half open, in code points.
+A span is struct<start:int,end:int,label:string,stage:int>, half open, in code points.  Patterns of short texts (windows)
+are matched in the JVM; whole texts, whose spans can be many, go through the linear sweeps of sweep.py.
 """
 
 from __future__ import annotations
@@ -10,7 +11,9 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .fixed import SECRET_LITERALS, SECRET_PATTERNS, TOKEN_SHAPE
+from . import sweep
+from .fixed import SECRET_LITERALS, SECRET_PATTERNS
+from .sweep import apply_spans, outside, resolve, with_values, without_inner  # noqa: F401
 
 SPANS = "array<struct<start:int,end:int,label:string,stage:int>>"
 _OPEN, _CLOSE, _OTHER = "\u0001", "\u0002", "\u0003"
@@ -43,14 +46,18 @@ def spans_of(text: Column, pattern: str, label: str, stage: int = STAGE_SECRET)
     return F.when(could_match(text, pattern) & text.rlike(pattern), F.aggregate(parts, start, step, lambda acc: acc["found"])).otherwise(no_spans())
 
 
-def secret_spans(text: Column) -> Column:
-    """Matches of every secret pattern; stage numbers keep the patterns' order, and a span inside a longer one is left out."""
-    found = reduce(F.concat, [spans_of(text, p, label, 100 + i) for i, (p, label) in enumerate(SECRET_PATTERNS)])
-    return without_inner(found)
+def could_hold_secret(text: Column) -> Column:
+    return reduce(lambda a, b: a | b, [could_match(text, p) for p, _ in SECRET_PATTERNS])
+
+
+def secret_spans(text: Column, outside_tokens: bool = False) -> Column:
+    """Matches of every secret pattern with the text they cover; stage numbers keep the patterns' order, and a span inside a longer one is left out."""
+    find = sweep.find_secrets_outside_tokens if outside_tokens else sweep.find_secrets
+    return F.coalesce(find(F.when(could_hold_secret(text), text)), F.array().cast(sweep.FOUND))
 
 
 def token_spans(text: Column) -> Column:
-    return spans_of(text, TOKEN_SHAPE, "TOKEN", STAGE_TOKEN)
+    return F.coalesce(sweep.find_tokens(F.when(F.contains(text, F.lit("[")), text)), F.array().cast(sweep.FOUND))
 
 
 def overlaps(a: Column, b: Column) -> Column:
@@ -58,39 +65,5 @@ def overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (a["end"] > b["start"])
 
 
-def without_inner(spans: Column) -> Column:
-    """Without spans that lie inside a longer one."""
-    return F.filter(spans, lambda s: ~F.exists(spans, lambda o: (o["start"] <= s["start"]) & (o["end"] >= s["end"]) & (o["end"] - o["start"] > s["end"] - s["start"])))
-
-
-def resolve(spans: Column, order: str = "stage") -> Column:
-    """Greedy choice of spans that don't meet, in order of stage and place, or longest first; result in order of place."""
-
-    def keyed(s: Column) -> Column:
-        first = F.struct(s["stage"], s["start"], -s["end"]) if order == "stage" else F.struct(-(s["end"] - s["start"]), s["start"], s["stage"])
-        return F.struct(first.alias("key"), s.alias("span"))
-
-    ranked = F.transform(F.array_sort(F.transform(spans, keyed)), lambda x: x["span"])
-    kept = F.aggregate(ranked, F.slice(ranked, 1, 0), lambda acc, s: F.when(F.exists(acc, lambda k: overlaps(k, s)), acc).otherwise(F.concat(acc, F.array(s))))
-    return F.array_sort(kept)
-
-
-def outside(spans: Column, blocked: Column) -> Column:
-    """Spans that meet none of the blocked ones."""
-    return F.filter(spans, lambda s: ~F.exists(blocked, lambda b: overlaps(b, s)))
-
-
 def covered_text(text: Column, span: Column) -> Column:
     return F.substring(text, span["start"] + 1, span["end"] - span["start"])
-
-
-def apply_spans(text: Column, spans: Column) -> Column:
-    """Text with each span (start, end, token), in order of place, replaced by its token."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(
-        spans,
-        start,
-        lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), s["token"]).alias("out")),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.lit(2147483647))),
-    )
-    return F.when(F.size(spans) > 0, done).otherwise(text)

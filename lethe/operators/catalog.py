@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.spans import apply_spans
-from ..functions.text import catalog_token, first_name_parts, mask_catalog, normalize_value
+from ..functions.text import catalog_token, first_name_parts, mask_catalog, normalize_value, row_key
 from . import dictionary
 
 SALT = "lethe"
@@ -149,8 +149,9 @@ def near_strong_identifier(text: Column, start: Column, end: Column, around: int
 
 
 def decisions(docs: DataFrame, entries: DataFrame, grants: DataFrame | None, now: Column | None, name_mode: str = "balanced", allow_first_name: bool = True, strict_near: bool = True, enabled: bool = True, id_col: str = "doc_id") -> DataFrame:
-    """(id, start, end, entry_id, category, token, decision, replacement, restore) of each entry in text."""
-    found = dictionary.matches(docs, entries.select("value"), id_col).join(entries.select("value", "entry_id", "category", "token"), "value").join(docs.select(id_col, "text"), id_col)
+    """(id, start, end, entry_id, category, token, decision, replacement, restore, row_key) of each entry in each distinct (id, text)."""
+    rows = docs.select(row_key(F.col(id_col), F.col("text")).alias("row_key"), id_col, "text")
+    found = dictionary.matches(rows, entries.select("value"), "row_key").distinct().join(entries.select("value", "entry_id", "category", "token"), "value").join(rows, "row_key")
     if grants is None:
         found = found.withColumn("_granted", F.lit(False))
     else:
@@ -164,17 +165,17 @@ def decisions(docs: DataFrame, entries: DataFrame, grants: DataFrame | None, now
     shown = F.when(parts["hidden"] != "", F.concat(parts["first"], F.lit(" "), F.col("token"))).otherwise(F.col("value"))
     out = found.withColumn("decision", decision).withColumn("replacement", F.when(F.col("decision").isin("tokenized", "strict_override"), F.col("token")).when(F.col("decision") == "first_name_visible", shown).otherwise(F.col("value")))
     restore = F.when(F.col("decision").isin("tokenized", "strict_override"), F.col("value")).when(F.col("decision") == "first_name_visible", F.nullif(parts["hidden"], F.lit("")))
-    return out.withColumn("restore", restore).select(id_col, "start", "end", "entry_id", "category", "token", "decision", "replacement", "restore")
+    return out.withColumn("restore", restore).select(id_col, "start", "end", "entry_id", "category", "token", "decision", "replacement", "restore", "row_key").distinct()
 
 
 def enforce(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Documents with the decisions applied and their token map; of one token's restore values the longest."""
-    spans = decided.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col("replacement").alias("token")))).alias("_spans"))
-    pairs = decided.where("restore is not null").groupBy(id_col, "token").agg(F.max_by("restore", F.struct(F.char_length("restore"), F.col("restore"))).alias("value"))
-    maps = pairs.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("token", "value"))).alias("tokens"))
-    out = docs.join(spans, id_col, "left").join(maps, id_col, "left")
+    spans = decided.groupBy("row_key").agg(F.array_sort(F.collect_set(F.struct("start", "end", F.col("replacement").alias("token")))).alias("_spans"))
+    pairs = decided.where("restore is not null").groupBy("row_key", "token").agg(F.max_by("restore", F.struct(F.char_length("restore"), F.col("restore"))).alias("value"))
+    maps = pairs.groupBy("row_key").agg(F.map_from_entries(F.collect_list(F.struct("token", "value"))).alias("tokens"))
+    out = docs.withColumn("row_key", row_key(F.col(id_col), F.col("text"))).join(spans, "row_key", "left").join(maps, "row_key", "left")
     empty = F.array().cast("array<struct<start:int,end:int,token:string>>")
-    return out.withColumn("sanitized", apply_spans(F.col("text"), F.coalesce("_spans", empty))).drop("_spans", "text")
+    return out.withColumn("sanitized", apply_spans(F.col("text"), F.coalesce("_spans", empty))).drop("_spans", "text", "row_key")
 
 
 def enforcement_audit(decided: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.spans import STAGE_ENTITY, could_match, covered_text, no_spans, outside, secret_spans, spans_of, token_spans
+from ..functions.spans import STAGE_ENTITY, could_hold_secret, outside, resolve, secret_spans, spans_of, token_spans, with_values
 from ..functions.text import windows
 
 BLOCKED_NAMES = [".env", ".env.local", ".env.production", "secrets.json", "credentials.json", "id_rsa", "id_ed25519", ".netrc"]
@@ -20,9 +20,8 @@ BLOCKED_SUFFIXES = [".pem", ".key", ".p12", ".pfx"]
 def secret_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start, end, label, value) of each secret or structured personal value outside existing tokens."""
     text = F.col(text_col)
-    hit = reduce(lambda a, b: a | b, [could_match(text, p) & text.rlike(p) for p, _ in fixed.SECRET_PATTERNS])
-    spans = F.explode(outside(secret_spans(text), token_spans(text))).alias("s")
-    return docs.where(hit).select(F.col(id_col), text.alias("_t"), spans).select(id_col, "s.start", "s.end", "s.label", covered_text(F.col("_t"), F.col("s")).alias("value"))
+    found = docs.where(could_hold_secret(text)).select(F.col(id_col), F.explode(secret_spans(text, outside_tokens=True)).alias("s"))
+    return found.select(id_col, "s.start", "s.end", "s.label", "s.value")
 
 
 def detector_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ceiling: int | None = fixed.CEILING) -> DataFrame:
@@ -157,10 +156,8 @@ def blocked_path(path: Column, globs: list[str]) -> Column:
 
 def verifier_spans(spans: Column, taken: Column, text: Column, names: list[str]) -> Column:
     """A second pass's spans that are not empty, not in a token, not allowed; of those that meet the later stays, of equal starts the longer."""
-    fit = F.filter(spans, lambda s: (s["end"] > s["start"]) & ~allowed(covered_text(text, s), names))
-    free = outside(outside(fit, token_spans(text)), taken)
-    ranked = F.array_sort(F.transform(free, lambda s: F.struct((-s["start"]).alias("a"), (-s["end"]).alias("b"), s.alias("s"))))
-    return F.array_sort(F.aggregate(F.transform(ranked, lambda x: x["s"]), no_spans(), lambda acc, s: F.when(F.exists(acc, lambda k: (k["start"] < s["end"]) & (k["end"] > s["start"])), acc).otherwise(F.concat(acc, F.array(s)))))
+    fit = F.filter(with_values(text, spans), lambda s: (s["end"] > s["start"]) & ~allowed(s["value"], names))
+    return resolve(outside(outside(fit, token_spans(text)), taken), "last")
 
 
 def all_spans(docs: DataFrame, verifiers: list[Callable[[DataFrame], DataFrame]], id_col: str = "doc_id") -> DataFrame:

@@ -22,8 +22,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.fixed import TOKEN_SHAPE
-from ..functions.spans import resolve, token_spans
+from ..functions.spans import outside, resolve, token_spans
 from ..functions.storage import materialized
+from ..functions.sweep import FOUND
 
 MOST_CHARACTERS = 1_000_000  # of the values in one automaton, which takes up to 100 bytes for each
 MOST_PASSES = 8
@@ -113,7 +114,7 @@ def _scan(shared, any_case: bool, resolved: bool) -> Callable[[Iterator[pa.Recor
 
 def _found(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str, any_case: bool = False, resolved: bool = False, skip_col: str | None = None) -> DataFrame:
     """(id, start, end, value, spelled) of terms (value, whole) in texts; resolved: longest first, outside tokens, without overlaps."""
-    own = materialized(terms.where(F.char_length("value") >= 2).groupBy("value").agg(F.bool_and("whole").alias("whole")), "terms")
+    own = materialized(terms.where("value <> ''").groupBy("value").agg(F.bool_and("whole").alias("whole")), "terms")
     size = own.agg(F.coalesce(F.sum(F.char_length("value")), F.lit(0))).first()[0]
     passes = max(1, -(-size // MOST_CHARACTERS))
     if passes > MOST_PASSES:
@@ -149,7 +150,8 @@ def _by_grams(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str, any
     step = F.lit(CHUNK)
     pieces = docs.select(F.col(id_col).alias("_id"), F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.char_length(text) / step).cast("int")), lambda k: F.struct((k * step).alias("at"), F.substring(text, F.greatest(k * step, F.lit(1)), step + 2 * GRAM).alias("part")))).alias("w"))
     out = None
-    for gram, fit in ((GRAM, F.char_length("needle") >= GRAM), (2, F.char_length("needle") < GRAM)):
+    size = F.char_length("needle")
+    for gram, fit in ((GRAM, size >= GRAM), (2, (size >= 2) & (size < GRAM)), (1, size == 1)):
         keys = anchors(own.where(fit).select(F.col("needle").alias("value")).distinct(), gram).withColumnRenamed("value", "needle")
         # `part` starts one character before `at` where there is one, so that each gram's place is counted once.
         shift = F.when(F.col("w.at") > 0, 1).otherwise(0)
@@ -171,7 +173,7 @@ def _by_grams(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str, any
 
 
 def occurrences(docs: DataFrame, values: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_words: bool = False, any_case: bool = False) -> DataFrame:
-    """(id, start, end, value): every place of every distinct value of two characters or more.
+    """(id, start, end, value): every place of every distinct value that isn't empty.
 
     whole_words: no word character next to the value.  any_case: by lower case; value is then the dictionary's.
     """
@@ -197,9 +199,9 @@ def known_values(docs: DataFrame, values: DataFrame, excluded: DataFrame | None
 
 def _resolved(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
     tokens = docs.where(F.contains(F.col(text_col), F.lit("["))).select(id_col, token_spans(F.col(text_col)).alias("_tokens"))
-    spans = found.groupBy(id_col).agg(F.collect_list(F.struct("start", "end", F.col("value").alias("label"), F.lit(9).alias("stage"), "spelled")).alias("_spans")).join(tokens, id_col, "left")
-    free = F.filter("_spans", lambda s: ~F.exists(F.coalesce("_tokens", F.array().cast("array<struct<start:int,end:int,label:string,stage:int>>")), lambda t: (t["start"] < s["end"]) & (t["end"] > s["start"])))
-    return spans.select(id_col, F.explode(resolve(free, "length")).alias("s")).select(id_col, "s.start", "s.end", F.col("s.label").alias("value"), "s.spelled")
+    spans = found.groupBy(id_col).agg(F.collect_list(F.struct("start", "end", F.col("value").alias("label"), F.lit(9).alias("stage"), F.col("spelled").alias("value"))).alias("_spans")).join(tokens, id_col, "left")
+    free = outside(F.col("_spans"), F.coalesce("_tokens", F.array().cast(FOUND)))
+    return spans.select(id_col, F.explode(resolve(free, "length")).alias("s")).select(id_col, "s.start", "s.end", F.col("s.label").alias("value"), F.col("s.value").alias("spelled"))
 
 
 def custom_values(docs: DataFrame, values: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import PAYLOAD_TEXT_KEYS
 from ..functions.spans import apply_spans
+from ..functions.text import row_key
 
 _MARKS = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\],:]', re.DOTALL)
 
@@ -27,35 +28,37 @@ def strings(payload: str) -> list[tuple[str, str | None, int, int, str]]:
         pass  # deeper than the parser goes, the walk below has no such limit
     except ValueError:
         return []
-    out, stack = [], []  # open objects [path, key, expects a key] and lists [path, key, place]
+    out, stack = [], []  # of open objects and lists [key, expects a key, name] and [key, place]
     for m in _MARKS.finditer(payload):
         mark = m.group()
         top = stack[-1] if stack else None
-        if mark in "{[":
-            path, key = _at(top)
-            stack.append([path, key, mark == "{" or 0])
+        if mark == "{":
+            stack.append([_key(top), True, None])
+        elif mark == "[":
+            stack.append([_key(top), 0])
         elif mark in "}]":
             stack.pop()
         elif mark == ",":
-            if top[2] is False:
-                top[2], top[3:] = True, []
-            else:
-                top[2] += 1
+            top[1] = True if len(top) == 3 else top[1] + 1
         elif mark == ":":
-            top[2] = False
-        elif top is not None and top[2] is True:
-            top[3:] = [json.loads(mark)]
+            top[1] = False
+        elif top is not None and top[1] is True:
+            top[2] = _text(mark)
         else:
-            path, key = _at(top)
-            out.append((path, key, m.start(), m.end(), json.loads(mark)))
+            path = "".join(f".{e[2]}" if len(e) == 3 else f"[{e[1]}]" for e in stack)
+            out.append(("$" + path, _key(top), m.start(), m.end(), _text(mark)))
     return out
 
 
-def _at(top: list | None) -> tuple[str, str | None]:
-    """Path and parent key of a value whose container is `top`."""
-    if top is None:
-        return "$", None
-    return (f"{top[0]}.{top[3]}", top[3]) if top[2] is False else (f"{top[0]}[{top[2]}]", top[1])
+def _key(top: list | None) -> str | None:
+    """Parent key of a value whose container is `top`; a list's items have the list's."""
+    return None if top is None else top[2] if len(top) == 3 else top[0]
+
+
+def _text(literal: str) -> str:
+    """A JSON string's text; half a surrogate pair, which JSON may escape, becomes U+FFFD."""
+    text = json.loads(literal, strict=False)
+    return text.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace") if "\\u" in literal else text
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,10 +115,11 @@ def sanitize_payloads(payloads: DataFrame, sanitize: Callable[[DataFrame], DataF
 
     Each distinct text is a row, so long conversations spread.
     """
-    keyed = text_paths(payloads, id_col, payload_col).withColumn("doc_id", F.sha2("text", 256))
+    payloads = payloads.withColumn("_row", row_key(F.col(id_col), F.col(payload_col)))
+    keyed = text_paths(payloads, "_row", payload_col).withColumn("doc_id", F.sha2("text", 256))
     done = sanitize(keyed.groupBy("doc_id").agg(F.any_value("text").alias("text"))).select("doc_id", "sanitized")
-    spans = keyed.join(done, "doc_id").where("text <> sanitized").groupBy(id_col).agg(F.collect_list(F.struct("start", "end", F.col("sanitized").alias("text"))).alias("_spans"))
-    out = payloads.join(spans, id_col, "left")
+    spans = keyed.join(done, "doc_id").where("text <> sanitized").groupBy("_row").agg(F.collect_set(F.struct("start", "end", F.col("sanitized").alias("text"))).alias("_spans"))
+    out = payloads.join(spans, "_row", "left").drop("_row")
     return out.withColumn(payload_col, F.when(F.col("_spans").isNull(), F.col(payload_col)).otherwise(put_back(F.col(payload_col), F.col("_spans")))).drop("_spans")
 
 

@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import spans
-from ..functions.spans import STAGE_BLACKLIST, STAGE_CUSTOM, STAGE_ENTITY, STAGE_SECRET, STAGE_VERIFIER, no_spans, resolve
+from ..functions.spans import STAGE_BLACKLIST, STAGE_CUSTOM, STAGE_ENTITY, STAGE_SECRET, STAGE_VERIFIER, no_spans, resolve, secret_spans, with_values
 from ..functions.storage import materialized
-from ..functions.text import balanced_name, escapes, normalize_label, tokens_in, without_escape_marks
+from ..functions.sweep import merged_maps
+from ..functions.text import balanced_name, escapes, normalize_label, row_key, tokens_in, without_escape_marks
 from . import catalog, detect, dictionary
-from .tokens import SALT, grant_allowance, mint, replaced
+from .tokens import SALT, durable, grant_allowance, mint, replaced
 
 _SPAN = ["start", "end", "label", "value", "stage"]
 
@@ -23,7 +24,10 @@ def candidates(docs: DataFrame, mode: str = "balanced", names: list[str] | None
     entities: (id, start, end, label), from a model or the rule detector; allow-list, modes and escapes hold
     for entities only.
     """
-    found = detect.secret_matches(docs, id_col).withColumn("stage", F.lit(STAGE_SECRET))
+    if "_secrets" in docs.columns:  # found already
+        found = docs.select(id_col, F.explode("_secrets").alias("s")).select(id_col, "s.start", "s.end", "s.label", "s.value", "s.stage")
+    else:
+        found = detect.secret_matches(docs, id_col).withColumn("stage", F.lit(STAGE_SECRET))
     if entities is not None:
         marked = docs.select(id_col, "text", *(["escaped"] if "escaped" in docs.columns else []))
         own = entities.join(marked, id_col).withColumn("value", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))).withColumn("label", F.regexp_replace(F.upper("label"), " ", "_"))
@@ -43,11 +47,16 @@ def candidates(docs: DataFrame, mode: str = "balanced", names: list[str] | None
     return found
 
 
+def own_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs with `_row`, by which the spans of rows that share an id stay apart."""
+    return docs.withColumn("_row", row_key(F.col(id_col), F.col("text")))
+
+
 def chosen(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Of each text's candidate spans those that stay, earlier stages first; with the text they cover as value."""
-    per_doc = found.groupBy(id_col).agg(F.collect_list(F.struct("start", "end", "label", "stage")).alias("_s"))
-    kept = docs.select(id_col, "text").join(per_doc, id_col).select(id_col, "text", F.explode(resolve(F.col("_s"))).alias("s"))
-    return kept.select(id_col, "s.start", "s.end", "s.label", F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("value"))
+    per_doc = found.groupBy(id_col).agg(F.collect_set(F.struct("start", "end", "label", "stage")).alias("_s"))
+    kept = docs.select(id_col, "text").join(per_doc, id_col).withColumn("_s", resolve(F.col("_s")))
+    return kept.select(id_col, F.explode(with_values(F.col("text"), F.col("_s"))).alias("s")).select(id_col, "s.start", "s.end", "s.label", "s.value")
 
 
 def tokenize(docs: DataFrame, known: DataFrame | None = None, salt: str = SALT, id_col: str = "doc_id", verifiers: list[Callable[[DataFrame], DataFrame]] | None = None, **stages) -> tuple[DataFrame, DataFrame]:
@@ -56,9 +65,25 @@ def tokenize(docs: DataFrame, known: DataFrame | None = None, salt: str = SALT,
     verifiers: second passes over the sanitized text, each from (id, text) to spans (id, start, end, label).
     """
     own = docs.withColumn("escaped", escapes(F.col("text"))).withColumn("text", without_escape_marks(F.col("text")))
-    found = materialized(chosen(own, candidates(own, id_col=id_col, **stages), id_col), "spans")
+    text = F.col("text")
+    own = own_rows(own, id_col).withColumn("_secrets", F.transform(secret_spans(text, outside_tokens=True), lambda s: s.withField("stage", F.lit(STAGE_SECRET))))
+    own = materialized(own.withColumn("_secrets", resolve(F.col("_secrets"))), "texts")
+    others = {k: v for k, v in stages.items() if v is not None}
+    several = bool({"entities", "blacklist", "custom"} & set(others))
+    if several:
+        if "entities" in others:
+            others["entities"] = others["entities"].join(own.select(id_col, "_row").distinct(), id_col)
+        found = chosen(own, candidates(own, id_col="_row", **others), "_row")
+    else:
+        found = own.select("_row", F.explode("_secrets").alias("s")).select("_row", "s.start", "s.end", "s.label", "s.value")
+    found = materialized(found.distinct(), "spans")
     table = mint(found, known, salt)
-    out = replaced(own, found, table, id_col)
+    busy = own if several else own.where(F.size("_secrets") > 0)
+    out = replaced(busy, found, table, "_row")
+    if not several:  # most texts have nothing to replace and take no part in the join
+        idle = own.where(F.size("_secrets") == 0)
+        out = out.unionByName(idle.withColumn("tokens", F.create_map().cast("map<string,string>")))
+    out = out.drop("_row", "_secrets")
     if verifiers:
         out, table = verified(out, verifiers, table, stages.get("names") or [], salt, id_col)
     return out.withColumnRenamed("text", "sanitized").drop("escaped"), table
@@ -66,28 +91,33 @@ def tokenize(docs: DataFrame, known: DataFrame | None = None, salt: str = SALT,
 
 def verified(docs: DataFrame, verifiers: list[Callable[[DataFrame], DataFrame]], known: DataFrame, names: list[str], salt: str = SALT, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """T1's last stage, U2, P16: what verifiers still find in sanitized texts becomes VERIFIED_<label> tokens."""
-    texts = docs.select(id_col, "text")
-    spans_of = detect.all_spans(texts, verifiers, id_col).groupBy(id_col).agg(F.collect_list(F.struct("start", "end", "label", F.lit(STAGE_VERIFIER).alias("stage"))).alias("_s"))
+    docs = own_rows(docs, id_col)
+    texts = docs.select(F.col("_row").alias(id_col), "text")
+    spans_of = detect.all_spans(texts, verifiers, id_col).groupBy(id_col).agg(F.collect_set(F.struct("start", "end", "label", F.lit(STAGE_VERIFIER).alias("stage"))).alias("_s"))
     own = texts.join(spans_of, id_col)
-    kept = own.select(id_col, "text", F.explode(detect.verifier_spans(F.col("_s"), no_spans(), F.col("text"), names)).alias("s"))
+    kept = own.select(id_col, F.explode(detect.verifier_spans(F.col("_s"), no_spans(), F.col("text"), names)).alias("s"))
     label = F.concat(F.lit("VERIFIED_"), normalize_label(F.coalesce(F.nullif("s.label", F.lit("")), F.lit("SENSITIVE"))))
-    found = materialized(kept.select(id_col, "s.start", "s.end", label.alias("label"), F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("value")), "spans")
+    found = materialized(kept.select(id_col, "s.start", "s.end", label.alias("label"), "s.value").distinct(), "spans")
     table = mint(found, known, salt)
-    out = replaced(docs.withColumnRenamed("tokens", "_first"), found, table, id_col)
+    out = replaced(docs.withColumnRenamed("tokens", "_first"), found.withColumnRenamed(id_col, "_row"), table, "_row").drop("_row")
     return _merged(out, "_first"), table
 
 
 def _merged(docs: DataFrame, *maps: str) -> DataFrame:
     """docs whose map `tokens` also holds the entries of other maps, which are dropped."""
-    entries = F.array_distinct(F.concat(*[F.coalesce(F.map_entries(m), F.array().cast("array<struct<key:string,value:string>>")) for m in (*maps, "tokens")]))
-    return docs.withColumn("tokens", F.map_from_entries(entries)).drop(*maps)
+    for m in maps:
+        both = (F.size(m) > 0) & (F.size("tokens") > 0)
+        merged = merged_maps(F.when(both, F.col(m)), F.when(both, F.col("tokens")))
+        docs = docs.withColumn("tokens", F.when(both, merged).when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.coalesce(m, F.create_map().cast("map<string,string>"))))
+    return docs.drop(*maps)
 
 
 def retokenize_known(docs: DataFrame, known: DataFrame, excluded: DataFrame | None = None, id_col: str = "doc_id", skip_col: str | None = None) -> DataFrame:
     """T5: values that are known (token, value, label) replaced by their tokens; `inserted`: the tokens put in."""
     first = known.groupBy("value").agg(F.min(F.struct("token", "label")).alias("k")).select("value", "k.token", "k.label")
-    found = dictionary.known_values(docs, first.select("value"), excluded, id_col=id_col, skip_col=skip_col).join(first.select("value", "label"), "value")
-    out = replaced(docs, found, first, id_col)
+    own = own_rows(docs, id_col)
+    found = dictionary.known_values(own, first.select("value"), excluded, id_col="_row", skip_col=skip_col).join(first.select("value", "label"), "value")
+    out = replaced(own, found, first, "_row").drop("_row")
     return out.withColumn("inserted", F.map_keys("tokens"))
 
 
@@ -110,7 +140,7 @@ def sanitize(docs: DataFrame, known: DataFrame, excluded: DataFrame | None = Non
         pre = catalog.enforce(pre, decided, id_col).withColumnRenamed("sanitized", "text").withColumnRenamed("tokens", "_catalog")
     pre = retokenize_known(pre, known, excluded, id_col, "_marked").drop("inserted", "_marked").withColumnRenamed("tokens", "_pre")
     out, table = tokenize(pre, known, salt, id_col, **stages)
-    return _merged(out, *(["_catalog"] if entries is not None else []), "_pre"), table
+    return _merged(out, *(["_catalog"] if entries is not None else []), "_pre"), table.where(durable(F.col("value")))
 
 
 def distinct_texts(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -129,10 +159,11 @@ def reused(docs: DataFrame, results: DataFrame, config_hash: str, id_col: str =
 
 def residual_tokens(docs: DataFrame, known: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, content_hash, live, unknown, raw_values): tokens left in stored text and known raw values in it."""
-    uses = docs.select(id_col, F.explode_outer(F.array_distinct(tokens_in(F.col("text")))).alias("token"))
-    live = uses.join(known.select("token").distinct().withColumn("_known", F.lit(1)), "token", "left").groupBy(id_col).agg(F.count("_known").alias("live"), F.count_if(F.col("token").isNotNull() & F.col("_known").isNull()).alias("unknown"))
-    raw = dictionary.occurrences(docs, known.select("value"), id_col).groupBy(id_col).agg(F.count_distinct("value").alias("raw_values"))
-    return docs.select(id_col, F.sha2("text", 256).alias("content_hash")).join(live, id_col).join(raw, id_col, "left").withColumn("raw_values", F.coalesce("raw_values", F.lit(0)))
+    docs = own_rows(docs, id_col)
+    uses = docs.select("_row", F.explode_outer(F.array_distinct(tokens_in(F.col("text")))).alias("token")).distinct()
+    live = uses.join(known.select("token").distinct().withColumn("_known", F.lit(1)), "token", "left").groupBy("_row").agg(F.count("_known").alias("live"), F.count_if(F.col("token").isNotNull() & F.col("_known").isNull()).alias("unknown"))
+    raw = dictionary.occurrences(docs, known.select("value"), "_row").groupBy("_row").agg(F.count_distinct("value").alias("raw_values"))
+    return docs.select(id_col, "_row", F.sha2("text", 256).alias("content_hash")).join(live, "_row").join(raw, "_row", "left").drop("_row").withColumn("raw_values", F.coalesce("raw_values", F.lit(0)))
 
 
 def span_patches(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:

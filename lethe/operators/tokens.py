@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.fixed import TOKEN_SHAPE as _SPLIT
 from ..functions.spans import apply_spans
 from ..functions.storage import materialized
-from ..functions.text import token_hex, token_label, token_ordinal, tokens_in
+from ..functions.text import row_key, token_hex, token_label, token_ordinal, tokens_in
 
 SALT = "lethe"
 ROUNDS = 10  # of chained tokens
@@ -34,8 +34,11 @@ def numbered(values: DataFrame) -> DataFrame:
 
 
 def mint(values: DataFrame, known: DataFrame | None = None, salt: str = SALT) -> DataFrame:
-    """(token, value, label) of each distinct durable (label, value); values known already keep their tokens."""
-    wanted = values.where(durable(F.col("value"))).select("label", "value").distinct()
+    """(token, value, label) of each distinct (label, value) that isn't blank; values known already keep their tokens.
+
+    What is stored for later texts are the durable ones: ingest() and sanitize() leave the others out.
+    """
+    wanted = values.where(F.trim("value") != "").select("label", "value").distinct()
     if known is None:
         fresh, last = numbered(wanted), None
     else:
@@ -92,12 +95,14 @@ def chained(known: DataFrame) -> DataFrame:
 
 
 def restore(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Tokens in texts back to their values, in one pass; unknown tokens stay."""
-    found = token_uses(docs, id_col, text_col).join(known.select("token", "value"), "token").groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("token", "value"))).alias("_values"))
+    """Tokens in texts back to their values, in one pass; unknown tokens stay, of a token's values the least is taken."""
+    rows = docs.withColumn("_row", row_key(F.col(id_col), F.col(text_col)))
+    single = known.groupBy("token").agg(F.min("value").alias("value"))
+    found = token_uses(rows, "_row", text_col).distinct().join(single, "token").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("token", "value"))).alias("_values"))
     tokens, between = tokens_in(F.col(text_col)), F.split(F.col(text_col), _SPLIT, -1)
     parts = F.transform(tokens, lambda t, i: F.concat(F.coalesce(F.try_element_at(F.col("_values"), t), t), F.get(between, i + 1)))
     text = F.when(F.col("_values").isNull(), F.col(text_col)).otherwise(F.concat(F.get(between, F.lit(0)), F.array_join(parts, "")))
-    return docs.join(found, id_col, "left").withColumn(text_col, text).drop("_values")
+    return rows.join(found, "_row", "left").withColumn(text_col, text).drop("_values", "_row")
 
 
 def block_unresolved(docs: DataFrame, known: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -160,8 +165,8 @@ def replaced(docs: DataFrame, found: DataFrame, table: DataFrame, id_col: str =
 
     Adds `tokens`: map of the document's tokens to their values.
     """
-    named = found.join(table, ["label", "value"]).groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("start", "end", "token", "value"))).alias("_spans"))
+    named = found.join(table, ["label", "value"]).groupBy(id_col).agg(F.array_sort(F.collect_set(F.struct("start", "end", "token", "value"))).alias("_spans"), F.collect_set(F.struct("token", "value")).alias("_pairs"))
     joined = docs.join(named, id_col, "left")
     spans = F.coalesce(F.col("_spans"), F.array().cast("array<struct<start:int,end:int,token:string,value:string>>"))
-    pairs = F.array_distinct(F.transform(spans, lambda s: F.struct(s["token"], s["value"])))
-    return joined.withColumn(text_col, apply_spans(F.col(text_col), spans)).withColumn("tokens", F.map_from_entries(pairs)).drop("_spans")
+    pairs = F.coalesce(F.col("_pairs"), F.array().cast("array<struct<token:string,value:string>>"))
+    return joined.withColumn(text_col, apply_spans(F.col(text_col), spans)).withColumn("tokens", F.map_from_entries(pairs)).drop("_spans", "_pairs")
