@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.spans import apply_spans
+from ..functions.storage import Snapshots, drop_scratch
+from ..functions.value_store import ValueStore
 from ..functions.text import catalog_token, first_name_parts, mask_catalog, normalize_value, row_key
 from . import dictionary
 
@@ -234,6 +236,21 @@ def forget(entries: DataFrame, references: DataFrame, found: DataFrame, audit: D
     return emptied(entries), references.join(gone, "entry_id", "left_anti"), emptied(found), kept
 
 
+def erase_everywhere(value: str, values: ValueStore | None = None, tables: dict[str, tuple[Snapshots, Column]] | None = None) -> dict[str, int]:
+    """A value out of every stored version: of the known values, and of tables by the rows that hold it.
+
+    tables: name -> (snapshots, which rows hold the value).  Scratch tables of this application go too.  Gives how many
+    versions of each table were rewritten, and how many parts of known values wait for readers.
+    """
+    done = {name: store.erase(hit) for name, (store, hit) in (tables or {}).items()}
+    if values is not None:
+        done["waiting_parts"] = values.erase(value)
+        drop_scratch(values.spark)
+    for store, _ in (tables or {}).values():
+        drop_scratch(store.spark)
+    return done
+
+
 def forget_everywhere(value: str, entries: DataFrame, references: DataFrame, found: DataFrame, audit: DataFrame, known: DataFrame, allowances: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
     """All tables without the value, and one row with what was taken out of each."""
     from .tokens import erase

@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from ..functions.storage import Snapshots
+from ..functions.value_store import ValueStore
 from ..operators import sanitize as s
-from ..operators.tokens import ingest, restore
+from ..operators.tokens import restore
 
 LONGEST = 200  # characters of a token; an open bracket followed by more is no token
 _OPEN = re.compile(r"\[[A-Z0-9_a-f]*$")
@@ -128,18 +128,18 @@ def restore_batch(known: DataFrame, sink):
     return of
 
 
-def sanitize_batch(store: Snapshots, sink, known_schema: str = "token string, value string, label string", **stages):
-    """A foreachBatch function: each micro-batch reads the newest known values before it and writes the next version.
+def sanitize_batch(store: ValueStore, sink, **stages):
+    """A foreachBatch function: each micro-batch reads the newest known values and adds those that it found.
 
-    sink(documents, batch id) gets the sanitized batch.  The version is the batch's id plus one, so a batch that runs
-    again writes the same version anew.
+    sink(documents, batch id) gets the sanitized batch.  What is written follows the batch, not the known values.  A batch
+    that runs again finds its own values known, gives the same texts and adds nothing.
     """
 
     def of(batch: DataFrame, batch_id: int) -> None:
-        older = [v for v in store.versions() if v <= batch_id]
-        known = store.read(older[-1]) if older else batch.sparkSession.createDataFrame([], known_schema)
-        out, table = s.sanitize(batch, known, **stages)
-        store.commit(ingest(known, table.join(known, "token", "left_anti")), batch_id + 1)
-        sink(out, batch_id)
+        with store.pin(store.generation()) as version:
+            known = store.read(version)
+            out, table = s.sanitize(batch, known, **stages)
+            store.append(table.join(known, "token", "left_anti"))
+            sink(out, batch_id)
 
     return of

@@ -4,7 +4,7 @@ import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lethe.functions.storage import Snapshots
+from lethe.functions.value_store import ValueStore
 from lethe.streaming import holdback as H
 
 
@@ -46,7 +46,7 @@ def test_stream_restores_tokens(spark, tmp_path):
 
 
 def test_batches_learn_values(spark, tmp_path):
-    store, got = Snapshots(spark, str(tmp_path / "known")), []
+    store, got = ValueStore(spark, str(tmp_path / "known")), []
     run = H.sanitize_batch(store, lambda df, _: got.append(df.first().sanitized))
     for i, text in enumerate(["mail a@b.com", "again a@b.com and c@d.org", "a@b.com"]):
         run(spark.createDataFrame([(0, text)], "doc_id long, text string"), i)
