@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
 
 from ..operators.loc import SKIPPED, SKIPPED_ENDINGS
@@ -78,27 +78,63 @@ def final_usage(chunks: DataFrame) -> DataFrame:
     return chunks.where(usage.isNotNull() & (usage != "{}")).groupBy("stream_id").agg(F.max_by(usage, "seq").alias("usage"))
 
 
-class _Page(InputPartition):
-    def __init__(self, first: int, last: int):
-        self.first, self.last = first, last
+class _Pages(InputPartition):
+    """Pages first, first + step, ..., before `end` or up to the first empty one."""
 
+    def __init__(self, first: int, step: int, end: int | None):
+        self.first, self.step, self.end = first, step, end
 
-class _Pages(DataSourceReader):
-    def __init__(self, fetch: Callable[[int], list[tuple]], pages: int, each: int):
-        self.fetch, self.pages, self.each = fetch, pages, each
+
+class _PageReader(DataSourceReader):
+    def __init__(self, fetch: Callable, options: dict):
+        self.fetch, self.options = fetch, options
 
     def partitions(self) -> list[InputPartition]:
-        return [_Page(i, min(i + self.each, self.pages)) for i in range(0, self.pages, self.each)]
+        first, each = int(self.options.get("first", "0")), int(self.options.get("each", "10"))
+        if "pages" in self.options:
+            end = first + int(self.options["pages"])
+            return [_Pages(i, 1, min(i + each, end)) for i in range(first, end, each)]
+        tasks = int(self.options.get("tasks", "8"))
+        return [_Pages(first + i, tasks, None) for i in range(tasks)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for page in range(partition.first, partition.last):
+        page = partition.first
+        while partition.end is None or page < partition.end:
+            rows = list(self.fetch(page))
+            if not rows and partition.end is None:
+                return
+            yield from rows
+            page += partition.step
+
+
+class _PageStream(SimpleDataSourceStreamReader):
+    """New pages of a source that grows; the offset is the first page not yet read.  Pages don't change once the next one has rows."""
+
+    def __init__(self, fetch: Callable, options: dict):
+        self.fetch, self.first, self.most = fetch, int(options.get("first", "0")), int(options.get("each", "10"))
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"page": self.first}
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        rows, page = [], start["page"]
+        while page < start["page"] + self.most and (own := list(self.fetch(page))):
+            rows += own
+            page += 1
+        return iter(rows), {"page": page}
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
+        for page in range(start["page"], end["page"]):
             yield from self.fetch(page)
 
 
 def paged_source(name: str, columns: StructType | str, fetch: Callable[[int], list[tuple]]) -> type[DataSource]:
-    """A data source of pages; fetch(page) gives its rows on an executor and reads secrets from its environment.
+    """A data source of pages; fetch(page) gives its rows, on an executor, and reads secrets from its environment.
 
-    Options: pages (how many), each (pages a partition).
+    Without further options pages are read up to the first empty one, by `tasks` tasks (8) that take turns.
+    Options: first (page, 0), pages (how many, where that is known) and each (pages a partition, or a micro-batch; 10).
+    As a stream it gives new pages.  Filters are Spark's work: what a Python source is told of them holds, in this
+    version of Spark, for all later uses of the same frame, which then lack rows.
     """
 
     class Paged(DataSource):
@@ -110,7 +146,10 @@ def paged_source(name: str, columns: StructType | str, fetch: Callable[[int], li
             return columns
 
         def reader(self, schema):
-            return _Pages(fetch, int(self.options.get("pages", "1")), int(self.options.get("each", "10")))
+            return _PageReader(fetch, self.options)
+
+        def simpleStreamReader(self, schema):  # noqa: N802
+            return _PageStream(fetch, self.options)
 
     return Paged
 

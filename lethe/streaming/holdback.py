@@ -6,7 +6,7 @@ so values never enter the state.
 
 from __future__ import annotations
 
-import io
+import json
 import re
 from collections.abc import Iterator
 
@@ -52,40 +52,117 @@ def release(pieces: list[tuple[int, str, bool]], held: str, ready: int, waiting:
     return out, held, ready, waiting
 
 
+def flush(held: str, ready: int, waiting: dict[int, tuple[str, bool]]) -> tuple[list[tuple[int, str]], int]:
+    """What is left of a stream that goes no further, and the seq that it would go on with: the tail held back, then pieces beyond a gap."""
+    out = [(ready - 1, held)] if held else []
+    out += [(seq, delta) for seq, (delta, _) in sorted(waiting.items()) if delta]
+    return out, max([ready, *(seq + 1 for seq in waiting)])
+
+
 def _rows(key: str, out: list[tuple[int, str]]) -> pd.DataFrame:
     return pd.DataFrame({"stream_key": pd.Series([key] * len(out), dtype=object), "seq": pd.Series([q for q, _ in out], dtype="int64"), "text": pd.Series([t for _, t in out], dtype=object)})
 
 
-class HoldBack(StatefulProcessor):
+IDLE_SECONDS = 30  # after which a stream that doesn't end comes out
+KEEP_SECONDS = 3600  # for which a stream's place is kept, so that late copies of its pieces are known
+
+
+class Idle(StatefulProcessor):
+    """A state that is flushed when a key has had no rows for some time, and forgotten later.
+
+    timed() is called for each batch of rows; it moves the key's one timer.
+    """
+
+    def __init__(self, idle_seconds: float = IDLE_SECONDS, keep_seconds: float = KEEP_SECONDS):
+        self.idle, self.keep = int(1000 * idle_seconds), int(1000 * keep_seconds)
+
+    def timed(self, timerValues) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle)
+
+    def close(self) -> None:
+        pass
+
+
+class HoldBack(Idle):
     """Rows (stream_key, seq, delta, is_end), seq from 0 without gaps, to safe text in order."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("held", StructType([StructField("held", StringType()), StructField("ready", LongType()), StructField("waiting", StringType())]))
+        self.handle = handle
+        self.state = handle.getValueState("held", StructType([StructField("held", StringType()), StructField("ready", LongType()), StructField("waiting", StringType())]), ttlDurationMs=self.keep)
+
+    def _state(self) -> tuple[str, int, dict[int, tuple[str, bool]]]:
+        if not self.state.exists():
+            return "", 0, {}
+        held, ready, packed = self.state.get()
+        return held, ready, {seq: (delta, end) for seq, delta, end in json.loads(packed)}
+
+    def _put(self, held: str, ready: int, waiting: dict[int, tuple[str, bool]]) -> None:
+        self.state.update((held, ready, json.dumps([(seq, *piece) for seq, piece in waiting.items()])))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        held, ready, waiting = "", 0, {}
-        if self.state.exists():
-            held, ready, packed = self.state.get()
-            waiting = {int(r["seq"]): (r["delta"], bool(r["end"])) for r in pd.read_json(io.StringIO(packed), dtype={"delta": str}).to_dict("records")} if packed else {}
         pieces = [(int(q), d, e) for part in rows for q, d, e in zip(part["seq"], part["delta"], part["is_end"], strict=True)]
-        out, held, ready, waiting = release(sorted(pieces, key=lambda p: p[0]), held, ready, waiting)
-        packed = pd.DataFrame([{"seq": q, "delta": d, "end": e} for q, (d, e) in waiting.items()]).to_json(orient="records") if waiting else ""
-        self.state.update((held, ready, packed))
+        out, held, ready, waiting = release(sorted(pieces, key=lambda p: p[0]), *self._state())
+        self._put(held, ready, waiting)
+        self.timed(timerValues)
+        yield _rows(str(key[0]), out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        out, ready = flush(*self._state())
+        self._put("", ready, {})
         yield _rows(str(key[0]), out)
 
-    def close(self) -> None:
-        pass
 
+class LastUsage(Idle):
+    """Rows (stream_id, seq, usage, is_end) to each stream's last usage, at its end or when it goes no further."""
 
-def hold_back(chunks: DataFrame) -> DataFrame:
-    """R1 over a streaming or batch table of chunks.  A stream needs the RocksDB state store provider."""
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("usage", StructType([StructField("seq", LongType()), StructField("usage", StringType())]), ttlDurationMs=self.keep)
+
+    def _out(self, key) -> Iterator[pd.DataFrame]:
+        if self.state.exists() and self.state.get()[1]:
+            seq, usage = self.state.get()
+            self.state.update((seq, ""))  # a later end gives nothing more
+            yield pd.DataFrame({"stream_id": [key[0]], "usage": [usage]})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        best, ended = (self.state.get() if self.state.exists() else (-1, "")), False
+        for part in rows:
+            ended |= bool(part["is_end"].any())
+            for seq, usage in zip(part["seq"], part["usage"], strict=True):
+                if isinstance(usage, str) and usage not in ("", "{}") and seq > best[0]:
+                    best = (int(seq), usage)
+        self.state.update(tuple(best))
+        self.timed(timerValues)
+        if ended:
+            yield from self._out(key)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        yield from self._out(key)
+
+
+def hold_back(chunks: DataFrame, idle_seconds: float = IDLE_SECONDS) -> DataFrame:
+    """R1 over a streaming or batch table of chunks.
+
+    A stream without an end comes out when it has had no chunk for idle_seconds; chunks beyond a gap come out then too.
+    Streaming needs the RocksDB state store provider, and a processingTime trigger: timers are looked at once a micro-batch,
+    and there is always a next one.
+    """
     own = chunks.select("stream_key", F.col("seq").cast("long").alias("seq"), "delta", "is_end")
     if chunks.isStreaming:
-        return own.groupBy("stream_key").transformWithStateInPandas(statefulProcessor=HoldBack(), outputStructType=OUTPUT, outputMode="Append", timeMode="None")
+        return own.groupBy("stream_key").transformWithStateInPandas(statefulProcessor=HoldBack(idle_seconds), outputStructType=OUTPUT, outputMode="Append", timeMode="ProcessingTime")
 
     return _held_back(own)
 
 
+def last_usage(chunks: DataFrame, idle_seconds: float = IDLE_SECONDS) -> DataFrame:
+    """R3 over streaming chunks (stream_id, seq, data, is_end), as readers.final_usage over a table."""
+    own = chunks.select("stream_id", F.col("seq").cast("long").alias("seq"), F.get_json_object("data", "$.usage").alias("usage"), F.coalesce("is_end", F.lit(False)).alias("is_end"))
+    return own.groupBy("stream_id").transformWithStateInPandas(statefulProcessor=LastUsage(idle_seconds), outputStructType="stream_id string, usage string", outputMode="Append", timeMode="ProcessingTime")
+
+
 def _held_back(chunks: DataFrame) -> DataFrame:
     """R1 over a table, by windows: what a chunk holds back is the open bracket at its end, or the one before it if the
     chunk only goes on with it.  No more than LONGEST chunks are looked at for one row."""

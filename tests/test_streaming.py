@@ -1,4 +1,5 @@
 import random
+import time
 
 import pandas as pd
 from hypothesis import given, settings
@@ -38,8 +39,10 @@ def test_stream_restores_tokens(spark, tmp_path):
         pd.DataFrame(rows, columns=["stream_key", "seq", "delta", "is_end"]).to_json(source / f"{i}.json", orient="records", lines=True)
     out = []
     stream = H.hold_back(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(source)))
-    q = stream.writeStream.foreachBatch(H.restore_batch(known, lambda df, _: out.extend(df.collect()))).option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
+    q = stream.writeStream.foreachBatch(H.restore_batch(known, lambda df, _: out.extend(df.collect()))).option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="500 milliseconds").start()
+    end = time.time() + 90
+    while sum(len(r.text) for r in out) < 10 and time.time() < end and q.isActive:
+        time.sleep(0.3)
     q.stop()
     whole = {k: "".join(r.text for r in sorted(out, key=lambda r: r.seq) if r.stream_key == k) for k in "ab"}
     assert whole == {"a": "hi Jan!", "b": "x[y"}
