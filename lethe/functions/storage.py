@@ -44,7 +44,7 @@ def drop_scratch(spark: SparkSession) -> None:
 
 def spread(df: DataFrame) -> DataFrame:
     """df dealt to all cores where it is smaller than a row group a core, since one task reads a row group; larger tables stay as they lie."""
-    size, cores = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()), df.sparkSession.sparkContext.defaultParallelism
+    size, cores = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if size < cores * ROW_GROUP else df
 
 

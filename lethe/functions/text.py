@@ -75,6 +75,19 @@ def tokens_in(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN_SHAPE), F.lit(0))
 
 
+def replaced_outside_tokens(text: Column, value: Column, token: Column, whole_word: bool = False) -> Column:
+    """F8: each place of a value that isn't inside a token replaced; whole_word: only where no word character stands next to it."""
+    if whole_word:
+        quoted = F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?!\w)"))
+        new = F.regexp_replace(token, r"([\\$])", r"\\$1")
+        of = lambda part: F.regexp_replace(part, quoted, new)
+    else:
+        of = lambda part: F.replace(part, value, token)
+    between = F.transform(F.split(text, TOKEN_SHAPE, -1), of)
+    parts = F.transform(tokens_in(text), lambda t, i: F.concat(t, F.get(between, i + 1)))
+    return F.when(F.contains(text, value) & (value != ""), F.concat(F.get(between, F.lit(0)), F.array_join(parts, ""))).otherwise(text)
+
+
 def _bare(word: Column) -> Column:
     left = "^[" + "".join("\\" + c for c in LEFT_PUNCTUATION) + "]+"
     right = "[" + "".join("\\" + c for c in RIGHT_PUNCTUATION) + "]+$"

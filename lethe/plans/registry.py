@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spans as sp
 from ..functions import text as tx
+from ..functions.storage import spread
 from ..operators import audit, catalog, detect, dictionary, loc, quality, sanitize, tokens
 from ..streaming import holdback
 
@@ -54,7 +55,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return spread(table(spark, sf, "documents").select("doc_id", "text"))
 
 
 @query(f"WITH {FOUND_SQL} SELECT label, count(*) AS n, count(DISTINCT value) AS n_values, count(DISTINCT doc_id) AS n_docs FROM labelled GROUP BY label")
@@ -345,7 +346,7 @@ SELECT coalesce(lang, 'TOTAL') AS language, CAST(sum(n) AS BIGINT) AS total, CAS
 FROM (SELECT lang, count(*) AS n, count(*) FILTER (trim(line) = '') AS blank, count(*) FILTER (starts_with(trim(line), '//') OR starts_with(trim(line), '*') OR starts_with(trim(line), '/*')) AS comment FROM l GROUP BY lang) GROUP BY ROLLUP (lang)"""
 )
 def line_counts(spark, sf):
-    own = table(spark, sf, "documents").withColumn("c", loc.line_counts(F.col("text"), F.lit("JavaScript")))
+    own = spread(table(spark, sf, "documents").select("lang", "text")).withColumn("c", loc.line_counts(F.col("text"), F.lit("JavaScript")))
     return own.rollup("lang").agg(*[F.sum(f"c.{k}").alias(k) for k in ("total", "blank", "comment", "code")]).select(F.coalesce("lang", F.lit("TOTAL")).alias("language"), "total", "blank", "comment", "code")
 
 

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from lethe.plans import registry, rules, stores  # noqa: F401
+from lethe.plans import flows, registry, rules, stores  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
