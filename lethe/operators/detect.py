@@ -14,6 +14,7 @@ from ..functions.spans import STAGE_ENTITY, could_hold_secret, outside, resolve,
 from ..functions.text import windows
 
 BLOCKED_NAMES = [".env", ".env.local", ".env.production", "secrets.json", "credentials.json", "id_rsa", "id_ed25519", ".netrc"]
+MOST_GLOBS = 1000  # of an allow-list: each is a pattern in the plan; plain names have no such bound
 BLOCKED_SUFFIXES = [".pem", ".key", ".p12", ".pfx"]
 
 
@@ -106,6 +107,27 @@ def allowed(value: Column, names: list[str], escaped: Column | None = None) -> C
     return reduce(lambda a, g: a | v.rlike(g), globs, out)
 
 
+def allowed_values(values: DataFrame, names: DataFrame) -> DataFrame:
+    """P6 for a list of any size: those of values (value), in lower case, that are a substring of a name (name) or have one, or match a glob.
+
+    Both directions are dictionary passes: names looked up in the values, and values in the names.
+    """
+    from .dictionary import occurrences  # which itself needs no detector
+
+    v = values.select(F.lower("value").alias("value")).where("value <> ''").distinct()
+    n = names.select(F.lower("name").alias("value")).where("value <> ''").distinct()
+    glob = F.col("value").rlike(r"[*?\[]")
+    plain = n.where(~glob)
+    texts = lambda df: df.select(F.col("value").alias("id"), F.col("value").alias("text"))
+    found = occurrences(texts(v), plain, "id").select(F.col("id").alias("value")).unionByName(occurrences(texts(plain), v, "id").select("value"))
+    globs = [glob_pattern(r["value"]) for r in n.where(glob).limit(MOST_GLOBS + 1).collect()]
+    if len(globs) > MOST_GLOBS:
+        raise ValueError(f"more than {MOST_GLOBS} globs in an allow-list")
+    if globs:
+        found = found.unionByName(v.where(reduce(lambda a, b: a | b, [F.col("value").rlike(g) for g in globs])))
+    return found.distinct()
+
+
 def glob_pattern(glob: str) -> str:
     """A shell glob as an anchored regular expression."""
     out, i = "", 0

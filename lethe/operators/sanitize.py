@@ -18,11 +18,11 @@ from .tokens import SALT, durable, grant_allowance, mint, replaced
 _SPAN = ["start", "end", "label", "value", "stage"]
 
 
-def candidates(docs: DataFrame, mode: str = "balanced", names: list[str] | None = None, entities: DataFrame | None = None, blacklist: DataFrame | None = None, custom: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
+def candidates(docs: DataFrame, mode: str = "balanced", names: list[str] | DataFrame | None = None, entities: DataFrame | None = None, blacklist: DataFrame | None = None, custom: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
     """Spans (id, start, end, label, value, stage) of all stages: entities, blacklist, secrets, custom phrases.
 
     entities: (id, start, end, label), from a model or the rule detector; allow-list, modes and escapes hold
-    for entities only.
+    for entities only.  names: the allow-list, as configuration or, at any size, as a table (name).
     """
     if "_secrets" in docs.columns:  # found already
         found = docs.select(id_col, F.explode("_secrets").alias("s")).select(id_col, "s.start", "s.end", "s.label", "s.value", "s.stage")
@@ -32,7 +32,11 @@ def candidates(docs: DataFrame, mode: str = "balanced", names: list[str] | None
         marked = docs.select(id_col, "text", *(["escaped"] if "escaped" in docs.columns else []))
         own = entities.join(marked, id_col).withColumn("value", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))).withColumn("label", F.regexp_replace(F.upper("label"), " ", "_"))
         escaped = F.col("escaped") if "escaped" in docs.columns else None
-        own = own.where(detect.plausible(F.col("label"), F.col("value")) & detect.in_mode(F.col("label"), F.col("value"), mode) & ~detect.allowed(F.col("value"), names or [], escaped))
+        own = own.where(detect.plausible(F.col("label"), F.col("value")) & detect.in_mode(F.col("label"), F.col("value"), mode))
+        own = own.where(~detect.allowed(F.col("value"), names if isinstance(names, list) else [], escaped))
+        if isinstance(names, DataFrame):
+            own = own.withColumn("_v", F.lower("value"))
+            own = own.join(detect.allowed_values(own, names).withColumnRenamed("value", "_v"), "_v", "left_anti").drop("_v")
         if mode == "balanced":  # only the last word of a name is hidden
             last = balanced_name(F.col("value"))
             own = own.where((F.col("label") != "PERSON") | last.isNotNull()).withColumn("_last", F.when(F.col("label") == "PERSON", last))
@@ -85,7 +89,7 @@ def tokenize(docs: DataFrame, known: DataFrame | None = None, salt: str = SALT,
         out = out.unionByName(idle.withColumn("tokens", F.create_map().cast("map<string,string>")))
     out = out.drop("_row", "_secrets")
     if verifiers:
-        out, table = verified(out, verifiers, table, stages.get("names") or [], salt, id_col)
+        out, table = verified(out, verifiers, table, stages["names"] if isinstance(stages.get("names"), list) else [], salt, id_col)
     return out.withColumnRenamed("text", "sanitized").drop("escaped"), table
 
 

@@ -12,7 +12,7 @@ from ..functions.storage import materialized
 from ..functions.text import row_key, token_hex, token_label, token_ordinal, tokens_in
 
 SALT = "lethe"
-ROUNDS = 10  # of chained tokens
+ROUNDS = 10  # levels of chained tokens; chained() reaches just these
 
 
 def durable(value: Column) -> Column:
@@ -83,15 +83,25 @@ def unresolved(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_c
 
 
 def chained(known: DataFrame) -> DataFrame:
-    """Values that hold tokens themselves are restored, up to ROUNDS times."""
-    table = known.select("token", "value")
-    for _ in range(ROUNDS):
-        nested = table.where(F.size(tokens_in(F.col("value"))) > 0)
-        if not nested.limit(1).count():
-            break
-        inner = restore(nested.select(F.col("token").alias("_id"), F.col("value").alias("text")), known, "_id").select(F.col("_id").alias("token"), F.col("text").alias("value"))
-        table = materialized(table.join(nested, "token", "left_anti").unionByName(inner), "chained")
-    return table
+    """(token, value) with the tokens in values restored, ROUNDS levels deep; what lies deeper stays, so cycles end too.
+
+    Levels are doubled: values that are open for k levels, restored by values that are open for m, are so for k + m + 1.
+    After 1, 3 and 7 levels a last step takes the values of 7 by those of 2, so chains of 10 need 4 steps one after another.
+    """
+    base = known.groupBy("token").agg(F.min("value").alias("value"))
+    nested = lambda table: table.where(F.size(tokens_in(F.col("value"))) > 0)
+    if not nested(base).limit(1).count():
+        return base
+    opened = {0: base}
+    for k, m in ((0, 0), (1, 1), (1, 0), (3, 3), (7, 2)):
+        open_values = nested(opened[k])
+        inner = restore(open_values.select(F.col("token").alias("_id"), F.col("value").alias("text")), opened[m], "_id").select(F.col("_id").alias("token"), F.col("text").alias("value"))
+        table = materialized(opened[k].join(open_values.select("token"), "token", "left_anti").unionByName(inner), "chained")
+        opened[k + m + 1] = table
+        if m != 0 or k == 0:
+            if not nested(table).limit(1).count():
+                return table
+    return opened[ROUNDS]
 
 
 def restore(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
