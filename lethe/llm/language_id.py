@@ -25,9 +25,9 @@ from .textblocks import blocks, mix
 
 GRAM = 4  # bytes, of lower-cased letters with single spaces at word ends
 SLOTS_LOG2, HASHES = 18, 3
-GRAMS_PER_LANGUAGE = 20_000  # most frequent ones; at least LEAST_COUNT training texts hold each
-LEAST_COUNT = 2
-FIT_ROWS = 4_000  # expected training rows a language: the documented bound of the fit
+GRAMS_PER_LANGUAGE = 20_000  # most frequent ones; at least LEAST_COUNT training texts hold each, if the language has FEW_TEXTS
+LEAST_COUNT, FEW_TEXTS = 2, 300
+FIT_ROWS = 4_000  # expected distinct training texts a language: the documented bound of the fit
 WORD = 64  # bits of a mask
 
 UNDETERMINED = "und"
@@ -93,14 +93,20 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", rows: int = FIT_ROWS) -> Filters:
-    """Filters from the rows of `labelled` with a language, on a sample of about `rows` of each language."""
-    known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = [(r["lang"], r["n"]) for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()]
+    """Filters from the rows of `labelled` with a language, on a sample of about `rows` distinct texts of each language.
+
+    Copies of a text count once.  The text of the least hash is always in the sample, so each language is learned.
+    """
+    known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).withColumn("hash", F.xxhash64("text"))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("hash", 0.02).alias("texts"), F.min("hash").alias("first")).orderBy(F.desc("n"), "lang").collect()
+    counts = [(r["lang"], r["n"]) for r in sizes]
     if not counts:
         return Filters([], np.zeros(1 << SLOTS_LOG2, np.uint8), np.zeros(0), 0)
-    shares = labelled.sparkSession.createDataFrame([(lang, int(1_000_000 * min(1.0, rows / n))) for lang, n in counts], "lang string, share long")
-    sample = known.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.col("share")).select("lang", "text")
-    grams = sample.mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
+    shares = F.broadcast(labelled.sparkSession.createDataFrame([(r["lang"], int(1_000_000 * min(1.0, rows / r["texts"])), r["first"], 1 if r["texts"] < FEW_TEXTS else LEAST_COUNT) for r in sizes], "lang string, share long, first long, least int"))
+    drawn = (F.pmod("hash", F.lit(1_000_000)) < F.col("share")) | (F.col("hash") == F.col("first"))
+    sample = known.join(shares, "lang").where(drawn).dropDuplicates(["lang", "hash"]).select("lang", "text")
+    counted = sample.mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = counted.join(shares, "lang").where(F.col("n") >= F.col("least"))
     best = grams.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("place") <= GRAMS_PER_LANGUAGE)
     languages = sorted(lang for lang, _ in counts)
     number = {lang: i for i, lang in enumerate(languages)}

@@ -77,3 +77,13 @@ def test_against_exact_sets(spark):
         want = [sum(g in exact[lang] for g in own) for lang in f.languages]
         best, _ = L.decide(f, *text_buffers(__import__("pyarrow").array([text])))
         assert want[best[0]] >= 0.98 * max(want) - 1
+
+
+def test_no_language_is_lost(spark, docs_of):
+    # One text of a language; copies of one text beyond the sample's size, whatever its hash is.
+    polish = [f"w szczebrzeszynie chrząszcz brzmi w trzcinie {i}" for i in range(3)]
+    for text in polish:
+        rows = [(text, "pl")] * 3000 + [(f"the rain and the wind over hills {i}", "en") for i in range(30)] + [("det regner over fjellet", "no")]
+        f = L.fit(spark.createDataFrame(rows, "text string, lang string").repartition(3), rows=50)
+        got = {r.doc_id: r.lang_pred for r in L.predict(docs_of([text, "chrząszcz brzmi", "det regner", "the wind"]), f).collect()}
+        assert got == {0: "pl", 1: "pl", 2: "no", 3: "en"}
