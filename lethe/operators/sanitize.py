@@ -89,17 +89,22 @@ def tokenize(docs: DataFrame, known: DataFrame | None = None, salt: str = SALT,
         out = out.unionByName(idle.withColumn("tokens", F.create_map().cast("map<string,string>")))
     out = out.drop("_row", "_secrets")
     if verifiers:
-        out, table = verified(out, verifiers, table, stages["names"] if isinstance(stages.get("names"), list) else [], salt, id_col)
+        out, table = verified(out, verifiers, table, stages.get("names", []), salt, id_col)
     return out.withColumnRenamed("text", "sanitized").drop("escaped"), table
 
 
-def verified(docs: DataFrame, verifiers: list[Callable[[DataFrame], DataFrame]], known: DataFrame, names: list[str], salt: str = SALT, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+def verified(docs: DataFrame, verifiers: list[Callable[[DataFrame], DataFrame]], known: DataFrame, names: list[str] | DataFrame | None, salt: str = SALT, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """T1's last stage, U2, P16: what verifiers still find in sanitized texts becomes VERIFIED_<label> tokens."""
     docs = own_rows(docs, id_col)
     texts = docs.select(F.col("_row").alias(id_col), "text")
-    spans_of = detect.all_spans(texts, verifiers, id_col).groupBy(id_col).agg(F.collect_set(F.struct("start", "end", "label", F.lit(STAGE_VERIFIER).alias("stage"))).alias("_s"))
+    found = detect.all_spans(texts, verifiers, id_col)
+    if isinstance(names, DataFrame):
+        own = texts.join(found.groupBy(id_col).agg(F.collect_set(F.struct("start", "end", "label", F.lit(STAGE_VERIFIER).alias("stage"))).alias("_s")), id_col)
+        valued = materialized(own.select(id_col, F.explode(with_values(F.col("text"), F.col("_s"))).alias("s")).select(id_col, "s.start", "s.end", "s.label", F.lower("s.value").alias("value")).distinct(), "spans")
+        found, names = valued.join(detect.allowed_values(valued, names), "value", "left_anti").drop("value"), []
+    spans_of = found.groupBy(id_col).agg(F.collect_set(F.struct("start", "end", "label", F.lit(STAGE_VERIFIER).alias("stage"))).alias("_s"))
     own = texts.join(spans_of, id_col)
-    kept = own.select(id_col, F.explode(detect.verifier_spans(F.col("_s"), no_spans(), F.col("text"), names)).alias("s"))
+    kept = own.select(id_col, F.explode(detect.verifier_spans(F.col("_s"), no_spans(), F.col("text"), names or [])).alias("s"))
     label = F.concat(F.lit("VERIFIED_"), normalize_label(F.coalesce(F.nullif("s.label", F.lit("")), F.lit("SENSITIVE"))))
     found = materialized(kept.select(id_col, "s.start", "s.end", label.alias("label"), "s.value").distinct(), "spans")
     table = mint(found, known, salt)

@@ -56,3 +56,5 @@ def test_long_allow_list(spark):
     spans = spark.createDataFrame([(1, 3, 3 + len(sha), "PERSON"), (1, 8 + len(sha), 20 + len(sha), "PERSON")], "doc_id long, start int, end int, label string")
     out, _ = sanitize.tokenize(d, entities=spans, names=names, mode="strict")
     assert sha in out.first().sanitized and "Someone" not in out.first().sanitized
+    out, _ = sanitize.tokenize(d, verifiers=[lambda texts: spans.select(F.lit(texts.first().doc_id).alias("doc_id"), "start", "end", "label")], names=names)
+    assert sha in out.first().sanitized and "Someone" not in out.first().sanitized
