@@ -10,8 +10,9 @@
    the links that join components: fewer than the bucket has members, however many pairs are alike.  Pairs inside
    one component need no test, as they can't change it.
 
-In steps 3 and 4 a bucket of more than BLOCK members is cut into blocks by a hash of the document; each two blocks are
-a group of their own, dealt like a bucket.  A task holds one group at a time, so its memory is bounded by two blocks.
+In steps 3 and 4 a bucket of more than BLOCK members is cut into blocks by a hash of the document, those of its largest
+component apart from all others; a block of that component and a block of others, or two blocks of others, are a group of
+their own, dealt like a bucket.  A task holds one group at a time, so its memory is bounded by two blocks.
 
 A link of similarity s is missed when no band of 4 registers agrees, at s = 0.75 about once in 2e5 links of large
 sets.  Sets of up to FEW shingles, whose bands borrow registers, also have keys for the set itself and for the set less
@@ -224,6 +225,32 @@ def _link(similar: int, of_: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     return of
 
 
+def dealt_groups(named: DataFrame) -> DataFrame:
+    """Rows (key, doc, label) of buckets to the groups (key, doc, label, side) in which they are compared.
+
+    A bucket of up to BLOCK members of several components is a group.  A larger one is split into its largest component
+    and all others, each in blocks: a group is a block of the one and a block of the other, or two blocks of others.
+    Members of the largest component never meet each other, so a bucket of copies with a few other members deals about
+    one row for each of its members.
+    """
+    labels = named.groupBy("key", "label").agg(F.count("*").alias("n"))
+    most = F.max(F.struct("n", F.col("label")))
+    several = labels.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("labels"), most.alias("m")).where("labels > 1")
+    several = several.select("key", "n", F.col("m.label").alias("main"), F.ceil(F.col("m.n") / F.lit(BLOCK)).cast("int").alias("inside"), F.ceil((F.col("n") - F.col("m.n")) / F.lit(BLOCK)).cast("int").alias("outside"))
+    own = named.join(several, "key")
+    hot, main = F.col("n") > BLOCK, F.col("label") == F.col("main")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    block = F.pmod(F.xxhash64("doc"), F.when(main, F.col("inside")).otherwise(F.col("outside"))).cast("int")
+    own = own.withColumn("block", block)
+    small = own.where(~hot).select("key", "doc", "label", F.lit(0).alias("side"))
+    across = own.where(hot).withColumn("other", F.explode(upto(F.when(main, F.col("outside")).otherwise(F.col("inside")))))
+    pair = F.when(main, F.xxhash64("key", F.lit(1), "block", "other")).otherwise(F.xxhash64("key", F.lit(1), "other", "block"))
+    across = across.select(pair.alias("key"), "doc", "label", (~main).cast("int").alias("side"))
+    others = own.where(hot & ~main).withColumn("other", F.explode(upto(F.col("outside"))))
+    others = others.select(F.xxhash64("key", F.lit(2), F.least("block", "other"), F.greatest("block", "other")).alias("key"), "doc", "label", (F.col("block") > F.col("other")).cast("int").alias("side"))
+    return small.unionByName(across).unionByName(others)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, similar: int = SIMILAR, of: int = OF) -> DataFrame:
     """(doc, n, component) of each row: set size and the smallest document reachable over links."""
     own = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
@@ -244,12 +271,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tested = confirmed(members.where("doc > least").groupBy("doc").agg(F.min("least").alias("a")).select("a", F.col("doc").alias("b")))
     labels = components(tested.where("linked"))
     named = members.select("key", "doc").join(labels, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("label", "doc").alias("label"))
-    several = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")).where("lo < hi").select("key", "blocks")
-    own_block, other = F.pmod(F.xxhash64("doc"), "blocks").cast("int"), F.col("other")
-    dealt = named.join(several, "key").withColumn("block", own_block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    group = F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("block", other), F.greatest("block", other)))
-    dealt = dealt.select(group.alias("key"), "doc", "label", (F.col("block") > other).cast("int").alias("side"))
-    rows = dealt.join(items.select("doc", "n", "regs"), "doc").select("key", "doc", "label", "side", "n", "regs")
+    rows = dealt_groups(named).join(items.select("doc", "n", "regs"), "doc").select("key", "doc", "label", "side", "n", "regs")
     flagged = written(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_flag(similar, of), "key long, doc long, label long"), "flagged")
     found = flagged.join(items.select("doc", "items"), "doc").select("key", "doc", "label", "items").repartition("key").sortWithinPartitions("key")
     links = found.mapInArrow(_link(similar, of), "a long, b long").distinct()

@@ -108,6 +108,21 @@ def test_hot_bucket(docs_of, monkeypatch):
     assert sorted(map(tuple, got)) == sorted(brute(texts, ids))
 
 
+def test_dealt_rows_of_a_hot_bucket(spark, monkeypatch):
+    # A component of 5000 and 6 other members: a row for each member and block, not for each two blocks.
+    monkeypatch.setattr(near_dup, "BLOCK", 50)
+    rows = [(7, i, 0) for i in range(5000)] + [(7, 10_000 + i, 10_000 + i // 2) for i in range(6)] + [(8, 1, 1), (8, 2, 2), (9, 3, 3), (9, 4, 3)]
+    got = near_dup.dealt_groups(spark.createDataFrame(rows, "key long, doc long, label long")).collect()
+    assert len(got) == 5000 + 6 * 100 + 6 + 2
+    groups = {}
+    for r in got:
+        groups.setdefault(r.key, []).append(r)
+    met = {(a.doc, b.doc) for g in groups.values() for a in g for b in g if a.label != b.label and (a.side != b.side or not any(x.side for x in g))}
+    label = {d: n for _, d, n in rows}
+    want = {(a, b) for k in (7, 8) for _, a, _ in [r for r in rows if r[0] == k] for b in ([d for q, d, _ in rows if q == k] if a >= 10_000 or k == 8 else range(10_000, 10_006)) if label[a] != label[b]}
+    assert met == want and max(map(len, groups.values())) < 120
+
+
 def test_edges(docs_of):
     assert near_dup.near_duplicates(docs_of([])).count() == 0
     got = near_dup.near_duplicates(docs_of(["x y z w v", "x y z w v", "x y z w v", None, "p q"], [4, 4, 9, 2, None])).collect()
