@@ -2,9 +2,9 @@
 
 A substring join has no equi key.  A dictionary whose size is checked to be small enough is broadcast as one
 multi-pattern automaton, which each task runs over its texts once and resolves overlaps there: no shuffle, no join.
-A larger one is cut into a few such parts, a pass each.  Beyond MOST_PASSES parts each value is looked up by one of its
-grams, the one fewest values share; texts give their grams chunk by chunk, Catalyst joins by gram, and a
-comparison of the whole value confirms.
+A larger one is cut into a few such parts, a pass each.  Beyond MOST_PASSES parts each value is looked up by the one of its
+grams that the texts have most seldom; texts give the grams that pass a filter, Catalyst joins by gram, and a comparison of
+the whole value confirms.
 
 Lower case, where it is asked for, is taken character by character where that keeps the length, so places hold for the text.
 """
@@ -16,6 +16,7 @@ from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -28,11 +29,12 @@ from ..functions.sweep import FOUND
 
 MOST_CHARACTERS = 1_000_000  # of the values in one automaton, which takes up to 100 bytes for each
 MOST_PASSES = 8
-GRAM = 4
-CHUNK = 1000  # characters whose grams one row gives
+GRAMS = (8, 4, 2, 1)  # characters of the grams by which values of at least that length are found
+COUNTERS = 1 << 20  # in which the texts' grams of a size are counted
+MOST_FILTER_BITS = 1 << 30
+PIECE = 1 << 18  # bytes of the pieces in which tasks hand over counts and filters
 _HITS = 50_000  # rows of an output batch
 _WORD, _TOKEN = re.compile(r"\w"), re.compile(TOKEN_SHAPE)
-_WORD_JVM = r"^[\p{L}\p{N}_]"
 
 
 def folded(text: str) -> str:
@@ -136,40 +138,192 @@ def _found(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str, any_ca
     return _resolved(docs, out, id_col, text_col) if resolved and passes > 1 else out
 
 
-def anchors(values: DataFrame, gram: int) -> DataFrame:
-    """(value, gram, offset) of each value: its gram that the fewest values hold; ties by hash, then by place."""
-    grams = values.select("value", F.posexplode(F.transform(F.sequence(F.lit(0), F.char_length("value") - gram), lambda i: F.substring("value", i + 1, F.lit(gram)))).alias("offset", "gram"))
-    common = grams.groupBy("gram").agg(F.count_distinct("value").alias("n"))
-    best = grams.join(common, "gram").groupBy("value").agg(F.min(F.struct("n", F.xxhash64("gram").alias("h"), "offset", "gram")).alias("b"))
-    return best.select("value", "b.gram", "b.offset")
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
 
-def _by_grams(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str, any_case: bool) -> DataFrame:
-    text = folded_column(F.col(text_col)) if any_case else F.col(text_col)
+def gram_hashes(codes: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all grams of `size` code points, a power of two: each of two halves."""
+    h, step = (codes + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), 1
+    while step < size:
+        h = h[: len(h) - step] * np.uint64(0xD6E8FEB86659FD93) + h[step:] if len(h) > step else h[:0]
+        h = h ^ (h >> np.uint64(29))
+        step *= 2
+    h = h * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def _size_of(length: int) -> int:
+    """Characters of the grams by which values of a length are found."""
+    return next(g for g in GRAMS if g <= length)
+
+
+def _pieces(arrays: np.ndarray, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """An array as rows (piece, part) of PIECE bytes, without those that are all zero."""
+    flat = arrays.reshape(-1).view(np.uint8)
+    at = [i for i in range(0, len(flat), PIECE) if flat[i : i + PIECE].any()]
+    yield pa.RecordBatch.from_arrays([pa.array([i // PIECE for i in at], pa.int64()), pa.array([flat[i : i + PIECE].tobytes() for i in at], kind)], names=["piece", "part"])
+
+
+def _merged(kind: type, merge: Callable) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, part in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                x = np.frombuffer(part.as_buffer(), kind)
+                parts[i] = merge(parts[i], x) if i in parts else x
+        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([x.tobytes() for x in parts.values()], pa.binary())], names=["piece", "part"])
+
+    return of
+
+
+def _together(pieces: DataFrame, kind: type, merge: Callable, size: int) -> np.ndarray:
+    """The pieces of all tasks merged by Spark, piece by piece, and put together: `size` numbers, whatever the data are."""
+    out = np.zeros(size, kind)
+    flat = out.view(np.uint8)
+    for r in pieces.repartition("piece").mapInArrow(_merged(kind, merge), "piece long, part binary").toLocalIterator():
+        flat[r["piece"] * PIECE : r["piece"] * PIECE + len(r["part"])] = np.frombuffer(bytes(r["part"]), np.uint8)
+    return out
+
+
+def _count_grams(sizes: list[int], any_case: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((len(sizes), COUNTERS), np.uint32)
+        held, most = [], 4 * COUNTERS
+
+        def add() -> None:
+            for k, size in enumerate(sizes):
+                h = np.concatenate([gram_hashes(codes, size) for codes in held] or [np.zeros(0, np.uint64)])
+                counts[k] += np.bincount((h % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                held.append(code_points(folded(text) if any_case else text))
+                most -= len(held[-1])
+                if most <= 0:
+                    add()
+                    held, most = [], 4 * COUNTERS
+        add()
+        yield from _pieces(counts, pa.binary())
+
+    return of
+
+
+def _anchor(shared, sizes: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (value, whole, needle) to (gram, offset, value, whole, needle): the needle's gram that texts have most seldom, the first of equals."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value.reshape(len(sizes), COUNTERS)
+        for b in batches:
+            grams, offsets = [], []
+            for needle in b.column(2).to_pylist():
+                size = _size_of(len(needle))
+                h = gram_hashes(code_points(needle), size)
+                at = int(counts[sizes.index(size)][(h % np.uint64(COUNTERS)).astype(np.int64)].argmin())
+                grams.append(h[at])
+                offsets.append(at)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(grams, np.uint64).view(np.int64)), pa.array(offsets, pa.int32()), *b.columns], names=["gram", "offset", "value", "whole", "needle"])
+
+    return of
+
+
+def _bit(h: np.ndarray, size: int, shift: int) -> np.ndarray:
+    """Place of one of a gram's bits in a filter of `size` bits, a power of two."""
+    return ((h >> np.uint64(shift)) * np.uint64(0x94D049BB133111EB) >> np.uint64(20)) & np.uint64(size - 1)
+
+
+_SHIFTS = (0, 7, 13, 23)  # of a gram's four bits
+
+
+def _fill(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(size // 8, np.uint8)
+        for b in batches:
+            h = b.column(0).to_numpy().view(np.uint64)
+            for at in (_bit(h, size, s) for s in _SHIFTS):
+                np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        yield from _pieces(bits, pa.binary())
+
+    return of
+
+
+def _seek(shared, sizes: list[int], any_case: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (id, text) to (id, gram, at) of the grams that the filter lets through."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for b in batches:
+            kind = b.schema.field(0).type
+            for key, text in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                codes = code_points(folded(text) if any_case else text)
+                for size in sizes:
+                    h = gram_hashes(codes, size)
+                    at = np.arange(len(h))
+                    for shift in _SHIFTS:  # most grams are gone after the first bit
+                        x = _bit(h[at], 8 * len(bits), shift)
+                        at = at[(bits[(x >> np.uint64(3)).astype(np.int64)] >> (x & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(at), kind), pa.array(h[at].view(np.int64)), pa.array(at, pa.int32())], names=["id", "gram", "at"])
+
+    return of
+
+
+def _verify(any_case: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (id, text, hits) to (id, start, end, value, spelled) of the hits that the text has."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for key, text, hits in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                own = folded(text) if any_case else text
+                for h in hits.as_py():
+                    start, end = h["start"], h["start"] + len(h["needle"])
+                    if own[start:end] != h["needle"] or (h["whole"] and ((start and _WORD.match(text[start - 1])) or (end < len(text) and _WORD.match(text[end])))):
+                        continue
+                    rows.append((key, start, end, h["value"], text[start:end]))
+            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (b.schema.field(0).type, pa.int32(), pa.int32(), pa.string(), pa.string()), strict=True)], names=["id", "start", "end", "value", "spelled"])
+
+    return of
+
+
+def filter_bits(grams: int) -> int:
+    """Size of the filter of dictionary grams: 32 to 64 bits for each, MOST_FILTER_BITS at most (then more grams pass in vain)."""
+    return min(MOST_FILTER_BITS, max(1 << 16, 1 << (32 * grams).bit_length()))
+
+
+def candidate_grams(docs: DataFrame, terms: DataFrame, any_case: bool) -> tuple[DataFrame, DataFrame]:
+    """Grams of docs (id, text) that may belong to a value (id, gram, at), and the values' anchors (gram, offset, value, whole, needle)."""
+    spark = docs.sparkSession
     own = terms.select("value", "whole", (folded_column(F.col("value")) if any_case else F.col("value")).alias("needle"))
-    step = F.lit(CHUNK)
-    pieces = docs.select(F.col(id_col).alias("_id"), F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.char_length(text) / step).cast("int")), lambda k: F.struct((k * step).alias("at"), F.substring(text, F.greatest(k * step, F.lit(1)), step + 2 * GRAM).alias("part")))).alias("w"))
-    out = None
-    size = F.char_length("needle")
-    for gram, fit in ((GRAM, size >= GRAM), (2, (size >= 2) & (size < GRAM)), (1, size == 1)):
-        keys = anchors(own.where(fit).select(F.col("needle").alias("value")).distinct(), gram).withColumnRenamed("value", "needle")
-        # `part` starts one character before `at` where there is one, so that each gram's place is counted once.
-        shift = F.when(F.col("w.at") > 0, 1).otherwise(0)
-        grams = pieces.select("_id", F.col("w.at").alias("at"), F.posexplode(F.transform(F.sequence(F.lit(0), F.least(step - 1, F.char_length("w.part") - shift - gram)), lambda i: F.substring("w.part", i + 1 + shift, F.lit(gram)))).alias("i", "gram")).where(F.char_length("gram") == gram)
-        hits = grams.join(keys, "gram").select("_id", "needle", (F.col("at") + F.col("i") - F.col("offset")).alias("start")).where("start >= 0")
-        out = hits if out is None else out.unionByName(hits)
-    per_doc = out.groupBy("_id").agg(F.collect_list(F.struct("start", "needle")).alias("hits"))
-    joined = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_spelled"), text.alias("_text")).join(per_doc, "_id")
-    same = F.filter("hits", lambda h: F.substring(F.col("_text"), h["start"] + 1, F.char_length(h["needle"])) == h["needle"])
-
-    def marked(h: Column) -> Column:
-        end = h["start"] + F.char_length(h["needle"])
-        before = F.when(h["start"] > 0, F.substring(F.col("_text"), h["start"], F.lit(1))).otherwise(F.lit(""))
-        inner = F.substring(F.col("_text"), end + 1, F.lit(1)).rlike(_WORD_JVM) | before.rlike(_WORD_JVM)
-        return F.struct(h["start"].cast("int").alias("start"), end.cast("int").alias("end"), h["needle"].alias("needle"), inner.alias("inner"), F.substring(F.col("_spelled"), h["start"] + 1, F.char_length(h["needle"])).alias("spelled"))
-
-    flat = joined.select(F.col("_id").alias(id_col), F.explode(F.transform(same, marked)).alias("h")).select(id_col, "h.*")
-    return flat.join(own, "needle").where(~(F.col("whole") & F.col("inner"))).select(id_col, "start", "end", "value", "spelled").distinct()
+    lengths = F.when(F.char_length("needle") >= GRAMS[0], GRAMS[0]).otherwise(F.char_length("needle"))
+    sizes = sorted({_size_of(r[0]) for r in own.select(lengths).distinct().collect()})
+    counts = _together(docs.select("text").mapInArrow(_count_grams(sizes, any_case), "piece long, part binary"), np.uint32, np.add, len(sizes) * COUNTERS)
+    shared = spark.sparkContext.broadcast(counts)
+    anchors = materialized(own.mapInArrow(_anchor(shared, sizes), "gram long, offset int, value string, whole boolean, needle string"), "anchors")
+    size = filter_bits(anchors.count())
+    bits = spark.sparkContext.broadcast(_together(anchors.select("gram").mapInArrow(_fill(size), "piece long, part binary"), np.uint8, np.bitwise_or, size // 8))
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.mapInArrow(_seek(bits, sizes, any_case), f"id {kind}, gram long, at int"), anchors
+
+
+def _by_grams(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str, any_case: bool) -> DataFrame:
+    """A dictionary of any size: each value is anchored at the gram that the texts have most seldom, by counts of all their
+    grams; a bit filter of the anchors lets few of the texts' grams through, which Catalyst joins to the values, and each
+    text compares its candidates.  Counts and filter have a fixed size."""
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    grams, anchors = candidate_grams(texts, terms, any_case)
+    hits = grams.join(anchors, "gram").withColumn("start", F.col("at") - F.col("offset")).where("start >= 0")
+    per_doc = hits.groupBy(F.col("id").alias("_id")).agg(F.collect_set(F.struct("start", "value", "whole", "needle")).alias("hits"))
+    joined = texts.join(per_doc, F.col("id").eqNullSafe(F.col("_id"))).select("id", "text", "hits")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return joined.mapInArrow(_verify(any_case), f"id {kind}, start int, end int, value string, spelled string").withColumnRenamed("id", id_col)
+
+
+def occurrences_by_grams(docs: DataFrame, values: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_words: bool = False, any_case: bool = False) -> DataFrame:
+    """occurrences() by the way for dictionaries beyond MOST_PASSES automatons, at any size."""
+    terms = materialized(values.where("value <> ''").select("value", F.lit(whole_words).alias("whole")).distinct(), "terms")
+    return _by_grams(docs, terms, id_col, text_col, any_case).drop("spelled")
 
 
 def occurrences(docs: DataFrame, values: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_words: bool = False, any_case: bool = False) -> DataFrame:

@@ -69,6 +69,16 @@ def one_character_terms(spark, sf):
     return hits.unionByName(phrases).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
 
 
+@query("SELECT l_orderkey AS id, 'line ' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '.' AS value, length('Order ' || l_orderkey || ', see ') AS start FROM lineitem WHERE l_linenumber = 1")
+def large_dictionary(spark, sf):
+    """J3 beyond the automaton: every order line is a known value (12 million characters at scale factor 0.1), in notes on orders and documents."""
+    line = F.concat(F.lit("line "), "l_orderkey", F.lit("-"), "l_linenumber", F.lit("-"), "l_partkey", F.lit("."))
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", line.alias("value"))
+    notes = lines.where("l_linenumber = 1").select(F.col("l_orderkey").alias("id"), F.concat(F.lit("Order "), "l_orderkey", F.lit(", see "), "value", F.lit(" first")).alias("text"))
+    own = notes.unionByName(docs(spark, sf).select((-1 - F.col("doc_id")).alias("id"), "text"))
+    return dictionary.occurrences_by_grams(own, lines.select("value"), "id").select("id", "value", F.col("start").cast("long").alias("start"))
+
+
 @query(
     r"""SELECT doc_id, sha256(replace(text, 'the', '[T_1_abcdef]') || ' [the_1_abcdef] [THE_1_abcdef]') AS bare,
   sha256(regexp_replace(text, '\bthe\b', '[T_1_abcdef]', 'g') || ' [the_1_abcdef] [THE_1_abcdef]') AS whole FROM documents""".replace(
