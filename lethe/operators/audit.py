@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.storage import Files
+
 USAGE = ["input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens"]
 
 
@@ -64,7 +66,11 @@ def percentile_place(n: Column, q: float, rule: str) -> Column:
 def percentiles(df: DataFrame, by: list[str], value: str, quantiles: dict[str, float], rule: str = "capped") -> DataFrame:
     """Exact percentiles of large groups: values are counted, sorted within (group, range of values), and
     the value whose rank covers the place is taken; no group is gathered in one row."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+    return percentiles_of_counts(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n")), by, value, quantiles, rule)
+
+
+def percentiles_of_counts(counts: DataFrame, by: list[str], value: str, quantiles: dict[str, float], rule: str = "capped") -> DataFrame:
+    """The same from how often (n) each value of a group occurs."""
     bucket = counts.withColumn("_b", F.floor(F.log2(F.abs(value) + 1) * 8) * F.signum(value))
     offsets = bucket.groupBy(*by, "_b").agg(F.sum("n").alias("n")).withColumn("_before", F.coalesce(F.sum("n").over(W.partitionBy(*by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("_all", F.sum("n").over(W.partitionBy(*by))).drop("n")
     ranked = bucket.join(offsets, [*by, "_b"]).withColumn("_to", F.col("_before") + F.sum("n").over(W.partitionBy(*by, "_b").orderBy(value)))
@@ -75,6 +81,50 @@ def percentiles(df: DataFrame, by: list[str], value: str, quantiles: dict[str, f
     return ranked.groupBy(*by).agg(*out)
 
 
+class DailyCounts:
+    """A2, A4, A6 kept up to date: how often each value of a group occurs on each day, in a folder a day.
+
+    New events add a file of their counts, so percentiles, means and sums over any days are exact without the events;
+    compact() merges a day's files, drop_before() is what G3 does to events.  One writer a day and source of events.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, by: list[str], value: str):
+        self.spark, self.path, self.by, self.value = spark, path.rstrip("/"), by, value
+        self.files = Files(spark, self.path)
+
+    def add(self, events: DataFrame, time_col: str = "ts") -> None:
+        counts = events.where(F.col(self.value).isNotNull()).groupBy(*self.by, self.value, F.to_date(time_col).alias("day")).agg(F.count("*").alias("n"))
+        counts.write.mode("append").partitionBy("day").parquet(self.path)
+
+    def days(self) -> list[str]:
+        return [n[4:] for n in self.files.names() if n.startswith("day=")]
+
+    def compact(self, day: str) -> None:
+        """One file of a day's counts in place of its deltas."""
+        at = f"day={day}"
+        whole = self.spark.read.parquet(f"{self.path}/{at}").groupBy(*self.by, self.value).agg(F.sum("n").alias("n"))
+        whole.write.parquet(f"{self.path}/_new-{day}")
+        self.files.delete(at)
+        self.files.rename(f"_new-{day}", at)
+
+    def drop_before(self, day: str) -> None:
+        for d in self.days():
+            if d < day:
+                self.files.delete(f"day={d}")
+
+    def counts(self, first: str | None = None, last: str | None = None) -> DataFrame:
+        """(by, value, n) over the days first to last."""
+        days = [d for d in self.days() if (first or d) <= d <= (last or d)]
+        rows = self.spark.read.parquet(*[f"{self.path}/day={d}" for d in days]) if days else self.spark.read.parquet(self.path).where("false")
+        return rows.groupBy(*self.by, self.value).agg(F.sum("n").alias("n"))
+
+    def summary(self, quantiles: dict[str, float], first: str | None = None, last: str | None = None, rule: str = "capped") -> DataFrame:
+        """n, sum, mean, least, highest and percentiles of each group over the days."""
+        counts, v = self.counts(first, last), F.col(self.value)
+        plain = counts.groupBy(*self.by).agg(F.sum("n").alias("n"), F.sum(v * F.col("n")).alias("sum"), F.min(v).alias("min"), F.max(v).alias("max"))
+        return plain.withColumn("avg", F.col("sum") / F.col("n")).join(percentiles_of_counts(counts, self.by, self.value, quantiles, rule), self.by)
+
+
 def latency_summary(turns: DataFrame, by: list[str] | None = None, value: str = "ms") -> DataFrame:
     """A4: n, mean, percentiles, least and highest latency by source."""
     keys = by or ["source"]

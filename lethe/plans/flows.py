@@ -92,6 +92,21 @@ def outside_tokens(spark, sf):
     return own.select("doc_id", F.sha2(bare, 256).alias("bare"), F.sha2(whole, 256).alias("whole"))
 
 
+@query(
+    """WITH s AS (SELECT event_type AS source, list_sort(list(value)) AS v, count(value) AS n, round(avg(value), 6) AS avg, min(value) AS min, max(value) AS max FROM events WHERE value IS NOT NULL AND ts >= TIMESTAMP '2024-01-08' GROUP BY event_type)
+SELECT source, n, avg, min, max, v[least(n - 1, CAST(floor(n * 0.5) AS BIGINT)) + 1] AS p50, v[least(n - 1, CAST(floor(n * 0.95) AS BIGINT)) + 1] AS p95 FROM s"""
+)
+def daily_latency(spark, sf):
+    """Percentiles from counts a day, kept up to date over three additions, a merge and a prune."""
+    store = audit.DailyCounts(spark, f"{scratch_folder(spark)}/daily-{uuid.uuid4().hex}", ["source"], "ms")
+    events = table(spark, sf, "events").select("event_id", "ts", F.col("event_type").alias("source"), F.col("value").alias("ms"))
+    for k in range(3):
+        store.add(events.where(F.pmod("event_id", F.lit(3)) == k))
+    store.compact("2024-01-09")
+    store.drop_before("2024-01-08")
+    return store.summary({"p50": 0.5, "p95": 0.95}).select("source", "n", F.round("avg", 6).alias("avg"), "min", "max", "p50", "p95")
+
+
 def _streamed(spark, sf, name: str, **stages):
     """documents as a stream of files into a store of known values; gives (store, path of what came out)."""
     at = f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
