@@ -42,12 +42,13 @@ def perf_events(spark: SparkSession, path: str, schema: str, last: int | None =
 
 
 def labelled_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """(text, expected) of JSON lines; blanks and # lines are skipped, a line without its fields is an error that shows it."""
+    """(text, expected, and the columns of partition folders) of JSON lines; blanks and # lines are skipped, a line without its fields is an error that shows it."""
     rows = spark.read.text(path).where(~F.trim("value").rlike("^(#.*)?$"))
-    parsed = rows.select("value", F.from_json("value", "text string, expected array<string>").alias("r"))
+    folders = [c for c in rows.columns if c != "value"]
+    parsed = rows.select("value", F.from_json("value", "text string, expected array<string>").alias("r"), *folders)
     bad = F.raise_error(F.concat(F.lit("labelled corpus: a line lacks text or expected: "), F.left("value", F.lit(80))))
     ok = F.col("r.text").isNotNull() & F.col("r.expected").isNotNull()
-    return parsed.select(F.when(ok, F.col("r.text")).otherwise(bad).alias("text"), F.when(ok, F.col("r.expected")).otherwise(bad.cast("array<string>")).alias("expected"))
+    return parsed.select(F.when(ok, F.col("r.text")).otherwise(bad).alias("text"), F.when(ok, F.col("r.expected")).otherwise(bad.cast("array<string>")).alias("expected"), *folders)
 
 
 def source_files(spark: SparkSession, path: str) -> DataFrame:
