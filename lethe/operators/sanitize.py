@@ -81,7 +81,7 @@ def tokenize(docs: DataFrame, known: DataFrame | None = None, salt: str = SALT,
     else:
         found = own.select("_row", F.explode("_secrets").alias("s")).select("_row", "s.start", "s.end", "s.label", "s.value")
     found = materialized(found.distinct(), "spans")
-    table = mint(found, known, salt)
+    table = mint(found, known, salt, every=True)
     busy = own if several else own.where(F.size("_secrets") > 0)
     out = replaced(busy, found, table, "_row")
     if not several:  # most texts have nothing to replace and take no part in the join
@@ -107,7 +107,7 @@ def verified(docs: DataFrame, verifiers: list[Callable[[DataFrame], DataFrame]],
     kept = own.select(id_col, F.explode(detect.verifier_spans(F.col("_s"), no_spans(), F.col("text"), names or [])).alias("s"))
     label = F.concat(F.lit("VERIFIED_"), normalize_label(F.coalesce(F.nullif("s.label", F.lit("")), F.lit("SENSITIVE"))))
     found = materialized(kept.select(id_col, "s.start", "s.end", label.alias("label"), "s.value").distinct(), "spans")
-    table = mint(found, known, salt)
+    table = mint(found, known, salt, every=True)
     out = replaced(docs.withColumnRenamed("tokens", "_first"), found.withColumnRenamed(id_col, "_row"), table, "_row").drop("_row")
     return _merged(out, "_first"), table
 

@@ -33,12 +33,12 @@ def numbered(values: DataFrame) -> DataFrame:
     return own.join(before, ["label", "part"]).select("label", "value", (F.col("before") + F.col("place")).alias("ordinal"))
 
 
-def mint(values: DataFrame, known: DataFrame | None = None, salt: str = SALT) -> DataFrame:
-    """(token, value, label) of each distinct (label, value) that isn't blank; values known already keep their tokens.
+def mint(values: DataFrame, known: DataFrame | None = None, salt: str = SALT, every: bool = False) -> DataFrame:
+    """(token, value, label) of each distinct durable (label, value); values known already keep their tokens.
 
-    What is stored for later texts are the durable ones: ingest() and sanitize() leave the others out.
+    every: all values but blank ones, as the texts at hand need it; what is stored for later texts are the durable ones.
     """
-    wanted = values.where(F.trim("value") != "").select("label", "value").distinct()
+    wanted = values.where(F.trim("value") != "" if every else durable(F.col("value"))).select("label", "value").distinct()
     if known is None:
         fresh, last = numbered(wanted), None
     else:
