@@ -193,7 +193,7 @@ def _count_grams(sizes: list[int], any_case: bool) -> Callable[[Iterator[pa.Reco
 
         def add() -> None:
             for k, size in enumerate(sizes):
-                h = np.concatenate([gram_hashes(codes, size) for codes in held] or [np.zeros(0, np.uint64)])
+                h = gram_hashes(np.concatenate([*held, np.zeros(0, np.uint64)]), size)  # grams across two texts count too, which matters little
                 counts[k] += np.bincount((h % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
 
         for b in batches:
@@ -209,20 +209,33 @@ def _count_grams(sizes: list[int], any_case: bool) -> Callable[[Iterator[pa.Reco
     return of
 
 
+def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of texts one after another, and the texts' places in them."""
+    parts = [code_points(t) for t in texts]
+    return np.concatenate([*parts, np.zeros(0, np.uint64)]), np.cumsum([0, *map(len, parts)])
+
+
 def _anchor(shared, sizes: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows (value, whole, needle) to (gram, offset, value, whole, needle): the needle's gram that texts have most seldom, the first of equals."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value.reshape(len(sizes), COUNTERS)
         for b in batches:
-            grams, offsets = [], []
-            for needle in b.column(2).to_pylist():
-                size = _size_of(len(needle))
-                h = gram_hashes(code_points(needle), size)
-                at = int(counts[sizes.index(size)][(h % np.uint64(COUNTERS)).astype(np.int64)].argmin())
-                grams.append(h[at])
-                offsets.append(at)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(grams, np.uint64).view(np.int64)), pa.array(offsets, pa.int32()), *b.columns], names=["gram", "offset", "value", "whole", "needle"])
+            needles = b.column(2).to_pylist()
+            gram, offset = np.zeros(len(needles), np.uint64), np.zeros(len(needles), np.int32)
+            own = np.array([_size_of(len(n)) for n in needles], np.int64)
+            for k, size in enumerate(sizes):
+                mine = np.flatnonzero(own == size)
+                if not len(mine):
+                    continue
+                codes, offs = _joined([needles[i] for i in mine])
+                h = gram_hashes(codes, size)
+                at = np.arange(len(h))
+                seldom = counts[k][(h % np.uint64(COUNTERS)).astype(np.int64)].astype(np.uint64)
+                seldom[at + size > np.repeat(offs[1:], np.diff(offs))[: len(h)]] = np.uint64(0xFFFFFFFF)  # grams across two needles
+                best = (np.minimum.reduceat((seldom << np.uint64(32)) | at.astype(np.uint64), offs[:-1]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                gram[mine], offset[mine] = h[best], best - offs[:-1]
+            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(offset), *b.columns], names=["gram", "offset", "value", "whole", "needle"])
 
     return of
 
@@ -253,17 +266,24 @@ def _seek(shared, sizes: list[int], any_case: bool) -> Callable[[Iterator[pa.Rec
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for b in batches:
-            kind = b.schema.field(0).type
-            for key, text in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                codes = code_points(folded(text) if any_case else text)
+            texts = [folded(t) if any_case else t for t in b.column(1).to_pylist()]
+            ends = np.cumsum([len(t) for t in texts])
+            first = 0
+            while first < len(texts):  # some texts of together about COUNTERS characters
+                last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + COUNTERS, "right")))
+                codes, offs = _joined(texts[first:last])
                 for size in sizes:
                     h = gram_hashes(codes, size)
                     at = np.arange(len(h))
                     for shift in _SHIFTS:  # most grams are gone after the first bit
                         x = _bit(h[at], 8 * len(bits), shift)
                         at = at[(bits[(x >> np.uint64(3)).astype(np.int64)] >> (x & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+                    row = np.searchsorted(offs, at, "right") - 1
+                    inside = at + size <= offs[row + 1]
+                    at, row = at[inside], row[inside]
                     if len(at):
-                        yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(at), kind), pa.array(h[at].view(np.int64)), pa.array(at, pa.int32())], names=["id", "gram", "at"])
+                        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row + first)), pa.array(h[at].view(np.int64)), pa.array((at - offs[row]).astype(np.int32))], names=["id", "gram", "at"])
+                first = last
 
     return of
 
