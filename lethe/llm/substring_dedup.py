@@ -1,8 +1,8 @@
 """Substring dedup: word windows that also start in an earlier document are cut out.
 
-Shards are made by minimizer (repeats.py), each gets a compressed FM-index of its runs, and the
-runs are streamed against it by backward search: the interval of each 13-word match gives the
-smallest document that holds it.
+Shards are made by minimizer (repeats.py), each gets a compressed FM-index of its runs (transform and sampled rows
+only), and the runs that documents sent to the shard are streamed against it by backward search: the interval of each
+13-word match gives the smallest document that holds it.
 
 Defined results: a null or empty text has no words and keeps nothing; a text with fewer words than
 `length` is kept whole; rows with null doc_id are returned whole and never count as earlier;
@@ -22,6 +22,7 @@ from .repeats import Pieces, Unit, repeated_windows
 from .textblocks import words
 
 LENGTH, GRAM = 13, 5
+STREAMED = 1 << 17  # windows searched at a time
 
 
 def fm_resolver(pieces: Pieces, unit: Unit) -> tuple[np.ndarray, np.ndarray]:
@@ -31,18 +32,24 @@ def fm_resolver(pieces: Pieces, unit: Unit) -> tuple[np.ndarray, np.ndarray]:
     offs = np.frombuffer(offs, np.int64)[: len(joined) + 1]
     _, _, rows, hashes = words(np.frombuffer(data, np.uint8)[: offs[-1]], offs)
     distinct, values = np.unique(hashes, return_inverse=True)
-    index = FMIndex(values + 1, rows, len(distinct) + 1)
+    symbols = values + 1
+    index = FMIndex(symbols, rows, len(distinct) + 1)
+    del hashes, values
     piece = np.repeat(np.arange(len(pieces.count)), pieces.count)
     window = np.arange(len(piece)) - np.repeat(np.cumsum(pieces.count) - pieces.count, pieces.count)
-    found, lo, hi = index.matching(index.at[piece] + window, unit.length)
     least_doc = pieces.doc[piece]
-    full = np.flatnonzero(found >= unit.length)
-    if len(full):
-        doc_at = np.append(pieces.doc[index.row_of[index.suffixes]], np.iinfo(np.int64).max)
-        lows, which = np.unique(lo[full], return_inverse=True)
-        highs = np.zeros(len(lows), np.int64)
-        highs[which] = hi[full]
-        least_doc[full] = np.minimum.reduceat(doc_at, np.stack([lows, highs], 1).ravel())[::2][which]
+    for i in range(0, len(piece), STREAMED):
+        part = slice(i, i + STREAMED)
+        ends = rows[:-1][piece[part]] + window[part] + unit.length - 1
+        found, lo, hi = index.matching(symbols, ends, unit.length, least=2)  # its own piece is one
+        full = np.flatnonzero(found >= unit.length)
+        if not len(full):
+            continue
+        lows, first, which = np.unique(lo[full], return_index=True, return_inverse=True)
+        sizes = hi[full][first] - lows
+        before = np.cumsum(sizes) - sizes
+        places = np.arange(int(sizes.sum())) - np.repeat(before - lows, sizes)
+        least_doc[i + full] = np.minimum.reduceat(pieces.doc[index.row_of(places)], before)[which]
     return least_doc, np.zeros(len(piece), np.int64)
 
 
