@@ -395,7 +395,14 @@ def value_counts(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def rank_longest(values: DataFrame) -> DataFrame:
-    """K5: values with their place when the longest come first, ties by value; places are counted within lengths."""
-    lengths = values.select("value", F.char_length("value").alias("size")).distinct()
-    before = lengths.groupBy("size").agg(F.count("*").alias("n")).select("size", F.coalesce(F.sum("n").over(W.orderBy(F.desc("size")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return lengths.withColumn("place", F.row_number().over(W.partitionBy("size").orderBy("value"))).join(before, "size").select("value", (F.col("before") + F.col("place")).alias("rank"))
+    """K5: values with their place when the longest come first, ties by value; null has none.
+
+    Values are dealt by ranges of length and value, and counts of the ranges before give the offsets, so values of one
+    length don't meet in one task.
+    """
+    sized = values.where("value is not null").select("value", F.char_length("value").alias("size")).distinct()
+    ranged = materialized(sized.repartitionByRange(F.desc("size"), F.asc("value")).withColumn("part", F.spark_partition_id()), "ranked")
+    counts = ranged.groupBy("part").agg(F.count("*").alias("n"))
+    before = counts.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    own = ranged.withColumn("place", F.row_number().over(W.partitionBy("part").orderBy(F.desc("size"), "value")))
+    return own.join(before, "part").select("value", (F.col("before") + F.col("place")).alias("rank"))

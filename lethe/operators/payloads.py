@@ -77,28 +77,56 @@ def text_paths(payloads: DataFrame, id_col: str = "id", payload_col: str = "payl
     return found.withColumnRenamed("id", id_col)
 
 
-MESSAGE = "struct<role:string,content:string,tool_calls:string,tool_call_id:string,name:string>"
+BLOCKS = "array<string>"  # each as JSON, as blocks of other kinds may stand between those of text
+MESSAGE = "struct<content:string,tool_calls:string>"
+ITEM = "struct<content:string,arguments:string,output:string,text:string>"
+
+
+def _items(requests: DataFrame, id_col: str, raw: Column, item: str, lists: list[str]) -> DataFrame:
+    """(id, place, i, l) of the items of a JSON array: fields as strings (i), and those of `lists` as blocks (l), null where they are none."""
+    as_blocks = f"array<struct<{','.join(f'{n}:{BLOCKS}' for n in lists)}>>"
+    both = requests.select(id_col, F.from_json(raw, f"array<{item}>").alias("i"), F.from_json(raw, as_blocks).alias("l"))
+    return both.select(id_col, F.posexplode(F.arrays_zip("i", "l")).alias("place", "z")).select(id_col, "place", "z.i", "z.l")
+
+
+def _texts(blocks: Column) -> Column:
+    return F.transform(blocks, lambda b: F.get_json_object(b, "$.text"))
 
 
 def chat_texts(requests: DataFrame, id_col: str = "id", payload_col: str = "payload") -> DataFrame:
-    """(id, part, place, text) of a chat request's messages (string or text blocks), system, tools."""
+    """(id, part, place, text) of a chat request's messages (string or text blocks), tool calls, system (string or blocks), tools.
+
+    Whether a value is a list is told by the JSON, not by its text, which may begin with a bracket.  Descriptions deep
+    inside a tool's parameters are found by text_paths.
+    """
     p = F.col(payload_col)
-    messages = requests.select(id_col, F.posexplode(F.from_json(F.get_json_object(p, "$.messages"), f"array<{MESSAGE}>")).alias("place", "m"))
-    blocks = F.from_json("m.content", "array<struct<type:string,text:string>>")
-    block_texts = messages.where(F.startswith(F.ltrim("m.content"), F.lit("["))).select(id_col, F.lit("block").alias("part"), "place", F.explode(F.filter(blocks, lambda b: b["type"] == "text")).alias("b")).select(id_col, "part", "place", "b.text")
-    strings = messages.where(~F.startswith(F.ltrim("m.content"), F.lit("["))).select(id_col, F.lit("content").alias("part"), "place", F.col("m.content").alias("text"))
-    calls = messages.select(id_col, F.lit("arguments").alias("part"), "place", F.explode(F.from_json("m.tool_calls", "array<struct<function:struct<arguments:string>>>")).alias("c")).select(id_col, "part", "place", F.col("c.function.arguments").alias("text"))
-    system = requests.select(id_col, F.lit("system").alias("part"), F.lit(-1).alias("place"), F.get_json_object(p, "$.system").alias("text"))
-    tools = requests.select(id_col, F.lit("description").alias("part"), F.explode(F.from_json(F.get_json_object(p, "$.tools"), "array<struct<description:string,function:struct<description:string>>>")).alias("t")).select(id_col, "part", F.lit(-1).alias("place"), F.coalesce("t.description", "t.function.description").alias("text"))
-    return strings.unionByName(block_texts).unionByName(calls).unionByName(system).unionByName(tools).where("text is not null")
+    messages = _items(requests, id_col, F.get_json_object(p, "$.messages"), MESSAGE, ["content"])
+    part = lambda name, text: (F.lit(name).alias("part"), "place", text.alias("text"))
+    strings = messages.where("l.content is null").select(id_col, *part("content", F.col("i.content")))
+    kept = F.filter("l.content", lambda b: F.get_json_object(b, "$.type") == "text")
+    blocks = messages.select(id_col, "place", F.explode(_texts(kept)).alias("t")).select(id_col, *part("block", F.col("t")))
+    calls = messages.select(id_col, "place", F.explode(F.from_json("i.tool_calls", "array<struct<function:struct<arguments:string>>>")).alias("c")).select(id_col, *part("arguments", F.col("c.function.arguments")))
+    outer = requests.withColumn("place", F.lit(-1))
+    system = F.from_json(p, f"struct<system:{BLOCKS}>")["system"]
+    system = outer.select(id_col, "place", F.explode(F.coalesce(_texts(system), F.array(F.get_json_object(p, "$.system")))).alias("t")).select(id_col, *part("system", F.col("t")))
+    tools = outer.select(id_col, "place", F.explode(F.from_json(F.get_json_object(p, "$.tools"), "array<struct<description:string,function:struct<description:string>>>")).alias("t"))
+    tools = tools.select(id_col, *part("description", F.coalesce("t.description", "t.function.description")))
+    return strings.unionByName(blocks).unionByName(calls).unionByName(system).unionByName(tools).where("text is not null")
 
 
 def response_texts(requests: DataFrame, id_col: str = "id", payload_col: str = "payload") -> DataFrame:
-    """(id, part, place, text) of a responses request: input string or items, instructions."""
+    """(id, part, place, text) of a responses request: input string or items (strings or blocks), instructions.
+
+    As in chat_texts, the JSON tells what is a list.
+    """
     p = F.col(payload_col)
-    items = requests.select(id_col, F.posexplode(F.from_json(F.get_json_object(p, "$.input"), "array<struct<type:string,role:string,content:string,arguments:string,output:string>>")).alias("place", "i"))
-    own = items.select(id_col, F.lit("input").alias("part"), "place", F.explode(F.array("i.content", "i.arguments", "i.output")).alias("text"))
-    text = requests.select(id_col, F.lit("input").alias("part"), F.lit(-1).alias("place"), F.when(~F.startswith(F.ltrim(F.get_json_object(p, "$.input")), F.lit("[")), F.get_json_object(p, "$.input")).alias("text"))
+    lists = ["content", "output", "summary"]
+    items = _items(requests, id_col, F.get_json_object(p, "$.input"), ITEM, lists)
+    whole = [F.when(F.col(f"l.{n}").isNull(), F.col(f"i.{n}")) for n in ("content", "output")]
+    inner = [F.coalesce(_texts(F.col(f"l.{n}")), F.array().cast(BLOCKS)) for n in lists]
+    own = items.select(id_col, F.lit("input").alias("part"), "place", F.explode(F.concat(F.array(*whole, "i.arguments", "i.text"), *inner)).alias("text"))
+    is_list = F.from_json(p, f"struct<input:{BLOCKS}>")["input"].isNotNull()
+    text = requests.select(id_col, F.lit("input").alias("part"), F.lit(-1).alias("place"), F.when(~is_list, F.get_json_object(p, "$.input")).alias("text"))
     more = requests.select(id_col, F.lit("instructions").alias("part"), F.lit(-1).alias("place"), F.get_json_object(p, "$.instructions").alias("text"))
     return own.unionByName(text).unionByName(more).where("text is not null")
 

@@ -1,4 +1,4 @@
-"""Registered queries of streams, stores that grow, paged sources and rows that share an id, each with its SQL."""
+"""Registered queries of streams, stores that grow, paged sources, rows that share an id and parts of requests, each with its SQL."""
 
 from __future__ import annotations
 
@@ -8,10 +8,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.storage import Snapshots, scratch_folder
+from ..functions.storage import Snapshots, materialized, scratch_folder
 from ..functions.text import replaced_outside_tokens
 from ..functions.value_store import ValueStore
-from ..operators import audit, catalog, dictionary, loc, sanitize, tokens
+from ..operators import audit, catalog, detect, dictionary, loc, payloads, sanitize, tokens
 from ..sources import readers
 from ..streaming import holdback
 from .registry import ALL_RE, FOUND_SQL, TABLE_SQL, docs, query, table
@@ -190,3 +190,93 @@ def erased_versions(spark, sf):
         return reduce(DataFrame.unionByName, each).agg(F.lit(name).alias("stored"), F.count("*").alias("versions"), F.sum("n").alias("rows"), F.sum("hits").alias("hits")).select("stored", "versions", "rows", "hits")
 
     return counted("known values", store).unionByName(counted("orders", orders))
+
+
+_SHAPES = [
+    ("IBAN", "'NL' || CAST(10 + c_custkey % 90 AS VARCHAR) || 'BANK' || lpad(CAST(c_custkey AS VARCHAR), 10, '0')"),
+    ("CREDIT_CARD_NUMBER", "'4' || lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0') || ' 2222-3333 ' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0')"),
+    ("PHONE_NUMBER", "'+31 (20) ' || lpad(CAST(c_custkey % 10000000 AS VARCHAR), 7, '0')"),
+    ("IP_ADDRESS", "'10.' || CAST(c_custkey % 256 AS VARCHAR) || '.0.' || CAST(c_nationkey AS VARCHAR)"),
+]
+
+
+@query(
+    "WITH v AS (SELECT c_custkey, " + ", ".join(f"{sql} AS v{i}" for i, (_, sql) in enumerate(_SHAPES)) + ", c_custkey % 3 * 1350 + c_custkey % 90 * 10 + 200 AS p0 FROM customer), "
+    "p AS (SELECT *, p0 + length(v0) + 4 AS p1, p0 + length(v0) + length(v1) + 8 AS p2, p0 + length(v0) + length(v1) + length(v2) + 12 AS p3 FROM v) "
+    + " UNION ALL ".join(f"SELECT c_custkey, '{label}' AS label, CAST(p{i} AS INTEGER) AS start, v{i} AS value FROM p" for i, (label, _) in enumerate(_SHAPES))
+)
+def shaped_entities(spark, sf):
+    """Account, card, phone and address numbers at places known beforehand, in three windows of the detector."""
+    pad = F.expr("repeat('w ', CAST((c_custkey % 3 * 1350 + c_custkey % 90 * 10 + 200) / 2 AS INT))")
+    values = [F.expr(sql.replace("VARCHAR", "STRING")) for _, sql in _SHAPES]
+    text = F.concat(pad, values[0], F.lit(" or "), values[1], F.lit(" or "), values[2], F.lit(" or "), values[3], F.lit(" w"))
+    own = table(spark, sf, "customer").select("c_custkey", text.alias("text"))
+    found = detect.entities(own, "c_custkey", ceiling=None).join(own, "c_custkey")
+    return found.select("c_custkey", "label", "start", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("value"))
+
+
+_TURNS = "SELECT conv_id, role, text, turn, turn % 4 AS kind, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations WHERE text IS NOT NULL"
+
+
+@query(
+    f"""WITH t AS ({_TURNS}), c AS (SELECT DISTINCT conv_id FROM t)
+SELECT conv_id, CASE kind WHEN 1 THEN 'block' WHEN 2 THEN 'arguments' ELSE 'content' END AS part, place, sha256(CASE WHEN kind = 0 THEN '[NOTE] ' || text WHEN kind = 3 THEN '["' || text ELSE text END) AS text_hash FROM t
+UNION ALL SELECT conv_id, 'system', -1, sha256('[be] kind ' || conv_id) FROM c UNION ALL SELECT conv_id, 'system', -1, sha256('and brief') FROM c WHERE conv_id % 2 = 0
+UNION ALL SELECT conv_id, 'description', -1, sha256(d || conv_id) FROM c, (SELECT unnest(['reads ', 'writes ']) AS d)"""
+)
+def chat_request_parts(spark, sf):
+    """Texts that begin like lists, blocks of text beside others, tool calls, system as string and blocks, tools of both forms."""
+    k, text = F.col("turn") % 4, F.col("text")
+    message = lambda *fields: F.to_json(F.struct("role", *fields))
+    block = lambda kind, value: F.struct(F.lit(kind).alias("type"), value.alias("text"))
+    call = F.struct(F.lit("i").alias("id"), F.struct(F.lit("f").alias("name"), text.alias("arguments")).alias("function"))
+    own = F.when(k == 0, message(F.concat(F.lit("[NOTE] "), text).alias("content"))).when(k == 1, message(F.array(block("image", F.lit("none")), block("text", text)).alias("content")))
+    own = own.when(k == 2, message(F.array(call).alias("tool_calls"))).otherwise(message(F.concat(F.lit('["'), text).alias("content")))
+    turns = table(spark, sf, "conversations").where("text is not null").select("conv_id", "turn", own.alias("m")).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "m"))).alias("m"))
+    messages = F.array_join(F.transform("m", lambda x: x["m"]), ",")
+    name = F.concat(F.lit("[be] kind "), "conv_id")
+    system = F.when(F.col("conv_id") % 2 == 0, F.to_json(F.array(block("text", name), block("text", F.lit("and brief"))))).otherwise(F.concat(F.lit('"'), name, F.lit('"')))
+    tools = F.concat(F.lit('[{"name":"r","description":"reads '), "conv_id", F.lit('"},{"type":"function","function":{"description":"writes '), "conv_id", F.lit('"}}]'))
+    payload = F.concat(F.lit('{"messages":['), messages, F.lit('],"system":'), system, F.lit(',"tools":'), tools, F.lit("}"))
+    found = payloads.chat_texts(turns.select("conv_id", payload.alias("payload")), "conv_id")
+    return found.select("conv_id", "part", F.col("place").cast("long").alias("place"), F.sha2("text", 256).alias("text_hash"))
+
+
+@query(
+    f"""WITH t AS ({_TURNS})
+SELECT conv_id, 'input' AS part, place, sha256(CASE WHEN kind = 0 THEN '[NOTE] ' || text ELSE text END) AS text_hash FROM t WHERE conv_id % 3 <> 0
+UNION ALL SELECT conv_id, 'input', place, sha256(role) FROM t WHERE kind = 1 AND conv_id % 3 <> 0
+UNION ALL SELECT conv_id, 'input', -1, sha256('["' || max(text)) FROM t WHERE conv_id % 3 = 0 GROUP BY conv_id UNION ALL SELECT conv_id, 'instructions', -1, sha256('[be] kind ' || conv_id) FROM t GROUP BY conv_id"""
+)
+def response_request_parts(spark, sf):
+    """Input as a string that begins like a list, and as items of strings, blocks, arguments and outputs."""
+    k, text = F.col("turn") % 4, F.col("text")
+    block = lambda kind, value: F.struct(F.lit(kind).alias("type"), value.alias("text"))
+    item = lambda value, name: F.to_json(F.struct(value.alias(name)))
+    own = F.when(k == 0, item(F.concat(F.lit("[NOTE] "), text), "content")).when(k == 1, item(F.array(block("input_text", text), block("output_text", F.col("role"))), "content"))
+    own = own.when(k == 2, item(text, "arguments")).otherwise(item(text, "output"))
+    turns = table(spark, sf, "conversations").where("text is not null").select("conv_id", "turn", "text", own.alias("i")).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "i"))).alias("i"), F.max("text").alias("last"))
+    one = F.to_json(F.struct(F.concat(F.lit('["'), "last").alias("input")))
+    start = F.when(F.col("conv_id") % 3 == 0, F.left(one, F.char_length(one) - 1)).otherwise(F.concat(F.lit('{"input":['), F.array_join(F.transform("i", lambda x: x["i"]), ","), F.lit("]")))
+    payload = F.concat(start, F.lit(',"instructions":"[be] kind '), "conv_id", F.lit('"}'))
+    found = payloads.response_texts(turns.select("conv_id", payload.alias("payload")), "conv_id")
+    return found.select("conv_id", "part", F.col("place").cast("long").alias("place"), F.sha2("text", 256).alias("text_hash"))
+
+
+_MAILED = "SELECT conv_id * 1000 + turn AS doc_id, conv_id, turn, text || CASE WHEN turn % 2 = 0 THEN ' mail u' || CAST(conv_id % 5 + turn AS VARCHAR) || '@ex.org' ELSE '' END AS text FROM conversations WHERE text IS NOT NULL"
+
+
+@query(
+    f"""WITH documents AS ({_MAILED}), {FOUND_SQL}, old AS (SELECT DISTINCT l.label, l.value FROM labelled l JOIN documents d ON d.doc_id = l.doc_id WHERE d.turn % 4 = 0),
+f AS (SELECT DISTINCT l.doc_id, l.label, l.value, o.value IS NULL AS fresh FROM labelled l LEFT JOIN old o ON o.label = l.label AND o.value = l.value), b AS (SELECT doc_id, CAST(count(*) FILTER (fresh) AS BIGINT) AS n FROM f GROUP BY doc_id)
+SELECT conv_id AS session_id, 'pii_detected' AS event_type, count(*) AS blocks, CAST(sum(n) AS BIGINT) AS tokens, count(*) FILTER (n = 0) AS retokenized FROM b JOIN documents d ON d.doc_id = b.doc_id GROUP BY conv_id"""
+)
+def audited_blocks(spark, sf):
+    """Blocks sanitized with the values of every fourth turn known before, and an event of each that changed."""
+    own = table(spark, sf, "conversations").where("text is not null").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.col("conv_id").alias("session_id"), "turn", F.concat("text", F.when(F.col("turn") % 2 == 0, F.concat(F.lit(" mail u"), F.col("conv_id") % 5 + F.col("turn"), F.lit("@ex.org"))).otherwise("")).alias("text"))
+    known = materialized(tokens.mint(detect.secret_matches(own.where("turn % 4 = 0").select("doc_id", "text"))), "known")
+    out, _ = sanitize.tokenize(own.select("doc_id", "text"), known)
+    fresh = out.select("doc_id", F.explode(F.map_keys("tokens")).alias("token")).join(known.select("token"), "token", "left_anti").groupBy("doc_id").agg(F.collect_list("token").alias("minted"))
+    blocks = own.join(out.select("doc_id", "sanitized"), "doc_id").join(fresh, "doc_id", "left")
+    events = payloads.block_events(blocks)
+    return events.groupBy("session_id", "event_type").agg(F.count("*").alias("blocks"), F.sum(F.col("token_count").cast("long")).alias("tokens"), F.sum(F.col("retokenized_only").cast("long")).alias("retokenized"))

@@ -247,6 +247,26 @@ def test_payloads(spark):
     assert tuple(payloads.stream_pieces(frame(spark, [("s", 3, chunk)], "stream_id string, seq long, data string")).first()) == ("s", "call:0:1", 3, "[A", False)
 
 
+def test_request_texts_that_begin_like_lists(spark):
+    texts = lambda f, p: sorted((r.part, r.place, r.text) for r in f(frame(spark, [(1, p)], "id int, payload string")).collect())
+    p = '{"messages":[{"content":"[A_1] x"},{"content":[]},{"content":[{"type":"text","text":"[y"},{"type":"image"},7]},{"content":null},{"role":"u"},{"content":"cut \\ud83d"}],"system":["z",{"type":"text","text":"s"}]}'
+    assert texts(payloads.chat_texts, p) == [("block", 2, "[y"), ("content", 0, "[A_1] x"), ("content", 5, "cut ?"), ("system", -1, "s")]
+    assert texts(payloads.chat_texts, '{"system":"[be] kind"}') == [("system", -1, "[be] kind")]
+    assert texts(payloads.response_texts, '{"input":"[A_1] x"}') == [("input", -1, "[A_1] x")]
+    p = '{"input":[{"content":"[a"},{"content":[{"text":"b"}],"summary":[{"type":"t","text":"c"}]},{"output":"[d]"},{"text":"e"}],"instructions":"f"}'
+    assert texts(payloads.response_texts, p) == [("input", 0, "[a"), ("input", 1, "b"), ("input", 1, "c"), ("input", 2, "[d]"), ("input", 3, "e"), ("instructions", -1, "f")]
+    for broken in (None, "", "x", "[]", "{}", '{"messages":"no","input":5}'):
+        assert texts(payloads.chat_texts, broken) == [] and {x[2] for x in texts(payloads.response_texts, broken)} <= {"5"}
+
+
+def test_rank_longest(spark):
+    values = [None, "", "b", "a", "a", "ccc", "é\U0001f600"] + [f"v{i:03d}" for i in range(300)]
+    got = {r.value: r.rank for r in dictionary.rank_longest(frame(spark, [(v,) for v in values], "value string").repartition(3)).collect()}
+    want = sorted({v for v in values if v is not None}, key=lambda v: (-len(v), v.encode()))
+    assert got == {v: i + 1 for i, v in enumerate(want)}
+    assert dictionary.rank_longest(frame(spark, [], "value string")).count() == 0
+
+
 def test_payloads_by_place(spark):
     upper = lambda d: d.withColumn("sanitized", F.upper("text"))
     one = lambda p: payloads.sanitize_payloads(frame(spark, [(1, p)], "id int, payload string"), upper).first().payload
