@@ -181,3 +181,47 @@ def test_copies_count_once_and_stop_words_keep_a_weight(spark, docs_of):
     h = np.random.default_rng(1).integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2)
     np.maximum.at(regs[0], ((h >> np.uint64(2)) & np.uint64(63)).astype(int), (53 - np.frexp((h >> np.uint64(12)).astype(float))[1]).astype(np.uint8))
     assert abs(D._counts(regs)[0] - n) < 0.4 * n
+
+
+def holds(words, part):
+    return any(words[i : i + len(part)] == part for i in range(len(words) - len(part) + 1))
+
+
+def all_passages(texts, items):
+    """Pairs whose check holds on some passage, without any search for candidates."""
+    out = set()
+    known = {w for i in items for w in i}
+    for d, text in enumerate(texts):
+        words = [w if w in known else None for w in text]  # other words match nothing
+        for k, item in enumerate(items):
+            if not set(words) & set(item):
+                continue
+            for h in range(-(-len(words) // D.HALF)):
+                part = words[max(0, h * D.HALF - len(item)) : (h + 2) * D.HALF + len(item)]
+                share = slow_lcs(item, part) / len(item)
+                if share >= D.LEAST_COMMON or (share >= D.LEAST_COMMON_WITH_ANSWER and holds(part, item[-D.ANSWER :])):
+                    out.add((d, k))
+                    break
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_all_links_are_found(spark, docs_of, seed):
+    """Items with no, some and most words changed, moved or left out, around both thresholds."""
+    r = random.Random(seed)
+    vocab = [f"v{i}" for i in range(2500)]
+    text = lambda n: [r.choice(vocab) for _ in range(n)]
+    items = [text(r.randint(10, 45)) for _ in range(14)]
+    texts = [text(r.randint(1, 120)) for _ in range(25)]
+    for item in items:
+        for change in (0, 0.2, 0.3, 0.38, 0.42, 0.46, 0.55):
+            w = list(item)
+            for i in r.sample(range(len(w)), round(change * len(w))):
+                w[i] = r.choice([f"other{r.randrange(900)}", r.choice(item), ""])
+            if r.random() < 0.4:
+                w = w[: -D.ANSWER] + item[-D.ANSWER :]
+            texts.append([*text(r.randint(0, 60)), *filter(None, w), *text(r.randint(0, 60))])
+    want = all_passages(texts, items)
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in D.leaks(docs_of([" ".join(t) for t in texts]).repartition(3), table).collect()}
+    assert len(want) > 40 and got == want
