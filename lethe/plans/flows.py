@@ -280,3 +280,19 @@ def audited_blocks(spark, sf):
     blocks = own.join(out.select("doc_id", "sanitized"), "doc_id").join(fresh, "doc_id", "left")
     events = payloads.block_events(blocks)
     return events.groupBy("session_id", "event_type").agg(F.count("*").alias("blocks"), F.sum(F.col("token_count").cast("long")).alias("tokens"), F.sum(F.col("retokenized_only").cast("long")).alias("retokenized"))
+
+
+@query(
+    """SELECT 'erp' AS source, count(*) + count(*) FILTER (c_custkey % 2 = 0) AS total, count(*) + count(*) FILTER (c_custkey % 4 = 2 AND c_custkey % 10 = 2) AS accepted,
+  count(*) FILTER (c_custkey % 4 = 2 AND c_custkey % 10 <> 2) AS uncertain, count(*) FILTER (c_custkey % 4 = 0) AS rejected FROM customer"""
+)
+def reviewed_scan_counters(spark, sf):
+    """Names found by rule, segments found by a model of which a reviewer accepts and rejects some."""
+    customer = table(spark, sf, "customer")
+    cells = lambda column: catalog.melt(customer, "customer", "c_custkey", [column])
+    labels = customer.where("c_custkey % 2 = 0").select(F.concat(F.lit("customer:"), "c_custkey").alias("row_ref"), F.lit("c_mktsegment").alias("column"), F.lit("ORGANIZATION").alias("label"))
+    guessed = catalog.model_findings(catalog.classify(cells("c_mktsegment")), labels, "erp")
+    k = F.split_part("row_ref", F.lit(":"), F.lit(2)).cast("long")
+    decided = guessed.withColumn("decision", F.when(k % 4 == 0, "reject").when(k % 10 == 2, "accept")).where("decision is not null")
+    found, _ = catalog.review(catalog.findings(cells("c_name"), "erp").unionByName(guessed), decided, "me", F.lit("2024-01-01").cast("timestamp"))
+    return catalog.scan_counters(found)
