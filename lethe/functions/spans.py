@@ -1,7 +1,7 @@
 """Spans in text as arrays of structs: find, resolve, replace.
 
-A span is struct<start:int,end:int,label:string,stage:int>, half open, in code points.  Patterns of short texts (windows)
-are matched in the JVM; whole texts, whose spans can be many, go through the linear sweeps of sweep.py.
+A span is struct<start:int,end:int,label:string,stage:int>, half open, in code points.  Whole texts, whose spans can be
+many, go through the linear sweeps of sweep.py.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from .fixed import SECRET_LITERALS, SECRET_PATTERNS
 from .sweep import apply_spans, outside, resolve, with_values, without_inner  # noqa: F401
 
 SPANS = "array<struct<start:int,end:int,label:string,stage:int>>"
-_OPEN, _CLOSE, _OTHER = "\u0001", "\u0002", "\u0003"
 STAGE_TOKEN, STAGE_ENTITY, STAGE_BLACKLIST, STAGE_SECRET, STAGE_CUSTOM, STAGE_VERIFIER = 0, 2, 3, 4, 5, 6
 
 
@@ -32,20 +31,6 @@ def could_match(text: Column, pattern: str) -> Column:
     return F.contains(F.lower(F.upper(text)) if pattern.startswith("(?i") and literal != "@" else text, F.lit(literal))
 
 
-def spans_of(text: Column, pattern: str, label: str, stage: int = STAGE_SECRET) -> Column:
-    """All non-overlapping matches.  Matches are marked, split off and their lengths summed up."""
-    safe = F.translate(text, _OPEN + _CLOSE, _OTHER + _OTHER)
-    parts = F.split(F.regexp_replace(safe, pattern, f"{_OPEN}$0{_CLOSE}"), f"[{_OPEN}{_CLOSE}]", -1)
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), no_spans().alias("found"))
-
-    def step(acc: Column, part: Column) -> Column:
-        end = acc["at"] + F.char_length(part)
-        span = F.struct(acc["at"].alias("start"), end.alias("end"), F.lit(label).alias("label"), F.lit(stage).alias("stage"))
-        return F.struct(end.alias("at"), (~acc["inside"]).alias("inside"), F.when(acc["inside"], F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
-
-    return F.when(could_match(text, pattern) & text.rlike(pattern), F.aggregate(parts, start, step, lambda acc: acc["found"])).otherwise(no_spans())
-
-
 def could_hold_secret(text: Column) -> Column:
     return reduce(lambda a, b: a | b, [could_match(text, p) for p, _ in SECRET_PATTERNS])
 

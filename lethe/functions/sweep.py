@@ -16,10 +16,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .fixed import SECRET_LITERALS, SECRET_PATTERNS, TOKEN_SHAPE
+from .fixed import RULE_PATTERNS, SECRET_LITERALS, SECRET_PATTERNS, TOKEN_SHAPE
 
 _TOKEN = re.compile(TOKEN_SHAPE)
 _SECRETS = [(re.compile(p.replace("(?iU)", "(?i)")), label, SECRET_LITERALS[p]) for p, label in SECRET_PATTERNS]
+#: Rules in ASCII, as the JVM takes them, but for the ends of words.
+_RULES = [(re.compile(p.replace(r"\b", r"(?u:\b)"), re.ASCII), label) for p, label in RULE_PATTERNS]
 #: Characters of an e-mail's local part, with those that the pattern takes for letters in any case.
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-ſKİı")
 FOUND = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("label", T.StringType()), T.StructField("stage", T.IntegerType()), T.StructField("value", T.StringType())]))
@@ -65,6 +67,11 @@ def secrets(text: str) -> list[tuple[int, int, str, int]]:
     return outer(found)
 
 
+def rules(text: str) -> list[tuple[int, int, str, int]]:
+    """Matches (start, end, label, stage) of the rule patterns in a whole text."""
+    return [(*m.span(), label, 2) for pattern, label in _RULES for m in pattern.finditer(text)]
+
+
 def outer(spans: list[tuple]) -> list[tuple]:
     """Spans that don't lie inside a longer one, in order of place."""
     kept, reach = [], -1
@@ -172,7 +179,7 @@ def _finder(of: Callable[[str], list[tuple]]):
 
 
 #: From text to spans with the text that they cover.
-find_secrets, find_secrets_outside_tokens, find_tokens = _finder(secrets), _finder(secrets_outside_tokens), _finder(_token_spans)
+find_secrets, find_secrets_outside_tokens, find_tokens, find_rules = _finder(secrets), _finder(secrets_outside_tokens), _finder(_token_spans), _finder(rules)
 
 
 def _in_stages(spans: list[Span]) -> list[Span]:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.storage import Snapshots, materialized, scratch_folder
+from ..functions.storage import Snapshots, materialized, scratch_folder, spread
 from ..functions.text import replaced_outside_tokens
 from ..functions.value_store import ValueStore
 from ..operators import audit, catalog, detect, dictionary, loc, payloads, sanitize, tokens
@@ -210,9 +210,8 @@ def shaped_entities(spark, sf):
     pad = F.expr("repeat('w ', CAST((c_custkey % 3 * 1350 + c_custkey % 90 * 10 + 200) / 2 AS INT))")
     values = [F.expr(sql.replace("VARCHAR", "STRING")) for _, sql in _SHAPES]
     text = F.concat(pad, values[0], F.lit(" or "), values[1], F.lit(" or "), values[2], F.lit(" or "), values[3], F.lit(" w"))
-    own = table(spark, sf, "customer").select("c_custkey", text.alias("text"))
-    found = detect.entities(own, "c_custkey", ceiling=None).join(own, "c_custkey")
-    return found.select("c_custkey", "label", "start", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("value"))
+    own = spread(table(spark, sf, "customer").select("c_custkey", "c_nationkey")).select("c_custkey", text.alias("text"))
+    return detect.entity_values(own, "c_custkey", ceiling=None).select("c_custkey", "label", "start", "value")
 
 
 _TURNS = "SELECT conv_id, role, text, turn, turn % 4 AS kind, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations WHERE text IS NOT NULL"
