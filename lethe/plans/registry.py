@@ -171,8 +171,8 @@ def ner_windows(spark, sf):
 @query(r"""WITH m AS (SELECT doc_id, text, unnest(regexp_extract_all(text, '(?:\d{1,3}\.){3}\d{1,3}')) AS value FROM documents)
 SELECT doc_id, count(DISTINCT value) AS n FROM m GROUP BY doc_id""")
 def rule_entities(spark, sf):
-    found = detect.entities(docs(spark, sf), ceiling=None).where("label = 'IP_ADDRESS'").join(docs(spark, sf), "doc_id")
-    return found.groupBy("doc_id").agg(F.count_distinct(F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))).alias("n"))
+    found = detect.entity_values(docs(spark, sf), ceiling=None).where("label = 'IP_ADDRESS'")
+    return found.groupBy("doc_id").agg(F.count_distinct("value").alias("n"))
 
 
 @query("SELECT source, count(*) AS n, count(DISTINCT sha256(text)) AS distinct_texts FROM documents GROUP BY source")
