@@ -120,6 +120,16 @@ def greedy(starts: list[int], ends: list[int], ranks: list[tuple]) -> list[int]:
     return kept
 
 
+def cuts(start: int, end: int, starts: list[int], ends: list[int]) -> bool:
+    """Whether a span takes a part only of one of the stretches, which are in order and disjoint."""
+    k = bisect_right(ends, start)
+    while k < len(ends) and starts[k] < end:
+        if starts[k] < start or ends[k] > end:
+            return True
+        k += 1
+    return False
+
+
 def spliced(text: str, spans: Iterator[tuple[int, int, str]]) -> str:
     """text with spans, in order of place, replaced."""
     out, at = [], 0
@@ -220,6 +230,15 @@ def _outside(spans: pa.Array, blocked: pa.Array) -> pa.Array:
     return _column([of(*row) for row in zip(_spans(spans), _spans(blocked), strict=True)])
 
 
+@F.arrow_udf(FOUND)
+def _uncut(spans: pa.Array, guarded: pa.Array) -> pa.Array:
+    def of(own: list[Span], other: list[Span]) -> list[Span]:
+        there = union_of(other)
+        return [s for s in own if not cuts(s[0], s[1], *there)]
+
+    return _column([of(*row) for row in zip(_spans(spans), _spans(guarded), strict=True)])
+
+
 @F.arrow_udf(FOUND)
 def _with_values(text: pa.Array, spans: pa.Array) -> pa.Array:
     return _column([_covered(t, own) for t, own in zip(text.to_pylist(), _spans(spans), strict=True)])
@@ -253,6 +272,11 @@ def outside(spans: Column, blocked: Column) -> Column:
     return _outside(spans, blocked)
 
 
+def uncut(spans: Column, guarded: Column) -> Column:
+    """Spans that take no part only of a stretch that the guarded ones cover."""
+    return _uncut(spans, guarded)
+
+
 def with_values(text: Column, spans: Column) -> Column:
     """Spans with the text that they cover."""
     return _with_values(F.when(F.size(spans) > 0, text), spans)

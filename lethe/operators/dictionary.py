@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..functions.fixed import TOKEN_SHAPE
 from ..functions.spans import outside, resolve, token_spans
 from ..functions.storage import materialized
-from ..functions.sweep import FOUND
+from ..functions.sweep import FOUND, cuts, uncut, union_of
 
 MOST_CHARACTERS = 1_000_000  # of the values in one automaton, which takes up to 100 bytes for each
 MOST_PASSES = 8
@@ -62,7 +62,7 @@ def _longest_first(hits: list[tuple[int, int, str]]) -> list[tuple[int, int, str
 
 
 def _scan(shared, any_case: bool, resolved: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (id, text, values to skip in lower case) to hits (id, start, end, value, spelled); resolved: those that stay, outside tokens."""
+    """Rows (id, text, values to skip in lower case, spans not to cut) to hits (id, start, end, value, spelled); resolved: those that stay, outside tokens."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         needles: dict[str, list[tuple[str, bool]]] = {}
@@ -75,7 +75,7 @@ def _scan(shared, any_case: bool, resolved: bool) -> Callable[[Iterator[pa.Recor
             return
         automaton.make_automaton()
 
-        def hits_of(text: str, skip: frozenset[str]) -> list[tuple[int, int, str]]:
+        def hits_of(text: str, skip: frozenset[str], guarded: tuple[list[int], list[int]]) -> list[tuple[int, int, str]]:
             hits = []
             for last, (size, own) in automaton.iter(folded(text) if any_case else text):
                 end = last + 1
@@ -86,6 +86,8 @@ def _scan(shared, any_case: bool, resolved: bool) -> Callable[[Iterator[pa.Recor
                             inner = (start > 0 and _WORD.match(text[start - 1])) or (end < len(text) and _WORD.match(text[end]))
                         if inner:
                             continue
+                    if guarded[0] and cuts(start, end, *guarded):
+                        continue
                     if not skip or value.lower() not in skip:
                         hits.append((start, end, value))
             if resolved and hits:
@@ -100,11 +102,11 @@ def _scan(shared, any_case: bool, resolved: bool) -> Callable[[Iterator[pa.Recor
                 cols = list(zip(*rows, strict=True)) or [[]] * 5
                 return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (kind, pa.int32(), pa.int32(), pa.string(), pa.string()), strict=True)], names=["id", "start", "end", "value", "spelled"])
 
-            for i, text, skip in zip(b.column(0), b.column(1), b.column(2), strict=True):
+            for i, text, skip, guarded in zip(b.column(0), b.column(1), b.column(2), b.column(3), strict=True):
                 text = text.as_py()
                 if text:
                     key = i.as_py()
-                    rows += [(key, s, e, v, text[s:e]) for s, e, v in hits_of(text, frozenset(skip.as_py() or ()))]
+                    rows += [(key, s, e, v, text[s:e]) for s, e, v in hits_of(text, frozenset(skip.as_py() or ()), union_of([(g["start"], g["end"]) for g in guarded.as_py() or ()]))]
                 if len(rows) >= _HITS:
                     yield batch()
                     rows = []
@@ -114,8 +116,11 @@ def _scan(shared, any_case: bool, resolved: bool) -> Callable[[Iterator[pa.Recor
     return of
 
 
-def _found(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str, any_case: bool = False, resolved: bool = False, skip_col: str | None = None) -> DataFrame:
-    """(id, start, end, value, spelled) of terms (value, whole) in texts; resolved: longest first, outside tokens, without overlaps."""
+def _found(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str, any_case: bool = False, resolved: bool = False, skip_col: str | None = None, guard_col: str | None = None) -> DataFrame:
+    """(id, start, end, value, spelled) of terms (value, whole) in texts; resolved: longest first, outside tokens, without overlaps.
+
+    guard_col: spans of each text that no hit cuts; hits that cover one stay.
+    """
     own = materialized(terms.where("value <> ''").groupBy("value").agg(F.bool_and("whole").alias("whole")), "terms")
     size = own.agg(F.coalesce(F.sum(F.char_length("value")), F.lit(0))).first()[0]
     passes = max(1, -(-size // MOST_CHARACTERS))
@@ -124,9 +129,10 @@ def _found(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str, any_ca
         if skip_col:
             skipped = docs.select(id_col, F.col(skip_col).alias("_skip")).where(F.size("_skip") > 0)
             found = found.join(skipped, id_col, "left").where(F.col("_skip").isNull() | ~F.array_contains("_skip", F.lower("value"))).drop("_skip")
-        return _resolved(docs, found, id_col, text_col) if resolved else found
+        return _resolved(docs, found, id_col, text_col, guard_col) if resolved else found
     skip = (F.col(skip_col) if skip_col else F.lit(None)).cast("array<string>").alias("skip")
-    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), skip)
+    guard = (F.transform(guard_col, lambda g: F.struct(g["start"].alias("start"), g["end"].alias("end"))) if guard_col else F.lit(None).cast("array<struct<start:int,end:int>>")).alias("guard")
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), skip, guard)
     of = f"id {docs.schema[id_col].dataType.simpleString()}, start int, end int, value string, spelled string"
     out = None
     for k in range(passes):
@@ -135,7 +141,7 @@ def _found(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str, any_ca
         one = texts.mapInArrow(_scan(shared, any_case, resolved and passes == 1), of)
         out = one if out is None else out.unionByName(one)
     out = out.withColumnRenamed("id", id_col)
-    return _resolved(docs, out, id_col, text_col) if resolved and passes > 1 else out
+    return _resolved(docs, out, id_col, text_col, guard_col) if resolved and passes > 1 else out
 
 
 def code_points(text: str) -> np.ndarray:
@@ -359,22 +365,27 @@ def matches(docs: DataFrame, values: DataFrame, id_col: str = "doc_id", text_col
     return _found(docs, values.select("value", F.lit(whole_words).alias("whole")), id_col, text_col, any_case, resolved=True).drop("spelled")
 
 
-def known_values(docs: DataFrame, values: DataFrame, excluded: DataFrame | None = None, short: int = 5, id_col: str = "doc_id", text_col: str = "text", skip_col: str | None = None) -> DataFrame:
+def known_values(docs: DataFrame, values: DataFrame, excluded: DataFrame | None = None, short: int = 5, id_col: str = "doc_id", text_col: str = "text", skip_col: str | None = None, guard_col: str | None = None) -> DataFrame:
     """Places of known values (value): durable ones, those shorter than `short` as whole words only.
 
     P12: none of `excluded` (value, any case), and none of those in a text's own array skip_col (lower case).
+    guard_col: a text's spans of which no value takes a part only.
     """
     own = values.where(F.char_length(F.trim("value")) >= 2).select("value").distinct()
     if excluded is not None:
         own = own.join(excluded.select(F.lower("value").alias("_x")).distinct(), F.lower("value") == F.col("_x"), "left_anti")
     terms = own.select("value", (F.char_length("value") < short).alias("whole"))
-    return _found(docs, terms, id_col, text_col, resolved=True, skip_col=skip_col).drop("spelled")
+    return _found(docs, terms, id_col, text_col, resolved=True, skip_col=skip_col, guard_col=guard_col).drop("spelled")
 
 
-def _resolved(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _resolved(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, guard_col: str | None = None) -> DataFrame:
     tokens = docs.where(F.contains(F.col(text_col), F.lit("["))).select(id_col, token_spans(F.col(text_col)).alias("_tokens"))
     spans = found.groupBy(id_col).agg(F.collect_list(F.struct("start", "end", F.col("value").alias("label"), F.lit(9).alias("stage"), F.col("spelled").alias("value"))).alias("_spans")).join(tokens, id_col, "left")
-    free = outside(F.col("_spans"), F.coalesce("_tokens", F.array().cast(FOUND)))
+    own = F.col("_spans")
+    if guard_col:
+        spans = spans.join(docs.where(F.size(guard_col) > 0).select(id_col, F.col(guard_col).alias("_guard")), id_col, "left")
+        own = uncut(own, F.coalesce("_guard", F.array().cast(FOUND)))
+    free = outside(own, F.coalesce("_tokens", F.array().cast(FOUND)))
     return spans.select(id_col, F.explode(resolve(free, "length")).alias("s")).select(id_col, "s.start", "s.end", F.col("s.label").alias("value"), F.col("s.value").alias("spelled"))
 
 

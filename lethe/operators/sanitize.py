@@ -121,11 +121,14 @@ def _merged(docs: DataFrame, *maps: str) -> DataFrame:
     return docs.drop(*maps)
 
 
-def retokenize_known(docs: DataFrame, known: DataFrame, excluded: DataFrame | None = None, id_col: str = "doc_id", skip_col: str | None = None) -> DataFrame:
-    """T5: values that are known (token, value, label) replaced by their tokens; `inserted`: the tokens put in."""
+def retokenize_known(docs: DataFrame, known: DataFrame, excluded: DataFrame | None = None, id_col: str = "doc_id", skip_col: str | None = None, guard_col: str | None = None) -> DataFrame:
+    """T5: values that are known (token, value, label) replaced by their tokens; `inserted`: the tokens put in.
+
+    guard_col: spans of a text of which no value takes a part only.
+    """
     first = known.groupBy("value").agg(F.min(F.struct("token", "label")).alias("k")).select("value", "k.token", "k.label")
     own = own_rows(docs, id_col)
-    found = dictionary.known_values(own, first.select("value"), excluded, id_col="_row", skip_col=skip_col).join(first.select("value", "label"), "value")
+    found = dictionary.known_values(own, first.select("value"), excluded, id_col="_row", skip_col=skip_col, guard_col=guard_col).join(first.select("value", "label"), "value")
     out = replaced(own, found, first, "_row").drop("_row")
     return out.withColumn("inserted", F.map_keys("tokens"))
 
@@ -139,7 +142,8 @@ def escape_grants(docs: DataFrame, now: Column, minutes: int) -> DataFrame:
 def sanitize(docs: DataFrame, known: DataFrame, excluded: DataFrame | None = None, salt: str = SALT, id_col: str = "doc_id", entries: DataFrame | None = None, grants: DataFrame | None = None, now: Column | None = None, policy: dict | None = None, **stages) -> tuple[DataFrame, DataFrame]:
     """Catalog entries, then known values, then detection; gives (documents, next snapshot of known values).
 
-    What a text marks by ~ is left out of the known values' step in that text, and of detection as tokenize does.
+    A known value that is a part of a secret waits for detection, which takes the whole secret; else the secret would not
+    be known to later texts.  What a text marks by ~ is left out of the known values' step in that text, and of detection as tokenize does.
     excluded: values that no text replaces (allowed names, active allowances).  entries: active catalog entries,
     enforced under `policy` (the options of catalog.decisions) and the grants that hold now.
     """
@@ -147,7 +151,8 @@ def sanitize(docs: DataFrame, known: DataFrame, excluded: DataFrame | None = Non
     if entries is not None:
         decided = materialized(catalog.decisions(pre, entries, grants, now, id_col=id_col, **(policy or {})), "decided")
         pre = catalog.enforce(pre, decided, id_col).withColumnRenamed("sanitized", "text").withColumnRenamed("tokens", "_catalog")
-    pre = retokenize_known(pre, known, excluded, id_col, "_marked").drop("inserted", "_marked").withColumnRenamed("tokens", "_pre")
+    pre = pre.withColumn("_secrets", secret_spans(F.col("text"), outside_tokens=True))
+    pre = retokenize_known(pre, known, excluded, id_col, "_marked", "_secrets").drop("inserted", "_marked", "_secrets").withColumnRenamed("tokens", "_pre")
     out, table = tokenize(pre, known, salt, id_col, **stages)
     return _merged(out, *(["_catalog"] if entries is not None else []), "_pre"), table.where(durable(F.col("value")))
 
