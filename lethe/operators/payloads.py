@@ -78,6 +78,7 @@ def text_paths(payloads: DataFrame, id_col: str = "id", payload_col: str = "payl
 
 
 BLOCKS = "array<string>"  # each as JSON, as blocks of other kinds may stand between those of text
+PARTS = "array<struct<part:string,place:int,text:string>>"
 MESSAGE = "struct<content:string,tool_calls:string>"
 ITEM = "struct<content:string,arguments:string,output:string,text:string>"
 
@@ -96,22 +97,25 @@ def _texts(blocks: Column) -> Column:
 def chat_texts(requests: DataFrame, id_col: str = "id", payload_col: str = "payload") -> DataFrame:
     """(id, part, place, text) of a chat request's messages (string or text blocks), tool calls, system (string or blocks), tools.
 
-    Whether a value is a list is told by the JSON, not by its text, which may begin with a bracket.  Descriptions deep
+    A request is read once for all its parts.  Whether a value is a list is told by the JSON, not by its text, which may
+    begin with a bracket.  Descriptions deep
     inside a tool's parameters are found by text_paths.
     """
     p = F.col(payload_col)
-    messages = _items(requests, id_col, F.get_json_object(p, "$.messages"), MESSAGE, ["content"])
-    part = lambda name, text: (F.lit(name).alias("part"), "place", text.alias("text"))
-    strings = messages.where("l.content is null").select(id_col, *part("content", F.col("i.content")))
-    kept = F.filter("l.content", lambda b: F.get_json_object(b, "$.type") == "text")
-    blocks = messages.select(id_col, "place", F.explode(_texts(kept)).alias("t")).select(id_col, *part("block", F.col("t")))
-    calls = messages.select(id_col, "place", F.explode(F.from_json("i.tool_calls", "array<struct<function:struct<arguments:string>>>")).alias("c")).select(id_col, *part("arguments", F.col("c.function.arguments")))
-    outer = requests.withColumn("place", F.lit(-1))
-    system = F.from_json(p, f"struct<system:{BLOCKS}>")["system"]
-    system = outer.select(id_col, "place", F.explode(F.coalesce(_texts(system), F.array(F.get_json_object(p, "$.system")))).alias("t")).select(id_col, *part("system", F.col("t")))
-    tools = outer.select(id_col, "place", F.explode(F.from_json(F.get_json_object(p, "$.tools"), "array<struct<description:string,function:struct<description:string>>>")).alias("t"))
-    tools = tools.select(id_col, *part("description", F.coalesce("t.description", "t.function.description")))
-    return strings.unionByName(blocks).unionByName(calls).unionByName(system).unionByName(tools).where("text is not null")
+    some = lambda name, place, texts: F.coalesce(F.transform(texts, lambda t: F.struct(F.lit(name).alias("part"), place.alias("place"), t.alias("text"))), F.array().cast(PARTS))
+
+    def of(z: Column, place: Column) -> Column:
+        kept = F.filter(z["l"]["content"], lambda b: F.get_json_object(b, "$.type") == "text")
+        calls = F.from_json(z["i"]["tool_calls"], "array<struct<function:struct<arguments:string>>>")
+        return F.concat(some("content", place, F.when(z["l"]["content"].isNull(), F.array(z["i"]["content"]))), some("block", place, _texts(kept)), some("arguments", place, F.transform(calls, lambda c: c["function"]["arguments"])))
+
+    raw, none = F.get_json_object(p, "$.messages"), F.lit(-1)
+    messages = F.flatten(F.transform(F.arrays_zip(F.from_json(raw, f"array<{MESSAGE}>").alias("i"), F.from_json(raw, f"array<struct<content:{BLOCKS}>>").alias("l")), of))
+    system = F.coalesce(_texts(F.from_json(p, f"struct<system:{BLOCKS}>")["system"]), F.array(F.get_json_object(p, "$.system")))
+    tools = F.from_json(F.get_json_object(p, "$.tools"), "array<struct<description:string,function:struct<description:string>>>")
+    tools = F.transform(tools, lambda t: F.coalesce(t["description"], t["function"]["description"]))
+    parts = F.concat(F.coalesce(messages, F.array().cast(PARTS)), some("system", none, system), some("description", none, tools))
+    return requests.select(id_col, F.explode(F.filter(parts, lambda x: x["text"].isNotNull())).alias("x")).select(id_col, "x.part", "x.place", "x.text")
 
 
 def response_texts(requests: DataFrame, id_col: str = "id", payload_col: str = "payload") -> DataFrame:
