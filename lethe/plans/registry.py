@@ -54,6 +54,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table for rules on each row: dealt to all cores where a task or two would read it all."""
+    return spread(table(spark, sf, name))
+
+
 def docs(spark: SparkSession, sf: str) -> DataFrame:
     return spread(table(spark, sf, "documents").select("doc_id", "text"))
 
