@@ -12,3 +12,14 @@ def test_requests_are_read_once(spark, capsys, name):
     # Branches of a union share out the cores, so that few tasks read a whole branch.
     registry.QUERIES[name].run(spark, SF).explain()
     assert "Union" not in capsys.readouterr().out
+
+
+@pytest.mark.parametrize("name", ["escape_phrases", "admitted_usage"])
+def test_rules_on_small_files_use_all_cores(spark, name):
+    assert registry.QUERIES[name].run(spark, SF).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_a_message_is_built_once(spark, capsys):
+    # Its JSON went into each of a hundred places of the plan.
+    registry.QUERIES["admitted_usage"].run(spark, SF).explain()
+    assert capsys.readouterr().out.count("to_json") < 50
