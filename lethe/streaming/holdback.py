@@ -165,12 +165,11 @@ def last_usage(chunks: DataFrame, idle_seconds: float = IDLE_SECONDS) -> DataFra
 
 def _held_back(chunks: DataFrame) -> DataFrame:
     """R1 over a table, by windows: what a chunk holds back is the open bracket at its end, or the one before it if the
-    chunk only goes on with it.  No more than LONGEST chunks are looked at for one row."""
+    chunk only goes on with it.  No more than LONGEST chunks are looked at for one row.  The chunks are read once."""
     keys = ["stream_key"]
-    ends = chunks.groupBy("stream_key").agg(F.max("seq").alias("top"))
     single = chunks.groupBy("stream_key", "seq").agg(F.max(F.coalesce("delta", F.lit(""))).alias("delta"), F.bool_or(F.coalesce("is_end", F.lit(False))).alias("is_end"))
     in_order = W.partitionBy(*keys).orderBy("seq")
-    ready = single.withColumn("n", F.row_number().over(in_order) - 1).where("n = seq").where("delta <> '' or is_end")
+    ready = single.withColumn("top", F.max("seq").over(W.partitionBy(*keys))).withColumn("n", F.row_number().over(in_order) - 1).where("n = seq").where("delta <> '' or is_end")
     ready = ready.withColumn("part", F.coalesce(F.sum(F.col("is_end").cast("int")).over(in_order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     goes_on = F.col("delta").rlike(r"^[A-Z0-9_a-f]*$")
     within = W.partitionBy(*keys, "part").orderBy("seq")
@@ -183,9 +182,11 @@ def _held_back(chunks: DataFrame) -> DataFrame:
     kept = runs.withColumn("held", held)
     before = F.coalesce(F.lag("held").over(within), F.lit(""))
     whole = F.concat(before, F.col("delta"))
-    out = kept.withColumn("text", F.substring(whole, F.lit(1), F.char_length(whole) - F.char_length("held")))
-    last = out.groupBy("stream_key").agg(F.max_by("held", "seq").alias("text")).join(ends, "stream_key").select("stream_key", (F.col("top") + 1).alias("seq"), "text")
-    return out.select("stream_key", "seq", "text").unionByName(last).where("text <> ''")
+    text = F.substring(whole, F.lit(1), F.char_length(whole) - F.char_length("held"))
+    piece = lambda seq, text: F.struct(seq.alias("seq"), text.alias("text"))
+    left = F.when(F.lead("seq").over(in_order).isNull(), F.col("held")).otherwise("")  # of the whole stream
+    out = kept.select("stream_key", F.array(piece(F.col("seq"), text), piece(F.col("top") + 1, left)).alias("p"))
+    return out.select("stream_key", F.explode(F.filter("p", lambda x: x["text"] != "")).alias("x")).select("stream_key", "x.seq", "x.text")
 
 
 def restored(chunks: DataFrame, known: DataFrame) -> DataFrame:

@@ -23,3 +23,12 @@ def test_a_message_is_built_once(spark, capsys):
     # Its JSON went into each of a hundred places of the plan.
     registry.QUERIES["admitted_usage"].run(spark, SF).explain()
     assert capsys.readouterr().out.count("to_json") < 50
+
+
+def test_held_back_chunks_are_read_once(spark, capsys):
+    from lethe.streaming import holdback
+
+    chunks = spark.read.parquet(f"{SF}/conversations.parquet").selectExpr("cast(conv_id as string) as stream_key", "turn as seq", "text as delta", "false as is_end")
+    holdback.hold_back(chunks).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("FileScan") == 1 and "Union" not in plan
