@@ -3,8 +3,8 @@
 A substring join has no equi key.  A dictionary whose size is checked to be small enough is broadcast as one
 multi-pattern automaton, which each task runs over its texts once and resolves overlaps there: no shuffle, no join.
 A larger one is cut into a few such parts, a pass each.  Beyond MOST_PASSES parts each value is looked up by the one of its
-grams that the texts have most seldom; texts give the grams that pass a filter, Catalyst joins by gram, and a comparison of
-the whole value confirms.
+grams that the texts have most seldom, of more than half its length, so that few values share one; texts give the grams that
+pass a filter with what stands around them, Catalyst joins by gram and compares the whole value.
 
 Lower case, where it is asked for, is taken character by character where that keeps the length, so places hold for the text.
 """
@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.fixed import TOKEN_SHAPE
 from ..functions.spans import outside, resolve, token_spans
@@ -30,9 +31,13 @@ from ..functions.sweep import FOUND, cuts, uncut, union_of
 MOST_CHARACTERS = 1_000_000  # of the values in one automaton, which takes up to 100 bytes for each
 MOST_PASSES = 8
 GRAMS = (8, 4, 2, 1)  # characters of the grams by which values of at least that length are found
+LONG_GRAMS = (64, 32, 16)  # those of longer values: many values of a large dictionary share their short grams
 COUNTERS = 1 << 20  # in which the texts' grams of a size are counted
-MOST_FILTER_BITS = 1 << 30
+CHUNK = 1 << 15  # characters that are hashed at a time, whose arrays stay in a core's cache
+MOST_FILTER_BITS = 1 << 31
 PIECE = 1 << 18  # bytes of the pieces in which tasks hand over counts and filters
+_BLOCK = 8 * PIECE  # bits of a piece; all bits of a gram lie in one
+_SIZES = LONG_GRAMS + GRAMS
 _HITS = 50_000  # rows of an output batch
 _WORD, _TOKEN = re.compile(r"\w"), re.compile(TOKEN_SHAPE)
 
@@ -150,18 +155,27 @@ def code_points(text: str) -> np.ndarray:
 
 def gram_hashes(codes: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all grams of `size` code points, a power of two: each of two halves."""
+    return next(h for _, h in _hashes(codes, [size]))
+
+
+def _hashes(codes: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """gram_hashes of several sizes, which grow."""
     h, step = (codes + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), 1
-    while step < size:
-        h = h[: len(h) - step] * np.uint64(0xD6E8FEB86659FD93) + h[step:] if len(h) > step else h[:0]
-        h = h ^ (h >> np.uint64(29))
-        step *= 2
-    h = h * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
+    for size in sizes:
+        while step < size:
+            wider = h[: max(len(h) - step, 0)] * np.uint64(0xD6E8FEB86659FD93)
+            wider += h[step:]
+            wider ^= wider >> np.uint64(29)
+            h, step = wider, 2 * step
+        out = h * np.uint64(0xBF58476D1CE4E5B9)
+        out ^= out >> np.uint64(32)
+        yield size, out
 
 
-def _size_of(length: int) -> int:
-    """Characters of the grams by which values of a length are found."""
-    return next(g for g in GRAMS if g <= length)
+def _sizes_of(lengths: np.ndarray) -> np.ndarray:
+    """Characters of the grams by which values of these lengths are found."""
+    sizes = np.array(_SIZES[::-1], np.int32)
+    return sizes[np.searchsorted(sizes, lengths, "right") - 1]
 
 
 def _pieces(arrays: np.ndarray, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
@@ -184,32 +198,40 @@ def _merged(kind: type, merge: Callable) -> Callable[[Iterator[pa.RecordBatch]],
 
 
 def _together(pieces: DataFrame, kind: type, merge: Callable, size: int) -> np.ndarray:
-    """The pieces of all tasks merged by Spark, piece by piece, and put together: `size` numbers, whatever the data are."""
+    """The pieces of all tasks merged by Spark, piece by piece, and put together."""
+    return _assembled(pieces.repartition("piece").mapInArrow(_merged(kind, merge), "piece long, part binary"), kind, size)
+
+
+def _assembled(pieces: DataFrame, kind: type, size: int) -> np.ndarray:
+    """Pieces put together: `size` numbers, whatever the data are.  They are written first, as the driver asks for one partition after another."""
     out = np.zeros(size, kind)
     flat = out.view(np.uint8)
-    for r in pieces.repartition("piece").mapInArrow(_merged(kind, merge), "piece long, part binary").toLocalIterator():
+    for r in materialized(pieces, "pieces").toLocalIterator():
         flat[r["piece"] * PIECE : r["piece"] * PIECE + len(r["part"])] = np.frombuffer(bytes(r["part"]), np.uint8)
     return out
 
 
+def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """First and last (exclusive) of texts that have together about CHUNK characters, one text at least."""
+    first = size = 0
+    for i, text in enumerate(texts):
+        if size and size + len(text) > CHUNK:
+            yield first, i
+            first, size = i, 0
+        size += len(text)
+    if first < len(texts):
+        yield first, len(texts)
+
+
 def _count_grams(sizes: list[int], any_case: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((len(sizes), COUNTERS), np.uint32)
-        held, most = [], 4 * COUNTERS
-
-        def add() -> None:
-            for k, size in enumerate(sizes):
-                h = gram_hashes(np.concatenate([*held, np.zeros(0, np.uint64)]), size)  # grams across two texts count too, which matters little
-                counts[k] += np.bincount((h % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
-
         for b in batches:
-            for text in b.column(0).to_pylist():
-                held.append(code_points(folded(text) if any_case else text))
-                most -= len(held[-1])
-                if most <= 0:
-                    add()
-                    held, most = [], 4 * COUNTERS
-        add()
+            texts = b.column(0).to_pylist()
+            for first, last in _chunks(texts):
+                whole = "".join(texts[first:last])  # grams across two texts count too, which matters little
+                for k, (_, h) in enumerate(_hashes(code_points(folded(whole) if any_case else whole), sizes)):
+                    np.add.at(counts[k], (h & np.uint64(COUNTERS - 1)).view(np.int64), np.uint32(1))
         yield from _pieces(counts, pa.binary())
 
     return of
@@ -217,83 +239,142 @@ def _count_grams(sizes: list[int], any_case: bool) -> Callable[[Iterator[pa.Reco
 
 def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of texts one after another, and the texts' places in them."""
-    parts = [code_points(t) for t in texts]
-    return np.concatenate([*parts, np.zeros(0, np.uint64)]), np.cumsum([0, *map(len, parts)])
+    return code_points("".join(texts)), np.cumsum([0, *map(len, texts)])
 
 
 def _anchor(shared, sizes: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (value, whole, needle) to (gram, offset, value, whole, needle): the needle's gram that texts have most seldom, the first of equals."""
+    """Rows (needle, ...) to (gram, size, offset, ...): the needle's gram that texts have most seldom, the first of equals."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value.reshape(len(sizes), COUNTERS)
         for b in batches:
-            needles = b.column(2).to_pylist()
+            needles = b.column(0).to_pylist()
             gram, offset = np.zeros(len(needles), np.uint64), np.zeros(len(needles), np.int32)
-            own = np.array([_size_of(len(n)) for n in needles], np.int64)
+            own = _sizes_of(np.array([len(n) for n in needles], np.int64))
             for k, size in enumerate(sizes):
-                mine = np.flatnonzero(own == size)
-                if not len(mine):
-                    continue
-                codes, offs = _joined([needles[i] for i in mine])
-                h = gram_hashes(codes, size)
-                at = np.arange(len(h))
-                seldom = counts[k][(h % np.uint64(COUNTERS)).astype(np.int64)].astype(np.uint64)
-                seldom[at + size > np.repeat(offs[1:], np.diff(offs))[: len(h)]] = np.uint64(0xFFFFFFFF)  # grams across two needles
-                best = (np.minimum.reduceat((seldom << np.uint64(32)) | at.astype(np.uint64), offs[:-1]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                gram[mine], offset[mine] = h[best], best - offs[:-1]
-            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(offset), *b.columns], names=["gram", "offset", "value", "whole", "needle"])
+                every = np.flatnonzero(own == size)
+                texts = [needles[i] for i in every.tolist()]
+                for first, last in _chunks(texts):
+                    mine = every[first:last]
+                    codes, offs = _joined(texts[first:last])
+                    h = gram_hashes(codes, size)
+                    at = np.arange(len(h), dtype=np.uint64)
+                    seldom = counts[k].take((h & np.uint64(COUNTERS - 1)).view(np.int64)).astype(np.uint64)
+                    across = np.zeros(len(codes) + 1, np.int8)  # grams across two needles start in the last size - 1 characters of one
+                    across[offs[1:] - size + 1] += 1
+                    across[offs[1:]] -= 1
+                    seldom[np.cumsum(across[: len(h)]) > 0] = np.uint64(0xFFFFFFFF)
+                    best = (np.minimum.reduceat((seldom << np.uint64(32)) | at, offs[:-1]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                    gram[mine], offset[mine] = h[best], best - offs[:-1]
+            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(own), pa.array(offset), *b.columns], names=["gram", "size", "offset", *b.schema.names])
 
     return of
 
 
-def _bit(h: np.ndarray, size: int, shift: int) -> np.ndarray:
-    """Place of one of a gram's bits in a filter of `size` bits, a power of two."""
-    return ((h >> np.uint64(shift)) * np.uint64(0x94D049BB133111EB) >> np.uint64(20)) & np.uint64(size - 1)
+Layout = dict[int, tuple[int, int]]  # of each size of grams the first bit and the number of bits, a power of two, in the filter
+_SHIFTS = (0, 7, 13, 23)  # of a gram's four bits
 
 
-_SHIFTS = (0, 7, 13, 23)  # of a gram's four bits
+def _bit(h: np.ndarray, first: int, bits: int, shift: int) -> np.ndarray:
+    """Place of one of a gram's bits, which lie in one block."""
+    inside = min(bits, _BLOCK)
+    block = (h >> np.uint64(54)) & np.uint64(bits // inside - 1)
+    return np.uint64(first) + block * np.uint64(inside) + (((h >> np.uint64(shift)) * np.uint64(0x94D049BB133111EB) >> np.uint64(20)) & np.uint64(inside - 1))
 
 
-def _fill(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _piece(layout: Layout) -> Column:
+    """The piece of the filter that holds a gram's bits."""
+    out = F.lit(None).cast("long")
+    for size, (first, bits) in layout.items():
+        out = F.when(F.col("size") == size, first // _BLOCK + F.shiftrightunsigned("gram", 54).bitwiseAND(F.lit(max(bits // _BLOCK, 1) - 1))).otherwise(out)
+    return out
+
+
+def _fill(layout: Layout) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (piece, gram, size), whole pieces in order, to the pieces of the filter."""
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(size // 8, np.uint8)
+        now, part = None, np.zeros(0, np.uint8)
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([part.tobytes()], pa.binary())], names=["piece", "part"])
+
         for b in batches:
-            h = b.column(0).to_numpy().view(np.uint64)
-            for at in (_bit(h, size, s) for s in _SHIFTS):
-                np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-        yield from _pieces(bits, pa.binary())
+            pieces, h, own = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy()
+            ends = np.flatnonzero(np.diff(pieces)) + 1
+            for start, end in zip([0, *ends.tolist()], [*ends.tolist(), len(pieces)], strict=True):
+                if start == end:
+                    continue
+                if pieces[start] != now:
+                    if now is not None:
+                        yield done()
+                    now, part = int(pieces[start]), np.zeros(PIECE, np.uint8)
+                for size in np.unique(own[start:end]).tolist():
+                    mine = h[start:end][own[start:end] == size]
+                    for at in (_bit(mine, *layout[size], s) & np.uint64(_BLOCK - 1) for s in _SHIFTS):
+                        np.bitwise_or.at(part, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        if now is not None:
+            yield done()
 
     return of
 
 
-def _seek(shared, sizes: list[int], any_case: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (id, text) to (id, gram, at) of the grams that the filter lets through."""
+def _seek(shared, layout: Layout, any_case: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (id, text) to (id, gram, at, lead, around, spelled) of the grams that the filter lets through.
+
+    around: the text from `lead` characters before the gram, a gram's length at most, to a gram's length behind it; spelled:
+    the same as the text has it, null if no case is folded.
+    """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for b in batches:
-            texts = [folded(t) if any_case else t for t in b.column(1).to_pylist()]
-            ends = np.cumsum([len(t) for t in texts])
-            first = 0
-            while first < len(texts):  # some texts of together about COUNTERS characters
-                last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + COUNTERS, "right")))
+            plain = b.column(1).to_pylist()
+            texts = [folded(t) for t in plain] if any_case else plain
+            places: list[tuple[np.ndarray, ...]] = []
+            around: list[str] = []
+            spelled: list[str | None] = []
+
+            def found() -> pa.RecordBatch:
+                row, gram, at, lead = (np.concatenate(x) for x in zip(*places, strict=True))
+                columns = [pa.array(gram.view(np.int64)), pa.array(at.astype(np.int32)), pa.array(lead.astype(np.int32)), pa.array(around, pa.string()), pa.array(spelled, pa.string())]
+                return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), *columns], names=["id", "gram", "at", "lead", "around", "spelled"])
+
+            for first, last in _chunks(texts):
                 codes, offs = _joined(texts[first:last])
-                for size in sizes:
-                    h = gram_hashes(codes, size)
-                    at = np.arange(len(h))
+                whole, own = "".join(texts[first:last]), "".join(plain[first:last])
+                for size, h in _hashes(codes, sorted(layout)):
+                    at = None
                     for shift in _SHIFTS:  # most grams are gone after the first bit
-                        x = _bit(h[at], 8 * len(bits), shift)
-                        at = at[(bits[(x >> np.uint64(3)).astype(np.int64)] >> (x & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+                        x = _bit(h if at is None else h[at], *layout[size], shift)
+                        some = np.flatnonzero(bits.take((x >> np.uint64(3)).view(np.int64)) >> (x & np.uint64(7)).astype(np.uint8) & 1)
+                        at = some if at is None else at[some]
                     row = np.searchsorted(offs, at, "right") - 1
                     inside = at + size <= offs[row + 1]
                     at, row = at[inside], row[inside]
-                    if len(at):
-                        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row + first)), pa.array(h[at].view(np.int64)), pa.array((at - offs[row]).astype(np.int32))], names=["id", "gram", "at"])
-                first = last
+                    for k in range(0, len(at), _HITS):
+                        some, text = at[k : k + _HITS], row[k : k + _HITS]
+                        lead = np.minimum(some - offs[text], size)
+                        places.append((text + first, h[some], some - offs[text], lead))
+                        ends = zip((some - lead).tolist(), np.minimum(some + 2 * size, offs[text + 1]).tolist(), strict=True)
+                        seen = [slice(*x) for x in ends]
+                        around += [whole[x] for x in seen]
+                        spelled += [own[x] if any_case else None for x in seen]
+                        if len(around) >= _HITS:
+                            yield found()
+                            places, around, spelled = [], [], []
+            if places:
+                yield found()
 
     return of
 
 
+@F.arrow_udf(T.BooleanType())
+def _in_word(characters: pa.Array) -> pa.Array:
+    """Whether one of the characters belongs to a word."""
+    return pa.array([bool(_WORD.search(c)) for c in characters.to_pylist()], pa.bool_())
+
+
 def _verify(any_case: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows (id, text, hits) to (id, start, end, value, spelled) of the hits that the text has."""
 
@@ -314,36 +395,63 @@ def _verify(any_case: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 
 
 def filter_bits(grams: int) -> int:
-    """Size of the filter of dictionary grams: 32 to 64 bits for each, MOST_FILTER_BITS at most (then more grams pass in vain)."""
-    return min(MOST_FILTER_BITS, max(1 << 16, 1 << (32 * grams).bit_length()))
+    """Size of the filter of dictionary grams: 16 to 32 bits for each, MOST_FILTER_BITS at most (then more grams pass in vain)."""
+    return min(MOST_FILTER_BITS, max(1 << 16, 1 << (16 * grams).bit_length()))
+
+
+def filter_layout(grams: dict[int, int]) -> Layout:
+    """The filter's parts for the grams of each size, by their numbers, together twice filter_bits at most; the largest first, so
+    that each lies at a multiple of its own size."""
+    every = max(1, sum(grams.values()))
+    share = {size: max(1 << 16, 1 << (filter_bits(every) * n // every - 1).bit_length()) for size, n in grams.items()}
+    out, first = {}, 0
+    for size in sorted(share, key=lambda s: (-share[s], s)):
+        out[size] = first, share[size]
+        first += share[size]
+    return out
 
 
 def candidate_grams(docs: DataFrame, terms: DataFrame, any_case: bool) -> tuple[DataFrame, DataFrame]:
-    """Grams of docs (id, text) that may belong to a value (id, gram, at), and the values' anchors (gram, offset, value, whole, needle)."""
+    """Grams of docs (id, text) that may belong to a value (as of _seek), and the values' anchors (gram, size, offset, needle, whole, value)."""
     spark = docs.sparkSession
-    own = terms.select("value", "whole", (folded_column(F.col("value")) if any_case else F.col("value")).alias("needle"))
-    lengths = F.when(F.char_length("needle") >= GRAMS[0], GRAMS[0]).otherwise(F.char_length("needle"))
-    sizes = sorted({_size_of(r[0]) for r in own.select(lengths).distinct().collect()})
+    own = terms.select((folded_column(F.col("value")) if any_case else F.col("value")).alias("needle"), *(["value"] if any_case else []), "whole")
+    lengths = own.select(F.least(F.char_length("needle"), F.lit(_SIZES[0])).alias("n")).distinct().collect()
+    sizes = sorted(set(_sizes_of(np.array([r["n"] for r in lengths], np.int64)).tolist()))
     counts = _together(docs.select("text").mapInArrow(_count_grams(sizes, any_case), "piece long, part binary"), np.uint32, np.add, len(sizes) * COUNTERS)
     shared = spark.sparkContext.broadcast(counts)
-    anchors = materialized(own.mapInArrow(_anchor(shared, sizes), "gram long, offset int, value string, whole boolean, needle string"), "anchors")
-    size = filter_bits(anchors.count())
-    bits = spark.sparkContext.broadcast(_together(anchors.select("gram").mapInArrow(_fill(size), "piece long, part binary"), np.uint8, np.bitwise_or, size // 8))
+    anchors = materialized(own.mapInArrow(_anchor(shared, sizes), "gram long, size int, offset int, needle string, " + ("value string, " if any_case else "") + "whole boolean"), "anchors")
+    anchors = anchors if any_case else anchors.withColumn("value", F.col("needle"))
+    layout = filter_layout({r["size"]: r["count"] for r in anchors.groupBy("size").count().collect()})
+    filled = anchors.select(_piece(layout).alias("piece"), "gram", "size").repartition("piece").sortWithinPartitions("piece").mapInArrow(_fill(layout), "piece long, part binary")
+    bits = spark.sparkContext.broadcast(_assembled(filled, np.uint8, -(-sum(n for _, n in layout.values()) // _BLOCK) * PIECE))
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(_seek(bits, sizes, any_case), f"id {kind}, gram long, at int"), anchors
+    return docs.mapInArrow(_seek(bits, layout, any_case), f"id {kind}, gram long, at int, lead int, around string, spelled string"), anchors
 
 
 def _by_grams(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str, any_case: bool) -> DataFrame:
     """A dictionary of any size: each value is anchored at the gram that the texts have most seldom, by counts of all their
-    grams; a bit filter of the anchors lets few of the texts' grams through, which Catalyst joins to the values, and each
-    text compares its candidates.  Counts and filter have a fixed size."""
+    grams; a bit filter of the anchors lets few of the texts' grams through, which Catalyst joins to the values that stand
+    around them.  Values too long to be seen there are compared by their texts.  Counts and filter have a bounded size."""
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     grams, anchors = candidate_grams(texts, terms, any_case)
-    hits = grams.join(anchors, "gram").withColumn("start", F.col("at") - F.col("offset")).where("start >= 0")
-    per_doc = hits.groupBy(F.col("id").alias("_id")).agg(F.collect_set(F.struct("start", "value", "whole", "needle")).alias("hits"))
-    joined = texts.join(per_doc, F.col("id").eqNullSafe(F.col("_id"))).select("id", "text", "hits")
-    kind = docs.schema[id_col].dataType.simpleString()
-    return joined.mapInArrow(_verify(any_case), f"id {kind}, start int, end int, value string, spelled string").withColumnRenamed("id", id_col)
+    length, inner = F.char_length("needle"), F.col("lead") - F.col("offset")
+    far = length >= 2 * _SIZES[0]
+    hits = grams.join(anchors, "gram").withColumn("start", F.col("at") - F.col("offset")).where("start >= 0").where(far | (F.substring("around", inner + 1, length) == F.col("needle")))
+    kinds = terms.agg(F.max(F.char_length("value")) >= 2 * _SIZES[0], F.bool_or("whole")).first()
+    if kinds[0]:
+        hits = materialized(hits, "hits")
+    near = hits.where(~far)
+    spelled = F.col("spelled") if any_case else F.col("around")
+    if kinds[1]:
+        ends = F.concat(F.when(inner > 0, F.substring(spelled, inner, F.lit(1))).otherwise(""), F.substring(spelled, inner + length + 1, F.lit(1)))
+        near = near.where(~F.col("whole") | ~_in_word(ends))
+    found = near.select("id", "start", (F.col("start") + length).alias("end"), "value", F.substring(spelled, inner + 1, length).alias("spelled"))
+    if kinds[0]:
+        per_doc = hits.where(far).groupBy(F.col("id").alias("_id")).agg(F.collect_set(F.struct("start", "value", "whole", "needle")).alias("hits"))
+        joined = texts.join(per_doc, F.col("id").eqNullSafe(F.col("_id"))).select("id", "text", "hits")
+        kind = docs.schema[id_col].dataType.simpleString()
+        found = found.unionByName(joined.mapInArrow(_verify(any_case), f"id {kind}, start int, end int, value string, spelled string"))
+    return found.withColumnRenamed("id", id_col)
 
 
 def occurrences_by_grams(docs: DataFrame, values: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_words: bool = False, any_case: bool = False) -> DataFrame:

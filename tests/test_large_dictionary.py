@@ -62,3 +62,45 @@ def test_gram_hashes():
         assert len(set(h.tolist())) == len(set(grams)) and all((h[i] == h[j]) == (grams[i] == grams[j]) for i in range(len(h)) for j in range(len(h)))
     assert len(D.gram_hashes(np.zeros(0, np.uint64), 4)) == 0
     assert D.filter_bits(0) == 1 << 16 and D.filter_bits(1 << 40) == D.MOST_FILTER_BITS
+
+
+def test_values_that_share_their_short_grams(spark):
+    # Each part of eight characters stood in a dozen values and as many texts, all of whose pairs were compared.
+    r = random.Random(5)
+    values = sorted({"".join(f"{r.randrange(12):04d}" for _ in range(4)) for _ in range(2000)})
+    docs = spark.createDataFrame([(i, f"Order of {v}, see there") for i, v in enumerate(values)], "id long, text string")
+    terms = spark.createDataFrame([(v, False) for v in values], "value string, whole boolean")
+    grams, anchors = D.candidate_grams(docs, terms, False)
+    assert grams.join(anchors, "gram").count() < 2 * len(values)
+    got = D.occurrences_by_grams(docs, terms.select("value"), "id").collect()
+    assert {(x.id, x.start, x.value) for x in got} == {(i, 9, v) for i, v in enumerate(values)} and len(got) == len(values)
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_values_of_all_lengths(spark, grams_only, whole):
+    # Up to and beyond what stands around a gram, at both ends of a text and next to word characters.
+    r = random.Random(7)
+    letters = "ab 日𝒳."
+    values = sorted({"".join(r.choice(letters) for _ in range(n)) for n in (1, 2, 3, 7, 8, 15, 16, 17, 31, 32, 33, 63, 64, 65, 127, 128, 129, 300)})
+    texts = [f"{a}{v}{z}" for v in values for a, z in (("", ""), ("x", ""), (" ", " "), ("é.", "²"), ("w " * 70, " w" * 70))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {(x.id, x.start, x.end, x.value) for x in D.occurrences(docs, spark.createDataFrame([(v,) for v in values], "value string"), "id", whole_words=whole).collect()}
+    want = set()
+    for i, t in enumerate(texts):
+        for v in values:
+            at = t.find(v)
+            while at >= 0:
+                if not whole or not any(D._WORD.match(c) for c in t[max(0, at - 1) : at] + t[at + len(v) : at + len(v) + 1]):
+                    want.add((i, at, at + len(v), v))
+                at = t.find(v, at + 1)
+    assert got == want
+
+
+def test_filter_layout():
+    layout = D.filter_layout({8: 10, 16: 40_000_000, 64: 3_000_000})
+    assert list(layout)[0] == 16 and all(first % bits == 0 and bits >= 8 * n for (first, bits), n in zip(layout.values(), (40_000_000, 3_000_000, 10), strict=True))
+    assert sum(bits for _, bits in layout.values()) <= 2 * D.filter_bits(43_000_010) + 3 * (1 << 16)
+    h = np.arange(1, 1000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for first, bits in layout.values():
+        places = [D._bit(h, first, bits, s) for s in D._SHIFTS]
+        assert all((p >= first).all() and (p < first + bits).all() and (p // D._BLOCK == places[0] // D._BLOCK).all() for p in places)
