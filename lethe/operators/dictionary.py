@@ -487,14 +487,18 @@ def known_values(docs: DataFrame, values: DataFrame, excluded: DataFrame | None
 
 
 def _resolved(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, guard_col: str | None = None) -> DataFrame:
+    """The hits of each text that stay.  One that is alone in a text without tokens and guarded spans does, without being handed to the functions on lists."""
     tokens = docs.where(F.contains(F.col(text_col), F.lit("["))).select(id_col, token_spans(F.col(text_col)).alias("_tokens"))
     spans = found.groupBy(id_col).agg(F.collect_list(F.struct("start", "end", F.col("value").alias("label"), F.lit(9).alias("stage"), F.col("spelled").alias("value"))).alias("_spans")).join(tokens, id_col, "left")
-    own = F.col("_spans")
+    own, alone = F.col("_spans"), (F.size("_spans") == 1) & F.col("_tokens").isNull()
     if guard_col:
         spans = spans.join(docs.where(F.size(guard_col) > 0).select(id_col, F.col(guard_col).alias("_guard")), id_col, "left")
-        own = uncut(own, F.coalesce("_guard", F.array().cast(FOUND)))
+        own, alone = uncut(own, F.coalesce("_guard", F.array().cast(FOUND))), alone & F.col("_guard").isNull()
+    spans = materialized(spans, "spans")
     free = outside(own, F.coalesce("_tokens", F.array().cast(FOUND)))
-    return spans.select(id_col, F.explode(resolve(free, "length")).alias("s")).select(id_col, "s.start", "s.end", F.col("s.label").alias("value"), F.col("s.value").alias("spelled"))
+    kept = spans.where(~alone).select(id_col, F.explode(resolve(free, "length")).alias("s"))
+    kept = kept.unionByName(spans.where(alone).select(id_col, F.get("_spans", F.lit(0)).alias("s")))
+    return kept.select(id_col, "s.start", "s.end", F.col("s.label").alias("value"), F.col("s.value").alias("spelled"))
 
 
 def custom_values(docs: DataFrame, values: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -104,3 +104,23 @@ def test_filter_layout():
     for first, bits in layout.values():
         places = [D._bit(h, first, bits, s) for s in D._SHIFTS]
         assert all((p >= first).all() and (p < first + bits).all() and (p // D._BLOCK == places[0] // D._BLOCK).all() for p in places)
+
+
+def test_hits_alone_in_a_text_skip_the_lists(spark, grams_only, monkeypatch):
+    monkeypatch.setattr(D, "resolve", lambda spans, order: F.raise_error(F.lit("a list of one")).cast(D.FOUND))
+    docs = spark.createDataFrame([(i, f"Order of Customer#{i:09d}") for i in range(50)], "id long, text string")
+    values = spark.createDataFrame([(f"Customer#{i:09d}",) for i in range(0, 50, 2)], "value string")
+    assert sorted(tuple(x) for x in D.known_values(docs, values, id_col="id").select("id", "start").collect()) == [(i, 9) for i in range(0, 50, 2)]
+
+
+def test_known_values_as_by_the_automaton(spark, monkeypatch):
+    # One hit, several that meet, hits in tokens and hits that take a part of a guarded span.
+    texts = ["Ann Lee", "Ann Lee and Lee Hill", "[Ann Lee_1_abcdef] [ANN_1_abcdef] Ann Lee", "[ Ann Lee", "[ANN_1_abcdef]", "xAnn Leex", None]
+    docs = spark.createDataFrame([(i, t, [(4, 9)] if i == 3 else None) for i, t in enumerate(texts)], "doc_id long, text string, guard array<struct<start:int,end:int>>")
+    docs = docs.withColumn("guard", F.transform("guard", lambda g: F.struct(g["start"].alias("start"), g["end"].alias("end"), F.lit("X").alias("label"), F.lit(1).alias("stage"), F.lit("x").alias("value"))))
+    values = spark.createDataFrame([("Ann Lee",), ("Lee and Lee",), ("Lee Hill",), ("ANN",), ("Lee",)], "value string")
+    show = lambda: sorted(map(str, D.known_values(docs, values, guard_col="guard").collect()))
+    want = show()
+    monkeypatch.setattr(D, "MOST_CHARACTERS", 1)
+    monkeypatch.setattr(D, "MOST_PASSES", 0)
+    assert show() == want and len(want) > 4
