@@ -13,8 +13,8 @@ SHALLOW = 16  # symbols
 
 
 def padded(contexts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of symbols 1..256, with 0 beyond a context's end, as big-endian 16-bit units; lengths."""
-    width = -(-width // 4) * 4
+    """Rows of symbols 1..256, with 0 beyond a context's end, as big-endian 16-bit units, four at least; lengths."""
+    width = max(4, -(-width // 4) * 4)  # contexts may all be empty
     sizes = np.fromiter(map(len, contexts), np.int64, len(contexts))
     rows = np.zeros((len(contexts), width), ">u2")
     data = np.frombuffer(b"".join(contexts), np.uint8).astype(np.int64) + 1

@@ -3,10 +3,12 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from lethe.llm import repeats
 from lethe.llm.cutting import digest
+from lethe.llm.deep_shallow import sort
 from lethe.llm.substring_dedup import remove_repeated_words
 from lethe.llm.suffix_dedup import remove_repeated_bytes
 
@@ -115,3 +117,25 @@ def test_documents_without_repeats(spark):
     assert without_repeats(df).columns == df.columns
     assert got[1].text == long and got[2].text == "x" and got[2].n_chars == 1 and got[3].text is None and got[4].text == ""
     assert [got[i]["_"] for i in (1, 2, 3, 4)] == ["a", None, "d", "e"] and got[2]["none"] == "c"
+
+
+@pytest.mark.parametrize("contexts", [[b"", b""], [b"", b"", b""], [b"", b"a"], [b"a", b""]])
+def test_empty_contexts_are_sorted(contexts):
+    order, common = sort(np.zeros(len(contexts), np.int64), contexts, max(map(len, contexts)))
+    assert [contexts[i] for i in order] == sorted(contexts) and common.tolist() == [-1] + [0] * (len(contexts) - 1)
+
+
+@pytest.mark.parametrize("remove", [remove_repeated_words, remove_repeated_bytes])
+@pytest.mark.parametrize("hot", [False, True])
+def test_shards_of_one_minimizer(spark, docs_of, remove, hot, monkeypatch):
+    """A shard may hold two pieces alone, with nothing to the left of their minimizer."""
+    monkeypatch.setattr(repeats, "SHARD_BYTES", 1)
+    if hot:
+        monkeypatch.setattr(repeats, "HOT", 2)
+        monkeypatch.setattr(repeats, "HOT_IN_BATCH", 2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
+    texts = corpus(4)
+    words = remove is remove_repeated_words
+    got = digest(remove(docs_of(texts).repartition(3)), "n", None if words else "n_spans").collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, got)) == (brute_words(texts, 13) if words else brute_bytes(texts, 100))
