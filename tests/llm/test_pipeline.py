@@ -7,7 +7,7 @@ import pytest
 
 import corpus_pipeline as P
 import public_tokenizers
-from lethe.llm import byte_bpe, decontaminate, near_dup, suffix_dedup, toxicity
+from lethe.llm import byte_bpe, decontaminate, near_dup, repeats, suffix_dedup, toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "kept"]
 
@@ -79,6 +79,20 @@ def test_repeated_bytes_are_cut(spark, corpus):
     assert got[125] is None and got[126] == "" and got[3] == texts[3]
 
 
+def test_repeats_at_the_start_of_texts_are_cut(spark, tmp_path, monkeypatch):
+    """Texts of one window each whose minimizer stands first: a shard of two such pieces has nothing to the left."""
+    monkeypatch.setattr(repeats, "SHARD_BYTES", 1)
+    r = random.Random(5)
+    common = ["".join(chr(r.randrange(97, 123)) for _ in range(99)) for _ in range(200)]
+    texts = [c + end for c in common for end in "xy"]
+    rows = [(i, t, "en", "s", "clash") for i, t in enumerate(texts)] + [(len(texts) + i, t, "en", "s", "clash") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, kept string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
+    got = {r.doc_id: r.text for r in P.cut_repeated_bytes(spark, read(spark, tmp_path), str(tmp_path)).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {i: t if i < len(texts) else "" for i, (_, t, *_) in enumerate(rows)}
+
+
 def test_contaminated_documents_go(spark, corpus):
     at, texts, _ = corpus
     kept = [r.doc_id for r in decontaminate.clean(read(spark, at), spark.read.parquet(f"{at}/benchmark.parquet")).collect()]
